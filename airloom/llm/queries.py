@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .simhash import op1_simhash_near_dedup
+from .substring import op9_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
