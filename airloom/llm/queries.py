@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .merkle import op10_document_fingerprints
 from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
 from .toxicity import op8_toxicity
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
