@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .merkle import op10_document_fingerprints
+from .mixing import OP7_SQL, op7_source_mixing
 from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": OP7_SQL,
+}
