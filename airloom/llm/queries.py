@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .langid import op5_language_id
 from .merkle import op10_document_fingerprints
 from .mixing import OP7_SQL, op7_source_mixing
 from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
 from .toxicity import op8_toxicity
+from .urls import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_url_filters": op3_url_filters,
+    "op5_language_id": op5_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
@@ -17,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
     "op7_source_mixing": OP7_SQL,
 }
