@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op5_language_id
 from .merkle import op10_document_fingerprints
 from .mixing import OP7_SQL, op7_source_mixing
+from .packing import op4_packing
 from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
 from .toxicity import op8_toxicity
@@ -13,6 +14,7 @@ from .urls import OP3_SQL, op3_url_filters
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
