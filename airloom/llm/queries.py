@@ -8,14 +8,18 @@ from .mixing import OP7_SQL, op7_source_mixing
 from .packing import op4_packing
 from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
+from .tokens import op2_token_counts
 from .toxicity import op8_toxicity
 from .urls import OP3_SQL, op3_url_filters
+from .vectors import OP6_SQL, op6_embedding_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
@@ -24,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
     "op7_source_mixing": OP7_SQL,
 }
