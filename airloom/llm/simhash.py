@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Documents without all but one of each near-duplicate group (the smallest doc_id stays).
 
     Rows without a doc_id stay; of rows that repeat a doc_id one stays."""
