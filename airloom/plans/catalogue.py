@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from . import telemetry, text, tickets
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for part in (telemetry, tickets, text):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = telemetry.symptoms
