@@ -15,12 +15,12 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.trim("line")).where("line <> ''")
 
 
-def repeated_lines(pages: DataFrame) -> DataFrame:
-    """(doc_id, line, pages): short lines on at least half of a document's pages."""
+def repeated_lines(pages: DataFrame, share: float = REPEATED_SHARE) -> DataFrame:
+    """(doc_id, line, pages): short lines on at least such a share of a document's pages."""
     n = pages.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages"))
     seen = page_lines(pages).where(F.length("line") <= SHORT_LINE).select("doc_id", "page_no", "line").distinct()
     c = seen.groupBy("doc_id", "line").agg(F.count("*").alias("pages"))
-    return c.join(n, "doc_id").where(F.col("pages") / F.col("n_pages") >= REPEATED_SHARE).select("doc_id", "line", "pages")
+    return c.join(n, "doc_id").where(F.col("pages") / F.col("n_pages") >= share).select("doc_id", "line", "pages")
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def parse_json(df: DataFrame, value: str = "value") -> DataFrame:
     nested = F.from_json(F.coalesce(flat["signals"], flat["values"]), "map<string,string>")
     out = df.select("*", flat.alias("__flat"), nested.alias("__nested")).where("__flat IS NOT NULL")
     own = F.map_filter("__flat", lambda k, _: ~k.isin("timestamp", "ts", "ahu_id", "signals", "values"))
-    return out.select(F.coalesce(F.col("__flat")["timestamp"], F.col("__flat")["ts"]).alias("timestamp"), F.col("__flat")["ahu_id"].alias("ahu_id"), F.coalesce("__nested", own).alias("signals"))
+    return out.select(F.coalesce(F.nullif(F.trim(F.col("__flat")["timestamp"]), F.lit("")), F.col("__flat")["ts"]).alias("timestamp"), F.col("__flat")["ahu_id"].alias("ahu_id"), F.coalesce("__nested", own).alias("signals"))
 
 
 def normalize_events(df: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -379,3 +379,23 @@ def q56_ui_extract(spark, sf):
     s = _summ(spark, sf).withColumn("t", F.concat("text_summary", F.lit(" "), F.lit("v="), S.fixed(2)(F.col("features")["cc_valve_mean"])))
     pick = lambda p: F.regexp_extract("t", p, 1)
     return s.select("window_id", pick(r"v=([0-9.]+)$").cast("double").alias("valve"), F.regexp_replace(pick(r"anomalies=([^.]*)\."), "^none$", "").alias("rules"), pick(r"signature=([0-9a-f]{64})").alias("signature"))
+
+
+@query()
+def st_window_summaries(spark, sf):
+    """The streaming form over the events table as a file stream, up to the last window that the watermark closes."""
+    import tempfile
+    import uuid
+
+    from ..sources.adapter import TELEMETRY
+    from ..streaming import telemetry as streaming
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    at = f"{root}/airloom-stream-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/event[s].parquet")
+    raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = raw.selectExpr("event_id", "CAST(user_id % 8 AS STRING) AS ahu_id", "ts AS timestamp", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS timestamp_text", *[f"{x} AS {n}" for n, x in TELEMETRY.items()])
+    out = streaming.window_summaries(events, CFG).select("window_id", "ahu_id", "signature", "text_summary")
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")

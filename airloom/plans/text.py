@@ -63,12 +63,7 @@ _LINES = f"{_PAGES}, ln AS (SELECT doc_id, page_no, unnest(range(len(s))) AS lin
 
 @query(f"WITH {_LINES}, np AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM pg GROUP BY 1) SELECT doc_id, line, count(DISTINCT page_no) AS pages FROM ln JOIN np USING (doc_id) WHERE line <> '' AND length(line) <= 80 GROUP BY doc_id, line, n HAVING count(DISTINCT page_no) / n >= 0.01")
 def q48_repeated_lines(spark, sf) -> DataFrame:
-    share = manuals.REPEATED_SHARE
-    manuals.REPEATED_SHARE = 0.01  # invented pages share few lines
-    try:
-        return manuals.repeated_lines(page_table(spark, sf))
-    finally:
-        manuals.REPEATED_SHARE = share
+    return manuals.repeated_lines(page_table(spark, sf), 0.01)  # invented pages share few lines
 
 
 _words = "list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')"
