@@ -15,6 +15,8 @@ CLAUSE = r"(?s)(?<=[\n.!?;:,])|(?<=\G.{64})"
 SHORT, WORD = 256, r"(?<=[\n ])"
 TINY, PAIR = 48, r"(?s)(?<=\G.{2})"
 IDS_PER_TASK = 200_000
+#: Stands for a null doc_id in joins, and so the one doc_id that is returned as null.
+NO_ID = -(2**63)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -32,8 +34,8 @@ def _leaf_pieces(part: Column, whole: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """Distinct 32-bit digests of a text's leaves (longs)."""
-    return F.array_distinct(F.transform(_leaf_pieces(text, text), _hash32))
+    """Distinct 32-bit digests of a text's leaves."""
+    return F.array_distinct(F.transform(_leaf_pieces(text, text), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -89,22 +91,21 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("long").isNull().alias("unnamed"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), text.alias("text"))
     ids = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("pick"), F.max(F.length("text")).alias("chars"))
     ids = following(scratch.keep(ids, "ids"), scratch)
     want = ids.select(F.col("previous").alias("key"), F.col("key").alias("next"))
     want = ids.select("key", "chars").join(want, "key").select(F.col("next").alias("key"), F.col("key").alias("before"), F.floor(F.col("chars") / 2).cast("int").alias("m"))
     want = scratch.keep(want.join(ids.select("key", "pick"), "key"), "order")
 
-    rows = rows.withColumn("leaves", leaves(F.col("text")))
-    heads = rows.join(want, "key").where(F.xxhash64("text") == F.col("pick"))
-    heads = heads.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head"), F.col("leaves").alias("next_leaves")).dropDuplicates(["key"])
+    heads = rows.join(want, "key").where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
+    heads = heads.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head"), leaves(F.col("text")).alias("next_leaves")).dropDuplicates(["key"])
     n = F.length("text")
     cut = (n / 2).cast("int")
     out = rows.join(heads, "key").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("head"), F.lit(1), cut)))
-    out = out.withColumn("edited_leaves", leaves(F.col("edited")))
+    out = out.withColumn("leaves", leaves(F.col("text"))).withColumn("edited_leaves", leaves(F.col("edited")))
     return out.select(
-        F.when(~F.col("unnamed"), F.col("key")).alias("doc_id"),
+        F.nullif("key", F.lit(NO_ID)).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"),
