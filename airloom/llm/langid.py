@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, text_batches
 
 #: A trigram belongs to a language if it makes up this share of the language's trigrams, so none has more than 1 / LEAST_SHARE.
 LEAST_SHARE = 2e-5
@@ -70,12 +70,14 @@ class LanguageFilters:
 
     def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
         """The language with the largest corrected share of trigrams (ties: by code point), and that share."""
+        if not self.languages:
+            return "und", 0.0
         n, hits = 0, np.zeros(len(self.languages), np.int64)
         for keys in trigrams(text):
             mask = self.contained(keys)
             n += len(keys)
             hits += [np.count_nonzero(mask & mask.dtype.type(1 << i)) for i in range(len(self.languages))]
-        if not n or not self.languages:
+        if not n:
             return "und", 0.0
         share = np.clip((hits / n - rates) / np.maximum(1 - rates, 1e-9), 0, 1)
         best = int(np.argmax(share))
@@ -92,6 +94,7 @@ def learn(docs: DataFrame) -> LanguageFilters:
     Trigrams are counted in each task, summed by language and trigram, and those with LEAST_SHARE of
     their language's are kept: at most 1 / LEAST_SHARE rows for each language reach the driver.
     """
+    text_batches(docs.sparkSession)
     rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def count(batches):

@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, local_components, partitions, table
+from .common import Scratch, connected_components, frugal, local_components, partitions, table, text_batches
 
 RADIUS = 3
 BLOCKS, WIDTH = 4, 16
 REST = 64 - WIDTH
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 500_000
 DENSE = 32
 _NEAR = {d: np.array([sum(1 << i for i in c) for c in itertools.combinations(range(WIDTH), d)], np.int64) for d in (1, 2, 3)}
 
@@ -45,6 +45,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id long, fp long) for every row of ``docs`` (doc_id, text); whole texts, no shuffle."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
@@ -128,6 +129,7 @@ def ball_links(fps: DataFrame, n_fps: int) -> DataFrame:
     n = max(partitions(fps.sparkSession), -(-n_fps * len(keys) // ROWS_PER_TASK))
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition(n, "key")
 
+    @frugal
     def run(batches):
         got = [(b.column("key").to_numpy(), b.column("fp").to_numpy()) for b in batches]
         if got:
@@ -150,6 +152,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     copies, ties and repeated rows cost nothing more.  A row without doc_id gets its component's
     smallest doc_id, or null.  An empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     each = scratch.keep(fingerprints(docs, shingle), "fp")
     fps = scratch.keep(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")

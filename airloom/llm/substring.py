@@ -1,6 +1,7 @@
 """Substring dedup: hashed lines and, inside lines, runs of hashed sentences."""
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, release_memory, table, text_batches
 
 #: Lines of fewer words never count as copies.
 LINE_WORDS = 5
@@ -47,6 +48,7 @@ def units(text: str) -> list[tuple[int, int, int, int | None, list[tuple[int, in
 def unit_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo): each document's distinct line and sentence digests, 128 bits as two longs."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             ids, found = [], []
@@ -128,19 +130,22 @@ def dedupe(docs: DataFrame) -> DataFrame:
     repeat a doc_id are one document, so each keeps the units it is first to have.  An empty table
     gives an empty result; other columns pass, but for a column named ``removed``, which is replaced.
     """
+    text_batches(docs.sparkSession)
     seen = unit_digests(docs)
     shared = seen.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("hi", "lo", "keeper")
     flagged = seen.join(shared, ["hi", "lo"]).where("keeper < doc_id")
     own = flagged.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "keeper")).alias("__units"))
     own = own.select("__doc", F.col("__units.lo").alias("__lo"), F.col("__units.keeper").alias("__keeper"))
 
-    def run(text: pd.Series, lows: pd.Series, keepers: pd.Series) -> pd.DataFrame:
-        out, removed = [], []
-        for t, a, b in zip(text, lows, keepers):
-            clean, gone = (None, []) if t is None else cut(t, dict(zip(a.tolist(), b.tolist())) if a is not None else {})
-            out.append(clean)
-            removed.append([{"start": s, "end": e, "keeper": k} for s, e, k in gone])
-        return pd.DataFrame({"text": out, "removed": removed})
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, lows, keepers in batches:
+            out, removed = [], []
+            for t, a, b in zip(text, lows, keepers):
+                clean, gone = (None, []) if t is None else cut(t, dict(zip(a.tolist(), b.tolist())) if a is not None else {})
+                out.append(clean)
+                removed.append([{"start": s, "end": e, "keeper": k} for s, e, k in gone])
+            yield pd.DataFrame({"text": out, "removed": removed})
+        release_memory()
 
     udf = F.pandas_udf(run, "text string, removed array<struct<start:long, end:long, keeper:long>>")
     joined = docs.drop("removed").join(own, F.col("doc_id").cast("long") == F.col("__doc"), "left")

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, frugal, release_memory, table, text_batches
 
 #: At most so many labelled rows are fitted on: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -127,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     weight and finds nothing toxic.  The driver gets at most FEATURES features and, for each sampled
     row, the counts of those it has.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     none = OrdinalModel({}, (60.0,))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -138,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if rows.isEmpty():
         return none
 
+    @frugal
     def count(batches):
         sums: dict[str, list[int]] = {}
         for batch in batches:
@@ -166,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return none
     index = {f: i for i, f in enumerate(names)}
 
+    @frugal
     def project(batches):
         for batch in batches:
             ids, occ = [], []
@@ -197,6 +201,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     rows get equal results; an empty table gives none; more columns are ignored.
     """
 
+    @frugal
     def run(batches):
         for batch in batches:
             s = np.array([model.score(counts(t.as_py())) for t in batch.column("text")], float)
@@ -211,9 +216,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that aren't toxic, all columns as they are; no shuffle after training."""
     model = train(docs, labels)
 
-    def toxic(texts: pd.Series) -> pd.Series:
-        s = np.array([model.score(counts(t)) for t in texts], float)
-        return pd.Series(model.exceed(s)[:, 0] >= 0.5)
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            s = np.array([model.score(counts(t)) for t in texts], float)
+            yield pd.Series(model.exceed(s)[:, 0] >= 0.5)
+        release_memory()
 
     return docs.where(~F.pandas_udf(toxic, "boolean")(F.col("text").cast("string")))
 
