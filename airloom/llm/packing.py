@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -11,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, frugal, table, text_batches
 
 CAPACITY = 2048
 END_ID = 1
 #: Lengths are counted in classes of so many tokens (rounded up), so the linear program has CAPACITY / GRAIN rows at most.
 GRAIN = 4
-#: Column generation ends when the bound from its prices is this close, or after so many columns.
-GAP, MOST_COLUMNS = 1e-4, 4_000
-CACHED_CHUNKS = 400_000
+#: Column generation ends when the bound from its prices is this close (or half a sequence), or after so many columns.
+GAP, MOST_COLUMNS = 1e-4, 1_500
+CACHED_CHUNKS, CHUNKS_AT_ONCE = 300_000, 2_000
+_RUN = re.compile(r"[^a-zA-Z0-9À-ÖØ-öø-ÿ \n\t\r][.,]")
 SALTS = 256
 
 
@@ -43,20 +45,45 @@ class ChunkEncoder:
         self.tok, self.known = _tokenizer(path), {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [chunks(t) for t in texts]
         known = self.known
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
-            known[""] = b""
-        new = list({c for s in split for c in s if c not in known})
-        for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in s]) for s in split]
+        found = [list(map(known.get, s)) for s in split]
+        new = self.encode(list({c for s, ids in zip(split, found) if None in ids for c, i in zip(s, ids) if i is None}))
+        if len(known) < CACHED_CHUNKS:
+            known.update(new)
+        return [b"".join([new[c] if i is None else i for c, i in zip(s, ids)] if None in ids else ids) for s, ids in zip(split, found)]
+
+    def encode(self, own: list[str]) -> dict[str, bytes]:
+        """New chunks' ids, from texts of many chunks that are told apart by their tokens' offsets."""
+        out = {}
+        for a in range(0, len(own), CHUNKS_AT_ONCE):
+            part = own[a : a + CHUNKS_AT_ONCE]
+            start = np.cumsum([0] + [len(c) + 1 for c in part])
+            got = self.tok.encode(" ".join(part), add_special_tokens=False)
+            at = (4 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), start)).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            out.update(zip(part, [raw[i:j] for i, j in zip(at[:-1], at[1:])]))
+        return out
+
+
+def chunks(text: str) -> list[str]:
+    """A text's blank-separated chunks, points and commas apart from the word before them.
+
+    The tokenizer ends a word before punctuation anyway, but keeps a run of punctuation together; texts
+    with anything but Latin letters, digits and blanks before a point or comma stay as they are.  It lower-cases each character, which for
+    ASCII is what lower() does.
+    """
+    if text.isascii():
+        text = text.lower()
+    if not _RUN.search(text):
+        text = text.replace(",", " ,").replace(".", " .")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and a last id 1, cut every ``capacity`` ids."""
 
+    @frugal
     def run(batches):
         encode = ChunkEncoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
@@ -147,7 +174,7 @@ def cutting_stock(width: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
         new = knapsack(np.maximum(price, 0), width, capacity)
         worth = float(price[new > 0] @ new[new > 0])
         bound = max(bound, x.sum() / max(worth, 1.0))
-        if worth <= 1 + 1e-9 or x.sum() - bound <= max(GAP * x.sum(), 1e-6):
+        if worth <= 1 + 1e-9 or x.sum() - bound <= max(GAP * x.sum(), 0.5):
             break
         d = inverse @ new
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
@@ -194,6 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     a third of all documents has is dealt over tasks.  A null or empty text is its end id alone; rows
     that repeat a doc_id are packed each; no rows give no rows; more columns are ignored.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     found = pieces(docs, tokenizer, capacity)
