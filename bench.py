@@ -14,7 +14,7 @@ from airloom.session import session  # noqa: E402
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ["q02_dedup_events", "q05_window_stats", "q07_window_slope", "q12_late_accounting", "q17_signature", "q21_scenario_gating", "q29_active_incidents", "q33_ticket_episodes", "q37_ticket_upsert", "q44_knn", "q49_headings_sections", "q50_word_chunks"]
-LIMIT_S = 600
+LIMIT_S = 400
 
 
 def main() -> None:
@@ -23,7 +23,7 @@ def main() -> None:
     times, began = {}, time.time()
     for name in HEADLINE:
         runs = []
-        for _ in range(4):
+        for _ in range(3):
             t = time.time()
             catalogue.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - t)
