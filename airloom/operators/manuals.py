@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SHORT_LINE, REPEATED_SHARE = 80, 0.5
 LEAST_WORDS = 30
+STRETCH = 4096
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -114,8 +115,12 @@ def page_spans(pages: DataFrame) -> DataFrame:
 
 
 def page_range(spans: DataFrame, pieces: DataFrame) -> DataFrame:
-    """First and last page of pieces (doc_id, piece, start, end) by overlap."""
-    j = pieces.join(spans, "doc_id").where((F.col("page_end") > F.col("start")) & (F.col("page_start") < F.col("end")))
+    """First and last page of pieces (doc_id, piece, start, end) by overlap.
+
+    Pages and pieces meet in stretches of STRETCH characters, so a document's pairs grow with its length, not its square."""
+    at = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / STRETCH), F.floor(F.greatest(F.col(a), F.col(b) - 1) / STRETCH)))
+    spans = spans.select("doc_id", "page_no", "page_start", "page_end", at("page_start", "page_end").alias("stretch"))
+    j = pieces.withColumn("stretch", at("start", "end")).join(spans, ["doc_id", "stretch"]).where((F.col("page_end") > F.col("start")) & (F.col("page_start") < F.col("end")))
     return j.groupBy("doc_id", "piece").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
 
 

@@ -113,9 +113,11 @@ pc AS (SELECT doc_id, unnest(range(0, 40)) AS piece FROM pg GROUP BY doc_id), pp
 
 @query(f"WITH {_SPANS} SELECT pp.doc_id, piece::INT AS piece, min(page_no) AS first_page, max(page_no) AS last_page FROM pp JOIN ps ON pp.doc_id = ps.doc_id AND a + n > s AND a < e GROUP BY 1, 2")
 def q52_chunk_pages(spark, sf) -> DataFrame:
-    pages = page_table(spark, sf)
-    pieces = pages.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("piece")).selectExpr("doc_id", "piece", "piece * 2500 AS start", "piece * 2500 + 3000 AS end")
-    return manuals.page_range(manuals.page_spans(pages), pieces)
+    spans = manuals.page_spans(page_table(spark, sf))
+    n = F.ceil(F.max("page_end") / 2500).cast("int")
+    pieces = spans.groupBy("doc_id").agg(n.alias("n")).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"))
+    pieces = pieces.selectExpr("doc_id", "piece", "CAST(piece AS BIGINT) * 2500 AS start", "CAST(piece AS BIGINT) * 2500 + 3000 AS end")
+    return manuals.page_range(spans, pieces)
 
 
 @query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), chr(160), ' '), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(13) || chr(9) || chr(11) || chr(12))) AS text FROM pages")
