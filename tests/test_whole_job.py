@@ -1,5 +1,6 @@
 """Queries over tables of which an earlier cut left rows out, against brute force."""
 
+import numpy as np
 
 
 def put(spark, path, name, rows, schema):
@@ -25,3 +26,33 @@ def test_chunk_pages_reach_the_end_of_long_manuals(spark, tmp_path):
             want[s, k] = min(hit), max(hit)
     got = {(r.doc_id, r.piece): (r.first_page, r.last_page) for r in text.q52_chunk_pages(spark, sf).collect()}
     assert got == want and max(k for s, k in got if s == "long") > 40
+
+
+def test_every_twentieth_vector_asks_all(spark, tmp_path, monkeypatch):
+    from airloom.operators import retrieval
+    from airloom.plans import text
+
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 70)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(900, 8)).astype(np.float32)
+    x[500:600] = x[20]
+    sf = put(spark, tmp_path, "embeddings", [(i, v.tolist(), i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    far = np.round(1 - u @ u.T, 9)
+
+    def best(q, ids, k):
+        return sorted(ids, key=lambda i: (far[q, i], i))[:k]
+
+    asked = range(0, 900, 20)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in text.q44_knn(spark, sf).collect()}
+    assert got == {(q, n + 1): i for q in asked for n, i in enumerate(best(q, range(900), 5)) if n}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in text.q45_knn_where(spark, sf).collect()}
+    assert got == {(q, n + 1): i for q in asked for n, i in enumerate(best(q, range(3, 900, 10), 4))}
+    got = {r.query_id: r for r in text.q46_retrieval_stats(spark, sf).collect()}
+    assert sorted(got) == list(asked)
+    for q in asked:
+        near = best(q, range(900), 8)
+        assert got[q].manuals == sum(i % 10 < 5 for i in near) and abs(got[q].avg_distance - far[q, near].mean()) < 2e-6
+
+
