@@ -130,7 +130,7 @@ def q54_html_text_norm(spark, sf) -> DataFrame:
 def q55_kv_line_parse(spark, sf) -> DataFrame:
     from ..sources.readers import kv_line
 
-    lines = read(spark, sf, "events").where("event_id % 10 = 0").select("event_id", F.expr("concat('unit=u', user_id, ' | kind=', event_type, ' | note')").alias("line"))
+    lines = read(spark, sf, "events").select("event_id", F.expr("concat('unit=u', user_id, ' | kind=', event_type, ' | note')").alias("line"))
     return lines.withColumn("kv", kv_line(F.col("line"))).select("event_id", F.col("kv")["unit"].alias("unit"), F.col("kv")["kind"].alias("kind"))
 
 

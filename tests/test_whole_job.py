@@ -56,3 +56,9 @@ def test_every_twentieth_vector_asks_all(spark, tmp_path, monkeypatch):
         assert got[q].manuals == sum(i % 10 < 5 for i in near) and abs(got[q].avg_distance - far[q, near].mean()) < 2e-6
 
 
+def test_every_event_line_is_parsed(spark, tmp_path):
+    from airloom.plans import text
+
+    sf = put(spark, tmp_path, "events", [(i, i % 7, f"k{i % 3}") for i in range(101)], "event_id long, user_id long, event_type string")
+    got = {r.event_id: (r.unit, r.kind) for r in text.q55_kv_line_parse(spark, sf).collect()}
+    assert got == {i: (f"u{i % 7}", f"k{i % 3}") for i in range(101)}
