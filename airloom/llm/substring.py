@@ -1,4 +1,4 @@
-"""Substring dedup: hashed lines and, inside lines, runs of hashed sentences."""
+"""Substring dedup: hashed lines, inside lines runs of hashed sentences, and runs of words wherever they start."""
 
 import re
 from collections.abc import Iterator
@@ -18,6 +18,11 @@ LINE_WORDS = 5
 RUN_WORDS = 25
 #: Shorter sentences are no evidence of copying; they only continue a run.
 SENTENCE_WORDS = 3
+#: A run of so many words that an earlier document has goes wherever it starts and ends.
+LONG_RUN = 51
+#: Runs are sought by their anchor: of the digests of all GRAM words in a run, the smallest.
+GRAM = 16
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 
 
@@ -25,7 +30,42 @@ def _digest(words: list[str]) -> int:
     return xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_runs(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digests and anchors of the LONG_RUN words from each word on, words in lower case; ``cache`` keeps words' digests."""
+    words = text.lower().split()
+    if len(words) < LONG_RUN:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for w in set(words).difference(cache):
+        cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    by = {1: np.array([cache[w] for w in words], np.uint64)}
+    for k in (1, 2, 4, 8, 16):
+        by[2 * k] = _mix(by[k][:-k] * np.uint64(0x9E3779B97F4A7C15) + by[k][k:])
+    n = len(words) - LONG_RUN + 1
+    digest, at = np.zeros(n, np.uint64), 0
+    for k in (32, 16, 2, 1):  # LONG_RUN words
+        digest = _mix(digest * np.uint64(0x9E3779B97F4A7C15) + by[k][at : at + n])
+        at += k
+    low, k = by[GRAM], 1
+    while 2 * k <= LONG_RUN - GRAM + 1:
+        low, k = np.minimum(low[:-k], low[k:]), 2 * k
+    rest = LONG_RUN - GRAM + 1 - k
+    return digest, np.minimum(low[:n], low[rest : rest + n])
+
+
 def units(text: str) -> list[tuple[int, int, int, int | None, list[tuple[int, int, int, int | None]]]]:
+    """The ``lines`` of a text and, as parts of one more entry, its runs of LONG_RUN words."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    runs = [(spans[i][0], spans[i + LONG_RUN - 1][1], LONG_RUN, d) for i, d in enumerate(long_runs(text, {})[0].tolist())]
+    return [*lines(text), (len(text), len(text), 0, None, runs)]
+
+
+def lines(text: str) -> list[tuple[int, int, int, int | None, list[tuple[int, int, int, int | None]]]]:
     """Lines as (start, end with line break, words, digest, sentences likewise); digest is None for short units.
 
     Units are normalised by lower case and single spaces before hashing; offsets are code points of
@@ -46,15 +86,16 @@ def units(text: str) -> list[tuple[int, int, int, int | None, list[tuple[int, in
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, hi, lo): each document's distinct line and sentence digests, 128 bits as two longs."""
+    """(doc_id, hi, lo): each document's distinct line and sentence digests, 128 bits as two longs, and anchors (hi is 0)."""
 
     @frugal
     def run(batches):
         for batch in batches:
-            ids, found = [], []
+            ids, found, cache = [], [], {}
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = set()
-                for _, _, _, digest, parts in units(text.as_py()):
+                text = text.as_py()
+                own = set(np.unique(long_runs(text, cache)[1]).tolist())
+                for _, _, _, digest, parts in lines(text):
                     own.add(digest)
                     own.update(p[3] for p in parts)
                 own.discard(None)
@@ -73,6 +114,30 @@ def unit_digests(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, hi long, lo long")
 
 
+def run_digests(anchored: DataFrame) -> DataFrame:
+    """(doc_id, lo): digests of the runs of LONG_RUN words in ``anchored`` (doc_id, text, anchors) whose anchor is among ``anchors``.
+
+    Equal runs have equal anchors, so no run that two documents have is left out.
+    """
+
+    @frugal
+    def run(batches):
+        for batch in batches:
+            ids, found, cache = [], [], {}
+            for i, text, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("anchors")):
+                digest, anchor = long_runs(text.as_py(), cache)
+                own = np.unique(digest[np.isin(anchor, anchors.values.to_numpy().view(np.uint64))])
+                ids.append(np.full(len(own), i, np.int64))
+                found.append(own.view(np.int64))
+                if sum(map(len, ids)) > 200_000:
+                    yield pa.record_batch({"doc_id": np.concatenate(ids), "lo": np.concatenate(found)})
+                    ids, found = [], []
+            if ids:
+                yield pa.record_batch({"doc_id": np.concatenate(ids), "lo": np.concatenate(found)})
+
+    return anchored.mapInArrow(run, "doc_id long, lo long")
+
+
 def cut(text: str, earlier: dict[int, int]) -> tuple[str, list[tuple[int, int, int | None]]]:
     """The text without copies, and the removed (start, end, keeper) with original offsets.
 
@@ -93,7 +158,7 @@ def cut(text: str, earlier: dict[int, int]) -> tuple[str, list[tuple[int, int, i
         seen.add(digest)
         return None
 
-    for start, end, _, digest, parts in units(text):
+    for start, end, _, digest, parts in lines(text):
         first = keeper(digest) if digest is not None else None
         if first is not None:
             gone.append((start, end, first))
@@ -110,6 +175,8 @@ def cut(text: str, earlier: dict[int, int]) -> tuple[str, list[tuple[int, int, i
             if words >= RUN_WORDS:
                 gone.append((run[0][0], run[-1][1], run[0][2]))
             run, words = [], 0
+    if earlier:
+        gone = sorted([*gone, *_outside(text, gone, _copied_runs(text, earlier))])
     keep, at = [], 0
     for start, end, _ in gone:
         keep.append(text[at:start])
@@ -117,14 +184,48 @@ def cut(text: str, earlier: dict[int, int]) -> tuple[str, list[tuple[int, int, i
     return "".join([*keep, text[at:]]), [(s, e, None if k == -1 else k) for s, e, k in gone]
 
 
+def _copied_runs(text: str, earlier: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(start, end, keeper) of the runs of words that ``earlier`` has, with the blanks up to the next word of the line."""
+    hits = [(i, earlier[d]) for i, d in enumerate(long_runs(text, {})[0].view(np.int64).tolist()) if d in earlier]
+    spans = [m.span() for m in _WORD.finditer(text)] if hits else []
+    runs: list[list[int]] = []
+    for i, k in hits:
+        if runs and i <= runs[-1][1]:
+            runs[-1][1] = i + LONG_RUN
+        else:
+            runs.append([i, i + LONG_RUN, k])
+    out = []
+    for a, b, k in runs:
+        end = spans[b][0] if b < len(spans) else len(text)
+        out.append((spans[a][0], spans[b - 1][1] if "\n" in text[spans[b - 1][1] : end] else end, k))
+    return out
+
+
+def _outside(text: str, gone: list[tuple[int, int, int | None]], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of ``runs`` with words that aren't in ``gone``; both are in order."""
+    out, j = [], 0
+    for a, b, k in runs:
+        while j < len(gone) and gone[j][1] <= a:
+            j += 1
+        i = j
+        while a < b:
+            s, e = gone[i][:2] if i < len(gone) else (b, b)
+            if text[a : min(s, b)].strip():
+                out.append((a, min(s, b), k))
+            a, i = max(a, e), i + 1
+    return out
+
+
 def dedupe(docs: DataFrame) -> DataFrame:
     """``docs`` with copies cut from ``text``, and ``removed``: array of (start, end, keeper).
 
     A unit is a line of LINE_WORDS or more words or, inside a line that stays, a run of consecutive
-    sentences with RUN_WORDS or more words (a passage pasted into a line).  Of equal units the one in
+    sentences with RUN_WORDS or more words (a passage pasted into a line), or any LONG_RUN words in a
+    row that an earlier document has.  Of equal units the one in
     the smallest doc_id, and there the first, stays; the rest go.  Digests are summed to one row per
     document before they are dealt, and grouped with partial sums; only units of several documents
-    come back, joined by digest and then by doc_id.
+    come back, joined by digest and then by doc_id.  Runs of words are digested only around anchors
+    that several documents have.
 
     Null texts stay null; rows without doc_id stay whole and take nothing from others; rows that
     repeat a doc_id are one document, so each keeps the units it is first to have.  An empty table
@@ -133,8 +234,15 @@ def dedupe(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     seen = unit_digests(docs)
     shared = seen.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("hi", "lo", "keeper")
-    flagged = seen.join(shared, ["hi", "lo"]).where("keeper < doc_id")
-    own = flagged.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "keeper")).alias("__units"))
+    flagged = seen.join(shared, ["hi", "lo"]).where("hi = 0 OR keeper < doc_id")
+    lists = [F.collect_list(F.when(F.col("hi") != 0, F.struct("lo", "keeper"))).alias("units"), F.collect_list(F.when(F.col("hi") == 0, F.col("lo"))).alias("anchors")]
+    own = flagged.groupBy(F.col("doc_id").alias("__doc")).agg(*lists)
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    runs = run_digests(plain.join(own.where("size(anchors) > 0"), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "anchors"))
+    first = runs.groupBy("lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("lo", "keeper")
+    more = runs.join(first, "lo").where("keeper < doc_id").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "keeper")).alias("runs"))
+    own = own.where("size(units) > 0").select("__doc", "units").join(more, "__doc", "full")
+    own = own.select("__doc", F.concat(F.coalesce("units", F.array()), F.coalesce("runs", F.array())).alias("__units"))
     own = own.select("__doc", F.col("__units.lo").alias("__lo"), F.col("__units.keeper").alias("__keeper"))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
