@@ -16,9 +16,11 @@ SAMPLE_ROWS = 8_192
 SHARD_ROWS, MOST_CLUSTERS = 1_000, 4_096
 CANDIDATES, DEGREE, ALPHA = 64, 24, 1.2
 BEAM, QUERIES = 32, 256
+#: The side of a block where all pairs are compared.
+BLOCK_ROWS = 2_048
 #: A query with more hits than this is compared with its whole shard.
 DENSE = 128
-#: Recall is audited on so many vectors against all; below the least, shards overlap more.
+#: Recall is audited on so many vectors against all; below the least, shards overlap more, and at last all pairs are compared.
 AUDIT_ROWS, LEAST_RECALL, OVERLAPS = 256, 0.97, (2, 4, 8)
 
 
@@ -86,7 +88,7 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float = LEAST_COSINE):
     """For blocks of rows as queries: (first row, hits), where hits marks rows at cosine ``least`` or more.
 
-    A beam search walks greedily from the medoid; then every hit's neighbours are looked at until no
+    A beam search walks greedily from the medoid and the query's own row; then every hit's neighbours are looked at until no
     new hit comes.  A query with over DENSE hits is compared with all rows instead.
     """
     n = len(x)
@@ -98,6 +100,9 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float = LE
         sim[:, 0] = q @ x[start]
         seen[:, start] = True
         hit[:, start] = sim[:, 0] >= least
+        other = a + rows != start
+        ids[other, 1], sim[other, 1] = a + rows[other], 1.0
+        seen[rows, a + rows], hit[rows, a + rows] = True, True
         done = np.isinf(sim)
         while not done.all():
             at = np.where(done, -np.inf, sim).argmax(axis=1)
@@ -146,6 +151,32 @@ def _graph_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": out})
 
 
+def _exact(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, pairs, links, root) from all pairs of a label, compared in blocks of bounded size."""
+    size = nodes.groupBy("label", F.length("raw").alias("bytes")).count().withColumn("n", F.ceil(F.col("count") / BLOCK_ROWS).cast("int"))
+    dealt = nodes.withColumn("bytes", F.length("raw")).join(F.broadcast(size.select("label", "bytes", "n")), ["label", "bytes"])
+    dealt = scratch.keep(dealt.select("label", "bytes", "n", "node", "copies", "raw", F.pmod(F.xxhash64("node"), "n").cast("int").alias("own")), "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    asked = dealt.select("label", "bytes", "node", "raw", F.col("own").alias("i"), every.alias("j"))
+    rows = dealt.select("label", "bytes", "node", "copies", "raw", F.col("own").alias("j"), every.alias("i"))
+
+    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"node": [], "pairs": [], "links": [], "root": []}).astype("int64")
+        ids, own, copies = q.node.to_numpy(np.int64), r.node.to_numpy(np.int64), r.copies.to_numpy(np.int64)
+        hit = (unit_vectors(q.raw.tolist()) @ unit_vectors(r.raw.tolist()).T >= LEAST_COSINE) & (ids[:, None] != own[None, :])
+        u, v = np.nonzero(hit)
+        nodes, root = local_components(np.r_[ids[u], ids], np.r_[own[v], ids])
+        to = pd.Series(root, index=nodes)
+        count = pd.DataFrame({"node": ids, "pairs": hit.sum(axis=1), "links": hit @ copies, "root": to[ids].to_numpy()})
+        there = np.setdiff1d(own[v], ids)
+        return pd.concat([count, pd.DataFrame({"node": there, "pairs": 0, "links": 0, "root": to[there].to_numpy()})]).astype("int64")
+
+    key = ["label", "bytes", "i", "j"]
+    out = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(compare, "node long, pairs long, links long, root long")
+    return scratch.keep(out, "links")
+
+
 def _links_of(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
     ids, n = pdf.node.to_numpy(np.int64), len(pdf)
@@ -239,7 +270,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Nodes go to the shards of their nearest centroids within their label.  Each shard gives a pruned
     graph; a node's lists are united over its shards; every node then searches each of its shards.
-    A shard counts and links, so pairs never leave it.
+    A shard counts and links, so pairs never leave it.  If the audited recall stays below LEAST_RECALL,
+    all pairs of a label are compared.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -255,8 +287,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         for raw in sample:
             by_dim.setdefault(len(raw) // 8, []).append(raw)
         found = _search(nodes, scratch, {d: centroids(own, k) for d, own in by_dim.items()}, overlap)
-        if k <= overlap or _recall(nodes, found) >= LEAST_RECALL:
+        if _recall(nodes, found) >= LEAST_RECALL:
             break
+    else:
+        found = _exact(nodes, scratch)
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     count = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("label", "raw", "node", "first", "copies", F.xxhash64("node").alias("name")).join(count, "node", "left")
