@@ -28,14 +28,13 @@ def _hash32(piece: Column) -> Column:
     return F.xxhash64(piece).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _leaf_pieces(part: Column, whole: Column) -> Column:
-    n = F.length(whole)
+def _leaf_pieces(part: Column, n: Column) -> Column:
     return F.when(n < TINY, _pieces(part, PAIR)).when(n < SHORT, _pieces(part, WORD)).otherwise(_pieces(part, CLAUSE))
 
 
-def leaves(text: Column) -> Column:
-    """Distinct 32-bit digests of a text's leaves."""
-    return F.array_distinct(F.transform(_leaf_pieces(text, text), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int")))
+def leaves(text: Column, n: Column | None = None) -> Column:
+    """Distinct 32-bit digests of a text's leaves, in the unit of texts of ``n`` characters (its own length by default)."""
+    return F.array_distinct(F.transform(_leaf_pieces(text, F.length(text) if n is None else n), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -50,12 +49,16 @@ def fingerprint(text: Column) -> Column:
     digest = lambda s: F.sha2(F.array_join(F.transform(paras(s), lambda p: F.sha2(p, 256)), ""), 256)
     short = lambda d: F.substring(d, 1, 8)
     hex8 = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
-    leaf = lambda p: F.array_join(F.transform(_leaf_pieces(p, text), lambda c: hex8(_hash32(c))), "")
+    leaf = lambda p: F.array_join(F.transform(_leaf_pieces(p, F.length(text)), lambda c: hex8(_hash32(c))), "")
     branch = lambda s: F.concat(short(digest(s)), F.lit("("), F.array_join(F.transform(paras(s), lambda p: F.concat(short(F.sha2(p, 256)), F.lit(":"), leaf(p))), ","), F.lit(")"))
     root = F.sha2(F.array_join(F.transform(_pieces(text, SECTION), digest), ""), 256)
     return F.concat(root, F.lit("|"), F.array_join(F.transform(_pieces(text, SECTION), branch), "/"))
 
 
+def _unit(n: Column) -> Column:
+    return F.when(n < TINY, 0).when(n < SHORT, 1).otherwise(2)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Dice coefficient of two leaf sets; 1.0 if both are empty."""
     both = F.size(a) + F.size(b)
@@ -92,18 +95,26 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), text.alias("text"))
-    ids = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("pick"), F.max(F.length("text")).alias("chars"))
+    ids = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("pick"), F.max(F.length("text")).alias("chars"), F.min(F.length("text")).alias("least"))
     ids = following(scratch.keep(ids, "ids"), scratch)
     want = ids.select(F.col("previous").alias("key"), F.col("key").alias("next"))
-    want = ids.select("key", "chars").join(want, "key").select(F.col("next").alias("key"), F.col("key").alias("before"), F.floor(F.col("chars") / 2).cast("int").alias("m"))
+    want = ids.select("key", "chars", "least").join(want, "key").select(F.col("next").alias("key"), F.col("key").alias("before"), F.floor(F.col("chars") / 2).cast("int").alias("m"), "chars", "least")
     want = scratch.keep(want.join(ids.select("key", "pick"), "key"), "order")
 
+    # two texts are compared in the unit of the shorter; rows of the document before may differ in length
+    low, high = (_unit(F.least(F.length("text"), c)) for c in ("least", "chars"))
+    by_unit = [F.when(F.lit(u).between(low, high), leaves(F.col("text"), F.lit(size))).alias(f"next_{u}") for u, size in enumerate((0, TINY, SHORT))]
     heads = rows.join(want, "key").where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
-    heads = heads.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head"), leaves(F.col("text")).alias("next_leaves")).dropDuplicates(["key"])
+    heads = heads.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head"), F.length("text").alias("next_chars"), *by_unit).dropDuplicates(["key"])
     n = F.length("text")
     cut = (n / 2).cast("int")
     out = rows.join(heads, "key").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("head"), F.lit(1), cut)))
-    out = out.withColumn("leaves", leaves(F.col("text"))).withColumn("edited_leaves", leaves(F.col("edited")))
+    out = out.withColumn("unit", _unit(F.least(n, F.length("edited")))).withColumn("next_unit", _unit(F.least(n, "next_chars")))
+    size = lambda u: F.when(u == 0, 0).when(u == 1, TINY).otherwise(SHORT)
+    out = out.withColumn("leaves", leaves(F.col("text"), size(F.col("unit")))).withColumn("edited_leaves", leaves(F.col("edited"), size(F.col("unit"))))
+    own = F.when(F.col("unit") == F.col("next_unit"), F.col("leaves")).otherwise(leaves(F.col("text"), size(F.col("next_unit"))))
+    near = F.when(F.col("next_unit") == 0, F.col("next_0")).when(F.col("next_unit") == 1, F.col("next_1")).otherwise(F.col("next_2"))
+    out = out.withColumn("next_own", own).withColumn("next_leaves", near)
     return out.select(
         F.nullif("key", F.lit(NO_ID)).alias("doc_id"),
         n.cast("long").alias("n_chars"),
@@ -111,7 +122,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("text")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        likeness(F.col("next_own"), F.col("next_leaves")).alias("near_next"),
     )
 
 
