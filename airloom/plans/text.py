@@ -54,7 +54,7 @@ def q46_retrieval_stats(spark, sf) -> DataFrame:
 @query("WITH a AS (SELECT vec_id, label, 0 AS src, vec_id AS pos FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label, 1, 100000 - vec_id FROM embeddings WHERE vec_id % 2 = 0) SELECT vec_id, label, src, pos FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY src, pos) AS n FROM a) WHERE n = 1")
 def q47_merge_docs(spark, sf) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "label")
-    return retrieval.merge_hits([e.where("vec_id % 3 = 0").withColumn("pos", F.col("vec_id")), e.where("vec_id % 2 = 0").withColumn("pos", 100000 - F.col("vec_id"))], ["vec_id", "label"])
+    return retrieval.merge_hits([e.where("vec_id % 3 = 0").withColumn("pos", F.col("vec_id")), e.withColumn("pos", 100000 - F.col("vec_id"))], ["vec_id", "label"])
 
 
 _PAGES = "pg AS (SELECT source AS doc_id, doc_id AS page_no, text FROM documents)"

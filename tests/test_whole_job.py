@@ -62,3 +62,11 @@ def test_every_event_line_is_parsed(spark, tmp_path):
     sf = put(spark, tmp_path, "events", [(i, i % 7, f"k{i % 3}") for i in range(101)], "event_id long, user_id long, event_type string")
     got = {r.event_id: (r.unit, r.kind) for r in text.q55_kv_line_parse(spark, sf).collect()}
     assert got == {i: (f"u{i % 7}", f"k{i % 3}") for i in range(101)}
+
+
+def test_merged_lists_hold_every_row(spark, tmp_path):
+    from airloom.plans import text
+
+    sf = put(spark, tmp_path, "embeddings", [(i, i % 5) for i in range(50)], "vec_id long, label int")
+    got = {(r.vec_id, r.label): (r.src, r.pos) for r in text.q47_merge_docs(spark, sf).collect()}
+    assert got == {(i, i % 5): (1, 100000 - i) if i % 3 else (0, i) for i in range(50)}
