@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,14 @@ END_ID = 1
 GRAIN = 4
 #: Column generation ends when the bound from its prices is this close (or half a sequence), or after so many columns.
 GAP, MOST_COLUMNS = 1e-4, 1_500
-CACHED_CHUNKS, CHUNKS_AT_ONCE = 300_000, 2_000
+#: A worker keeps the ids of so many chunks; when full, it forgets the half that came last (frequent chunks come early).
+CACHED_CHUNKS = 600_000
 _RUN = re.compile(r"[^a-zA-Z0-9À-ÖØ-öø-ÿ \n\t\r][.,]")
-SALTS = 256
+#: Chunks of printable ASCII and Latin letters, which no normalisation but lower case changes, and the tokenizer's own pattern for them.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Pieces of a class are ranked in so many shares at least, and in shares of about so many pieces.
+LEAST_SALTS, PIECES_PER_SALT = 16, 50_000
 
 
 @lru_cache(maxsize=2)
@@ -38,33 +44,45 @@ class ChunkEncoder:
 
     The tokenizer drops white space and never joins text across it, so a text's ids are its chunks'
     ids in a row.  Only space, tab and line ends separate chunks here, which its pattern counts as
-    white space too.  Ids are little-endian unsigned 32-bit numbers.
+    white space too.  Ids are little-endian unsigned 32-bit numbers.  A plain chunk is cut by the
+    tokenizer's pattern and its words go straight to its byte-pair model; any other chunk is encoded
+    whole.
     """
 
     def __init__(self, path: str):
-        self.tok, self.known = _tokenizer(path), {"": b""}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tok = _tokenizer(path)
+        self.known: dict[str, bytes] = {"": b""}
+        by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: by_bytes.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [chunks(t) for t in texts]
-        known = self.known
-        found = [list(map(known.get, s)) for s in split]
-        new = self.encode(list({c for s, ids in zip(split, found) if None in ids for c, i in zip(s, ids) if i is None}))
-        if len(known) < CACHED_CHUNKS:
-            known.update(new)
-        return [b"".join([new[c] if i is None else i for c, i in zip(s, ids)] if None in ids else ids) for s, ids in zip(split, found)]
-
-    def encode(self, own: list[str]) -> dict[str, bytes]:
-        """New chunks' ids, from texts of many chunks that are told apart by their tokens' offsets."""
-        out = {}
-        for a in range(0, len(own), CHUNKS_AT_ONCE):
-            part = own[a : a + CHUNKS_AT_ONCE]
-            start = np.cumsum([0] + [len(c) + 1 for c in part])
-            got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            at = (4 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), start)).tolist()
-            raw = np.array(got.ids, "<u4").tobytes()
-            out.update(zip(part, [raw[i:j] for i, j in zip(at[:-1], at[1:])]))
+        known, out = self.known, []
+        for t in texts:
+            split = chunks(t)
+            ids = list(map(known.get, split))
+            if None in ids:
+                if len(known) > CACHED_CHUNKS:
+                    self.known = known = dict(islice(known.items(), CACHED_CHUNKS // 2))
+                known.update(zip(new := {c for c, i in zip(split, ids) if i is None}, map(self.encode, new)))
+                ids = [known[c] if i is None else i for c, i in zip(split, ids)]
+            out.append(b"".join(ids))
         return out
 
+    def encode(self, chunk: str) -> bytes:
+        if not _PLAIN.fullmatch(chunk):
+            return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        model = self.tok.model.tokenize
+        words = _WORDS.findall(chunk.lower())
+        return b"".join([t.id.to_bytes(4, "little") for w in words for t in model(w if w.isascii() else w.translate(self.letters))])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder and cache for all tasks of a worker."""
+    return ChunkEncoder(path)
+
 
 def chunks(text: str) -> list[str]:
     """A text's blank-separated chunks, points and commas apart from the word before them.
@@ -85,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     @frugal
     def run(batches):
-        encode = ChunkEncoder(tokenizer)
+        encode = _encoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -110,6 +128,33 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return plain.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def invert(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row exchanges, in elementwise steps.
+
+    The driver's process holds a JVM's gateway, where a threaded linear algebra library can block; sizes
+    are a few hundred rows, so it isn't needed.
+    """
+    n = len(a)
+    work = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        best = k + int(np.abs(work[k:, k]).argmax())
+        if work[best, k] == 0:
+            raise ValueError("no inverse")
+        if best != k:
+            work[[k, best]] = work[[best, k]]
+        work[k] /= work[k, k]
+        rows = np.flatnonzero(work[:, k])
+        rows = rows[rows != k]
+        work[rows] -= work[rows, k, None] * work[k]
+    return work[:, n:]
+
+
+def times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Matrix times vector in elementwise steps."""
+    own = np.flatnonzero(x)
+    return (a[:, own] * x[own]).sum(axis=1)
+
+
 def knapsack(value: np.ndarray, width: np.ndarray, capacity: int) -> np.ndarray:
     """Counts of the items (any number of each) of most value that fit: dynamic program over capacities."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -147,10 +192,10 @@ def first_basis(width: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[n
             column[i] = room // width[i]
             room -= int(column[i]) * int(width[i])
         own = np.flatnonzero(column)
-        times = (left[own] / column[own]).min()
-        left[own] = np.maximum(left[own] - times * column[own], 0)
+        use = (left[own] / column[own]).min()
+        left[own] = np.maximum(left[own] - use * column[own], 0)
         gone = [int(i) for i in own if left[i] <= 1e-9 * demand[i]]
-        columns[:, gone[0]], x[gone[0]] = column, times
+        columns[:, gone[0]], x[gone[0]] = column, use
         for i in gone[1:]:
             columns[i, i] = capacity // width[i]
         left[gone] = 0
@@ -167,35 +212,35 @@ def cutting_stock(width: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
     """
     m = len(width)
     columns, x = first_basis(width, demand, capacity)
-    inverse = np.linalg.inv(columns)
+    inverse = invert(columns)
     bound = (demand * width).sum() / capacity
     for step in range(MOST_COLUMNS):
         price = inverse.sum(axis=0)
         new = knapsack(np.maximum(price, 0), width, capacity)
-        worth = float(price[new > 0] @ new[new > 0])
+        worth = float((price * new).sum())
         bound = max(bound, x.sum() / max(worth, 1.0))
         if worth <= 1 + 1e-9 or x.sum() - bound <= max(GAP * x.sum(), 0.5):
             break
-        d = inverse @ new
+        d = times(inverse, new)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         columns[:, out] = new
         pivot = inverse[out] / d[out]
-        inverse -= np.outer(d, pivot)
+        inverse -= d[:, None] * pivot
         inverse[out] = pivot
         x = np.maximum(x - ratio[out] * d, 0)
         x[out] = ratio[out]
         if step % 100 == 99:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = invert(columns)
+            x = np.maximum(times(inverse, demand), 0)
     used, left = [], demand.astype(np.int64).copy()
     for j in np.argsort(-x, kind="stable"):
         column = columns[:, j].astype(np.int64)
         own = column > 0
-        times = min(int(x[j] + 1e-9), int((left[own] // column[own]).min()))
-        if times > 0:
-            used.append((column, times))
-            left -= times * column
+        use = min(int(x[j] + 1e-9), int((left[own] // column[own]).min()))
+        if use > 0:
+            used.append((column, use))
+            left -= use * column
     order = np.argsort(-width, kind="stable")
     while left.any():
         room, column = capacity, np.zeros(m, np.int64)
@@ -205,9 +250,9 @@ def cutting_stock(width: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
                 column[i] += n
                 room -= n * int(width[i])
         own = column > 0
-        times = int((left[own] // column[own]).min())
-        used.append((column, times))
-        left -= times * column
+        use = int((left[own] // column[own]).min())
+        used.append((column, use))
+        left -= use * column
     return used, float(bound)
 
 
@@ -226,20 +271,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     scratch = Scratch(spark)
     found = pieces(docs, tokenizer, capacity)
     found = found.withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int"))
-    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     found = scratch.keep(found, "pieces")
+    salts = max(LEAST_SALTS, -(-found.count() // PIECES_PER_SALT))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     by_salt = scratch.keep(found.groupBy("class", "salt").count(), "classes")
     seen = sorted((r["class"], r["n"]) for r in by_salt.groupBy("class").agg(F.sum("count").alias("n")).collect())
     places, base, slot = [], 0, {c: 0 for c, _ in seen}
     if seen:
         classes = np.array([c for c, _ in seen])
         used, _ = cutting_stock(classes, np.array([n for _, n in seen], float), capacity // GRAIN)
-        for column, times in used:
+        for column, use in used:
             for i in np.flatnonzero(column):
                 c, n = int(classes[i]), int(column[i])
-                places.append((c, slot[c], slot[c] + n * times, n, base))
-                slot[c] += n * times
-            base += times
+                places.append((c, slot[c], slot[c] + n * use, n, base))
+                slot[c] += n * use
+            base += use
     places = spark.createDataFrame(places, "class int, low long, high long, each long, base long")
     before = by_salt.selectExpr("class", "salt", "sum(count) OVER (PARTITION BY class ORDER BY salt) - count AS before")
     order = "OVER (PARTITION BY class, salt ORDER BY doc_id, start, doc_tokens, ids_crc32)"
