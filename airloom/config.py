@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 # Signals with unit and bounds.
@@ -158,3 +159,53 @@ def load_scenario(path: str) -> dict:
 
 # Fault kinds that a scenario may have.
 FAULT_KINDS = ("cooling_coil_fault", "stuck_damper_fault", "zone_temp_sensor_drift", "normal_operation")
+
+
+def split_csv(value: str) -> list[str]:
+    return [v for part in value.split(",") if (v := part.strip())]
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Limits and topics of the serving side; ``from_env`` reads them from environment variables."""
+
+    kafka_bootstrap_servers: str = "localhost:9092"
+    kafka_telemetry_topics: tuple[str, ...] = ("ahu.telemetry",)
+    kafka_window_topics: tuple[str, ...] = ("window_summaries",)
+    kafka_auto_offset_reset: str = "earliest"
+    kafka_consumer_group_prefix: str = "dashboard"
+    kafka_replay_on_startup: bool = False
+    telemetry_retention_mins: int = 30
+    windows_maxlen: int = 500
+    online_threshold_secs: int = 15
+    max_points: int = 2000
+    max_mins: int = 120
+    max_limit: int = 200
+    log_level: str = "INFO"
+    cors_origins: tuple[str, ...] = ("*",)
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str]) -> Settings:
+        """Each field from the variable of its name in capitals; an empty number or switch is the default."""
+        found = {}
+        for f in fields(cls):
+            raw = env.get(f.name.upper())
+            if raw is None or (raw.strip() == "" and not isinstance(f.default, (str, tuple))):
+                continue
+            if isinstance(f.default, bool):
+                found[f.name] = raw.strip().lower() in ("1", "true", "yes", "y", "on")
+            elif isinstance(f.default, int):
+                found[f.name] = int(raw)
+            elif isinstance(f.default, tuple):
+                found[f.name] = tuple(split_csv(raw))
+            else:
+                found[f.name] = raw
+        reset = found.get("kafka_auto_offset_reset", "earliest").strip().lower()
+        found["kafka_auto_offset_reset"] = reset if reset in ("earliest", "latest") else "earliest"
+        found["kafka_consumer_group_prefix"] = found.get("kafka_consumer_group_prefix", "").strip() or "dashboard"
+        return cls(**found)
+
+    def consumer_group(self, kind: str, started: int | None = None) -> str:
+        """A consumer group's name; a replay's has the time it was started, so it reads from the beginning."""
+        suffix = f"-{started}" if self.kafka_replay_on_startup and started is not None else ""
+        return f"{self.kafka_consumer_group_prefix}-{kind}{suffix}"

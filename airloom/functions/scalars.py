@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pandas as pd
@@ -79,10 +80,14 @@ def fixed(digits: int):
     return fmt
 
 
-@F.pandas_udf(StringType())
-def general4(x: pd.Series) -> pd.Series:
-    """Four significant digits without trailing zeros."""
-    return x.map(lambda v: None if v is None or pd.isna(v) else f"{float(v):.4g}").astype(object)
+def general(digits: int):
+    """So many significant digits without trailing zeros."""
+
+    @F.pandas_udf(StringType())
+    def fmt(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or pd.isna(v) else f"{float(v):.{digits}g}").astype(object)
+
+    return fmt
 
 
 def token_estimate(text: Column) -> Column:
@@ -94,36 +99,66 @@ def similarity(distance: Column) -> Column:
     return 1 / (1 + distance)
 
 
+def parsed_object(text: str | None) -> dict | None:
+    """The JSON object that a text is, or else the one that its first brace opens; None if that isn't valid."""
+    text = (text or "").strip()
+    if not text:
+        return None
+    try:
+        found = json.loads(text)
+    except ValueError:
+        try:
+            found, _ = json.JSONDecoder().raw_decode(text, text.index("{"))
+        except ValueError:
+            return None
+    return found if isinstance(found, dict) else None
+
+
 @F.pandas_udf(StringType())
 def first_json_object(x: pd.Series) -> pd.Series:
-    """The first balanced ``{...}`` of a text, with braces in strings left alone; null if there is none."""
-
-    def find(s):
-        at = s.find("{") if s else -1
-        while at >= 0:
-            depth, quoted, skip = 0, False, False
-            for i in range(at, len(s)):
-                c = s[i]
-                if skip:
-                    skip = False
-                elif quoted and c == "\\":
-                    skip = True
-                elif c == '"':
-                    quoted = not quoted
-                elif not quoted and c in "{}":
-                    depth += 1 if c == "{" else -1
-                    if not depth:
-                        return s[at : i + 1]
-            at = s.find("{", at + 1)
-        return None
+    """``parsed_object`` of each text as JSON with its keys in their order; null if there is none."""
+    show = lambda d: None if d is None else json.dumps(d, ensure_ascii=False)
+    return x.map(lambda t: show(parsed_object(t)) if isinstance(t, str) else None).astype(object)
+
 
-    return x.map(find).astype(object)
+def ticket_ref(ticket_id: Column, digits: int | Column = 4) -> Column:
+    """``TCK-`` and the first hex digits of the id's hash; ``operators.tickets.references`` widens those that meet."""
+    return F.concat(F.lit("TCK-"), F.upper(F.substring(F.sha1(ticket_id), F.lit(1), F.lit(digits))))
 
 
-def ticket_ref(ticket_id: Column) -> Column:
-    return F.concat(F.lit("TCK-"), F.upper(F.substring(F.sha1(ticket_id), 1, 4)))
+def is_window_evidence(c: Column) -> Column:
+    return c.contains("_300s_tumbling") | F.lower(c).startswith("window:")
+
+
+def is_chunk_evidence(c: Column) -> Column:
+    return c.contains("::chunk::")
+
+
+def is_case_evidence(c: Column) -> Column:
+    return c.contains("CASE")
 
 
 def evidence_kind(c: Column) -> Column:
-    s = F.lower(c)
-    return F.when(s.contains("::chunk::"), "chunk").when(s.contains("case"), "case").when(s.rlike(r"_\d{4}-\d{2}-\d{2}t"), "window").otherwise("other")
+    """window, chunk, case or other; an id that fits several tests has the first of them."""
+    kind = F.when(is_window_evidence(c), "window").when(is_chunk_evidence(c), "chunk")
+    return kind.when(is_case_evidence(c), "case").otherwise("other")
+
+
+def evidence_lists(ids: Column) -> Column:
+    """Struct of the distinct ids of each kind, in order; an id that fits several tests is in each of their lists."""
+    own = F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
+    other = lambda x: ~is_window_evidence(x) & ~is_chunk_evidence(x) & ~is_case_evidence(x)
+    tests = {"windows": is_window_evidence, "chunks": is_chunk_evidence, "cases": is_case_evidence, "other": other}
+    return F.struct(*[F.filter(own, test).alias(name) for name, test in tests.items()])
+
+
+def json_list(c: Column) -> Column:
+    """A list from JSON text, elements as texts; null, blank, other JSON and no JSON at all give the empty list."""
+    return F.coalesce(F.from_json(F.when(F.trim(c).startswith("["), c), "array<string>"), F.array().cast("array<string>"))
+
+
+def json_value(c: Column) -> Column:
+    """A JSON text's value in compact form, other text as a JSON string; null where there is none."""
+    own = F.nullif(F.trim(c), F.lit(""))
+    text = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    return F.when(own.isNotNull(), F.coalesce(F.to_json(F.try_parse_json(own)), text))

@@ -77,16 +77,36 @@ def streaks(present: DataFrame) -> DataFrame:
 
 
 def episodes(streaked: DataFrame, n_trigger: int = 2, k_clear: int = 3) -> DataFrame:
-    """Ticket episodes: opened at the n-th window seen in a row, resolved at the k-th clear one."""
+    """Ticket episodes: opened at the n-th window seen in a row, resolved at the k-th clear one.
+
+    Two more boolean columns may say more of a window: ``has_ticket`` (an open ticket is there already, so
+    the first window seen opens the episode) and ``busy`` (a diagnosis is under way, so resolution waits for
+    the first later clear window without one).
+    """
     w = Window.partitionBy("ahu_id", "fault").orderBy("i")
     until = w.rowsBetween(Window.unboundedPreceding, 0)
-    evt = F.when(F.col("s") & (F.col("rl") == n_trigger), "S").when(~F.col("s") & (F.col("rl") == k_clear), "C")
-    d = streaked.withColumn("evt", evt)
-    before = F.coalesce(F.last("evt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("C"))
-    d = d.withColumn("pe", before).withColumn("opened", F.coalesce((F.col("evt") == "S") & (F.col("pe") == "C"), F.lit(False))).withColumn("resolved", F.coalesce((F.col("evt") == "C") & (F.col("pe") == "S"), F.lit(False)))
-    d = d.withColumn("episode", F.sum(F.col("opened").cast("int")).over(until)).withColumn("ce", F.coalesce(F.last("evt", ignorenulls=True).over(until), F.lit("C")))
+    has = F.coalesce("has_ticket", F.lit(False)) if "has_ticket" in streaked.columns else F.lit(False)
+    busy = F.coalesce("busy", F.lit(False)) if "busy" in streaked.columns else F.lit(False)
+    opens = F.col("s") & ((F.col("rl") >= n_trigger) | has)
+    clears = ~F.col("s") & (F.col("rl") >= k_clear) & ~busy
+    d = streaked.withColumn("evt", F.when(opens, "S").when(clears, "C"))
+    earlier = F.last("evt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("pe", F.coalesce(earlier, F.lit("C")))
+    turned = lambda to, of: F.coalesce((F.col("evt") == to) & (F.col("pe") == of), F.lit(False))
+    d = d.withColumn("opened", turned("S", "C")).withColumn("resolved", turned("C", "S"))
+    d = d.withColumn("episode", F.sum(F.col("opened").cast("int")).over(until))
+    d = d.withColumn("ce", F.coalesce(F.last("evt", ignorenulls=True).over(until), F.lit("C")))
     d = d.where("episode > 0 AND (ce = 'S' OR resolved)")
-    return d.groupBy("ahu_id", "fault", "episode").agg(F.min(F.when(F.col("opened"), F.col("i"))).alias("opened_at"), F.min(F.when(F.col("resolved"), F.col("i"))).alias("resolved_at"), F.count_if(F.col("s") & (F.col("ce") == "S")).alias("occurrence_count"))
+    return d.groupBy("ahu_id", "fault", "episode").agg(
+        F.min(F.when(F.col("opened"), F.col("i"))).alias("opened_at"),
+        F.min(F.when(F.col("resolved"), F.col("i"))).alias("resolved_at"),
+        F.count_if(F.col("s") & (F.col("ce") == "S")).alias("occurrence_count"),
+    )
+
+
+def recent_union(windows: DataFrame) -> DataFrame:
+    """(ahu_id, fault, i, state): faults of a window and those known but not in it, as ``present`` and ``absent``."""
+    return presence(windows).withColumn("state", F.when(F.col("s"), "present").otherwise("absent")).drop("s")
 
 
 def recent_seen(present: DataFrame) -> DataFrame:

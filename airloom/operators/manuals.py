@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHORT_LINE, REPEATED_SHARE = 80, 0.5
 LEAST_WORDS = 30
 STRETCH = 4096
+LINE_END = "\r\n|\n|\r"
+# Chunk sizes and overlaps in tokens: by default, and the least and greatest size.
+CHUNK_TOKENS, OVERLAP_TOKENS = 800, 100
+LEAST_TOKENS, MOST_TOKENS = 300, 2000
+# Patterns and limits of headings.
+NUMBERED = r"^\d+(\.\d+){0,4}[\).:-]?\s+\S+"
+NAMED = r"^(section|chapter|appendix)\s+\w+"
+TITLE = r"^[A-Za-z0-9 ,:/()\-]+$"
+HEADING_CHARS, UPPER_SHARE, UPPER_WORDS, TITLE_SHARE, TITLE_WORDS = 120, 0.7, 12, 0.7, 10
+# Words of a heading (or text) that decide a chunk's type, in the order of the tests.
+PROCEDURE_WORDS = ("procedure", "steps", "startup", "shutdown")
+CHECKLIST_WORDS = ("checklist", "check list")
+DEFINITION_WORDS = ("definition", "glossary")
+EQUATION_WORDS = ("equation", "formula")
+EXAMPLE_WORDS = ("example", "case")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, line): lines that aren't blank, trimmed."""
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line_no", "line"))
+    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", LINE_END)).alias("line_no", "line"))
     return lines.withColumn("line", F.trim("line")).where("line <> ''")
 
 
@@ -43,24 +60,48 @@ def is_heading(line: Column) -> Column:
     words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
     letters, upper = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(r"\p{Lu}"))
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    numbered = s.rlike(r"^\d+(\.\d+){0,4}[\).:-]?\s+\S+")
-    named = F.lower(s).rlike(r"^(section|chapter|appendix)\s+\w+")
-    shout = (letters > 0) & (upper / F.greatest(letters, F.lit(1)) >= 0.7) & (F.size(words) <= 12)
-    title = (F.size(words) <= 10) & s.rlike(r"^[A-Za-z0-9 ,:/()\-]+$") & (capital / F.greatest(F.size(words), F.lit(1)) >= 0.7)
-    return (F.length(s) > 0) & (F.length(s) <= 120) & (numbered | named | shout | title)
+    shout = (letters > 0) & (upper / F.greatest(letters, F.lit(1)) >= UPPER_SHARE) & (F.size(words) <= UPPER_WORDS)
+    share = capital / F.greatest(F.size(words), F.lit(1))
+    title = (F.size(words) <= TITLE_WORDS) & s.rlike(TITLE) & (share >= TITLE_SHARE)
+    short = (F.length(s) > 0) & (F.length(s) <= HEADING_CHARS)
+    return short & (s.rlike(NUMBERED) | F.lower(s).rlike(NAMED) | shout | title)
 
 
-def sections(lines: DataFrame) -> DataFrame:
-    """(doc_id, section, heading, body) from ordered lines (doc_id, line_no, line).
+def text_sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(other columns, section, heading, body) of whole texts, folded inside each row: no exchange.
 
     A section starts at each heading; one without text goes, so a heading right after another takes
-    its place."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.where(F.trim("line") != "").withColumn("line", F.trim("line")).withColumn("h", is_heading(F.col("line")))
-    d = d.withColumn("section", F.sum(F.col("h").cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    out = d.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("h"), F.col("line"))), F.lit("")).alias("heading"), body.alias("body"))
-    return out.where("body <> ''")
+    its place.  ``section`` counts the headings up to it.
+    """
+    lines = F.filter(F.transform(F.split(text, LINE_END), F.trim), lambda x: x != "")
+    d = docs.withColumn("__lines", lines).where(F.size("__lines") > 0)
+    d = d.withColumn("__flags", F.transform("__lines", is_heading))
+    return _fold(d, [c for c in docs.columns if c != text])
+
+
+def _fold(d: DataFrame, kept: list[str]) -> DataFrame:
+    """Sections of rows with the arrays ``__lines`` and ``__flags``."""
+    n = F.size("__lines")
+    at = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("__flags", i))
+    d = d.withColumn("__at", at)
+    bounds = F.transform(
+        F.arrays_zip(F.concat(F.array(F.lit(0)), "__at").alias("a"), F.concat("__at", F.array(n + 1)).alias("b")),
+        lambda x, k: F.struct(k.cast("long").alias("section"), x["a"].alias("a"), x["b"].alias("b")),
+    )
+    body = lambda x: F.array_join(F.slice("__lines", x["a"] + 1, x["b"] - x["a"] - 1), "\n")
+    heading = lambda x: F.when(x["a"] > 0, F.try_element_at("__lines", x["a"])).otherwise("")
+    sections = F.transform(
+        bounds, lambda x: F.struct(x["section"].alias("section"), heading(x).alias("heading"), body(x).alias("body"))
+    )
+    return d.select(*kept, F.inline(F.filter(sections, lambda x: x["body"] != "")))
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    """(doc_id, section, heading, body) from numbered lines (doc_id, line_no, line), as of ``text_sections``."""
+    d = lines.where(F.trim("line") != "").withColumn("line", F.trim("line"))
+    d = d.withColumn("h", is_heading(F.col("line")))
+    d = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "h"))).alias("__rows"))
+    return _fold(d.withColumns({"__lines": F.col("__rows.line"), "__flags": F.col("__rows.h")}), ["doc_id"])
 
 
 def words_for(tokens: int) -> int:
@@ -81,29 +122,58 @@ def word_chunks(df: DataFrame, text: str, chunk_tokens: int, overlap_tokens: int
 def chunk_type(heading: Column, text: Column) -> Column:
     h, t = F.lower(F.coalesce(heading, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
     words = F.size(F.filter(F.split(h, r"\s+"), lambda w: w != ""))
+    has = lambda names: reduce(lambda a, b: a | b, [h.contains(x) for x in names])
+    toc = h.contains("table of contents") | (F.trim(h) == "contents") | (h.contains("contents") & (words <= 3))
     return (
-        F.when(h.contains("table of contents") | (F.trim(h) == "contents") | (h.contains("contents") & (words <= 3)), "toc")
+        F.when(toc, "toc")
         .when(h.contains("fault") & (h.contains("table") | t.contains("table")), "fault_table")
-        .when(h.contains("procedure") | h.contains("steps") | h.contains("startup") | h.contains("shutdown"), "procedure")
-        .when(h.contains("checklist") | h.contains("check list"), "checklist")
-        .when(h.contains("definition") | h.contains("glossary"), "definition")
-        .when(h.contains("equation") | h.contains("formula"), "equation")
-        .when(h.contains("example") | h.contains("case"), "case_example")
+        .when(has(PROCEDURE_WORDS), "procedure")
+        .when(has(CHECKLIST_WORDS), "checklist")
+        .when(has(DEFINITION_WORDS), "definition")
+        .when(has(EQUATION_WORDS), "equation")
+        .when(has(EXAMPLE_WORDS), "case_example")
         .when(t.rlike(r"\bprocedure\b") & t.rlike(r"\bstep\b"), "procedure")
         .otherwise("general_section")
     )
 
 
-def manual_chunks(lines: DataFrame, chunk_tokens: int = 850, overlap_tokens: int = 110) -> DataFrame:
-    """(id, doc_id, chunk, chunk_type): sections as they are if short, else in word windows; chunks under 30 words go."""
+def manual_chunks(
+    docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap_tokens: int = OVERLAP_TOKENS
+) -> DataFrame:
+    """(id, doc_id, section, chunk_no, chunk, chunk_type) from texts (doc_id, text) or numbered lines.
+
+    Short sections stay as they are, others are cut in word windows; chunks under 30 words go.
+    """
     from ..functions.scalars import token_estimate
 
-    s = sections(lines).withColumn("text", F.when(F.col("heading") != "", F.concat_ws("\n", "heading", "body")).otherwise(F.col("body")))
-    whole = s.where(token_estimate(F.col("text")) <= chunk_tokens).withColumn("chunk_no", F.lit(0)).withColumn("chunk", F.col("text"))
-    cut = word_chunks(s.where(token_estimate(F.col("text")) > chunk_tokens), "text", chunk_tokens, overlap_tokens)
-    out = whole.unionByName(cut).withColumn("chunk_type", chunk_type(F.col("heading"), F.col("chunk"))).where(F.regexp_count("chunk", F.lit(r"\S+")) >= LEAST_WORDS)
+    found = text_sections(docs.select("doc_id", "text")) if "text" in docs.columns else sections(docs)
+    both = F.when(F.col("heading") != "", F.concat_ws("\n", "heading", "body")).otherwise(F.col("body"))
+    s = found.withColumn("text", both).withColumn("__short", token_estimate(F.col("text")) <= chunk_tokens)
+    whole = s.where("__short").withColumn("chunk_no", F.lit(0)).withColumn("chunk", F.col("text"))
+    cut = word_chunks(s.where("NOT __short"), "text", chunk_tokens, overlap_tokens)
+    out = whole.unionByName(cut).withColumn("chunk_type", chunk_type(F.col("heading"), F.col("chunk")))
+    out = out.where(F.regexp_count("chunk", F.lit(r"\S+")) >= LEAST_WORDS)
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "chunk_no")) - 1
-    return out.select(F.concat(F.col("doc_id").cast("string"), F.lit("::chunk::"), i.cast("string")).alias("id"), "doc_id", "section", "chunk_no", "chunk", "chunk_type")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("::chunk::"), i.cast("string"))
+    return out.select(name.alias("id"), "doc_id", "section", "chunk_no", "chunk", "chunk_type")
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, corpus): a document's pages, white space made single, in order with one blank between."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = F.array_sort(F.collect_list(F.struct("page_no", flat.alias("text"))))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("corpus"))
+
+
+def chunk_positions(chunks: DataFrame, corpora: DataFrame) -> DataFrame:
+    """``chunks`` (doc_id, chunk, ...) with ``start`` and ``end`` in the document's joined text; null where not found."""
+    flat = F.trim(F.regexp_replace("chunk", r"\s+", " "))
+    at = F.when(F.col("__flat") != "", F.nullif(F.position(F.col("__flat"), F.col("corpus")), F.lit(0)))
+    d = chunks.withColumn("__flat", flat).join(corpora, "doc_id", "left").withColumn("__at", at)
+    return d.select(
+        *chunks.columns, (F.col("__at") - 1).cast("long").alias("start"),
+        (F.col("__at") - 1 + F.length("__flat")).cast("long").alias("end"),
+    )
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
@@ -125,9 +195,10 @@ def page_range(spans: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def bounded_chunk_params(size: Column, overlap: Column) -> tuple[Column, Column]:
-    """Recommended sizes within 300 and 2000 tokens; missing ones are 850 and 110."""
-    s = F.greatest(F.lit(300), F.least(F.lit(2000), F.coalesce(size.try_cast("int"), F.lit(850))))
-    return s, F.greatest(F.lit(0), F.least(s - 1, F.coalesce(overlap.try_cast("int"), F.lit(110))))
+    """Recommended sizes within the bounds; missing ones and texts that aren't numbers are the defaults."""
+    own = F.coalesce(size.try_cast("int"), F.lit(CHUNK_TOKENS))
+    s = F.greatest(F.lit(LEAST_TOKENS), F.least(F.lit(MOST_TOKENS), own))
+    return s, F.greatest(F.lit(0), F.least(s - 1, F.coalesce(overlap.try_cast("int"), F.lit(OVERLAP_TOKENS))))
 
 
 def attach_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:

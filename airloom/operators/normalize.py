@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -57,3 +57,24 @@ def with_required(df: DataFrame, *names: str) -> DataFrame:
     for n in names:
         df = df.where(F.trim(F.col(n).cast("string")) != "")
     return df
+
+
+def normalize_windows(df: DataFrame) -> DataFrame:
+    """Window summaries with an id, a unit, a signature and times that can be read; others are dropped."""
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    timed = to_timestamp(F.col("time.start")).isNotNull() & to_timestamp(F.col("time.end")).isNotNull()
+    return df.where(there("window_id") & there("signature") & F.col("ahu_id").isNotNull() & timed)
+
+
+def counted(df: DataFrame, valid: Column, name: str = "intake"):
+    """``df`` that counts its rows as they pass: consumed, indexed (those that are ``valid``) and skipped.
+
+    Returns the rows that are valid and the observation, whose ``get`` has the counts after an action; in a
+    stream they are in the progress reports under ``name``.
+    """
+    ok = F.coalesce(valid, F.lit(False))
+    counts = [F.count("*").alias("consumed"), F.count_if(ok).alias("indexed"), F.count_if(~ok).alias("skipped")]
+    if df.isStreaming:
+        return df.observe(name, *counts).where(ok), None
+    seen = Observation(name)
+    return df.observe(seen, *counts).where(ok), seen

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import compact_text, general4, severity_rank
+from ..functions.scalars import compact_text, general, to_timestamp
 
 #: The sides of a block of pairs.
 ROW_BLOCK, QUERY_BLOCK = 4_096, 2_048
@@ -89,10 +89,6 @@ def allowed_only(ids: Column, allowed: Column) -> Column:
     return F.filter(ids, lambda x: F.array_contains(allowed, x))
 
 
-def nearest_docs(docs: DataFrame, n: int = 12, clip: int = 1400) -> DataFrame:
-    return docs.orderBy(F.coalesce("distance", F.lit(1e9)), "doc_id").limit(n).withColumn("text", compact_text(F.col("text"), clip))
-
-
 def top_features(features: Column, n: int = 8) -> Column:
     return F.slice(F.array_sort(F.map_entries(features)), 1, n)
 
@@ -102,33 +98,149 @@ def history_id(df: DataFrame) -> Column:
     return F.coalesce(F.nullif(F.trim(F.col("window_id")), F.lit("")), F.sha1(key))
 
 
+def hypothesis_tokens(c: Column, kind: T.DataType) -> Column:
+    """Hypotheses as an array of names: from comma-separated text, a list of texts or maps, or a map's keys."""
+    blank = lambda x: x.isNotNull() & (x != "")
+    if isinstance(kind, T.StringType):
+        found = F.split(c, ",")
+    elif isinstance(kind, T.MapType):
+        found = F.map_keys(c).cast("array<string>")
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.MapType):
+        found = F.flatten(F.transform(F.filter(c, lambda m: m.isNotNull()), lambda m: F.map_keys(m)))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        names = F.array(*[F.lit(f.name) for f in kind.elementType.fields])
+        found = F.flatten(F.transform(c, lambda _: names))
+    else:
+        found = c.cast("array<string>")
+    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), F.trim), blank)
+
+
 def history_documents(summaries: DataFrame) -> DataFrame:
-    """(id, text, metadata): window summaries as searchable texts; blanks are left out of the metadata."""
-    hyp = F.flatten(F.transform("anomalies", lambda a: F.coalesce(a["fault_hypotheses"], F.array().cast("array<string>"))))
+    """(id, text, metadata): window summaries as searchable texts; blanks are left out of the metadata.
+
+    A severity counts only where it is a number.
+    """
+    kind = summaries.schema["anomalies"].dataType.elementType["fault_hypotheses"].dataType
+    hyp = F.flatten(F.transform("anomalies", lambda a: hypothesis_tokens(a["fault_hypotheses"], kind)))
     d = summaries.withColumn("__h", hyp).withColumn("__all", F.array_distinct("__h"))
     times = lambda t: F.size(F.filter(F.col("__h"), lambda x: x == t))
-    first = F.array_sort(F.transform("__all", lambda t: F.struct((-times(t)).alias("c"), F.array_position(F.col("__all"), t).alias("p"), t.alias("t"))))
+    place = lambda t: F.array_position(F.col("__all"), t)
+    first = F.array_sort(
+        F.transform("__all", lambda t: F.struct((-times(t)).alias("c"), place(t).alias("p"), t.alias("t")))
+    )
     d = d.withColumn("__primary", F.when(F.size("__all") > 0, F.try_element_at(first, F.lit(1))["t"]))
     d = d.withColumn("__f", top_features(F.col("features")))
+    four, six = general(4), general(6)
     for i in range(8):
-        d = d.withColumn(f"__f{i}", F.when(F.size("__f") > i, F.concat(F.try_element_at("__f", F.lit(i + 1))["key"], F.lit("="), general4(F.try_element_at("__f", F.lit(i + 1))["value"]))))
-    items = F.transform(F.slice("anomalies", 1, 5), lambda a: F.concat_ws(" ", a["rule_id"], F.concat(F.lit("msg="), compact_text(F.coalesce(a["message"], a["symptom"]), 80))))
+        at = F.try_element_at("__f", F.lit(i + 1))
+        shown = F.concat(at["key"], F.lit("="), four(at["value"]))
+        d = d.withColumn(f"__f{i}", F.when(F.size("__f") > i, shown))
+    number = lambda a: F.nullif(a["severity"].cast("string").try_cast("double"), F.lit(float("nan")))
+    d = d.withColumn("__sev", F.array_max(F.transform("anomalies", number)))
+    for i in range(5):
+        a = F.try_element_at("anomalies", F.lit(i + 1))
+        message = compact_text(F.coalesce(F.nullif(a["message"], F.lit("")), a["symptom"]), 80)
+        item = F.concat_ws(
+            " ",
+            F.nullif(F.trim(a["rule_id"]), F.lit("")),
+            F.concat(F.lit("sev="), six(number(a))),
+            F.when(message != "", F.concat(F.lit("msg="), message)),
+        )
+        d = d.withColumn(f"__a{i}", F.nullif(F.when(F.size("anomalies") > i, item), F.lit("")))
+    has_source = "provenance" in summaries.columns
+    source = F.trim(F.coalesce("provenance.config.sha256", F.lit(""))) if has_source else F.lit("")
+    blank = F.lit("")
+    unit, window, signed = (F.trim(F.coalesce(c, blank)) for c in ("ahu_id", "window_id", "signature"))
+    start, end = (F.trim(F.coalesce(f"time.{c}", blank)) for c in ("start", "end"))
+    incident = F.when(unit != "", F.concat(unit, F.lit("|"), F.col("__primary")))
+    rules = F.filter(F.transform("anomalies", lambda a: F.trim(a["rule_id"])), lambda r: r.isNotNull() & (r != ""))
+    # The labels of the lines and the names of the metadata.
     line = lambda name, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{name}: "), c))
-    head = F.concat(F.lit("WINDOW: ahu="), F.col("ahu_id"), F.lit(" window_id="), F.col("window_id"), F.lit(" signature="), F.col("signature"), F.lit(" start="), F.col("time.start"), F.lit(" end="), F.col("time.end"))
+    counts = ("sample_count", "missing_count", "late_count", "duplicate_count")
     text = F.concat_ws(
-        "\n", head, line("PRIMARY_HYPOTHESIS", F.col("__primary")), line("HYPOTHESES", F.array_join("__all", ", ")), line("INCIDENT_KEY", F.concat(F.col("ahu_id"), F.lit("|"), F.col("__primary"))),
-        line("SUMMARY", compact_text(F.col("text_summary"), 300)), F.concat(F.lit("ANOMALIES: "), F.coalesce(F.nullif(F.array_join(items, " | "), F.lit("")), F.lit("none"))),
+        "\n",
+        F.concat(
+            F.lit("WINDOW: ahu="), unit, F.lit(" window_id="), window, F.lit(" signature="), signed,
+            F.lit(" start="), start, F.lit(" end="), end,
+        ),
+        line("PRIMARY_HYPOTHESIS", F.col("__primary")),
+        line("HYPOTHESES", F.array_join("__all", ", ")),
+        line("INCIDENT_KEY", incident),
+        line("SUMMARY", compact_text(F.col("text_summary"), 300)),
+        F.concat(
+            F.lit("ANOMALIES: "),
+            F.coalesce(F.nullif(F.concat_ws(" | ", *[F.col(f"__a{i}") for i in range(5)]), blank), F.lit("none")),
+        ),
         line("FEATURES", F.concat_ws(", ", *[F.col(f"__f{i}") for i in range(8)])),
-        F.concat(F.lit("STATS: "), F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(f"stats.{c}").cast("string")) for c in ("sample_count", "missing_count", "late_count", "duplicate_count")])),
+        line("STATS", F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(f"stats.{c}").cast("string")) for c in counts])),
+        line("PROVENANCE", F.when(source != "", F.concat(F.lit("sha256="), source))),
+        line("MAX_SEVERITY", six("__sev")),
     )
+    seconds = lambda c: F.unix_timestamp(to_timestamp(c)).cast("string")
     meta = {
-        "ahu_id": F.col("ahu_id"), "window_id": F.col("window_id"), "signature": F.col("signature"), "start": F.col("time.start"), "end": F.col("time.end"), "fault_hypotheses": F.array_join("__all", ","), "primary_fault_hypothesis": F.col("__primary"),
-        "incident_key": F.concat(F.col("ahu_id"), F.lit("|"), F.col("__primary")), "rule_ids": F.array_join("anomalies.rule_id", ","), "max_severity": F.array_max(F.transform("anomalies", lambda a: severity_rank(a["severity"]))).cast("string"), "source": F.lit("window_history"),
-    }
-    metadata = F.map_filter(F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull() & (v != ""))
+        "ahu_id": unit,
+        "window_id": window,
+        "signature": signed,
+        "start": start,
+        "end": end,
+        "start_ts": seconds(start),
+        "end_ts": seconds(end),
+        "fault_hypotheses": F.array_join("__all", ","),
+        "primary_fault_hypothesis": F.col("__primary"),
+        "incident_key": incident,
+        "rule_ids": F.array_join(rules, ","),
+        "max_severity": six("__sev"),
+        **{c: F.col(f"stats.{c}").cast("string") for c in counts},
+        "feature_keys": F.array_join(F.transform("__f", lambda f: f["key"]), ","),
+        "provenance_sha256": source,
+        "source": F.lit("window_history"),
+    }
+    pairs = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)])
+    metadata = F.map_filter(pairs, lambda _, v: v.isNotNull() & (v != ""))
     return d.select(history_id(d).alias("id"), text.alias("text"), metadata.alias("metadata"))
 
 
+def case_documents(cases: DataFrame) -> DataFrame:
+    """(id, text, metadata): past cases as searchable texts; lists are joined by ``|``, missing fields are empty."""
+
+    def show(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    def listed(name: str) -> Column:
+        if name not in cases.columns:
+            return F.lit("")
+        is_list = isinstance(cases.schema[name].dataType, T.ArrayType)
+        return F.coalesce(F.array_join(F.col(name), "|"), F.lit("")) if is_list else show(F.col(name))
+
+    def own(name: str) -> Column:
+        return show(F.col(name)) if name in cases.columns else F.lit("")
+
+    has_pattern = "window_pattern" in cases.columns
+    inner = set(cases.schema["window_pattern"].dataType.names) if has_pattern else set()
+    pattern = lambda n: show(F.col(f"window_pattern.{n}")) if n in inner else F.lit("")
+    # The labels of the lines and the names of the metadata.
+    parts = [
+        ("CASE_ID: ", own("case_id")),
+        ("\nFAULT: ", own("fault_type")),
+        ("\nTITLE: ", own("fault_title")),
+        ("\nSYMPTOMS: ", listed("symptoms")),
+        ("\nWINDOW_PATTERN: persistence=", pattern("persistence_windows")),
+        (", severity=", pattern("severity")),
+        (", notes=", pattern("trend_notes")),
+        ("\nROOT_CAUSE: ", own("likely_root_cause")),
+        ("\nVERIFICATION: ", listed("verification_steps")),
+        ("\nRESOLUTION: ", listed("resolution_steps")),
+        ("\nEXPECTED_POST_FIX: ", listed("expected_post_fix_behavior")),
+        ("\nTAGS: ", listed("tags")),
+    ]
+    text = F.regexp_replace(F.concat(*[x for name, v in parts for x in (F.lit(name), v)]), r"^\s+|\s+$", "")
+    there = lambda n: F.col(n).cast("string") if n in cases.columns else F.lit(None).cast("string")
+    meta = {n: there(n) for n in ("case_id", "fault_type", "equipment_scope")}
+    meta |= {"tags": listed("tags"), "confidence": there("confidence"), "source": F.lit("past_case")}
+    metadata = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)])
+    return cases.select(F.col("case_id").cast("string").alias("id"), text.alias("text"), metadata.alias("metadata"))
+
+
 def upsert_documents(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Last write wins."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

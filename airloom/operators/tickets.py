@@ -7,13 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ticket_ref
+from ..functions.scalars import json_list, json_value, ticket_ref
 
 # States, sort columns, columns that a patch can't change, and an insert's defaults.
 STATES = {"lifecycle_status": ("OPEN", "RESOLVED"), "diagnosis_status": ("DRAFT", "DIAGNOSING", "DIAGNOSED", "FAILED"), "review_status": ("NONE", "APPROVED", "REJECTED")}
 SORTS = ("updated_at", "created_at", "last_seen_at", "diagnosed_at", "resolved_at", "confidence", "ticket_ref")
 IMMUTABLE = ("ticket_id", "ticket_ref", "incident_key", "created_at")
-DEFAULTS = {"lifecycle_status": "OPEN", "diagnosis_status": "DRAFT", "review_status": "NONE", "occurrence_count": 0}
+DEFAULTS = {
+    "lifecycle_status": "OPEN",
+    "diagnosis_status": "DRAFT",
+    "review_status": "NONE",
+    "occurrence_count": 0,
+    "window_refs": "[]",
+    "signatures_seen": "[]",
+    "evidence_ids": "[]",
+}
+# Fixed value: hex digits of a reference, as long as no other ticket has them.
+REFERENCE_DIGITS = 4
+LISTS = ("evidence_ids", "window_refs", "signatures_seen")
 SEARCHED = ("ticket_ref", "ticket_id", "detected_fault_type", "diagnosis_title")
 
 
@@ -58,36 +69,84 @@ def metrics(df: DataFrame, high_confidence: float = 0.6) -> DataFrame:
     )
 
 
-def upsert(tickets: DataFrame, patches: DataFrame, now: str, sequence: str = "seq") -> DataFrame:
+def references(new: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """(ticket_id, ticket_ref) of new tickets: the least digits of the id's hash that no other ticket has.
+
+    New tickets that share digits all get more; references in ``taken`` (ticket_ref) stay with their tickets.
+    """
+    widths = F.array(*[F.lit(n) for n in (*range(REFERENCE_DIGITS, 13), 16, 40)])
+    wide = new.select("ticket_id").distinct().select("ticket_id", F.explode(widths).alias("n"))
+    wide = wide.withColumn("ticket_ref", ticket_ref(F.col("ticket_id"), F.col("n")))
+    once = wide.groupBy("ticket_ref").agg(
+        F.count("*").alias("c"), F.min("ticket_id").alias("ticket_id"), F.min("n").alias("n")
+    )
+    free = once.where("c = 1")
+    if taken is not None:
+        free = free.join(taken.select("ticket_ref").distinct(), "ticket_ref", "left_anti")
+    return free.groupBy("ticket_id").agg(F.min_by("ticket_ref", "n").alias("ticket_ref"))
+
+
+def upsert(tickets: DataFrame, patches: DataFrame, now: str, sequence: str = "seq", incomplete: str = "raise") -> DataFrame:
     """Tickets after patches: a null keeps what is there, the last non-null of a ticket's patches wins.
 
-    A ticket's identity and creation stay; a new one needs a unit and a fault and gets the defaults."""
+    A ticket's identity and creation stay; a new one needs a unit and a fault and gets the defaults and a
+    reference of its own.  One without them is an error when the result is computed, or with ``incomplete``
+    "leave out" goes.  Unknown states are errors too.
+    """
     fields = [c for c in patches.columns if c not in ("ticket_id", sequence)]
-    w = Window.partitionBy("ticket_id").orderBy(sequence).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = patches.select("ticket_id", F.row_number().over(Window.partitionBy("ticket_id").orderBy(sequence)).alias("__n"), *[F.last(c, ignorenulls=True).over(w).alias(f"__{c}") for c in fields])
+    w = Window.partitionBy("ticket_id").orderBy(sequence)
+    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = [F.last(c, ignorenulls=True).over(all_rows).alias(f"__{c}") for c in fields]
+    last = patches.select("ticket_id", F.row_number().over(w).alias("__n"), *lasts)
     last = last.where("__n = 1").drop("__n").withColumn("__patch", F.lit(True))
     both = tickets.withColumn("__old", F.lit(True)).join(last, "ticket_id", "full")
     old, patched = F.col("__old").isNotNull(), F.col("__patch").isNotNull()
-    both = both.where(old | (F.col("__ahu_id").isNotNull() & F.col("__detected_fault_type").isNotNull()))
+    needed = [F.coalesce(F.trim(f"__{c}"), F.lit("")) != "" for c in ("ahu_id", "detected_fault_type") if c in fields]
+    whole = needed[0] & needed[1] if len(needed) == 2 else F.lit(False)
+    if incomplete == "raise":
+        message = F.concat(F.lit("a new ticket needs ahu_id and detected_fault_type: "), F.col("ticket_id"))
+        both = both.where(F.when(old | whole, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    else:
+        both = both.where(old | whole)
+    if "ticket_ref" in tickets.columns:
+        fresh = last.join(tickets.select("ticket_id"), "ticket_id", "left_anti")
+        named = references(fresh, tickets).withColumnRenamed("ticket_ref", "__new_ref")
+        both = both.join(named, "ticket_id", "left")
+    created = F.coalesce("__created_at", F.lit(now)) if "created_at" in fields else F.lit(now)
     out = []
     for c in tickets.columns:
         new = F.col(f"__{c}") if c in fields else F.lit(None)
+        if c in STATES and c in fields:
+            known = new.isNull() | new.isin(*STATES[c])
+            new = F.when(known, new).otherwise(F.raise_error(F.concat(F.lit(f"{c}: "), new)).cast("string"))
+        kept = F.when(old, F.col(c))
         if c == "ticket_id":
             out.append(F.col(c))
         elif c == "updated_at":
-            out.append(F.when(patched, F.lit(now)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(old & patched, F.lit(now)).when(old, F.col(c)).otherwise(F.coalesce(new, created)).alias(c))
         elif c == "created_at":
-            out.append(F.when(old, F.col(c)).otherwise(F.lit(now)).alias(c))
+            out.append(F.when(old, F.col(c)).otherwise(created).alias(c))
         elif c == "ticket_ref":
-            out.append(F.when(old, F.col(c)).otherwise(ticket_ref(F.col("ticket_id"))).alias(c))
+            out.append(F.when(old, F.col(c)).otherwise(F.coalesce(new, F.col("__new_ref"))).alias(c))
         elif c == "incident_key":
-            out.append(F.when(old, F.col(c)).otherwise(F.concat_ws("|", "__ahu_id", "__detected_fault_type")).alias(c))
+            key = F.concat_ws("|", "__ahu_id", "__detected_fault_type") if len(needed) == 2 else F.lit(None)
+            out.append(F.when(old, F.col(c)).otherwise(F.coalesce(new, key)).alias(c))
+        elif c == "last_seen_at":
+            out.append(F.coalesce(new, kept, F.when(~old, created)).alias(c))
+        elif c in DEFAULTS:
+            out.append(F.coalesce(new, kept, F.when(~old, F.lit(DEFAULTS[c]))).alias(c))
         else:
-            base = F.coalesce(new, F.when(old, F.col(c)), F.lit(DEFAULTS[c])) if c in DEFAULTS else F.coalesce(new, F.when(old, F.col(c)))
-            out.append(base.alias(c))
+            out.append(F.coalesce(new, kept).alias(c))
     return both.select(*out)
 
 
+def api_rows(tickets: DataFrame) -> DataFrame:
+    """Tickets as the API gives them: lists from JSON text, recommended actions as any JSON value (in compact text)."""
+    lists = {c: json_list(F.col(c)) for c in LISTS if c in tickets.columns}
+    value = {c: json_value(F.col(c)) for c in ("recommended_actions",) if c in tickets.columns}
+    return tickets.withColumns(lists | value) if lists or value else tickets
+
+
 def review(tickets: DataFrame, ticket_id: str, status: str, notes: str | None, now: str) -> DataFrame:
     if status not in STATES["review_status"]:
         raise ValueError(f"review_status: {status}")

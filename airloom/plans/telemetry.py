@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config, Windowing
 from ..functions import scalars as S
 from ..operators import diagnosis, gating, incidents, live, ordering, retrieval, rules, summary, windows
-from ..sources.adapter import TELEMETRY_SQL, telemetry
+from ..sources.adapter import TELEMETRY_SQL, read, telemetry
 
 SIZE = 21_600
 _base = Config()
@@ -254,9 +254,25 @@ def q22_effective_magnitude(spark, sf):
     return e.select("event_id", F.round(gating.effective_magnitude(F.col("magnitude"), F.col("ramp_minutes"), (F.unix_micros("timestamp") - F.unix_micros("episode_start")) / 1e6), 6).alias("m"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'x1', false), ('a', 'x2', true), ('a', 'x3', false), ('b', 'y1', false), ('b', 'y2', false)) AS t(scenario, episode_id, \"overlaps\")")
+_SPAN = "o_orderkey % 400"
+
+
+@query(
+    f"WITH e AS (SELECT (o_custkey % 97)::VARCHAR AS scenario, o_orderkey::VARCHAR AS episode_id, "
+    f"datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS a, datediff('day', DATE '1990-01-01', o_orderdate::DATE) "
+    f"+ {_SPAN} AS b FROM orders) SELECT scenario, episode_id, coalesce(a < lag(b) OVER (PARTITION BY scenario "
+    f'ORDER BY a, episode_id), false) AS "overlaps" FROM e'
+)
 def q23_episode_overlap(spark, sf):
-    d = spark.createDataFrame([("a", "x1", 0, 10), ("a", "x2", 5, 12), ("a", "x3", 12, 14), ("b", "y1", 0, 3), ("b", "y2", 3, 4)], "scenario string, episode_id string, episode_start int, episode_end int")
+    """Orders as episodes of so many days, in scenarios by customer."""
+    o = read(spark, sf, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    d = o.select(
+        (F.col("o_custkey") % 97).cast("string").alias("scenario"),
+        F.col("o_orderkey").cast("string").alias("episode_id"),
+        day.alias("episode_start"),
+        (day + F.expr(_SPAN)).alias("episode_end"),
+    )
     return gating.overlaps(d).select("scenario", "episode_id", "overlaps")
 
 
@@ -275,7 +291,7 @@ def q25_last_n(spark, sf):
 
 @query(f"WITH {TELEMETRY_SQL}, d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, row_number() OVER (PARTITION BY ahu_id ORDER BY ts, event_id) AS i FROM tel WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT ahu_id, event_id, sa_temp FROM d WHERE (i - 1) % (CASE WHEN n <= 100 THEN 1 ELSE ceil(n / 100.0)::BIGINT END) = 0 OR i = n")
 def q26_range_downsample(spark, sf):
-    t = telemetry(spark, sf).where(F.col("timestamp").between("2024-01-05", "2024-01-20"))
+    t = live.in_range(telemetry(spark, sf), "timestamp", "2024-01-05", "2024-01-20")
     return live.downsample(t, "ahu_id", ["timestamp", "event_id"], 100).select("ahu_id", "event_id", "sa_temp")
 
 
@@ -341,9 +357,9 @@ def q34_recent_windows(spark, sf):
     return incidents.recent_seen(_present(spark, sf)).select("ahu_id", "fault", F.col("i").cast("long"), F.array_join(F.col("recent").cast("array<string>"), ",").alias("recent"))
 
 
-@query(f"WITH {SUMM_SQL}, {TELEMETRY_SQL.replace('tel AS', 'tel2 AS', 1)} SELECT DISTINCT ahu_id FROM (SELECT ahu_id FROM tel2 WHERE event_id % 2 = 0 UNION SELECT ahu_id FROM summ)")
+@query(f"WITH {SUMM_SQL}, {TELEMETRY_SQL.replace('tel AS', 'tel2 AS', 1)} SELECT DISTINCT ahu_id FROM (SELECT ahu_id FROM tel2 UNION SELECT ahu_id FROM summ)")
 def q40_unit_union(spark, sf):
-    return telemetry(spark, sf).where("event_id % 2 = 0").select("ahu_id").union(_summ(spark, sf).select("ahu_id")).distinct()
+    return live.units(telemetry(spark, sf), _summ(spark, sf))
 
 
 @query(f"WITH {SUMM_SQL}, x AS (SELECT ahu_id, unnest(rl) AS id FROM summ), c AS (SELECT ahu_id, id, count(*) AS c FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, id) AS rn FROM c) SELECT ahu_id, string_agg(id, ',' ORDER BY rn) AS top_rules FROM r WHERE rn <= 5 GROUP BY 1")
@@ -358,20 +374,60 @@ def q42_primary_hypothesis(spark, sf):
     return incidents.primary_hypothesis(s, "window_id", "tokens").select("window_id", "primary", F.array_join("all", ",").alias("all"))
 
 
-@query()
+_TEXT_SQL = f"""'AHU ' || ahu_id || ' window ' || t0 || '–' || t1 || ': ' || coalesce(nullif(concat_ws(', ', {_hl}), ''), 'no feature highlights')
+  || '. anomalies=' || coalesce(nullif(array_to_string(list_sort(rl), ','), ''), 'none') || '. signature=' || signature"""
+_features = sorted([f"{s}_{k}" for s in CFG.signals for k in windows.STATS] + list(CFG.cross))
+_pairs = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {{'k': '{n}', 'v': round({n} + 1e-9, 6)}} END" for n in _features)
+_msg = "CASE r " + " ".join(f"WHEN '{k}' THEN '{r.message}'" for k, r in CFG.rules.items()) + " END"
+_HIST = f"""{SUMM_SQL}, t AS (SELECT *, {_TEXT_SQL} AS ts, list_filter([{_pairs}], lambda x: x IS NOT NULL)[1:8] AS fs FROM summ),
+hy AS (SELECT window_id, unnest(list_transform(rl, lambda r: {_hyp})) AS h, unnest(range(len(rl))) AS p FROM summ),
+hc AS (SELECT window_id, h, count(*) AS c, min(p) AS f FROM hy GROUP BY 1, 2),
+hp AS (SELECT window_id, first(h ORDER BY c DESC, f) AS prim, string_agg(h, ', ' ORDER BY f) AS al FROM hc GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_HIST} SELECT t.window_id AS id, 'WINDOW: ahu=' || ahu_id || ' window_id=' || t.window_id || ' signature=' || signature
+  || ' start=' || t0 || ' end=' || t1 || coalesce(chr(10) || 'PRIMARY_HYPOTHESIS: ' || prim || chr(10) || 'HYPOTHESES: ' || al || chr(10)
+  || 'INCIDENT_KEY: ' || ahu_id || '|' || prim, '') || chr(10) || 'SUMMARY: ' || CASE WHEN length(ts) > 300 THEN ts[1:297] || '...' ELSE ts END
+  || chr(10) || 'ANOMALIES: ' || coalesce(nullif(array_to_string(list_transform(rl[1:5], lambda r: r || ' msg=' || {_msg}), ' | '), ''), 'none')
+  || CASE WHEN len(fs) > 0 THEN chr(10) || 'FEATURES: ' || array_to_string(list_transform(fs, lambda x: x.k || '=' || printf('%.4g', x.v)), ', ') ELSE '' END
+  || chr(10) || 'STATS: sample_count=' || sample_count || ', missing_count=' || missing_count || ', late_count=0, duplicate_count=0'
+  || chr(10) || 'PROVENANCE: sha256=c0ffee' AS text,
+  start_s::VARCHAR AS start_ts, (start_s + {SIZE})::VARCHAR AS end_ts, replace(al, ', ', ',') AS hypotheses, ahu_id || '|' || prim AS incident_key,
+  nullif(array_to_string(rl, ','), '') AS rule_ids, nullif(array_to_string(list_transform(fs, lambda x: x.k), ','), '') AS feature_keys,
+  CAST(13 + CASE WHEN prim IS NULL THEN 0 ELSE 3 END + CASE WHEN len(rl) > 0 THEN 1 ELSE 0 END + CASE WHEN len(fs) > 0 THEN 1 ELSE 0 END AS INT) AS n
+  FROM t LEFT JOIN hp ON hp.window_id = t.window_id"""
+)
 def q43_history_doc(spark, sf):
-    return retrieval.history_documents(_summ(spark, sf)).withColumn("metadata", F.to_json("metadata"))
+    s = summary.summaries(_anom(spark, sf), CFG, "c0ffee")
+    d = retrieval.history_documents(s.withColumn("features", F.transform_values("features", lambda _, v: F.round(v + 1e-9, 6))))
+    m = F.col("metadata")
+    keys = {"hypotheses": "fault_hypotheses", **{k: k for k in ("start_ts", "end_ts", "incident_key", "rule_ids", "feature_keys")}}
+    return d.select("id", "text", *[m[v].alias(k) for k, v in keys.items()], F.size("metadata").alias("n"))
 
 
-_dx = " ".join(f"WHEN '{f}' THEN '{t}'" for f, t, _, _ in diagnosis.LOOKUP[:-1])
-_cf = " ".join(f"WHEN '{f}' THEN (CASE WHEN stage = 1 THEN {a} ELSE {b} END)" for f, _, a, b in diagnosis.LOOKUP[:-1])
+def _by_fault(place: int, other) -> str:
+    """The SQL value of a fault's entry."""
+    return "CASE fault " + " ".join(f"WHEN '{r[0]}' THEN {other(r[place])}" for r in diagnosis.LOOKUP[:-1]) + f" ELSE {other(diagnosis.LOOKUP[-1][place])} END"
 
 
-@query(f"WITH {_FAULTS}, x AS (SELECT window_id, unnest(faults) AS fault, CASE WHEN i % 2 = 0 THEN 1 ELSE 2 END AS stage FROM fl) SELECT window_id, fault, CASE fault {_dx} ELSE 'Unknown fault' END AS title, CAST(CASE fault {_cf} ELSE 0.4 END AS DOUBLE) AS confidence, CAST(CASE fault {_cf} ELSE 0.4 END AS DOUBLE) < 0.5 OR len(fault) % 2 = 0 AS refine FROM x")
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+_joined = lambda xs: _quoted("; ".join(xs))
+_number = lambda x: f"{x}::DOUBLE"
+
+
+@query(
+    f"""WITH {_FAULTS}, x AS (SELECT window_id, unnest(faults) AS fault, missing_count = 0 AS covered FROM fl),
+y AS (SELECT *, ({_by_fault(3, _number)} < 0.85 OR NOT covered) AS again FROM x)
+SELECT window_id, fault, {_by_fault(1, _quoted)} AS title, {_by_fault(2, _quoted)} AS root_cause, CASE WHEN again THEN {_by_fault(4, _number)} ELSE {_by_fault(3, _number)} END AS confidence,
+  {_by_fault(5, _joined)} AS actions, {_by_fault(6, _joined)} AS evidence, CASE WHEN again THEN 2 ELSE 1 END AS stage, CASE WHEN again THEN 2 ELSE 1 END AS reasoner_calls FROM y"""
+)
 def q53_mock_diagnosis(spark, sf):
-    s = _summ(spark, sf).select("window_id", incidents.fault_types(F.col("anomalies")).alias("faults"), F.row_number().over(Window.partitionBy("ahu_id").orderBy("time.start")).alias("i"))
-    d = diagnosis.diagnose(s.select("window_id", F.explode("faults").alias("fault"), F.when(F.col("i") % 2 == 0, 1).otherwise(2).alias("stage")))
-    return d.select("window_id", "fault", "title", "confidence", diagnosis.needs_refinement(F.col("confidence"), F.lit(True), F.length("fault") % 2 == 0).alias("refine"))
+    """Both stages; a window without missing values counts as covered."""
+    s = _summ(spark, sf).select("window_id", incidents.fault_types(F.col("anomalies")).alias("faults"), (F.col("stats.missing_count") == 0).alias("coverage_ok"))
+    d = diagnosis.two_stages(s.select("window_id", F.explode("faults").alias("fault"), "coverage_ok"))
+    lists = [F.array_join("recommended_actions", "; ").alias("actions"), F.array_join("evidence_ids", "; ").alias("evidence")]
+    return d.select("window_id", "fault", "title", "root_cause", "confidence", *lists, "stage", "reasoner_calls")
 
 
 @query(f"WITH {SUMM_SQL} SELECT window_id, printf('%.2f', cc_valve_mean)::DOUBLE AS valve, array_to_string(list_sort(rl), ',') AS rules, signature FROM summ")
@@ -384,14 +440,11 @@ def q56_ui_extract(spark, sf):
 @query()
 def st_window_summaries(spark, sf):
     """The streaming form over the events table as a file stream, up to the last window that the watermark closes."""
-    import tempfile
-    import uuid
-
     from ..sources.adapter import TELEMETRY
+    from ..staging import new_path
     from ..streaming import telemetry as streaming
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    at = f"{root}/airloom-stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/event[s].parquet")
     raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
     events = raw.selectExpr("event_id", "CAST(user_id % 8 AS STRING) AS ahu_id", "ts AS timestamp", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS timestamp_text", *[f"{x} AS {n}" for n, x in TELEMETRY.items()])

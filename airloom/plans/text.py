@@ -30,7 +30,7 @@ def _queries(spark, sf) -> DataFrame:
 
 def _knn(where: str, k: int) -> str:
     return f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(e.v, e.v)) AS distance FROM e JOIN e q ON q.vec_id < 16 WHERE {where}),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, 1 - list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(e.v, e.v)) AS distance FROM e JOIN e q ON q.vec_id % 20 = 0 WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank FROM p), h AS (SELECT * FROM r WHERE rank <= {k})"""
 
 
@@ -51,7 +51,7 @@ def q46_retrieval_stats(spark, sf) -> DataFrame:
     return retrieval.retrieval_stats(h).withColumns({c: F.round(c, 6) for c in ("min_distance", "avg_distance")})
 
 
-@query("WITH a AS (SELECT vec_id, label, 0 AS src, vec_id AS pos FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label, 1, 100000 - vec_id FROM embeddings WHERE vec_id % 2 = 0) SELECT vec_id, label, src, pos FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY src, pos) AS n FROM a) WHERE n = 1")
+@query("WITH a AS (SELECT vec_id, label, 0 AS src, vec_id AS pos FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label, 1, 100000 - vec_id FROM embeddings) SELECT vec_id, label, src, pos FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY src, pos) AS n FROM a) WHERE n = 1")
 def q47_merge_docs(spark, sf) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "label")
     return retrieval.merge_hits([e.where("vec_id % 3 = 0").withColumn("pos", F.col("vec_id")), e.withColumn("pos", 100000 - F.col("vec_id"))], ["vec_id", "label"])
@@ -74,14 +74,9 @@ _SECT = f"""{_PAGES}, dl AS (SELECT doc_id, unnest(range(len(x))) AS line_no, tr
 hd AS (SELECT *, {_HEAD} AS h FROM dl WHERE s <> ''), sc AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM hd)"""
 
 
-def _doc_lines(spark, sf) -> DataFrame:
-    d = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line_no", "line"))
-    return d
-
-
 @query(f"WITH {_SECT} SELECT doc_id, section::BIGINT AS section, coalesce(max(s) FILTER (WHERE h), '') AS heading, string_agg(s, chr(10) ORDER BY line_no) FILTER (WHERE NOT h) AS body FROM sc GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT h) > 0")
 def q49_headings_sections(spark, sf) -> DataFrame:
-    return manuals.sections(_doc_lines(spark, sf))
+    return manuals.text_sections(read(spark, sf, "documents").select("doc_id", "text"))
 
 
 _size, _stride = manuals.words_for(300), manuals.words_for(300) - manuals.words_for(110)
@@ -108,7 +103,7 @@ def q51_chunk_type(spark, sf) -> DataFrame:
 
 
 _SPANS = f"""{_PAGES}, sp AS (SELECT doc_id, page_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM pg), ps AS (SELECT doc_id, page_no, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, length(t) AS n FROM sp),
-pc AS (SELECT doc_id, unnest(range(0, 40)) AS piece FROM pg GROUP BY doc_id), pp AS (SELECT doc_id, piece, piece * 2500 AS s, piece * 2500 + 3000 AS e FROM pc)"""
+pc AS (SELECT doc_id, unnest(range(0, ceil(max(a + n) / 2500.0)::BIGINT)) AS piece FROM ps GROUP BY doc_id), pp AS (SELECT doc_id, piece, piece * 2500 AS s, piece * 2500 + 3000 AS e FROM pc)"""
 
 
 @query(f"WITH {_SPANS} SELECT pp.doc_id, piece::INT AS piece, min(page_no) AS first_page, max(page_no) AS last_page FROM pp JOIN ps ON pp.doc_id = ps.doc_id AND a + n > s AND a < e GROUP BY 1, 2")
@@ -126,7 +121,7 @@ def q54_html_text_norm(spark, sf) -> DataFrame:
     return p.select("page_id", F.md5(manuals.normal_space(F.regexp_replace("html", "<[^>]*>", " "))).alias("text"))
 
 
-@query("SELECT event_id, 'u' || user_id::VARCHAR AS unit, event_type AS kind FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, 'u' || user_id::VARCHAR AS unit, event_type AS kind FROM events")
 def q55_kv_line_parse(spark, sf) -> DataFrame:
     from ..sources.readers import kv_line
 

@@ -49,7 +49,7 @@ def q37_ticket_upsert(spark, sf) -> DataFrame:
     a = o.where("o_orderkey % 10 = 0").selectExpr("concat('t', o_orderkey) AS ticket_id", "1 AS seq", "CASE WHEN o_orderkey % 2 = 0 THEN 'RESOLVED' END AS lifecycle_status", "0.9D AS confidence", "'9' AS ahu_id", f"{null} AS detected_fault_type")
     b = o.where("o_orderkey % 20 = 0").selectExpr("concat('t', o_orderkey)", "2", null, "CASE WHEN o_orderkey % 4 = 0 THEN 0.4D END", null, null)
     c = o.where("o_orderkey % 50 = 0").selectExpr("concat('n', o_orderkey)", "3", null, "0.2D", "'3'", "CASE WHEN o_orderkey % 3 = 0 THEN 'X' END")
-    out = T.upsert(tickets(spark, sf), a.union(b).union(c), "2025-01-01")
+    out = T.upsert(tickets(spark, sf), a.union(b).union(c), "2025-01-01", incomplete="leave out")
     return out.select("ticket_id", "incident_key", "lifecycle_status", "confidence", "ahu_id", "created_at", "updated_at", "occurrence_count")
 
 

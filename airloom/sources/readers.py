@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import Config
+from ..operators.normalize import normalize_events
+
 # Fields of a window summary.
 SUMMARY_SCHEMA = (
     "window_id string, ahu_id string, time struct<start:string,end:string,window_type:string,window_size_sec:int,step_sec:int>, stats struct<sample_count:bigint,missing_count:bigint,duplicate_count:bigint,late_count:bigint>, "
@@ -13,12 +16,34 @@ SUMMARY_SCHEMA = (
 )
 
 
-def csv_events(spark: SparkSession, path: str, required: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """Telemetry CSV with a header, all columns as text."""
+def csv_events(
+    spark: SparkSession, path: str, required: tuple[str, ...] = ("timestamp",), typed: Config | None = None
+) -> DataFrame:
+    """Telemetry CSV with a header, all columns as text; ``typed`` gives times, units and signals of a vocabulary."""
     df = spark.read.option("header", True).csv(path)
     if missing := sorted(set(required) - set(df.columns)):
         raise ValueError(f"{path}: missing columns {missing}")
-    return df
+    return normalize_events(df, typed) if typed else df
+
+
+def inspect_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """(position, column, type, nullable, rows, nulls) of a parquet table, by one scan."""
+    df = spark.read.parquet(path)
+    nulls = F.array(*[F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns])
+    counts = df.agg(F.count("*").alias("rows"), nulls.alias("nulls"))
+    fields = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("type"),
+                F.lit(f.nullable).alias("nullable"),
+            )
+            for i, f in enumerate(df.schema.fields)
+        ]
+    )
+    rows = counts.select("rows", F.explode(F.arrays_zip(fields.alias("f"), F.col("nulls"))).alias("x"))
+    return rows.select("x.f.*", "rows", F.col("x.nulls").alias("nulls"))
 
 
 def jsonl_summaries(spark: SparkSession, path: str, strict: bool = False, most: int | None = None) -> DataFrame:

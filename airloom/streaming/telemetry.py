@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,13 +13,40 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import incidents, rules, summary, windows
-from ..operators.normalize import normalize_events, parse_json
+from ..operators.normalize import normalize_events, normalize_windows, parse_json
+from ..sources.readers import SUMMARY_SCHEMA
 
 
 def events_from_json(values: DataFrame, cfg: Config = Config()) -> DataFrame:
     return normalize_events(parse_json(values), cfg)
 
 
+def window_events(values: DataFrame, value: str = "value") -> DataFrame:
+    """Valid window summaries of a stream's (or table's) JSON values; others are dropped."""
+    parsed = F.from_json(F.col(value).cast("string"), SUMMARY_SCHEMA)
+    return normalize_windows(values.select(parsed.alias("w")).where("w IS NOT NULL").select("w.*"))
+
+
+def start(
+    df: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    interval_sec: float | None = None,
+    until_idle: bool = False,
+):
+    """Run a stream into a batch writer: every ``interval_sec`` at most, and with ``until_idle`` until it has caught up.
+
+    The position is committed after the writer has returned, and a batch that is repeated after a failure has
+    the same number, by which writers in ``sources.sinks`` know it.
+    """
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if until_idle:
+        w = w.trigger(availableNow=True)
+    elif interval_sec:
+        w = w.trigger(processingTime=f"{max(1, round(interval_sec * 1000))} milliseconds")
+    return w.start()
+
+
 def window_summaries(events: DataFrame, cfg: Config, horizon_sec: int | None = None) -> DataFrame:
     """Summaries of windows as the watermark closes them, with bounded state.
 
@@ -35,47 +63,46 @@ class WindowMachine:
 
     Duplicates pass the buffer and may move windows on; an event behind the open window is late and
     counts there; windows without events between others are closed too; ``flush`` ends the stream.
+    Closed windows come one by one, so that a jump in time needs no list of the empty ones.
     """
 
     def __init__(self, size_sec: int, horizon_sec: int):
         self.size, self.horizon = size_sec, horizon_sec
         self.seen: dict[str, int] = {}
-        self.buffer: list[tuple[int, int]] = []
+        self.buffer: list[tuple[int, int]] = []  # a heap
         self.newest: int | None = None
         self.open: int | None = None
         self.count = [0, 0, 0]
 
-    def push(self, ts: int, seq: int, key: str) -> list[tuple[int, int, int, int]]:
+    def push(self, ts: int, seq: int, key: str) -> Iterator[tuple[int, int, int, int]]:
         if key in self.seen:
-            return self._place(ts, duplicate=True)
+            yield from self._place(ts, duplicate=True)
+            return
         self.seen[key] = ts
-        self.buffer.append((ts, seq))
+        heapq.heappush(self.buffer, (ts, seq))
         self.newest = ts if self.newest is None else max(self.newest, ts)
-        mark = self.newest - self.horizon
-        ready = sorted(x for x in self.buffer if x[0] <= mark)
-        self.buffer = [x for x in self.buffer if x[0] > mark]
-        return [w for x in ready for w in self._place(x[0])]
-
-    def flush(self) -> list[tuple[int, int, int, int]]:
-        out = [w for x in sorted(self.buffer) for w in self._place(x[0])]
-        self.buffer = []
+        while self.buffer and self.buffer[0][0] <= self.newest - self.horizon:
+            yield from self._place(heapq.heappop(self.buffer)[0])
+
+    def flush(self) -> Iterator[tuple[int, int, int, int]]:
+        while self.buffer:
+            yield from self._place(heapq.heappop(self.buffer)[0])
         if self.open is not None and any(self.count):
-            out.append((self.open, *self.count))
+            yield (self.open, *self.count)
         self.open, self.count = None, [0, 0, 0]
-        return out
 
-    def _place(self, ts: int, duplicate: bool = False) -> list[tuple[int, int, int, int]]:
-        w, out = ts - ts % self.size, []
+    def _place(self, ts: int, duplicate: bool = False) -> Iterator[tuple[int, int, int, int]]:
+        w = ts - ts % self.size
         if self.open is None:
             self.open = w
         if w < self.open:
             self.count[2] += 1
-            return out
+            return
         while self.open < w:
-            out.append((self.open, *self.count))
+            closed = (self.open, *self.count)
             self.open, self.count = self.open + self.size, [0, 0, 0]
+            yield closed
         self.count[1 if duplicate else 0] += 1
-        return out
 
     def forget(self) -> None:
         """Drop keys too old for a window that is still open, which bounds the state."""
@@ -83,22 +110,32 @@ class WindowMachine:
             self.seen = {k: t for k, t in self.seen.items() if t >= self.open - self.horizon}
 
 
+#: Closed windows go on in frames of so many rows.
+ROWS_AT_ONCE = 50_000
+
+
 def account(events: DataFrame, size_sec: int, horizon_sec: int, bounded: bool = True) -> DataFrame:
     """(unit, window_s, sample_count, duplicate_count, late_count) of closed windows, with a watermark for each unit.
 
     Events have unit, ts_s, seq and key; a null ts_s ends the unit's stream.
     """
 
+    names = ["unit", "window_s", "sample_count", "duplicate_count", "late_count"]
+
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         m = pickle.loads(base64.b64decode(state.get[0])) if state.exists else WindowMachine(size_sec, horizon_sec)
         rows = pd.concat(list(pdfs)).sort_values("seq")
         out = []
         for ts, seq, k in zip(rows.ts_s, rows.seq, rows["key"]):
-            out += m.flush() if pd.isna(ts) else m.push(int(ts), int(seq), k)
+            for w in m.flush() if pd.isna(ts) else m.push(int(ts), int(seq), k):
+                out.append((key[0], *w))
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
         if bounded:
             m.forget()
         state.update((base64.b64encode(pickle.dumps(m)).decode(),))
-        yield pd.DataFrame([(key[0], *w) for w in out], columns=["unit", "window_s", "sample_count", "duplicate_count", "late_count"])
+        yield pd.DataFrame(out, columns=names)
 
     return events.groupBy("unit").applyInPandasWithState(step, "unit string, window_s long, sample_count long, duplicate_count long, late_count long", "machine string", "append", "NoTimeout")
 

@@ -79,7 +79,7 @@ def arrivals(seed, n=60):
 def test_batch_accounting_equals_the_machine(spark, seed):
     a = arrivals(seed)
     m = streaming.WindowMachine(20, 5)
-    want = [w for _, ts, seq, k in a for w in m.push(ts, seq, k)] + m.flush()
+    want = [w for _, ts, seq, k in a for w in m.push(ts, seq, k)] + list(m.flush())
     d = ordering.window_accounts(ordering.account(spark.createDataFrame(a, "unit string, ts_s long, seq long, key string"), 20, 5))
     got = {r.window_s: (r.sample_count, r.duplicate_count, r.late_count) for r in d.collect()}
     assert got == {w: tuple(c) for w, *c in want if any(c)}
@@ -93,7 +93,7 @@ def test_stream_accounting_and_summaries(spark, tmp_path):
     q = streaming.account(s, 20, 5, bounded=False).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination()
     m = streaming.WindowMachine(20, 5)
-    want = [w for _, ts, seq, k in a[:-1] for w in m.push(ts, seq, k)] + m.flush()
+    want = [w for _, ts, seq, k in a[:-1] for w in m.push(ts, seq, k)] + list(m.flush())
     assert rows(spark.read.parquet(str(tmp_path / "out")), "window_s", "sample_count", "duplicate_count", "late_count") == sorted(want)
 
 
@@ -141,7 +141,7 @@ def test_readers_and_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a=1 | b = x=y | note",)], "line string")
     assert d.select(readers.kv_line(F.col("line")).alias("m")).first().m == {"a": "1", "b": "x=y"}
     e = spark.createDataFrame([("1", "x"), ("2", "y")], "id string, v string")
-    write = sinks.collection_writer(str(tmp_path / "c"))
+    write = sinks.collection_writer(str(tmp_path / "c"))  # keys differ inside each batch
     write(e, 0)
     write(spark.createDataFrame([("2", "z"), ("3", "w")], "id string, v string"), 1)
     assert rows(sinks.read_collection(spark, str(tmp_path / "c")), "id", "v") == [("1", "x"), ("2", "z"), ("3", "w")]
