@@ -1,58 +1,17 @@
-"""Shared parts: staged tables in the checkpoint folder and connected components."""
+"""Shared parts: batches, memory and connected components."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_roots: dict[str, str] = {}
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="airloom-")
-    return _own_roots[app]
-
-
-class Scratch:
-    """Tables written to the checkpoint folder: they cut lineage and survive the loss of an executor.
-
-    ``keep`` writes a DataFrame and returns it read again; ``drop`` deletes what later steps no longer read.
-    A table that a returned DataFrame reads has to stay, so it is the caller who decides.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{checkpoint_root(self.spark)}/airloom-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path, _ = self.paths.pop(id(t), (None, None))
-            if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..staging import Scratch
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -80,9 +39,12 @@ def frugal(run):
 
 
 def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Smaller Arrow batches for operators that pass whole texts to Python, unless the session sets its own."""
+    """Smaller Arrow batches for operators that pass whole texts to Python, unless the session sets its own.
+
+    Results are computed after the operator returns, so the setting stays for the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(rows))
 
 

@@ -1,33 +1,31 @@
-"""Substring dedup: hashed lines, inside lines runs of hashed sentences, and runs of words wherever they start."""
+"""Substring dedup: hashed texts and lines, and runs of words wherever they start."""
+
+from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, release_memory, table, text_batches
+from .common import Scratch, frugal, release_memory, table, text_batches
 
-#: Lines of fewer words never count as copies.
-LINE_WORDS = 5
-#: Inside a line, consecutive copied sentences go if they have so many words together.
-RUN_WORDS = 25
-#: Shorter sentences are no evidence of copying; they only continue a run.
-SENTENCE_WORDS = 3
+#: Texts and lines of fewer words are no units: headings and forms repeat without being copied.
+LEAST_WORDS = 25
 #: A run of so many words that an earlier document has goes wherever it starts and ends.
 LONG_RUN = 51
 #: Runs are sought by their anchor: of the digests of all GRAM words in a run, the smallest.
 GRAM = 16
+#: Texts are read in slices of about so many bytes.
+SLICE = 4_000_000
 _WORD = re.compile(r"\S+")
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
-
-
-def _digest(words: list[str]) -> int:
-    return xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,157 +34,206 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def long_runs(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit digests and anchors of the LONG_RUN words from each word on, words in lower case; ``cache`` keeps words' digests."""
-    words = text.lower().split()
-    if len(words) < LONG_RUN:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    for w in set(words).difference(cache):
-        cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    by = {1: np.array([cache[w] for w in words], np.uint64)}
-    for k in (1, 2, 4, 8, 16):
-        by[2 * k] = _mix(by[k][:-k] * np.uint64(0x9E3779B97F4A7C15) + by[k][k:])
-    n = len(words) - LONG_RUN + 1
-    digest, at = np.zeros(n, np.uint64), 0
-    for k in (32, 16, 2, 1):  # LONG_RUN words
-        digest = _mix(digest * np.uint64(0x9E3779B97F4A7C15) + by[k][at : at + n])
-        at += k
-    low, k = by[GRAM], 1
-    while 2 * k <= LONG_RUN - GRAM + 1:
-        low, k = np.minimum(low[:-k], low[k:]), 2 * k
-    rest = LONG_RUN - GRAM + 1 - k
-    return digest, np.minimum(low[:n], low[rest : rest + n])
-
-
-def units(text: str) -> list[tuple[int, int, int, int | None, list[tuple[int, int, int, int | None]]]]:
-    """The ``lines`` of a text and, as parts of one more entry, its runs of LONG_RUN words."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    runs = [(spans[i][0], spans[i + LONG_RUN - 1][1], LONG_RUN, d) for i, d in enumerate(long_runs(text, {})[0].tolist())]
-    return [*lines(text), (len(text), len(text), 0, None, runs)]
-
-
-def lines(text: str) -> list[tuple[int, int, int, int | None, list[tuple[int, int, int, int | None]]]]:
-    """Lines as (start, end with line break, words, digest, sentences likewise); digest is None for short units.
-
-    Units are normalised by lower case and single spaces before hashing; offsets are code points of
-    the original.  A line of one sentence lists no sentences.
+@dataclass
+class Words:
+    """The lower-cased words of several texts as 64-bit digests in a row.
+
+    Line i has the words from ``line[i]`` up to ``line[i + 1]``, text i the lines from ``text[i]`` up to
+    ``text[i + 1]``.
     """
-    out, at = [], 0
-    for line in text.split("\n"):
-        end = at + len(line) + 1
-        words = line.lower().split()
-        parts = []
-        if len(words) >= RUN_WORDS:
-            for m in _SENTENCE.finditer(line):
-                own = m[0].lower().split()
-                parts.append((at + m.start(), at + m.end(), len(own), _digest(own) if len(own) >= SENTENCE_WORDS else None))
-        out.append((at, min(end, len(text)), len(words), _digest(words) if len(words) >= LINE_WORDS else None, parts if len(parts) > 1 else []))
-        at = end
-    return out
+
+    digest: np.ndarray
+    line: np.ndarray
+    text: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        words: list[str] = []
+        sizes: list[int] = []
+        counts: list[int] = []
+        for text in texts.to_pylist():
+            lines = text.lower().split("\n")
+            counts.append(len(lines))
+            for line in lines:
+                own = line.split()
+                sizes.append(len(own))
+                words += own
+        h = xxhash.xxh3_64_intdigest
+        known = {w: h(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+        digest = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        line, text = (np.r_[0, np.cumsum(np.array(x, np.int64))] for x in (sizes, counts))
+        return cls(digest, line, text)
+
+    def text_words(self) -> np.ndarray:
+        """The first word of each text, and the end."""
+        return self.line[self.text]
+
+    def units(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digests, as two halves, of the word sequences between ``bounds``."""
+        n = np.diff(bounds)
+        place = (np.arange(len(self.digest)) - np.repeat(bounds[:-1], n)).astype(np.uint64)
+        halves = []
+        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            term = _mix(self.digest ^ _mix(place * np.uint64(seed) + np.uint64(seed)))
+            total = np.r_[np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)]
+            halves.append(_mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64) * _GOLD))
+        return halves[0], halves[1]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places from which LONG_RUN words of one text follow, and those runs' digests and anchors."""
+        d = self.digest
+        n = len(d) - LONG_RUN + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        by = {1: d}
+        for k in (1, 2, 4, 8, 16):
+            by[2 * k] = _mix(by[k][:-k] * _GOLD + by[k][k:])
+        digest, at = np.zeros(n, np.uint64), 0
+        for k in (32, 16, 2, 1):  # LONG_RUN words
+            digest = _mix(digest * _GOLD + by[k][at : at + n])
+            at += k
+        low, k = by[GRAM], 1
+        while 2 * k <= LONG_RUN - GRAM + 1:
+            low, k = np.minimum(low[:-k], low[k:]), 2 * k
+        rest = LONG_RUN - GRAM + 1 - k
+        anchor = np.minimum(low[:n], low[rest : rest + n])
+        bounds = self.text_words()
+        end = np.repeat(bounds[1:], np.diff(bounds))[:n]
+        start = np.flatnonzero(np.arange(n) + LONG_RUN <= end)
+        return start, digest[start], anchor[start]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of about SLICE bytes."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = total = 0
+    for i, n in enumerate(size.tolist()):
+        if total and total + n > SLICE:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(size):
+        yield at, len(size)
+
+
+#: Kinds of rows in ``unit_digests``: a text or line, an anchor, and a text that repeats a line of its own.
+UNIT, ANCHOR, REPEATS = 0, 1, 2
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, hi, lo): each document's distinct line and sentence digests, 128 bits as two longs, and anchors (hi is 0)."""
+    """(doc_id, fp, kind, hi, lo): digests of each text and its lines, anchors of its runs (hi 0), marks of own repeats.
+
+    ``docs``: doc_id, fp, text, none of them null.
+    """
 
     @frugal
     def run(batches):
         for batch in batches:
-            ids, found, cache = [], [], {}
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                own = set(np.unique(long_runs(text, cache)[1]).tolist())
-                for _, _, _, digest, parts in lines(text):
-                    own.add(digest)
-                    own.update(p[3] for p in parts)
-                own.discard(None)
-                ids += [i] * len(own)
-                found += own
-                if len(found) > 200_000:
-                    yield emit(ids, found)
-                    ids, found = [], []
-            yield emit(ids, found)
-
-    def emit(ids, found):
-        raw = np.frombuffer(b"".join(d.to_bytes(16, "little") for d in found), np.int64).reshape(-1, 2)
-        return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "hi": pa.array(raw[:, 1]), "lo": pa.array(raw[:, 0])})
-
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return plain.mapInArrow(run, "doc_id long, hi long, lo long")
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                yield emit(part.column("doc_id").to_numpy(), part.column("fp").to_numpy(), Words.of(part.column("text")))
+
+    def emit(ids, fps, words):
+        rows = []
+        size = np.diff(words.line)
+        hi, lo = words.units(words.line)
+        of_line = np.repeat(np.arange(len(ids)), np.diff(words.text))
+        own = np.flatnonzero(size >= LEAST_WORDS)
+        rows.append((of_line[own], UNIT, hi[own], lo[own]))
+        order = own[np.lexsort((lo[own], hi[own], of_line[own]))]
+        same = (of_line[order][1:] == of_line[order][:-1]) & (hi[order][1:] == hi[order][:-1])
+        again = np.unique(of_line[order][1:][same & (lo[order][1:] == lo[order][:-1])])
+        rows.append((again, REPEATS, np.zeros(len(again), np.uint64), np.zeros(len(again), np.uint64)))
+        bounds = words.text_words()
+        hi, lo = words.units(bounds)
+        own = np.flatnonzero((np.diff(bounds) >= LEAST_WORDS) & (np.diff(words.text) > 1))
+        rows.append((own, UNIT, hi[own], lo[own]))
+        start, _, anchor = words.runs()
+        of = np.searchsorted(bounds, start, side="right") - 1
+        new = np.r_[True, (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])] if len(of) else np.empty(0, bool)
+        rows.append((of[new], ANCHOR, np.zeros(int(new.sum()), np.uint64), anchor[new]))
+        at = np.concatenate([r[0] for r in rows]).astype(np.int64)
+        kind = np.concatenate([np.full(len(r[0]), r[1], np.int8) for r in rows])
+        halves = [np.concatenate([r[k] for r in rows]).view(np.int64) for k in (2, 3)]
+        return pa.record_batch(
+            [pa.array(x) for x in (ids[at], fps[at], kind, *halves)], names=["doc_id", "fp", "kind", "hi", "lo"]
+        )
+
+    return docs.mapInArrow(run, "doc_id long, fp long, kind byte, hi long, lo long")
 
 
 def run_digests(anchored: DataFrame) -> DataFrame:
-    """(doc_id, lo): digests of the runs of LONG_RUN words in ``anchored`` (doc_id, text, anchors) whose anchor is among ``anchors``.
+    """(doc_id, fp, lo): digests of the runs of LONG_RUN words whose anchor is among ``anchors``.
 
-    Equal runs have equal anchors, so no run that two documents have is left out.
+    ``anchored``: doc_id, fp, text, anchors and copied (low halves of the lines and of the text that an
+    earlier document has).  Equal runs have equal anchors, so no run that two documents have is left out; a
+    run inside one copied line or text is, since the first document that has that unit lists it.
     """
 
     @frugal
     def run(batches):
         for batch in batches:
-            ids, found, cache = [], [], {}
-            for i, text, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("anchors")):
-                digest, anchor = long_runs(text.as_py(), cache)
-                own = np.unique(digest[np.isin(anchor, anchors.values.to_numpy().view(np.uint64))])
-                ids.append(np.full(len(own), i, np.int64))
-                found.append(own.view(np.int64))
-                if sum(map(len, ids)) > 200_000:
-                    yield pa.record_batch({"doc_id": np.concatenate(ids), "lo": np.concatenate(found)})
-                    ids, found = [], []
-            if ids:
-                yield pa.record_batch({"doc_id": np.concatenate(ids), "lo": np.concatenate(found)})
-
-    return anchored.mapInArrow(run, "doc_id long, lo long")
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                words = Words.of(part.column("text"))
+                start, digest, anchor = words.runs()
+                bounds = words.text_words()
+                of = np.searchsorted(bounds, start, side="right") - 1
+                line = np.searchsorted(words.line, start, side="right") - 1
+                inside = start + LONG_RUN <= words.line[line + 1]
+                whole, lines = words.units(bounds)[1], words.units(words.line)[1]
+                ids, fps = part.column("doc_id").to_numpy(), part.column("fp").to_numpy()
+                cuts = np.searchsorted(of, np.arange(len(part) + 1))
+                out: list[tuple[np.ndarray, ...]] = []
+                for i, (anchors, copied) in enumerate(zip(part.column("anchors"), part.column("copied"))):
+                    here = slice(cuts[i], cuts[i + 1])
+                    done = copied.values.to_numpy().view(np.uint64) if copied.is_valid else np.empty(0, np.uint64)
+                    if whole[i] in done:
+                        continue
+                    known = anchors.values.to_numpy().view(np.uint64)
+                    ok = np.isin(anchor[here], known) & ~(inside[here] & np.isin(lines[line[here]], done))
+                    own = np.unique(digest[here][ok]).view(np.int64)
+                    out.append((np.full(len(own), ids[i]), np.full(len(own), fps[i]), own))
+                if out:
+                    cols = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)]
+                    yield pa.record_batch(cols, names=["doc_id", "fp", "lo"])
+
+    return anchored.mapInArrow(run, "doc_id long, fp long, lo long")
 
 
 def cut(text: str, earlier: dict[int, int]) -> tuple[str, list[tuple[int, int, int | None]]]:
     """The text without copies, and the removed (start, end, keeper) with original offsets.
 
-    ``earlier`` maps the low digest half of units that an earlier document keeps to that document;
-    a unit repeated inside the text is kept once (keeper None).
+    ``earlier`` maps the low digest half of units and runs that an earlier document has to that document;
+    a line repeated inside the text is kept once (keeper None).
     """
+    words = Words.of(pa.array([text], pa.string()))
+    whole = int(words.units(words.text_words())[1].view(np.int64)[0])
+    if len(words.digest) >= LEAST_WORDS and whole in earlier:
+        return "", [(0, len(text), earlier[whole])]
     gone: list[tuple[int, int, int | None]] = []
-    seen: set[int] = set()
-    half = (1 << 64) - 1
-
-    def keeper(digest):
-        low = digest & half
-        low -= (low >> 63) << 64
-        if low in earlier:
-            return earlier[low]
-        if digest in seen:
-            return -1
-        seen.add(digest)
-        return None
-
-    for start, end, _, digest, parts in lines(text):
-        first = keeper(digest) if digest is not None else None
-        if first is not None:
-            gone.append((start, end, first))
+    own, at = set(), 0
+    digests = words.units(words.line)[1].view(np.int64).tolist()
+    for line, size, digest in zip(text.split("\n"), np.diff(words.line).tolist(), digests):
+        start, end = at, min(at + len(line) + 1, len(text))
+        at += len(line) + 1
+        if size < LEAST_WORDS:
             continue
-        run, words = [], 0
-        for p in [*parts, None]:
-            first = keeper(p[3]) if p and p[3] is not None else None
-            if p and (first is not None or p[3] is None and run):
-                run.append((p[0], p[1], first))
-                words += p[2] if first is not None else 0
-                continue
-            while run and run[-1][2] is None:
-                run.pop()
-            if words >= RUN_WORDS:
-                gone.append((run[0][0], run[-1][1], run[0][2]))
-            run, words = [], 0
-    if earlier:
-        gone = sorted([*gone, *_outside(text, gone, _copied_runs(text, earlier))])
+        if digest in earlier or digest in own:
+            gone.append((start, end, earlier.get(digest)))
+        own.add(digest)
+    gone = sorted([*gone, *_outside(text, gone, _copied_runs(text, words, earlier))], key=lambda g: g[:2])
     keep, at = [], 0
     for start, end, _ in gone:
         keep.append(text[at:start])
         at = end
-    return "".join([*keep, text[at:]]), [(s, e, None if k == -1 else k) for s, e, k in gone]
+    return "".join([*keep, text[at:]]), gone
 
 
-def _copied_runs(text: str, earlier: dict[int, int]) -> list[tuple[int, int, int]]:
+def _copied_runs(text: str, words: Words, earlier: dict[int, int]) -> list[tuple[int, int, int]]:
     """(start, end, keeper) of the runs of words that ``earlier`` has, with the blanks up to the next word of the line."""
-    hits = [(i, earlier[d]) for i, d in enumerate(long_runs(text, {})[0].view(np.int64).tolist()) if d in earlier]
+    start, digest, _ = words.runs()
+    hits = [(i, earlier[d]) for i, d in zip(start.tolist(), digest.view(np.int64).tolist()) if d in earlier]
     spans = [m.span() for m in _WORD.finditer(text)] if hits else []
     runs: list[list[int]] = []
     for i, k in hits:
@@ -197,11 +244,14 @@ def _copied_runs(text: str, earlier: dict[int, int]) -> list[tuple[int, int, int
     out = []
     for a, b, k in runs:
         end = spans[b][0] if b < len(spans) else len(text)
-        out.append((spans[a][0], spans[b - 1][1] if "\n" in text[spans[b - 1][1] : end] else end, k))
+        blank = text[spans[b - 1][1] : end]
+        out.append((spans[a][0], spans[b - 1][1] if "\n" in blank else end, k))
     return out
 
 
-def _outside(text: str, gone: list[tuple[int, int, int | None]], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _outside(
+    text: str, gone: list[tuple[int, int, int | None]], runs: list[tuple[int, int, int]]
+) -> list[tuple[int, int, int]]:
     """The parts of ``runs`` with words that aren't in ``gone``; both are in order."""
     out, j = [], 0
     for a, b, k in runs:
@@ -219,46 +269,65 @@ def _outside(text: str, gone: list[tuple[int, int, int | None]], runs: list[tupl
 def dedupe(docs: DataFrame) -> DataFrame:
     """``docs`` with copies cut from ``text``, and ``removed``: array of (start, end, keeper).
 
-    A unit is a line of LINE_WORDS or more words or, inside a line that stays, a run of consecutive
-    sentences with RUN_WORDS or more words (a passage pasted into a line), or any LONG_RUN words in a
-    row that an earlier document has.  Of equal units the one in
-    the smallest doc_id, and there the first, stays; the rest go.  Digests are summed to one row per
-    document before they are dealt, and grouped with partial sums; only units of several documents
-    come back, joined by digest and then by doc_id.  Runs of words are digested only around anchors
-    that several documents have.
-
-    Null texts stay null; rows without doc_id stay whole and take nothing from others; rows that
-    repeat a doc_id are one document, so each keeps the units it is first to have.  An empty table
-    gives an empty result; other columns pass, but for a column named ``removed``, which is replaced.
+    A unit is a text or a line of LEAST_WORDS or more words, in lower case with single blanks, or any
+    LONG_RUN words in a row.  Of equal units the one in the smallest doc_id, and there the first, stays; the
+    rest go (a run repeated inside one text stays).  Digests are grouped with partial sums; only units of
+    several documents come back, joined by digest and then by document.  Runs of words are digested only
+    around anchors that several documents have and outside lines that go anyway.
+
+    Null texts stay null; rows without doc_id stay whole and take nothing from others; rows that repeat a
+    doc_id are one document and don't take from each other, and each text of it is gathered apart.  Shorter
+    texts than LEAST_WORDS never change.  An empty table gives an empty result; other columns pass, but for
+    a column named ``removed``, which is replaced.
     """
     text_batches(docs.sparkSession)
-    seen = unit_digests(docs)
-    shared = seen.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("hi", "lo", "keeper")
-    flagged = seen.join(shared, ["hi", "lo"]).where("hi = 0 OR keeper < doc_id")
-    lists = [F.collect_list(F.when(F.col("hi") != 0, F.struct("lo", "keeper"))).alias("units"), F.collect_list(F.when(F.col("hi") == 0, F.col("lo"))).alias("anchors")]
-    own = flagged.groupBy(F.col("doc_id").alias("__doc")).agg(*lists)
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = run_digests(plain.join(own.where("size(anchors) > 0"), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "anchors"))
-    first = runs.groupBy("lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("lo", "keeper")
-    more = runs.join(first, "lo").where("keeper < doc_id").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "keeper")).alias("runs"))
-    own = own.where("size(units) > 0").select("__doc", "units").join(more, "__doc", "full")
-    own = own.select("__doc", F.concat(F.coalesce("units", F.array()), F.coalesce("runs", F.array())).alias("__units"))
-    own = own.select("__doc", F.col("__units.lo").alias("__lo"), F.col("__units.keeper").alias("__keeper"))
+    scratch = Scratch(docs.sparkSession)
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    plain = plain.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    seen = scratch.keep(unit_digests(plain), "units")
+    bounds = [F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")]
+    shared = seen.where(F.col("kind") != REPEATS).groupBy("kind", "hi", "lo").agg(*bounds).where("keeper < last")
+    flagged = seen.join(shared.drop("last"), ["kind", "hi", "lo"]).where(f"kind = {ANCHOR} OR keeper < doc_id")
+    repeats = seen.where(F.col("kind") == REPEATS).withColumn("keeper", F.lit(None).cast("long"))
+    of_kind = lambda k, c: F.collect_set(F.when(F.col("kind") == k, c))
+    own = flagged.unionByName(repeats).groupBy("doc_id", "fp").agg(
+        of_kind(UNIT, F.struct("lo", "keeper")).alias("units"),
+        of_kind(ANCHOR, F.col("lo")).alias("anchors"),
+        (F.max("kind") == REPEATS).alias("repeats"),
+    )
+    own = scratch.keep(own, "shared")
+    scratch.drop(seen)
+    wanted = own.where("size(anchors) > 0").select("doc_id", "fp", "anchors", F.col("units.lo").alias("copied"))
+    wanted = plain.join(wanted, ["doc_id", "fp"]).select(*plain.columns, "anchors", "copied")
+    runs = scratch.keep(run_digests(wanted), "runs")
+    first = runs.groupBy("lo").agg(*bounds).where("keeper < last").select("lo", "keeper")
+    more = runs.join(first, "lo").where("keeper < doc_id")
+    more = more.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("lo", "keeper")).alias("runs"))
+    # anchors alone change nothing
+    changed = own.join(more, ["doc_id", "fp"], "left")
+    changed = changed.where("size(units) > 0 OR repeats OR runs IS NOT NULL")
+    units = F.concat("units", F.coalesce("runs", F.array()))
+    changed = changed.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), units.alias("__u"))
+    changed = changed.select("__doc", "__fp", F.col("__u.lo").alias("__lo"), F.col("__u.keeper").alias("__keeper"))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lows, keepers in batches:
+        for texts, lows, keepers in batches:
             out, removed = [], []
-            for t, a, b in zip(text, lows, keepers):
-                clean, gone = (None, []) if t is None else cut(t, dict(zip(a.tolist(), b.tolist())) if a is not None else {})
+            for t, a, b in zip(texts, lows, keepers):
+                clean, gone = (None, []) if t is None else cut(t, dict(zip(a.tolist(), b.tolist())))
                 out.append(clean)
                 removed.append([{"start": s, "end": e, "keeper": k} for s, e, k in gone])
             yield pd.DataFrame({"text": out, "removed": removed})
         release_memory()
 
     udf = F.pandas_udf(run, "text string, removed array<struct<start:long, end:long, keeper:long>>")
-    joined = docs.drop("removed").join(own, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    joined = joined.withColumn("__cut", udf(F.col("text").cast("string"), "__lo", "__keeper"))
-    cols = [F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "removed"]
+    same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__fp"))
+    joined = docs.drop("removed").join(changed, same, "left")
+    touched = F.col("__lo").isNotNull()
+    joined = joined.withColumn("__cut", udf(F.when(touched, text), "__lo", "__keeper"))
+    clean = F.when(touched, F.col("__cut.text")).otherwise(text).alias("text")
+    cols = [clean if c == "text" else F.col(c) for c in docs.columns if c != "removed"]
     return joined.select(*cols, F.col("__cut.removed").alias("removed"))
 
 
@@ -266,7 +335,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with copies cut; n_chars follows the text, and documents of which nothing but white space is left go."""
     out = dedupe(docs).where("size(removed) = 0 OR text RLIKE '\\\\S'")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        now = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", now)
     return out.select(docs.columns)
 
 

@@ -112,14 +112,61 @@ def test_ordinal_fit_recovers_order():
 
 
 def brute_cut(texts):
-    """Documents in order; a line or sentence that an earlier document has, or an earlier place in this one, is a copy."""
-    seen, out = {}, []
+    """(text, removed) in order, from plain strings: copied texts and lines of 25 words, and 51 words in a row."""
+    wholes, lines, runs, out = {}, {}, {}, []
     for i, t in enumerate(texts):
-        out.append(None if t is None else substring.cut(t, {(d & (2**64 - 1)) - ((d >> 63 & 1) << 64): k for d, k in seen.items()}))
-        for _, _, _, d, parts in substring.units(t or ""):
-            for x in [d, *(p[3] for p in parts)]:
-                if x is not None:
-                    seen.setdefault(x, i)
+        if t is None:
+            out.append(None)
+            continue
+        low, spans = t.lower().split(), [m.span() for m in re.finditer(r"\S+", t)]
+        windows = [" ".join(low[k : k + 51]) for k in range(len(low) - 50)]
+        gone, own, at, mine = [], set(), 0, {}
+        whole = " ".join(low)
+        for line in t.split("\n"):
+            unit, end = " ".join(line.lower().split()), min(at + len(line) + 1, len(t))
+            if len(unit.split()) >= 25:
+                if unit in lines or unit in own or unit in wholes:
+                    gone.append((at, end, lines.get(unit, wholes.get(unit))))
+                own.add(unit)
+                mine.setdefault(unit, i)
+            at += len(line) + 1
+        if len(low) >= 25 and (whole in wholes or whole in lines):
+            gone = [(0, len(t), min(x for x in (wholes.get(whole), lines.get(whole)) if x is not None))]
+        else:
+            keeper = {}  # the keeper of a word is that of the first run of its stretch
+            stretch = None
+            for k, run in enumerate(windows):
+                if run in runs:
+                    if stretch is None or k > max(keeper):
+                        stretch = runs[run]
+                    for w in range(k, k + 51):
+                        keeper.setdefault(w, stretch)
+            covered = lambda w: any(a <= spans[w][0] < e for a, e, _ in gone)  # noqa: B023, E731
+            more, left = [], [w for w in sorted(keeper) if not covered(w)]
+            for w in left:
+                after = spans[w + 1][0] if w + 1 < len(spans) else len(t)
+                end = after
+                if w + 1 not in keeper and "\n" in t[spans[w][1] : after]:
+                    end = spans[w][1]
+                joined = more and more[-1][1] == spans[w][0] and w - 1 in keeper and not covered(w - 1)
+                if joined:
+                    more[-1] = (more[-1][0], end, more[-1][2])
+                else:
+                    more.append((spans[w][0], end, keeper[w]))
+            bounds = sorted(a for a, _, _ in gone)
+            more = [(a, min([e, *(b for b in bounds if a < b < e)]), k) for a, e, k in more]
+            gone = sorted([*gone, *more], key=lambda g: g[:2])
+        keep, at = [], 0
+        for a, e, _ in gone:
+            keep.append(t[at:a])
+            at = e
+        out.append(("".join([*keep, t[at:]]), gone))
+        for unit in mine:
+            lines.setdefault(unit, i)
+        if len(low) >= 25:
+            wholes.setdefault(whole, i)
+        for run in windows:
+            runs.setdefault(run, i)
     return out
 
 
