@@ -73,7 +73,7 @@ def text_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     A section starts at each heading; one without text goes, so a heading right after another takes
     its place.  ``section`` counts the headings up to it.
     """
-    lines = F.filter(F.transform(F.split(text, LINE_END), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, LINE_END), lambda x: F.trim(x)), lambda x: x != "")
     d = docs.withColumn("__lines", lines).where(F.size("__lines") > 0)
     d = d.withColumn("__flags", F.transform("__lines", is_heading))
     return _fold(d, [c for c in docs.columns if c != text])

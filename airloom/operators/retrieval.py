@@ -112,7 +112,7 @@ def hypothesis_tokens(c: Column, kind: T.DataType) -> Column:
         found = F.flatten(F.transform(c, lambda _: names))
     else:
         found = c.cast("array<string>")
-    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), F.trim), blank)
+    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), blank)
 
 
 def history_documents(summaries: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import telemetry, text, tickets
+from . import serving, telemetry, text, tickets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (telemetry, tickets, text):
+for part in (telemetry, tickets, text, serving):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 
