@@ -1,4 +1,4 @@
-"""Document fingerprints: Merkle trees over sections, paragraphs and clauses, in DataFrame functions only."""
+"""Document fingerprints: Merkle trees over sections, lines and leaves of a few words, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,62 +7,94 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, table
 
-SECTION = r"(?<=\n\n)(?=[^\n])"
-PARAGRAPH = r"(?<=\n)"
-#: Clauses; a clause without punctuation is cut every 64 characters.
-CLAUSE = r"(?s)(?<=[\n.!?;:,])|(?<=\G.{64})"
-#: Texts below so many characters have few clauses; their leaves are words, below the other bound pairs of characters.
-SHORT, WORD = 256, r"(?<=[\n ])"
-TINY, PAIR = 48, r"(?s)(?<=\G.{2})"
+SECTION, PARAGRAPH = "\n\n", "\n"
+#: A leaf ends with a blank after one of these letters, digits and marks, which some 30 % of all words end with, or with
+#: a full-width mark; without either it ends after 64 characters.  So a leaf has a few words in texts of any length,
+#: and an edit changes only the leaves around it.
+LEAF = r"(?s).{1,64}?(?:(?<=[oty0-9.!?;:,][ \t])|(?<=[。！？、，；：])|\z)|.{64}"
 IDS_PER_TASK = 200_000
 #: Stands for a null doc_id in joins, and so the one doc_id that is returned as null.
 NO_ID = -(2**63)
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """The pieces of a text, which joined give it again; none is empty."""
-    return F.filter(F.split(text, pattern), lambda p: p != "")
+def tree(text: Column) -> Column:
+    """Sections, split at blank lines, as arrays of their lines: each line's SHA-256 ``d`` and its leaves ``l``.
 
+    Leaves are 32-bit digests of 8 hex digits each, joined.  Sections and lines joined again by their breaks
+    give the text, so the digests of all lines, grouped by section, tell texts apart.
+    """
+    # with the sign bit set a long has 16 digits, of which the last eight are the digest
+    digest = lambda x: F.substring(F.hex(F.xxhash64(x).bitwiseOR(F.lit(-(2**63)))), 9, 8)
+    leaves = lambda p: F.array_join(
+        F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), digest), ""
+    )
+    line = lambda p: F.struct(F.sha2(p, 256).alias("d"), leaves(p).alias("l"))
+    return F.transform(F.split(text, SECTION), lambda s: F.transform(F.split(s, PARAGRAPH), line))
 
-def _hash32(piece: Column) -> Column:
-    return F.xxhash64(piece).bitwiseAND(F.lit(0xFFFFFFFF))
 
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the fingerprint ``root|section(line:leaves,...)/...`` of a text column.
 
-def _leaf_pieces(part: Column, n: Column) -> Column:
-    return F.when(n < TINY, _pieces(part, PAIR)).when(n < SHORT, _pieces(part, WORD)).otherwise(_pieces(part, CLAUSE))
+    A section's digest is the SHA-256 of its lines' digests, the root that of the sections' digests, so equal
+    roots mean equal texts.  Below the root digests are cut to 8 hex digits.  Lower-case hex throughout.
+    """
+    short = lambda d: F.substring(d, 1, 8)
+    line = lambda p: F.concat(short(p["d"]), F.lit(":"), p["l"])
+    section = lambda s: F.struct(
+        F.sha2(F.array_join(s["d"], ""), 256).alias("d"), F.array_join(F.transform(s, line), ",").alias("b")
+    )
+    branch = lambda s: F.concat(short(s["d"]), F.lit("("), s["b"], F.lit(")"))
+    s = F.col("__sections")
+    root = F.sha2(F.array_join(s["d"], ""), 256)
+    below = F.array_join(F.transform(s, branch), "/")
+    out = df.withColumn("__sections", F.transform(tree(F.col(text)), section))
+    return out.withColumn(name, F.lower(F.concat(root, F.lit("|"), below))).drop("__sections")
 
 
-def leaves(text: Column, n: Column | None = None) -> Column:
-    """Distinct 32-bit digests of a text's leaves, in the unit of texts of ``n`` characters (its own length by default)."""
-    return F.array_distinct(F.transform(_leaf_pieces(text, F.length(text) if n is None else n), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int")))
+def leaves(fingerprint: Column) -> Column:
+    """The leaves in a fingerprint, 8 hex digits each, joined."""
+    return F.regexp_replace(F.substring_index(fingerprint, "|", -1), "[0-9a-f]{8}[(:]|[,/)]", "")
 
 
-def fingerprint(text: Column) -> Column:
-    """``root|section(paragraph:leaves,...)/...``: the root's 64 hex digits and the tree below it.
+def likeness_of_leaves(a: Column, b: Column) -> Column:
+    """Dice coefficient of the sets of leaves in two texts of ``leaves``; 1.0 if both are empty."""
+    sets = [F.array_distinct(F.regexp_extract_all(x, F.lit("[0-9a-f]{8}"), F.lit(0))) for x in (a, b)]
+    both = F.size(sets[0]) + F.size(sets[1])
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(*sets)) / both)
 
-    A paragraph's digest is the SHA-256 of its text, a section's that of its paragraphs' digests, the
-    root that of the sections' digests; paragraphs keep their line breaks and sections their blank
-    lines, so equal roots mean equal texts.  Below the root digests are cut to 8 hex digits; of two
-    trees, the first branch that differs leads to the edit.
-    """
-    paras = lambda s: _pieces(s, PARAGRAPH)
-    digest = lambda s: F.sha2(F.array_join(F.transform(paras(s), lambda p: F.sha2(p, 256)), ""), 256)
-    short = lambda d: F.substring(d, 1, 8)
-    hex8 = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
-    leaf = lambda p: F.array_join(F.transform(_leaf_pieces(p, F.length(text)), lambda c: hex8(_hash32(c))), "")
-    branch = lambda s: F.concat(short(digest(s)), F.lit("("), F.array_join(F.transform(paras(s), lambda p: F.concat(short(F.sha2(p, 256)), F.lit(":"), leaf(p))), ","), F.lit(")"))
-    root = F.sha2(F.array_join(F.transform(_pieces(text, SECTION), digest), ""), 256)
-    return F.concat(root, F.lit("|"), F.array_join(F.transform(_pieces(text, SECTION), branch), "/"))
 
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two texts are by their fingerprints, from 0 to 1 (equal texts)."""
+    return F.when(a == b, F.lit(1.0)).otherwise(likeness_of_leaves(leaves(a), leaves(b)))
 
-def _unit(n: Column) -> Column:
-    return F.when(n < TINY, 0).when(n < SHORT, 1).otherwise(2)
 
+def differences(a: Column, b: Column) -> Column:
+    """Where two trees differ: (section, line) of those lines of ``a`` that ``b`` lacks, from 0, in order.
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two leaf sets; 1.0 if both are empty."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+    Equal roots end the search, then only sections whose digest ``b`` lacks are entered, and in them only lines
+    whose digest none of ``b``'s lines has.  ``differences(b, a)`` gives the other side.
+    """
+    sections = lambda x: F.split(F.substring_index(x, "|", -1), "/")
+    head = lambda s: F.substring(s, 1, 8)
+    lines = lambda s: F.split(F.substring(s, F.lit(10), F.length(s) - 10), ",")
+    theirs = F.transform(sections(b), head)
+    known = F.flatten(F.transform(sections(b), lambda s: F.transform(lines(s), head)))
+    entered = F.filter(
+        F.transform(sections(a), lambda s, i: F.struct(i.alias("section"), s.alias("s"))),
+        lambda x: ~F.array_contains(theirs, head(x["s"])),
+    )
+    found = F.flatten(
+        F.transform(
+            entered,
+            lambda x: F.transform(
+                lines(x["s"]),
+                lambda p, j: F.struct(x["section"].alias("section"), j.alias("line"), head(p).alias("d")),
+            ),
+        )
+    )
+    changed = F.filter(found, lambda f: ~F.array_contains(known, f["d"]))
+    out = F.transform(changed, lambda f: F.struct(f["section"].alias("section"), f["line"].alias("line")))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.slice(out, 1, 0)).otherwise(out)
 
 
 def following(keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -90,39 +122,40 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     doc_id each give a row; what follows them is the next other doc_id's text with the smallest
     XXH64.  An empty table gives an empty result; more columns are ignored.
 
-    Ids alone are ordered; whole texts are dealt once by doc_id and their heads once to the document before.
+    Ids alone are ordered; whole texts are dealt once by doc_id and their heads, with the leaves of their
+    fingerprints, once to the document before.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), text.alias("text"))
-    ids = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("pick"), F.max(F.length("text")).alias("chars"), F.min(F.length("text")).alias("least"))
+    ids = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("pick"), F.max(F.length("text")).alias("chars"))
     ids = following(scratch.keep(ids, "ids"), scratch)
-    want = ids.select(F.col("previous").alias("key"), F.col("key").alias("next"))
-    want = ids.select("key", "chars", "least").join(want, "key").select(F.col("next").alias("key"), F.col("key").alias("before"), F.floor(F.col("chars") / 2).cast("int").alias("m"), "chars", "least")
+    follows = ids.select(F.col("previous").alias("key"), F.col("key").alias("next"))
+    half = F.floor(F.col("chars") / 2).cast("int").alias("m")
+    want = ids.select("key", "chars").join(follows, "key")
+    want = want.select(F.col("next").alias("key"), F.col("key").alias("before"), half)
     want = scratch.keep(want.join(ids.select("key", "pick"), "key"), "order")
 
-    # two texts are compared in the unit of the shorter; rows of the document before may differ in length
-    low, high = (_unit(F.least(F.length("text"), c)) for c in ("least", "chars"))
-    by_unit = [F.when(F.lit(u).between(low, high), leaves(F.col("text"), F.lit(size))).alias(f"next_{u}") for u, size in enumerate((0, TINY, SHORT))]
     heads = rows.join(want, "key").where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
-    heads = heads.select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head"), F.length("text").alias("next_chars"), *by_unit).dropDuplicates(["key"])
+    heads = with_fingerprint(heads, "text", "fingerprint")
+    head = F.substring(F.col("text"), F.lit(1), F.col("m")).alias("head")
+    heads = heads.select(F.col("before").alias("key"), head, leaves(F.col("fingerprint")).alias("next_leaves"))
+    heads = heads.dropDuplicates(["key"])
     n = F.length("text")
     cut = (n / 2).cast("int")
-    out = rows.join(heads, "key").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("head"), F.lit(1), cut)))
-    out = out.withColumn("unit", _unit(F.least(n, F.length("edited")))).withColumn("next_unit", _unit(F.least(n, "next_chars")))
-    size = lambda u: F.when(u == 0, 0).when(u == 1, TINY).otherwise(SHORT)
-    out = out.withColumn("leaves", leaves(F.col("text"), size(F.col("unit")))).withColumn("edited_leaves", leaves(F.col("edited"), size(F.col("unit"))))
-    own = F.when(F.col("unit") == F.col("next_unit"), F.col("leaves")).otherwise(leaves(F.col("text"), size(F.col("next_unit"))))
-    near = F.when(F.col("next_unit") == 0, F.col("next_0")).when(F.col("next_unit") == 1, F.col("next_1")).otherwise(F.col("next_2"))
-    out = out.withColumn("next_own", own).withColumn("next_leaves", near)
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("head"), F.lit(1), cut))
+    out = rows.join(heads, "key").withColumn("edited", edited)
+    out = with_fingerprint(with_fingerprint(out, "text", "fingerprint"), "edited", "edited_fingerprint")
+    out = out.withColumn("leaves", leaves(F.col("fingerprint")))
+    out = out.withColumn("edited_leaves", leaves(F.col("edited_fingerprint")))
     return out.select(
         F.nullif("key", F.lit(NO_ID)).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("next_own"), F.col("next_leaves")).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness_of_leaves(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
+        likeness_of_leaves(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )
 
 

@@ -1,13 +1,13 @@
 """Small fixtures against brute force: nulls, empties, long texts, ties, repeats, clashing columns."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from airloom.llm import common, langid, merkle, mixing, packing, simhash, substring, tokens, toxicity, urls, vectors
@@ -343,30 +343,88 @@ def test_graph_search_recall_over_many_shards(spark, monkeypatch):
     assert 0.95 * exact <= found <= exact
 
 
+def plain_leaves(line):
+    """The leaves of a line, cut by hand."""
+    out, last = [], 0
+    for i in range(1, len(line) + 1):
+        word_end = i > 1 and line[i - 2] in "oty0123456789.!?;:," and line[i - 1] in " \t"
+        if word_end or line[i - 1] in "。！？、，；：" or i - last == 64:
+            out.append(line[last:i])
+            last = i
+    return [f"{xxhash.xxh64_intdigest(x.encode(), 42) & 0xFFFFFFFF:08x}" for x in [*out, line[last:]] if x]
+
+
+def plain_tree(text):
+    """(root, sections), a section being its digest and (digest, leaves) of its lines."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for section in text.split("\n\n"):
+        lines = [(sha(x), plain_leaves(x)) for x in section.split("\n")]
+        sections.append((sha("".join(d for d, _ in lines)), lines))
+    return sha("".join(d for d, _ in sections)), sections
+
+
+def plain_fingerprint(text):
+    root, sections = plain_tree(text)
+    show = lambda lines: ",".join(f"{d[:8]}:{''.join(own)}" for d, own in lines)
+    return f"{root}|" + "/".join(f"{d[:8]}({show(lines)})" for d, lines in sections)
+
+
+def plain_likeness(a, b):
+    x, y = ({leaf for _, lines in plain_tree(t)[1] for _, own in lines for leaf in own} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+EDIT_TEXTS = [
+    "", None, "a", "ab", "One. Two, three.\n\nSection two\nline.", "same", "same", "é😀漢" * 40, " ".join(f"s{i}." for i in range(3000)),
+    "tail text. more of it.", "first. second\n\n\nthird\n", "\n", "\r\nx\r\n", "漢字。かな、" * 30, "x" * 500, "it stays, " * 5, "it stays, " * 4 + "and ends",
+    "many plain words that carry no mark at all but only blanks " * 4, "many plain words that carry no mark at all but only blanks " * 5, "short",
+]
+
+
 def test_merkle_edits(spark):
-    texts = ["", None, "a", "ab", "One. Two, three.\n\nSection two\nline.", "same", "same", "é😀漢" * 40, " ".join(f"s{i}." for i in range(3000)), "tail text. more of it."]
-    rows = [(i * 3 - 5, t) for i, t in enumerate(texts)]
+    rows = [(i * 3 - 5, t) for i, t in enumerate(EDIT_TEXTS)]
     random.Random(1).shuffle(rows)
-    got = sorted(merkle.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))).collect())
-    plain = [t or "" for t in texts]
+    clash = {c: F.lit("clash") for c in ("key", "head", "fingerprint", "leaves", "edited", "next", "range", "__sections")}
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    got = sorted(merkle.fingerprint_edits(d).collect())
+    plain = [t or "" for t in EDIT_TEXTS]
     for i, (r, t) in enumerate(zip(got, plain)):
         after = plain[(i + 1) % len(plain)]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (i * 3 - 5, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint == r.edited_fingerprint) == (t == edited) and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(t), plain_fingerprint(edited))
+        assert abs(r.near_edited - plain_likeness(t, edited)) < 1e-12
+        assert abs(r.near_next - plain_likeness(t, after)) < 1e-12
     assert got[5].fingerprint == got[6].fingerprint and got[5].near_next == 1.0 and got[0].near_edited == 1.0
     assert got[8].near_edited > 0.4 > got[8].near_next
     assert len({r.fingerprint[:64] for r in got}) == len(set(plain))
     one = merkle.fingerprint_edits(spark.createDataFrame([(None, "abcd"), (None, "abcd")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_chars) for r in one] == [(None, 4), (None, 4)]
+    many = merkle.fingerprint_edits(spark.createDataFrame([(1, "abcd ef")] * 500 + [(2, "x")], "doc_id long, text string")).collect()
+    assert len(many) == 501 and len({r.fingerprint for r in many}) == 2
     assert merkle.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_merkle_differences_lead_to_the_edit(spark):
+    before = "Title line\nalpha beta.\n\nSecond part\nstays here\n\nlast one"
+    after = "Title line\nalpha gamma.\n\nSecond part\nstays here\nnew line\n\nlast one"
+    d = merkle.with_fingerprint(spark.createDataFrame([(before, after)], "a string, b string"), "a", "x")
+    d = merkle.with_fingerprint(d, "b", "y")
+    r = d.select(
+        merkle.differences(F.col("x"), F.col("y")).alias("gone"),
+        merkle.differences(F.col("y"), F.col("x")).alias("new"),
+        merkle.differences(F.col("x"), F.col("x")).alias("none"),
+        merkle.likeness(F.col("x"), F.col("y")).alias("near"),
+    ).first()
+    assert [tuple(x) for x in r.gone] == [(0, 1)] and [tuple(x) for x in r.new] == [(0, 1), (1, 2)] and r.none == []
+    assert abs(r.near - plain_likeness(before, after)) < 1e-12
+
+
 def test_no_python_in_the_native_plan(spark):
     d = spark.createDataFrame([(1, "a. b"), (2, "c")], "doc_id long, text string")
     plan = merkle.fingerprint_edits(d)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert json.loads("[]") == []
 
 
 def test_pipeline_stages(spark, tmp_path):
