@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from .common import Scratch, table
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
 SEED = 17
-#: Documents of a pattern are ordered by a seeded hash, of which the leading bits give so many buckets.
-BUCKETS = 4_096
+#: Documents of a pattern are ordered by a seeded 60-bit hash, of which the leading bits give buckets: at least this
+#: many bits, and so many that a bucket has some ROWS_PER_BUCKET rows, up to the other bound.
+HASH_BITS, LEAST_BITS, MOST_BITS, ROWS_PER_BUCKET = 60, 12, 24, 2_000
 #: The driver solves the flow over the patterns; more distinct ones than this raise an error.
 MOST_PATTERNS = 100_000
 
@@ -93,69 +96,111 @@ def min_cost_flow(sizes: list[int], members: list[tuple[int, ...]], quotas: list
     return [sum(cap[e ^ 1] for e in out[i] if not e % 2) for i in range(p)]
 
 
-def mix(docs: DataFrame, sources: Column, seed: int = SEED, repeats: int = MOST_REPEATS, weight=lambda i: 1 + i % 3) -> tuple[DataFrame, dict, dict]:
-    """``docs`` with size, pattern and taken, and each source's size and target.
+def _mixed(
+    docs: DataFrame, sources: Column, size: Column, seed: int, repeats: int, weight: Callable[[int], int]
+) -> tuple[DataFrame, dict, dict]:
+    """``docs`` with the struct ``__mix`` (size, pattern, taken), and each source's size and target.
 
-    ``sources`` is the array of the sources a row belongs to; a document may belong to several, and
-    then counts in each one's size.  The i-th source by code point (null last) weighs ``weight(i)``.
-    size is the number of words (null text: 0); taken the words that the mix takes, at most
-    ``repeats`` times size.  Documents are summed by membership pattern; the flow gives each pattern's
-    words; within a pattern all documents are read equally often, and those first by the seeded hash
-    once more, the last of them in part.  Rows that repeat a doc_id with one size share what falls to
-    them; an empty table gives an empty result; rows without source are not taken.
+    Columns of this function's own start with two underscores, so other names may clash with none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     member = F.array_sort(F.array_distinct(sources))
-    marked = docs.withColumn("size", words(F.col("text").cast("string"))).withColumn("pattern", F.to_json(member)).withColumn("__h", draw(F.col("doc_id"), seed))
-    marked = marked.withColumn("__bucket", F.shiftright("__h", 48).cast("int"))
-    narrow = scratch.keep(marked.select("doc_id", "pattern", "size", "__h", "__bucket"), "sizes")
-    sums = narrow.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    own = {"__size": size, "__pattern": F.to_json(member), "__h": draw(F.col("doc_id"), seed)}
+    marked = docs.withColumns(own).withColumn("__doc", F.col("doc_id").cast("long"))
+    narrow = scratch.keep(marked.select("__doc", "__pattern", "__size", "__h"), "sizes")
+    totals = [F.sum("__size").alias("size"), F.count("*").alias("rows")]
+    sums = narrow.groupBy("__pattern").agg(*totals).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
-    found = [{"pattern": r["pattern"], "size": r["size"], "sources": json.loads(r["pattern"] or "[]")} for r in sums]
+    found = [{"pattern": r["__pattern"], "size": r["size"], "sources": json.loads(r["__pattern"] or "[]")} for r in sums]
     found = sorted((r for r in found if r["sources"]), key=lambda r: r["pattern"])
     names = sorted({s for r in found for s in r["sources"]}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(r["size"] for r in found if s in r["sources"]) for s in names}
     total = sum(r["size"] for r in found)
-    goal = targets(sizes, {s: weight(i) for i, s in enumerate(names)}, repeats) if total else {s: 0.0 for s in names}
+    weights = {s: weight(i) for i, s in enumerate(names)}
+    goal = targets(sizes, weights, repeats) if total else {s: 0.0 for s in names}
     place = {s: i for i, s in enumerate(names)}
-    flow = min_cost_flow([r["size"] for r in found], [tuple(place[s] for s in r["sources"]) for r in found], [int(goal[s] + 0.5) for s in names], repeats)
-    plan = [(r["pattern"], a // r["size"] if r["size"] else 0, a % r["size"] if r["size"] else 0) for r, a in zip(found, flow)]
-    plan = spark.createDataFrame(plan, "pattern string, passes long, rest long")
-
-    by_bucket = narrow.groupBy("pattern", "__bucket").agg(F.sum("size").alias("s"))
-    run = by_bucket.selectExpr("pattern", "__bucket", "s", "sum(s) OVER (PARTITION BY pattern ORDER BY __bucket) - s AS before")
-    edge = run.join(F.broadcast(plan), "pattern").where("before <= rest AND before + s > rest")
-    edge = plan.join(edge.select("pattern", F.col("__bucket").alias("edge"), F.col("before").alias("at")), "pattern", "left")
+    members = [tuple(place[s] for s in r["sources"]) for r in found]
+    flow = min_cost_flow([r["size"] for r in found], members, [int(goal[s] + 0.5) for s in names], repeats)
+    plan = [(r["pattern"], *(divmod(a, r["size"]) if r["size"] else (0, 0))) for r, a in zip(found, flow)]
+    plan = spark.createDataFrame(plan, "__pattern string, __passes long, __rest long")
+
+    rows = max((r["rows"] for r in sums), default=0)
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, rows / ROWS_PER_BUCKET)))))
+    bucket = F.shiftright("__h", HASH_BITS - bits).cast("int")
+    marked, narrow = marked.withColumn("__bucket", bucket), narrow.withColumn("__bucket", bucket)
+    by_bucket = narrow.groupBy("__pattern", "__bucket").agg(F.sum("__size").alias("s"))
+    before = "sum(s) OVER (PARTITION BY __pattern ORDER BY __bucket) - s AS __at"
+    run = by_bucket.selectExpr("__pattern", "__bucket AS __edge", "s", before)
+    edge = run.join(F.broadcast(plan), "__pattern").where("__at <= __rest AND __at + s > __rest")
+    edge = plan.join(edge.select("__pattern", "__edge", "__at"), "__pattern", "left")
     edge = scratch.keep(edge.coalesce(1), "edge")
-    last = narrow.join(F.broadcast(edge), "pattern").where("__bucket = edge")
-    last = last.groupBy("pattern", "doc_id", "size", "__h", "rest", "at").agg(F.count("*").alias("n"))
-    order = "OVER (PARTITION BY pattern ORDER BY __h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    last = last.selectExpr("*", f"at + sum(size * n) {order} - size * n AS before")
-    last = last.select(F.col("pattern").alias("__p"), F.col("doc_id").alias("__d"), F.col("size").alias("__s"), F.floor(F.greatest(F.lit(0), F.least(F.col("rest") - F.col("before"), F.col("size") * F.col("n"))) / F.col("n")).alias("__part"))
-    last = scratch.keep(last.where("__part > 0"), "last")
-    out = marked.join(F.broadcast(edge), "pattern", "left")
-    out = out.join(last, (F.col("pattern") == F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__s")) & (F.col("__bucket") == F.col("edge")), "left")
-    more = F.when(F.col("__bucket") < F.coalesce("edge", F.lit(BUCKETS)), F.when(F.col("rest") > 0, F.col("size")).otherwise(0)).otherwise(F.coalesce("__part", F.lit(0)))
-    out = out.withColumn("taken", F.coalesce(F.col("passes") * F.col("size") + more, F.lit(0)).cast("long"))
-    return out.select(*docs.columns, "size", "pattern", "taken"), sizes, goal
+    last = narrow.join(F.broadcast(edge), "__pattern").where("__bucket = __edge")
+    last = last.groupBy("__pattern", "__doc", "__size", "__h", "__rest", "__at").agg(F.count("*").alias("n"))
+    order = "(PARTITION BY __pattern ORDER BY __h, __doc, __size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    last = last.selectExpr("*", f"__at + sum(__size * n) OVER {order} - __size * n AS before")
+    share = F.least(F.col("__rest") - F.col("before"), F.col("__size") * F.col("n"))
+    part = F.floor(F.greatest(F.lit(0), share) / F.col("n")).alias("__part")
+    names_of = {"__pattern": "__p", "__doc": "__d", "__size": "__s"}
+    last = last.select(*[F.col(c).alias(n) for c, n in names_of.items()], part).where("__part > 0")
+    last = scratch.keep(last, "last")
+    out = marked.join(F.broadcast(edge), "__pattern", "left")
+    same = (F.col("__pattern") == F.col("__p")) & F.col("__doc").eqNullSafe(F.col("__d"))
+    at_edge = (F.col("__size") == F.col("__s")) & (F.col("__bucket") == F.col("__edge"))
+    out = out.join(last, same & at_edge, "left")
+    first = F.col("__bucket") < F.coalesce("__edge", F.lit(1 << bits))
+    whole = F.when(F.col("__rest") > 0, F.col("__size")).otherwise(0)
+    more = F.when(first, whole).otherwise(F.coalesce("__part", F.lit(0)))
+    taken = F.coalesce(F.col("__passes") * F.col("__size") + more, F.lit(0)).cast("long")
+    mix = F.struct(F.col("__size").alias("size"), F.col("__pattern").alias("pattern"), taken.alias("taken"))
+    return out.select(*[F.col(c) for c in docs.columns], mix.alias("__mix")), sizes, goal
+
+
+def mix(
+    docs: DataFrame,
+    sources: Column,
+    seed: int = SEED,
+    repeats: int = MOST_REPEATS,
+    weight: Callable[[int], int] = lambda i: 1 + i % 3,
+    size: Column | None = None,
+) -> tuple[DataFrame, dict, dict]:
+    """``docs`` (doc_id, text, ...) with size, pattern and taken, and each source's size and target.
+
+    ``sources`` is the array of the sources a row belongs to; a document may belong to several, and
+    then counts in each one's size.  The i-th source by code point (null last) weighs ``weight(i)``.
+    size is the number of words (null text: 0) or what ``size`` says; taken the words that the mix takes, at
+    most ``repeats`` times size.  Documents are summed by membership pattern; the flow gives each pattern's
+    words; within a pattern all documents are read equally often, and those first by the seeded hash
+    once more, the last of them in part.
+
+    Rows that repeat a doc_id with one size share what falls to them; texts of any length count as they
+    are; an empty table gives an empty result; rows without source are not taken.  Columns named size, pattern
+    or taken are replaced, all others pass under any name that doesn't start with two underscores.
+    """
+    size = words(F.col("text").cast("string")) if size is None else size
+    out, sizes, goal = _mixed(docs, sources, size, seed, repeats, weight)
+    kept = [F.col(c) for c in docs.columns if c not in ("size", "pattern", "taken")]
+    return out.select(*kept, "__mix.*"), sizes, goal
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix reads it; one read by at least half counts as read whole."""
-    own = [c for c in docs.columns if c not in ("size", "pattern", "taken")]
-    out, _, _ = mix(docs.select(*own), F.array("source"), seed)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    size = words(F.col("text").cast("string"))
+    out, _, _ = _mixed(docs, F.array("source"), size, seed, MOST_REPEATS, lambda i: 1 + i % 3)
+    own, taken = F.col("__mix.size"), F.col("__mix.taken")
+    times = F.when(own > 0, F.floor(taken / own + 0.5)).otherwise(0).cast("int")
     out = out.withColumn("__times", times).where("__times > 0")
     out = out.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(docs.columns)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out, sizes, goal = mix(docs, F.array("source"))
-    known = spark.createDataFrame([(s, n, goal[s]) for s, n in sizes.items()], "name string, source_size long, target double")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    docs = Scratch(spark).keep(docs, "words")  # texts are read once
+    out, sizes, goal = mix(docs, F.array("source"), size=F.col("size"))
+    known = [(s, n, goal[s]) for s, n in sizes.items()]
+    known = spark.createDataFrame(known, "name string, source_size long, target double")
     out = out.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 

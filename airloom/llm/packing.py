@@ -22,7 +22,7 @@ GRAIN = 4
 #: Column generation ends when the bound from its prices is this close (or half a sequence), or after so many columns.
 GAP, MOST_COLUMNS = 1e-4, 1_500
 #: A worker keeps the ids of so many chunks; when full, it forgets the half that came last (frequent chunks come early).
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 250_000
 _RUN = re.compile(r"[^a-zA-Z0-9À-ÖØ-öø-ÿ \n\t\r][.,]")
 #: Chunks of printable ASCII and Latin letters, which no normalisation but lower case changes, and the tokenizer's own pattern for them.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")

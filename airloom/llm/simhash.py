@@ -127,7 +127,8 @@ def ball_links(fps: DataFrame, n_fps: int) -> DataFrame:
         outer = low.bitwiseOR(high).bitwiseOR(F.lit(b << REST))
         keys += [outer] + [outer.bitwiseXOR(F.lit(1 << j)) for j in range(REST)]
     n = max(partitions(fps.sparkSession), -(-n_fps * len(keys) // ROWS_PER_TASK))
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition(n, "key")
+    # spread before the explosion: the table of fingerprints is small, that of its keys isn't
+    dealt = fps.repartition(n).select("fp", F.explode(F.array(*keys)).alias("key")).repartition(n, "key")
 
     @frugal
     def run(batches):

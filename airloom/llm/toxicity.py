@@ -15,12 +15,10 @@ from .common import Scratch, frugal, release_memory, table, text_batches
 
 #: At most so many labelled rows are fitted on: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: At most so many features have a weight: those with the highest likelihood ratio among the toxic-leaning ones.
-FEATURES = 4_096
+#: A feature has a weight if toxic and clean texts differ in it by this likelihood ratio, and it is so many times as
+#: frequent among toxic ones.
 LEAST_RATIO, LEAST_LIFT = 15.0, 4.0
 PREFIXES = (4, 5, 6)
-#: Occurrences of toxic-leaning words from which a toxic text counts as grade 2 and as grade 3.
-GRADES = (3, 8)
 L2 = 2e-5
 _WORD = re.compile(r"\w+")
 
@@ -63,54 +61,63 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, l2: float = L2, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def loss(
+    x: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, l2: float
+) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log-likelihood of grades, and its gradient.
+
+    ``x``: the weights, the first threshold, and the logarithms of the gaps to the next ones, so thresholds
+    increase.  Features are sparse: row, column and value.
+    """
+    n, k = len(grade), len(x) - n_features
+    w, t = x[:n_features], x[n_features] + np.r_[0, np.cumsum(np.exp(x[n_features + 1 :]))]
+    s = np.bincount(row, w[col] * value, n)
+    lower = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(s[:, None] - t, -60, 60))), np.zeros(n)]  # P(grade >= j)
+    at = np.arange(n)
+    p = np.maximum(lower[at, grade] - lower[at, grade + 1], 1e-12)
+    d = lower * (1 - lower)
+    ds = -(d[at, grade] - d[at, grade + 1]) / p / n
+    dt = np.bincount(grade, d[at, grade] / p / n, k + 2) + np.bincount(grade + 1, -d[at, grade + 1] / p / n, k + 2)
+    tail = np.cumsum(dt[1 : k + 1][::-1])[::-1]
+    slope = np.bincount(col, ds[row] * value, n_features) + 2 * l2 * w
+    return -np.log(p).mean() + l2 * (w * w).sum(), np.r_[slope, tail[0], tail[1:] * np.exp(x[n_features + 1 :])]
+
+
+def fit(
+    row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, l2: float = L2, steps: int = 300
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds that maximise the penalised likelihood, by L-BFGS from zero."""
-    k, n = int(grade.max()), len(grade)
+    k = int(grade.max())
     above = np.array([(grade > j).mean() for j in range(k)])
     start = np.log((1 - above) / np.maximum(above, 1e-6))
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
     x = np.r_[np.zeros(n_features), start[0], gaps]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-
-    def loss(x):
-        w, t = x[:n_features], x[n_features] + np.r_[0, np.cumsum(np.exp(x[n_features + 1 :]))]
-        s = np.bincount(row, w[col] * value, n)
-        lower = np.c_[np.ones(n), sig(s[:, None] - t), np.zeros(n)]  # P(grade >= j)
-        at = np.arange(n)
-        p = np.maximum(lower[at, grade] - lower[at, grade + 1], 1e-12)
-        d = lower * (1 - lower)
-        ds = -(d[at, grade] - d[at, grade + 1]) / p / n
-        dt = np.zeros(k + 2)
-        np.add.at(dt, grade, d[at, grade] / p / n)
-        np.add.at(dt, grade + 1, -d[at, grade + 1] / p / n)
-        dt = dt[1 : k + 1]
-        tail = np.cumsum(dt[::-1])[::-1]
-        g = np.r_[np.bincount(col, ds[row] * value, n_features) + 2 * l2 * w, tail[0], tail[1:] * np.exp(x[n_features + 1 :])]
-        return -np.log(p).mean() + l2 * (w @ w), g
-
-    f, g = loss(x)
+    dot = lambda a, b: float((a * b).sum())  # no threaded library in the driver
+    at = lambda x: loss(x, row, col, value, grade, n_features, l2)
+
+    f, g = at(x)
     memory: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         q, alphas = g.copy(), []
         for s, y in reversed(memory):
-            alphas.append((s @ q) / (s @ y))
+            alphas.append(dot(s, q) / dot(s, y))
             q -= alphas[-1] * y
         if memory:
             s, y = memory[-1]
-            q *= (s @ y) / (y @ y)
+            q *= dot(s, y) / dot(y, y)
         for (s, y), a in zip(memory, reversed(alphas)):
-            q += s * (a - (y @ q) / (s @ y))
+            q += s * (a - dot(y, q) / dot(s, y))
         step = 1.0 if memory else min(1.0, 1 / max(np.abs(g).max(), 1e-12))
         while step > 1e-10:
             new = x - step * q
-            f2, g2 = loss(new)
-            if f2 <= f - 1e-4 * step * (g @ q):
+            f2, g2 = at(new)
+            if f2 <= f - 1e-4 * step * dot(g, q):
                 break
             step /= 2
         else:
             break
         s, y = new - x, g2 - g
-        if s @ y > 1e-12:
+        if dot(s, y) > 1e-12:
             memory = [*memory[-9:], (s, y)]
         done = abs(f - f2) < 1e-9
         x, f, g = new, f2, g2
@@ -119,25 +126,39 @@ def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray,
     return x[:n_features], x[n_features] + np.r_[0, np.cumsum(np.exp(x[n_features + 1 :]))]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on at most ``sample_rows`` labelled documents.
-
-    Labels say toxic or not (null labels are left out; a doc_id labelled twice counts as toxic if any
-    label says so).  A toxic text's severity grade follows the occurrences of toxic-leaning features:
-    1 below GRADES[0], 2 below GRADES[1], else 3.  Without labels of both kinds the model has no
-    weight and finds nothing toxic.  The driver gets at most FEATURES features and, for each sampled
-    row, the counts of those it has.
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = SAMPLE_ROWS,
+    least_ratio: float = LEAST_RATIO,
+    least_lift: float = LEAST_LIFT,
+) -> OrdinalModel:
+    """Fit on at most ``sample_rows`` labelled documents (labels: doc_id, toxic and, if there, quality).
+
+    The ordered grades are those of the labels: 0 for texts that aren't toxic, 1 for toxic ones, 2 for toxic
+    ones of low quality.  Null toxic labels are left out; a doc_id labelled twice is toxic if any label says
+    so, and of low quality if any says so; without quality there are two grades.  Of rows that repeat a doc_id
+    the text with the smallest hash counts, so the bound holds.  Without labels of both kinds the model has no
+    weight and finds nothing toxic.  The driver gets the features that tell the kinds apart (``least_ratio``,
+    ``least_lift``) and, for each sampled row, the counts of those it has.
     """
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
     none = OrdinalModel({}, (60.0,))
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    poor = F.col("quality") <= 0 if "quality" in labels.columns else F.lit(False)
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    low = F.max(F.coalesce(poor, F.lit(False)))
+    known = known.agg((F.max("toxic") > 0).alias("toxic"), low.alias("poor"))
+    known = known.withColumn("grade", F.when(F.col("toxic"), F.when(F.col("poor"), 2).otherwise(1)).otherwise(0))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "toxic", "grade")
     scratch = Scratch(spark)
     sample = scratch.keep(sample, "labels")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    rows = scratch.keep(rows.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
+    rows = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "grade")
+    rows = rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")).drop("doc_id")
+    rows = scratch.keep(rows, "labelled")
     if rows.isEmpty():
+        scratch.drop(sample, rows)
         return none
 
     @frugal
@@ -158,14 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
+        scratch.drop(sample, rows)
         return none
     seen = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     share = n1 / (n0 + n1)
     term = lambda a, e: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / ((F.col("t") + F.col("c")) * e))).otherwise(0.0)
     ranked = seen.where("t >= 3").withColumn("ratio", 2 * (term("t", share) + term("c", 1 - share)))
-    ranked = ranked.where((F.col("ratio") >= LEAST_RATIO) & (F.col("t") / n1 >= LEAST_LIFT * F.col("c") / n0))
-    names = [r["feature"] for r in ranked.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()]
+    ranked = ranked.where((F.col("ratio") >= least_ratio) & (F.col("t") / n1 >= least_lift * F.col("c") / n0))
+    names = [r["feature"] for r in ranked.orderBy(F.desc("ratio"), "feature").select("feature").collect()]
     if not names:
+        scratch.drop(sample, rows)
         return none
     index = {f: i for i, f in enumerate(names)}
 
@@ -177,14 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 own = {index[f]: c for f, c in features(counts(text)).items() if f in index}
                 ids.append(list(own))
                 occ.append(list(own.values()))
-            yield pa.record_batch({"toxic": batch.column("toxic"), "ids": pa.array(ids, pa.list_(pa.int32())), "occ": pa.array(occ, pa.list_(pa.int32()))})
+            cols = {"ids": pa.array(ids, pa.list_(pa.int32())), "occ": pa.array(occ, pa.list_(pa.int32()))}
+            yield pa.record_batch({"grade": batch.column("grade"), **cols})
 
-    got = rows.mapInArrow(project, "toxic boolean, ids array<int>, occ array<int>").toPandas()
+    got = rows.mapInArrow(project, "grade int, ids array<int>, occ array<int>").toPandas()
     scratch.drop(sample, rows)
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (bool(got.toxic[i]), sorted(zip(got.ids[i], got.occ[i]))))]
-    words = np.array([not f.endswith("*") for f in names])
-    hits = np.array([sum(int(c) for i, c in zip(ids, occ) if words[i]) for ids, occ in zip(got.ids, got.occ)])
-    grade = np.where(got.toxic.to_numpy(bool), 1 + sum((hits >= g).astype(int) for g in GRADES), 0)
+    order = sorted(range(len(got)), key=lambda i: (int(got.grade[i]), sorted(zip(got.ids[i], got.occ[i]))))
+    got = got.iloc[order]
+    grade = got.grade.to_numpy(np.int64)
     grade = np.searchsorted(np.unique(grade), grade)  # no empty grade
     row = np.repeat(np.arange(len(got)), [len(x) for x in got.ids])
     col = np.concatenate([np.asarray(x, np.int64) for x in got.ids])

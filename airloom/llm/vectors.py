@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, connected_components, local_components, table
 
 LEAST_COSINE = 0.98
-#: Centroids are fitted on at most so many distinct vectors, those with the smallest hash.
-SAMPLE_ROWS = 8_192
-SHARD_ROWS, MOST_CLUSTERS = 1_000, 4_096
+#: Two partners of one row are this near at least: twice the angle.
+BRIDGE_COSINE = 2 * LEAST_COSINE**2 - 1
+#: A shard with more rows is split again, by so many centroids at most, each fitted on about so many of its rows.
+SHARD_ROWS, MOST_CENTROIDS, ROWS_PER_CENTROID, MOST_LEVELS = 1_000, 64, 32, 12
+#: Rows that one task assigns to centroids.
+ASSIGNED_ROWS = 20_000
 CANDIDATES, DEGREE, ALPHA = 64, 24, 1.2
 BEAM, QUERIES = 32, 256
 #: The side of a block where all pairs are compared.
 BLOCK_ROWS = 2_048
-#: A query with more hits than this is compared with its whole shard.
+#: A query with more hits than this is compared with its whole shard, which finds no less and is faster.
 DENSE = 128
-#: Recall is audited on so many vectors against all; below the least, shards overlap more, and at last all pairs are compared.
-AUDIT_ROWS, LEAST_RECALL, OVERLAPS = 256, 0.97, (2, 4, 8)
+#: Recall is audited on so many vectors against all; a label below the least is done again with shards that overlap
+#: more, and at last by comparing all its pairs.
+AUDIT_ROWS, LEAST_RECALL, OVERLAPS = 256, 0.97, (2, 4)
+log = logging.getLogger(__name__)
 
 
-def unit_vectors(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit_vectors(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    """Rows of length one in double precision from vectors' bytes; ``kind`` is the type of their numbers."""
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def number_kind(vectors: DataFrame) -> str:
+    """Single-precision vectors are carried as such, all others in double precision."""
+    own = vectors.schema["embedding"].dataType
+    return "<f4" if isinstance(own, T.ArrayType) and isinstance(own.elementType, T.FloatType) else "<f8"
+
+
 def valid_rows(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, raw): float64 bytes of the vector; null if the vector or label can't link."""
+    """(vec_id, label, raw): the vector's bytes; null if the vector or label can't link."""
+    kind = number_kind(vectors)
 
     def run(batches):
         for batch in batches:
@@ -38,16 +54,17 @@ def valid_rows(vectors: DataFrame) -> DataFrame:
             for label, v in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist()):
                 ok = label is not None and bool(v) and None not in v
                 x = np.array(v, np.float64) if ok else None
-                out.append(x.tobytes() if ok and np.isfinite(x).all() and 0 < x @ x < np.inf else None)
-            yield pa.record_batch([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "raw"])
+                fit = ok and np.isfinite(x).all() and 0 < x @ x < np.inf
+                out.append(x.astype(kind).tobytes() if fit else None)
+            cols = [batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())]
+            yield pa.record_batch(cols, names=["vec_id", "label", "raw"])
 
-    plain = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
-    return plain.mapInArrow(run, "vec_id long, label string, raw binary")
+    own = [F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")]
+    return vectors.select(*own).mapInArrow(run, "vec_id long, label string, raw binary")
 
 
-def centroids(sample: list[bytes], k: int, steps: int = 10) -> np.ndarray:
+def centroids(x: np.ndarray, k: int, steps: int = 10) -> np.ndarray:
     """Spherical k-means from evenly spaced rows of the sample."""
-    x = unit_vectors(sample)
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
     for _ in range(steps):
         near = (x @ c.T).argmax(axis=1)
@@ -58,6 +75,64 @@ def centroids(sample: list[bytes], k: int, steps: int = 10) -> np.ndarray:
     return c
 
 
+def shards(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> DataFrame:
+    """(node, raw, shard, home): every node in the shards of its ``overlap`` nearest centroids, one of them its home.
+
+    A label's vectors of one length are a shard; a shard over SHARD_ROWS is split by centroids fitted on a
+    sample of its own rows, and so on.  Centroids are dealt to the tasks that assign a shard's rows, of which
+    there are as many as the shard needs; nothing of this reaches the driver.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = centroids(unit_vectors(pdf.sort_values("raw").raw.tolist(), kind), int(pdf.k.iloc[0]))
+        return pd.DataFrame({"shard": pdf.shard.iloc[0], "place": range(len(c)), "centre": [r.tobytes() for r in c]})
+
+    def assign(rows: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(c):
+            return pd.DataFrame({"node": [], "raw": [], "parent": [], "place": [], "home": []})
+        c = c.sort_values("place")
+        centres = np.frombuffer(b"".join(c.centre), np.float64).reshape(len(c), -1)
+        sim = unit_vectors(rows.raw.tolist(), kind) @ centres.T
+        near = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
+        m = near.shape[1]
+        first = np.arange(near.size) % m == 0
+        return pd.DataFrame(
+            {
+                "node": np.repeat(rows.node.to_numpy(), m),
+                "raw": np.repeat(rows.raw.to_numpy(object), m),
+                "parent": np.repeat(rows.shard.to_numpy(), m),
+                "place": near.ravel(),
+                "home": np.repeat(rows.home.to_numpy(bool), m) & first,
+            }
+        )
+
+    start = F.xxhash64("label", F.length("raw")).alias("shard")
+    live, done = nodes.select("node", "raw", start, F.lit(True).alias("home")), []
+    for level in range(MOST_LEVELS):
+        size = live.groupBy("shard").count().where(F.col("count") > SHARD_ROWS)
+        wish = F.ceil(F.col("count") * (2 * overlap) / SHARD_ROWS)
+        k = F.least(F.lit(MOST_CENTROIDS), F.greatest(F.lit(4 * overlap), wish)).cast("int").alias("k")
+        big = scratch.keep(size.select("shard", "count", k), "big")
+        if big.isEmpty():
+            break
+        done.append(live.join(big.select("shard"), "shard", "left_anti").select("node", "raw", "shard", "home"))
+        part = live.join(big, "shard")
+        draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
+        sample = part.where(draw < F.col("k") * ROWS_PER_CENTROID / F.col("count")).select("shard", "raw", "k")
+        centres = sample.groupBy("shard").applyInPandas(fit, "shard long, place int, centre binary")
+        tasks = F.ceil(F.col("count") / ASSIGNED_ROWS).cast("int")
+        salted = part.select("node", "raw", "shard", "home", F.pmod(F.xxhash64("node"), tasks).cast("int").alias("salt"))
+        dealt = centres.join(big.select("shard", tasks.alias("n")), "shard")
+        dealt = dealt.select("shard", "place", "centre", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+        both = salted.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt"))
+        schema = "node long, raw binary, parent long, place int, home boolean"
+        split = both.applyInPandas(assign, schema).withColumn("shard", F.xxhash64("parent", "place", F.lit(level)))
+        live = scratch.keep(split.select("node", "raw", "shard", "home"), "shards")
+    for part in done:
+        live = live.unionByName(part)
+    return live
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """Neighbours of each row (-1: none): nearest first, leaving out whoever a chosen one is ALPHA times nearer to."""
     n = len(x)
@@ -85,24 +160,28 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     return out
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float = LEAST_COSINE):
-    """For blocks of rows as queries: (first row, hits), where hits marks rows at cosine ``least`` or more.
+def range_search(
+    x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray | None = None, least: float = LEAST_COSINE
+):
+    """For blocks of ``queries`` (row numbers, all by default): (row numbers, hits), hits marking rows at ``least`` or more.
 
-    A beam search walks greedily from the medoid and the query's own row; then every hit's neighbours are looked at until no
-    new hit comes.  A query with over DENSE hits is compared with all rows instead.
+    A beam search walks greedily from the medoid and the query's own row; then every hit's neighbours are
+    looked at until no new hit comes.  A query with over DENSE hits is compared with all rows instead.
     """
     n = len(x)
-    for a in range(0, n, QUERIES):
-        q = x[a : a + QUERIES]
+    queries = np.arange(n) if queries is None else queries
+    for a in range(0, len(queries), QUERIES):
+        own = queries[a : a + QUERIES]
+        q = x[own]
         m, rows = len(q), np.arange(len(q))
         seen, opened, hit = np.zeros((m, n), bool), np.zeros((m, n), bool), np.zeros((m, n), bool)
         ids, sim = np.full((m, BEAM), start), np.full((m, BEAM), -np.inf)
         sim[:, 0] = q @ x[start]
         seen[:, start] = True
         hit[:, start] = sim[:, 0] >= least
-        other = a + rows != start
-        ids[other, 1], sim[other, 1] = a + rows[other], 1.0
-        seen[rows, a + rows], hit[rows, a + rows] = True, True
+        other = own != start
+        ids[other, 1], sim[other, 1] = own[other], 1.0
+        seen[rows, own], hit[rows, own] = True, True
         done = np.isinf(sim)
         while not done.all():
             at = np.where(done, -np.inf, sim).argmax(axis=1)
@@ -136,22 +215,30 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float = LE
             rr, nn = pair // n, pair % n
             seen[rr, nn] = True
             hit[rr, nn] = np.einsum("nd,nd->n", q[rr], x[nn]) >= least
-        yield a, hit
+        yield own, hit
+
+
+def _graph_of(kind: str):
+    """A shard's pruned graph as lists of edges in both directions, those to near rows apart as ``bridges``."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = unit_vectors(pdf.raw.tolist(), kind), pdf.node.to_numpy(np.int64)
+        near = robust_prune(x)
+        back = [[] for _ in ids]
+        for i, row in enumerate(near):
+            for j in row[row >= 0]:
+                back[j].append(i)
+        lists, bridges = [], []
+        for i, (row, b) in enumerate(zip(near, back)):
+            own = np.unique(np.r_[row[row >= 0], np.array(b[:DEGREE], np.int64)])
+            lists.append(ids[own].tolist())
+            bridges.append(ids[own[x[own] @ x[i] >= BRIDGE_COSINE]].tolist())
+        return pd.DataFrame({"node": ids, "near": lists, "bridges": bridges})
 
-def _graph_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = unit_vectors(pdf.raw.tolist())
-    ids = pdf.node.to_numpy(np.int64)
-    near = robust_prune(x)
-    back = [[] for _ in ids]
-    for i, row in enumerate(near):
-        for j in row[row >= 0]:
-            back[j].append(i)
-    out = [ids[np.unique(np.r_[row[row >= 0], np.array(b[:DEGREE], np.int64)])].tolist() for row, b in zip(near, back)]
-    return pd.DataFrame({"node": ids, "near": out})
+    return run
 
 
-def _exact(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _exact(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
     """(node, pairs, links, root) from all pairs of a label, compared in blocks of bounded size."""
     size = nodes.groupBy("label", F.length("raw").alias("bytes")).count().withColumn("n", F.ceil(F.col("count") / BLOCK_ROWS).cast("int"))
     dealt = nodes.withColumn("bytes", F.length("raw")).join(F.broadcast(size.select("label", "bytes", "n")), ["label", "bytes"])
@@ -164,7 +251,8 @@ def _exact(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"node": [], "pairs": [], "links": [], "root": []}).astype("int64")
         ids, own, copies = q.node.to_numpy(np.int64), r.node.to_numpy(np.int64), r.copies.to_numpy(np.int64)
-        hit = (unit_vectors(q.raw.tolist()) @ unit_vectors(r.raw.tolist()).T >= LEAST_COSINE) & (ids[:, None] != own[None, :])
+        cosine = unit_vectors(q.raw.tolist(), kind) @ unit_vectors(r.raw.tolist(), kind).T
+        hit = (cosine >= LEAST_COSINE) & (ids[:, None] != own[None, :])
         u, v = np.nonzero(hit)
         nodes, root = local_components(np.r_[ids[u], ids], np.r_[own[v], ids])
         to = pd.Series(root, index=nodes)
@@ -177,72 +265,78 @@ def _exact(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(out, "links")
 
 
-def _links_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    ids, n = pdf.node.to_numpy(np.int64), len(pdf)
-    x, copies, shard = unit_vectors(pdf.raw.tolist()), pdf.copies.to_numpy(np.int64), int(pdf["shard"].iloc[0])
-    inside = []
-    for near in pdf.near:
-        near = np.asarray(near, np.int64)
-        at = np.minimum(np.searchsorted(ids, near), n - 1)
-        inside.append(at[ids[at] == near])
-    graph = np.full((n, max([1, *map(len, inside)])), -1, np.int64)
-    for i, near in enumerate(inside):
-        graph[i, : len(near)] = near
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    hits = np.zeros((n, n), bool)
-    for a, hit in range_search(x, graph, medoid):
-        hits[a : a + len(hit)] = hit
-    hits |= hits.T
-    hits[np.arange(n), np.arange(n)] = False
-    u, v = np.nonzero(np.triu(hits))
-    nodes, root = local_components(ids[u], ids[v])
-    # a pair that shares several shards counts in the first of them
-    other = np.zeros((n, n), bool)
-    member = pdf["shards"].map(set).tolist()
-    for s in sorted({s for m in member for s in m if s < shard}):
-        has = np.array([s in m for m in member])
-        other |= has[:, None] & has[None, :]
-    counted = hits & ~other
-    to = pd.Series(root, index=nodes).reindex(ids)
-    return pd.DataFrame({"node": ids, "pairs": counted.sum(axis=1), "links": counted @ copies, "root": to.fillna(pd.Series(ids, index=ids)).astype(np.int64).to_numpy()})
-
-
-def _search(nodes: DataFrame, scratch: Scratch, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """(node, pairs, links, root) from every shard that a node is in."""
-
-    def assign(batches):
-        for batch in batches:
-            dims = np.array([len(r) // 8 for r in batch.column("raw").to_pylist()])
-            out: list[list[int]] = [[0]] * len(dims)
-            for d in np.unique(dims):
-                c, own = centres.get(int(d)), np.flatnonzero(dims == d)
-                if c is not None and len(c) > 1:
-                    k = min(overlap, len(c))
-                    near = np.argpartition(-(unit_vectors([batch.column("raw")[int(i)].as_py() for i in own]) @ c.T), k - 1, axis=1)[:, :k]
-                    for i, row in zip(own, near):
-                        out[i] = sorted(row.tolist())
-            yield pa.record_batch([*batch.columns, pa.array(dims, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "dim", "shards"])
-
-    dealt = nodes.select("node", "label", "copies", "raw").mapInArrow(assign, "node long, label string, copies long, raw binary, dim long, shards array<long>")
-    dealt = scratch.keep(dealt.withColumn("shard", F.explode("shards")), "shards")
-    key = ["label", "dim", "shard"]
-    graph = dealt.select(*key, "node", "raw").groupBy(*key).applyInPandas(_graph_of, "node long, near array<long>")
-    union = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    out = dealt.join(union, "node").groupBy(*key).applyInPandas(_links_of, "node long, pairs long, links long, root long")
-    return scratch.keep(out, "links")
+def _links_of(kind: str):
+    """Links of a shard's home rows, found in the shard and its surroundings."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        ids, n = pdf.node.to_numpy(np.int64), len(pdf)
+        x, copies = unit_vectors(pdf.raw.tolist(), kind), pdf.copies.to_numpy(np.int64)
+        inside = []
+        for near in pdf.near:
+            near = np.asarray(near, np.int64)
+            at = np.minimum(np.searchsorted(ids, near), n - 1)
+            inside.append(at[ids[at] == near])
+        graph = np.full((n, max([1, *map(len, inside)])), -1, np.int64)
+        for i, near in enumerate(inside):
+            graph[i, : len(near)] = near
+        members = np.flatnonzero(pdf.member.to_numpy(bool))
+        medoid = int(members[(x[members] @ x[members].mean(axis=0)).argmax()])
+        queries, out, us, vs = np.flatnonzero(pdf.home.to_numpy(bool)), [], [], []
+        for own, hit in range_search(x, graph, medoid, queries):
+            hit[np.arange(len(own)), own] = False
+            out.append(pd.DataFrame({"node": ids[own], "pairs": hit.sum(axis=1), "links": hit @ copies}))
+            u, v = np.nonzero(hit)
+            nodes, root = local_components(own[u], v)
+            us.append(nodes)
+            vs.append(root)
+        if not out:
+            return pd.DataFrame({"node": [], "pairs": [], "links": [], "root": []}).astype("int64")
+        nodes, root = local_components(np.concatenate(us), np.concatenate(vs))
+        to = pd.Series(ids[root], index=ids[nodes])
+        count = pd.concat(out)
+        count["root"] = to.reindex(count.node).fillna(pd.Series(count.node.to_numpy(), index=count.node)).to_numpy()
+        there = np.setdiff1d(ids[nodes], count.node)
+        rest = pd.DataFrame({"node": there, "pairs": 0, "links": 0, "root": to.reindex(there).to_numpy()})
+        return pd.concat([count, rest]).astype("int64")
+
+    return run
+
 
+def _search(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> DataFrame:
+    """(node, pairs, links, root): each node asks once, in its home shard.
 
-def _recall(nodes: DataFrame, found: DataFrame) -> float:
-    """Share of the links of AUDIT_ROWS nodes (smallest hashes) against all rows that was found."""
+    Shards' graphs are united by node.  A shard's search also has the rows that edges to near rows lead to
+    from its members, with their own edges, so it follows the united graph beyond the shard.
+    """
+    dealt = scratch.keep(shards(nodes, scratch, kind, overlap), "members")
+    graph = dealt.select("shard", "node", "raw").groupBy("shard")
+    graph = graph.applyInPandas(_graph_of(kind), "node long, near array<long>, bridges array<long>")
+    both = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "bridges")]
+    united = scratch.keep(graph.groupBy("node").agg(*both), "graph")
+    members = dealt.select("shard", "node", "home")
+    reached = members.join(united.select("node", "bridges"), "node")
+    reached = reached.select("shard", F.explode("bridges").alias("node")).distinct()
+    around = reached.join(members.select("shard", "node"), ["shard", "node"], "left_anti")
+    places = members.withColumn("member", F.lit(True)).unionByName(
+        around.select("shard", "node", F.lit(False).alias("home"), F.lit(False).alias("member"))
+    )
+    known = nodes.select("node", "raw", "copies").join(united.select("node", "near"), "node")
+    found = places.join(known, "node").groupBy("shard")
+    found = found.applyInPandas(_links_of(kind), "node long, pairs long, links long, root long")
+    return scratch.keep(found, "links")
+
+
+def _recall(nodes: DataFrame, found: DataFrame, kind: str) -> dict[str, float]:
+    """By label, the share of the links of AUDIT_ROWS nodes (smallest hashes) against all rows that was found."""
     asked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT_ROWS).select("node", "label", "raw").collect()
     keys = np.array([r["node"] for r in asked], np.int64)
     groups: dict[tuple, list[int]] = {}
     for i, r in enumerate(asked):
         groups.setdefault((r["label"], len(r["raw"])), []).append(i)
-    vectors = {k: unit_vectors([asked[i]["raw"] for i in own]) for k, own in groups.items()}
 
     def count(batches):
+        vectors = {k: unit_vectors([asked[i]["raw"] for i in own], kind) for k, own in groups.items()}
         total = np.zeros(len(keys), np.int64)
         for batch in batches:
             rows: dict[tuple, list[bytes]] = {}
@@ -250,12 +344,47 @@ def _recall(nodes: DataFrame, found: DataFrame) -> float:
                 if (label, len(raw)) in groups:
                     rows.setdefault((label, len(raw)), []).append(raw)
             for k, own in rows.items():
-                total[groups[k]] += (vectors[k] @ unit_vectors(own).T >= LEAST_COSINE).sum(axis=1)
+                total[groups[k]] += (vectors[k] @ unit_vectors(own, kind).T >= LEAST_COSINE).sum(axis=1)
         yield pa.record_batch({"node": pa.array(keys), "n": pa.array(total)})
 
-    exact = nodes.select("label", "raw").mapInArrow(count, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("n"))
-    r = exact.join(found.groupBy("node").agg(F.sum("pairs").alias("pairs")), "node").agg(F.sum("n"), F.sum("pairs")).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    exact = nodes.select("label", "raw").mapInArrow(count, "node long, n long").groupBy("node")
+    exact = exact.agg((F.sum("n") - 1).alias("n"))
+    own = found.join(F.broadcast(exact.select("node")), "node").groupBy("node").agg(F.sum("pairs").alias("pairs"))
+    got = {r["node"]: (r["n"], r["pairs"] or 0) for r in exact.join(own, "node", "left").collect()}
+    sums: dict[str, list[int]] = {}
+    for r in asked:
+        n, pairs = got[r["node"]]
+        total = sums.setdefault(r["label"], [0, 0])
+        total[0] += n
+        total[1] += min(n, pairs)
+    return {label: pairs / n if n else 1.0 for label, (n, pairs) in sums.items()}
+
+
+def _found(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
+    """(node, pairs, links, root) of all nodes, with audited recall; the exact way for labels that stay below it."""
+    done, left = [], nodes
+    for overlap in OVERLAPS:
+        found = _search(left, scratch, kind, overlap)
+        recall = _recall(left, found, kind)
+        poor = sorted(label for label, r in recall.items() if r < LEAST_RECALL)
+        log.info("overlap %d: recall by label %s", overlap, recall)
+        if not poor:
+            return _union([*done, found])
+        again = left.where(F.col("label").isin(poor))
+        if len(poor) < len(recall):
+            done.append(found.join(again.select("node"), "node", "left_anti"))
+        else:  # every audited label is poor, so those that weren't audited are taken for poor as well
+            again = left
+        left = again
+    log.info("all pairs of %s", "the labels left" if done else "every label")
+    return _union([*done, _exact(left, scratch, kind)])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -268,39 +397,37 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     component_id the smallest vec_id reachable, kept whether that is the row's own.  Rows that repeat
     a vec_id count each; a row without vec_id gets its component's smallest; no rows give no rows.
 
-    Nodes go to the shards of their nearest centroids within their label.  Each shard gives a pruned
-    graph; a node's lists are united over its shards; every node then searches each of its shards.
-    A shard counts and links, so pairs never leave it.  If the audited recall stays below LEAST_RECALL,
-    all pairs of a label are compared.
+    Nodes go to the shards of their nearest centroids within their label.  Each shard gives a pruned graph;
+    a node's edges are united over its shards; every node then searches from its home shard's medoid and
+    its own row over the united graph (see ``_search``).  Recall is always audited and logged; where it is
+    below LEAST_RECALL, all pairs of a label are compared in blocks at last.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
+    kind = number_kind(vectors)
     rows = scratch.keep(valid_rows(vectors), "rows")
     usable = rows.where("raw IS NOT NULL")
     nodes = usable.groupBy("label", "raw").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = scratch.keep(nodes.withColumn("node", F.xxhash64("label", "raw")), "nodes")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    sample = [r["raw"] for r in nodes.orderBy("node").limit(SAMPLE_ROWS).select("raw").collect()]
-    for overlap in OVERLAPS:
-        k = min(MOST_CLUSTERS, -(-largest * overlap // SHARD_ROWS))
-        by_dim: dict[int, list[bytes]] = {}
-        for raw in sample:
-            by_dim.setdefault(len(raw) // 8, []).append(raw)
-        found = _search(nodes, scratch, {d: centroids(own, k) for d, own in by_dim.items()}, overlap)
-        if _recall(nodes, found) >= LEAST_RECALL:
-            break
-    else:
-        found = _exact(nodes, scratch)
+    found = _found(nodes, scratch, kind)
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     count = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("label", "raw", "node", "first", "copies", F.xxhash64("node").alias("name")).join(count, "node", "left")
-    named = named.join(comp.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    named = nodes.select("label", "raw", "node", "first", "copies", F.xxhash64("node").alias("name"))
+    named = named.join(count, "node", "left")
+    roots = comp.select(F.col("node").alias("name"), "root")
+    named = named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     named = scratch.keep(named, "named")
     low = named.groupBy("root").agg(F.min("first").alias("component"))
-    final = named.join(low, "root").select("label", "raw", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")
+    final = named.join(low, "root").select("label", "raw", "component", links)
     out = rows.join(final, ["label", "raw"], "left")
     component = F.when(F.col("raw").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+    )
 
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,31 @@ def test_clouds_without_bridges_are_linked(spark):
 
 def test_all_pairs_are_compared_when_recall_stays_low(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
-    monkeypatch.setattr(vectors, "_recall", lambda nodes, found: 0.0)
+    monkeypatch.setattr(vectors, "_recall", lambda nodes, *a: {"1": 0.0})
     monkeypatch.setattr(vectors, "_search", lambda nodes, *a: nodes.selectExpr("node", "0L AS pairs", "0L AS links", "node AS root"))
     linked(spark, clouds(3, 60, 16, 2))
+
+
+def test_shards_are_bounded_and_recall_is_audited(spark, monkeypatch, caplog):
+    """Many small shards, several labels, and clouds that lie across shards."""
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vectors, "ASSIGNED_ROWS", 100)
+    caplog.set_level("INFO", logger="airloom.llm.vectors")
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([clouds(9, 30, 24, 5), rnd.normal(size=(300, 24)), clouds(30, 6, 24, 6)])
+    label = [int(i % 2) for i in range(len(x))]
+    rows = [(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, label))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    scratch = vectors.Scratch(spark)
+    nodes = d.selectExpr("vec_id AS node", "CAST(label AS STRING) AS label", "embedding")
+    raw = {r.vec_id: r.raw for r in vectors.valid_rows(d).collect()}
+    nodes = spark.createDataFrame([(i, str(y), bytes(raw[i])) for i, y in enumerate(label)], "node long, label string, raw binary")
+    dealt = vectors.shards(nodes, scratch, "<f4", 2).toPandas()
+    assert dealt.groupby("shard").size().max() <= 60 and sorted(dealt[dealt.home].node) == list(range(len(x)))
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(d).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
+    want = near.sum(axis=1) - 1
+    assert sum(got.values()) >= 0.97 * want.sum() and all(got[i] <= want[i] for i in got)
+    assert "recall by label" in caplog.text
