@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 SHORT_LINE, REPEATED_SHARE = 80, 0.5
 LEAST_WORDS = 30
-STRETCH = 4096
+STRETCH, PAGE_BLOCK = 4096, 10_000
 LINE_END = "\r\n|\n|\r"
 # Chunk sizes and overlaps in tokens: by default, and the least and greatest size.
 CHUNK_TOKENS, OVERLAP_TOKENS = 800, 100
@@ -177,11 +179,15 @@ def chunk_positions(chunks: DataFrame, corpora: DataFrame) -> DataFrame:
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
-    """Each page's half-open span in the document's joined, space-normalised text."""
+    """Each page's half-open span in the document's joined, space-normalised text.
+
+    Lengths are summed by blocks of PAGE_BLOCK page numbers, so a document of very many pages is no single task.
+    """
     flat = pages.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
-    w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
-    return flat.withColumn("page_start", start).withColumn("page_end", start + F.length("text"))
+    block = F.floor(F.col("page_no") / PAGE_BLOCK)
+    out = running(flat, "doc_id", block, ["page_no"], F.length("text") + 1, F.sum)
+    start = F.col("running")
+    return out.withColumn("page_start", start).withColumn("page_end", start + F.length("text")).drop("running")
 
 
 def page_range(spans: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def replay_schedule(df: DataFrame, speed: float = 1.0, time: str = "timestamp")
 def running(
     df: DataFrame, key: str, block: Column, order: list, value: Column, how=F.max, down: bool = False, frame: str = "rows"
 ) -> DataFrame:
-    """``df`` with ``running``: the extreme of ``value`` over a key's rows before each row in ``order``.
+    """``df`` with ``running``: the extreme (or sum) of ``value`` over a key's rows before each row in ``order``.
 
     A key's rows are cut into blocks that follow the order; a block starts from the extreme of the blocks
     before it, of which there is one row each, so a key with very many rows is spread over tasks.  ``frame``
@@ -53,9 +53,12 @@ def running(
         "here": own.rowsBetween(Window.unboundedPreceding, 0),
         "ties": own.rangeBetween(Window.unboundedPreceding, 0),
     }[frame]
-    pair = F.greatest if how is F.max else F.least
     out = d.withColumn("__own", how(value).over(own)).join(start, [key, "__b"])
-    return out.withColumn("running", pair("__own", "__start")).drop("__b", "__own", "__start")
+    if how is F.sum:
+        both = F.coalesce("__own", F.lit(0)) + F.coalesce("__start", F.lit(0))
+    else:
+        both = (F.greatest if how is F.max else F.least)("__own", "__start")
+    return out.withColumn("running", both).drop("__b", "__own", "__start")
 
 
 def account(
