@@ -7,53 +7,66 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, table
 
-SECTION, PARAGRAPH = "\n\n", "\n"
-#: A leaf ends with a blank after one of these letters, digits and marks, which some 30 % of all words end with, or with
-#: a full-width mark; without either it ends after 64 characters.  So a leaf has a few words in texts of any length,
-#: and an edit changes only the leaves around it.
-LEAF = r"(?s).{1,64}?(?:(?<=[oty0-9.!?;:,][ \t])|(?<=[。！？、，；：])|\z)|.{64}"
+SECTION, LINE = "\n\n", "\n"
+#: A leaf ends with a blank after one of these letters, digits and marks, which some 30 % of all words end with; a
+#: longer one is cut every LEAF_CHARS characters.  So a leaf has a few words in texts of any length, and an edit changes
+#: only the leaves around it.
+LEAF_END, LEAF_CHARS = r"(?<=[oty0-9.!?;:,][ \t])", 64
 IDS_PER_TASK = 200_000
 #: Stands for a null doc_id in joins, and so the one doc_id that is returned as null.
 NO_ID = -(2**63)
 
 
+def leaf_pieces(line: Column) -> Column:
+    """The leaves of a line, which joined give it again; none is empty."""
+    words = F.filter(F.split(line, LEAF_END), lambda x: x != "")
+    steps = lambda x: F.sequence(F.lit(1), F.length(x), F.lit(LEAF_CHARS))
+    cut = lambda x: F.when(F.length(x) <= LEAF_CHARS, F.array(x)).otherwise(
+        F.transform(steps(x), lambda i: F.substring(x, i, F.lit(LEAF_CHARS)))
+    )
+    # short lines have no long leaf, and few others do
+    long = (F.length(line) > LEAF_CHARS) & F.exists(words, lambda x: F.length(x) > LEAF_CHARS)
+    return F.when(long, F.flatten(F.transform(words, cut))).otherwise(words)
+
+
 def tree(text: Column) -> Column:
     """Sections, split at blank lines, as arrays of their lines: each line's SHA-256 ``d`` and its leaves ``l``.
 
-    Leaves are 32-bit digests of 8 hex digits each, joined.  Sections and lines joined again by their breaks
-    give the text, so the digests of all lines, grouped by section, tell texts apart.
+    Leaves are 32-bit digests of 8 hex digits each.  Sections and lines joined again by their breaks give the
+    text, so the digests of all lines, grouped by section, tell texts apart.
     """
     # with the sign bit set a long has 16 digits, of which the last eight are the digest
     digest = lambda x: F.substring(F.hex(F.xxhash64(x).bitwiseOR(F.lit(-(2**63)))), 9, 8)
-    leaves = lambda p: F.array_join(
-        F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), digest), ""
-    )
-    line = lambda p: F.struct(F.sha2(p, 256).alias("d"), leaves(p).alias("l"))
-    return F.transform(F.split(text, SECTION), lambda s: F.transform(F.split(s, PARAGRAPH), line))
+    line = lambda p: F.struct(F.sha2(p, 256).alias("d"), F.transform(leaf_pieces(p), digest).alias("l"))
+    return F.transform(F.split(text, SECTION), lambda s: F.transform(F.split(s, LINE), line))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the fingerprint ``root|section(line:leaves,...)/...`` of a text column.
+    """``df`` with the fingerprint ``root|section(line:n,...)/...|leaves`` of a text column.
 
     A section's digest is the SHA-256 of its lines' digests, the root that of the sections' digests, so equal
-    roots mean equal texts.  Below the root digests are cut to 8 hex digits.  Lower-case hex throughout.
+    roots mean equal texts.  Below the root digests are cut to 8 hex digits.  Each line has its number of
+    leaves, and all leaves follow in the lines' order.  Lower-case hex throughout.
     """
     short = lambda d: F.substring(d, 1, 8)
-    line = lambda p: F.concat(short(p["d"]), F.lit(":"), p["l"])
+    line = lambda p: F.concat(short(p["d"]), F.lit(":"), F.size(p["l"]).cast("string"))
     section = lambda s: F.struct(
-        F.sha2(F.array_join(s["d"], ""), 256).alias("d"), F.array_join(F.transform(s, line), ",").alias("b")
+        F.sha2(F.array_join(s["d"], ""), 256).alias("d"),
+        F.array_join(F.transform(s, line), ",").alias("b"),
+        F.array_join(F.flatten(s["l"]), "").alias("l"),
     )
     branch = lambda s: F.concat(short(s["d"]), F.lit("("), s["b"], F.lit(")"))
     s = F.col("__sections")
     root = F.sha2(F.array_join(s["d"], ""), 256)
     below = F.array_join(F.transform(s, branch), "/")
+    parts = F.concat(root, F.lit("|"), below, F.lit("|"), F.array_join(s["l"], ""))
     out = df.withColumn("__sections", F.transform(tree(F.col(text)), section))
-    return out.withColumn(name, F.lower(F.concat(root, F.lit("|"), below))).drop("__sections")
+    return out.withColumn(name, F.lower(parts)).drop("__sections")
 
 
 def leaves(fingerprint: Column) -> Column:
     """The leaves in a fingerprint, 8 hex digits each, joined."""
-    return F.regexp_replace(F.substring_index(fingerprint, "|", -1), "[0-9a-f]{8}[(:]|[,/)]", "")
+    return F.substring_index(fingerprint, "|", -1)
 
 
 def likeness_of_leaves(a: Column, b: Column) -> Column:
@@ -74,7 +87,7 @@ def differences(a: Column, b: Column) -> Column:
     Equal roots end the search, then only sections whose digest ``b`` lacks are entered, and in them only lines
     whose digest none of ``b``'s lines has.  ``differences(b, a)`` gives the other side.
     """
-    sections = lambda x: F.split(F.substring_index(x, "|", -1), "/")
+    sections = lambda x: F.split(F.split_part(x, F.lit("|"), F.lit(2)), "/")
     head = lambda s: F.substring(s, 1, 8)
     lines = lambda s: F.split(F.substring(s, F.lit(10), F.length(s) - 10), ",")
     theirs = F.transform(sections(b), head)

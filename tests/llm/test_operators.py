@@ -532,7 +532,7 @@ def plain_leaves(line):
     out, last = [], 0
     for i in range(1, len(line) + 1):
         word_end = i > 1 and line[i - 2] in "oty0123456789.!?;:," and line[i - 1] in " \t"
-        if word_end or line[i - 1] in "。！？、，；：" or i - last == 64:
+        if word_end or i - last == 64:
             out.append(line[last:i])
             last = i
     return [f"{xxhash.xxh64_intdigest(x.encode(), 42) & 0xFFFFFFFF:08x}" for x in [*out, line[last:]] if x]
@@ -550,8 +550,9 @@ def plain_tree(text):
 
 def plain_fingerprint(text):
     root, sections = plain_tree(text)
-    show = lambda lines: ",".join(f"{d[:8]}:{''.join(own)}" for d, own in lines)
-    return f"{root}|" + "/".join(f"{d[:8]}({show(lines)})" for d, lines in sections)
+    show = lambda lines: ",".join(f"{d[:8]}:{len(own)}" for d, own in lines)
+    own = "".join(leaf for _, lines in sections for _, leaves in lines for leaf in leaves)
+    return f"{root}|" + "/".join(f"{d[:8]}({show(lines)})" for d, lines in sections) + f"|{own}"
 
 
 def plain_likeness(a, b):
