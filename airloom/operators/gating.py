@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp
 
 
-def active_episode(events: DataFrame, episodes: DataFrame, time: str = "timestamp") -> DataFrame:
-    """Events with the episode whose half-open interval holds them; episodes are a scenario's few rows."""
+def active_episode(
+    events: DataFrame, episodes: DataFrame, time: str = "timestamp", stretch_sec: int = 86_400
+) -> DataFrame:
+    """Events with the episode whose half-open interval holds them, if any.
+
+    Both sides meet in stretches of time, so it is an equi-join, which needs no broadcast however many
+    episodes there are; a short table of them is broadcast by its size.
+    """
+    at = lambda c: F.floor(F.unix_timestamp(c) / stretch_sec)
+    days = F.explode(F.sequence(at("episode_start"), F.greatest(at("episode_start"), at("episode_end"))))
+    dealt = episodes.where("episode_start <= episode_end").withColumn("__stretch", days)
+    left = events.withColumn("__at", at(time))
     hit = (F.col(time) >= F.col("episode_start")) & (F.col(time) < F.col("episode_end"))
-    return events.join(F.broadcast(episodes), hit, "left")
+    return left.join(dealt, (F.col("__at") == F.col("__stretch")) & hit, "left").drop("__at", "__stretch")
 
 
 def gate(windows: DataFrame, offsets: list[tuple[int, int]], base: DataFrame) -> DataFrame:

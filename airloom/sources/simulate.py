@@ -26,6 +26,7 @@ def series(scenario: dict) -> pd.DataFrame:
     A generator seeded by the scenario gives one draw for the start and nine a step, more in a fault; all are taken at once
     and dealt to the steps in order.  Only the zone temperature depends on the step before it.
     """
+    # All figures from here on, of the profile, its noise and the faults.
     p = PROFILE
     start, end, dt = _epoch(scenario["start_time"]), _epoch(scenario["end_time"]), int(scenario["sampling_interval_sec"])
     t = np.arange(start, end, dt)
