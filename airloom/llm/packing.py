@@ -21,6 +21,9 @@ END_ID = 1
 GRAIN = 4
 #: Column generation ends when the bound from its prices is this close (or half a sequence), or after so many columns.
 GAP, MOST_COLUMNS = 1e-4, 1_500
+#: Where the patterns leave more room than this share of all sequences, some documents are cut to fill it, in so many
+#: rounds at most; cuts lie at multiples of BLOCK ids, for which checksums are at hand.
+MOST_PADDING, ROUNDS, BLOCK = 0.01, 4, 64
 #: A worker keeps the ids of so many chunks; when full, it forgets the half that came last (frequent chunks come early).
 CACHED_CHUNKS = 250_000
 _RUN = re.compile(r"[^a-zA-Z0-9À-ÖØ-öø-ÿ \n\t\r][.,]")
@@ -99,12 +102,17 @@ def chunks(text: str) -> list[str]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and a last id 1, cut every ``capacity`` ids."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, blocks): each document's ids and a last id 1, cut every ``capacity`` ids.
+
+    ``blocks``: the checksums of each BLOCK ids of the piece, 4 bytes each.
+    """
 
     @frugal
     def run(batches):
         encode = _encoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        crc = zlib.crc32
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             at = 0
@@ -113,18 +121,81 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 while stop < len(texts) and (stop == at or chars + len(texts[stop] or "") < 2_000_000):
                     chars += len(texts[stop] or "")
                     stop += 1
-                rows = []
+                rows, blocks = [], []
                 for i, raw in zip(ids[at:stop], encode([t or "" for t in texts[at:stop]])):
                     raw += end
                     n = len(raw) // 4
                     for s in range(0, n, capacity):
                         part = raw[4 * s : 4 * (s + capacity)]
-                        rows.append((i, s, len(part) // 4, zlib.crc32(part), n))
+                        rows.append((i, s, len(part) // 4, crc(part), n))
+                        own = [crc(part[j : j + 4 * BLOCK]) for j in range(0, len(part), 4 * BLOCK)]
+                        blocks.append(np.array(own, "<u4").tobytes())
                 at = stop
-                cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                yield pa.record_batch(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                cols = [*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(blocks, pa.binary())]
+                yield pa.record_batch(cols, names=[*names, "blocks"])
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, blocks binary"
+    return plain.mapInArrow(run, schema)
+
+
+@lru_cache(maxsize=None)
+def _zeros(n: int) -> tuple[int, ...]:
+    """What ``n`` zero bytes do to a CRC-32, as the images of its bits (n: a power of two)."""
+    if n == 1:
+        images = []
+        for bit in range(32):
+            x = 1 << bit
+            for _ in range(8):
+                x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+            images.append(x)
+        return tuple(images)
+    half = _zeros(n // 2)
+    return tuple(_apply(half, x) for x in half)
+
+
+def _apply(images: tuple[int, ...], x: int) -> int:
+    out, bit = 0, 0
+    while x:
+        if x & 1:
+            out ^= images[bit]
+        x >>= 1
+        bit += 1
+    return out
+
+
+def joined_crc(parts: list[tuple[int, int]]) -> int:
+    """The CRC-32 of bytes from that of their parts, each with its length."""
+    total = 0
+    for crc, size in parts:
+        bit = 1
+        while bit <= size:
+            if size & bit:
+                total = _apply(_zeros(bit), total)
+            bit <<= 1
+        total ^= crc
+    return total
+
+
+def cut_pieces(found: DataFrame) -> DataFrame:
+    """Pieces with a ``step`` cut every so many ids (a multiple of BLOCK), others as they are."""
+
+    @frugal
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                step, n = r["step"] or r["length"], r["length"]
+                own = np.frombuffer(r["blocks"], "<u4").tolist()
+                sizes = [4 * min(BLOCK, n - j) for j in range(0, n, BLOCK)]
+                for s in range(0, n, step):
+                    some = slice(s // BLOCK, -(-min(s + step, n) // BLOCK))
+                    crc = r["ids_crc32"] if step >= n else joined_crc(list(zip(own[some], sizes[some])))
+                    rows.append((r["doc_id"], r["start"] + s, min(step, n - s), crc, r["doc_tokens"]))
+            cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
+            yield pa.record_batch(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    plain = found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "blocks", "step")
     return plain.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
@@ -256,45 +327,103 @@ def cutting_stock(width: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
     return used, float(bound)
 
 
+def plan(
+    counts: dict[int, int], capacity: int, block: int
+) -> tuple[list[tuple[int, int, int, int]], dict[int, int], list[tuple[dict[int, int], int]]]:
+    """Cuts, the counts of widths after them, and patterns (counts by width) with how often each is used.
+
+    Cuts are (width, first rank, end rank, step): so many pieces of a width are cut every ``step``.  Where
+    patterns leave over MOST_PADDING of the room, sequences of a pattern with much room are taken apart, and
+    their widest pieces cut to the room's size in the others; then patterns are sought anew.  Pieces are
+    cut in one round only.
+    """
+    counts, whole, cuts = dict(counts), dict(counts), []
+    first = dict.fromkeys(counts, 0)
+    for _ in range(ROUNDS):
+        width = np.array(sorted(w for w, n in counts.items() if n))
+        used, _ = cutting_stock(width, np.array([counts[w] for w in width.tolist()], float), capacity)
+        patterns = [({int(width[i]): int(c[i]) for i in np.flatnonzero(c)}, n) for c, n in used]
+        room = sum(n for _, n in patterns) * capacity - sum(w * n for w, n in counts.items())
+        most = MOST_PADDING * sum(n for _, n in patterns) * capacity
+        if room <= max(most, capacity):
+            break
+        before = len(cuts)
+        for own, n in patterns:
+            step = (capacity - sum(w * k for w, k in own.items())) // block * block
+            donors = [w for w in own if w > step and whole.get(w)]
+            if not step or n < 2 or not donors:
+                continue
+            w = max(donors)
+            apart = -(-n // (1 + w // step * own[w]))
+            cut = min(apart * own[w], whole[w])
+            cuts.append((w, first[w], first[w] + cut, step))
+            first[w] += cut
+            whole[w] -= cut
+            counts[w] -= cut
+            counts[step] = counts.get(step, 0) + cut * (w // step)
+            if w % step:
+                counts[w % step] = counts.get(w % step, 0) + cut
+        if len(cuts) == before:
+            break
+    else:
+        width = np.array(sorted(w for w, n in counts.items() if n))
+        used, _ = cutting_stock(width, np.array([counts[w] for w in width.tolist()], float), capacity)
+        patterns = [({int(width[i]): int(c[i]) for i in np.flatnonzero(c)}, n) for c, n in used]
+    return cuts, counts, patterns
+
+
+def _ranked(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``found`` with its ``class`` and ``rank`` in it: by a salt and, within it, by id."""
+    found = found.withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int"))
+    salts = max(LEAST_SALTS, -(-found.count() // PIECES_PER_SALT))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    by_salt = scratch.keep(found.groupBy("class", "salt").count(), "classes")
+    before = by_salt.selectExpr(
+        "class", "salt", "sum(count) OVER (PARTITION BY class ORDER BY salt) - count AS before"
+    )
+    order = "OVER (PARTITION BY class, salt ORDER BY doc_id, start, doc_tokens, ids_crc32)"
+    ranked = found.selectExpr("*", f"row_number() {order} - 1 AS own").join(before, ["class", "salt"])
+    return ranked.withColumn("rank", F.col("before") + F.col("own")).drop("before", "own", "salt")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) in sequences of at most ``capacity`` tokens.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A document is cut
-    every ``capacity`` ids; what remains is never cut again.  The driver sees only the histogram of
-    lengths (a bounded number of classes).  Pieces of a class are ranked without a common order (by
-    a salt and, within it, by id), and ranks take the places that the patterns offer, so a length that
+    every ``capacity`` ids; where lengths don't combine, some of what remains is cut again (see ``plan``).  The
+    driver sees only the histogram of lengths (a bounded number of classes).  Pieces of a class are ranked
+    without a common order, and ranks take the places that the patterns offer, so a length that
     a third of all documents has is dealt over tasks.  A null or empty text is its end id alone; rows
     that repeat a doc_id are packed each; no rows give no rows; more columns are ignored.
     """
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    found = pieces(docs, tokenizer, capacity)
-    found = found.withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int"))
-    found = scratch.keep(found, "pieces")
-    salts = max(LEAST_SALTS, -(-found.count() // PIECES_PER_SALT))
-    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    by_salt = scratch.keep(found.groupBy("class", "salt").count(), "classes")
-    seen = sorted((r["class"], r["n"]) for r in by_salt.groupBy("class").agg(F.sum("count").alias("n")).collect())
-    places, base, slot = [], 0, {c: 0 for c, _ in seen}
-    if seen:
-        classes = np.array([c for c, _ in seen])
-        used, _ = cutting_stock(classes, np.array([n for _, n in seen], float), capacity // GRAIN)
-        for column, use in used:
-            for i in np.flatnonzero(column):
-                c, n = int(classes[i]), int(column[i])
-                places.append((c, slot[c], slot[c] + n * use, n, base))
-                slot[c] += n * use
-            base += use
+    found = scratch.keep(pieces(docs, tokenizer, capacity), "pieces")
+    classes = found.groupBy(F.ceil(F.col("length") / GRAIN).cast("int").alias("class")).count()
+    counts = {r["class"]: r["count"] for r in classes.collect()}
+    cuts, counts, patterns = plan(counts, capacity // GRAIN, BLOCK // GRAIN) if counts else ([], {}, [])
+    if cuts:
+        steps = [(w, a, b, GRAIN * step) for w, a, b, step in cuts]
+        steps = spark.createDataFrame(steps, "class int, low long, high long, step int")
+        inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+        ranked = _ranked(found, scratch)
+        steps = steps.withColumnRenamed("class", "__class")
+        chosen = ranked.join(F.broadcast(steps), (F.col("class") == F.col("__class")) & inside, "left")
+        found = scratch.keep(cut_pieces(chosen), "cut")
+    found = found.drop("blocks")
+    places, base, slot = [], 0, dict.fromkeys(counts, 0)
+    for own, use in patterns:
+        for c, n in own.items():
+            places.append((c, slot[c], slot[c] + n * use, n, base))
+            slot[c] += n * use
+        base += use
     places = spark.createDataFrame(places, "class int, low long, high long, each long, base long")
-    before = by_salt.selectExpr("class", "salt", "sum(count) OVER (PARTITION BY class ORDER BY salt) - count AS before")
-    order = "OVER (PARTITION BY class, salt ORDER BY doc_id, start, doc_tokens, ids_crc32)"
-    ranked = found.selectExpr("*", f"row_number() {order} - 1 AS own").join(before, ["class", "salt"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("own")).drop("before", "own", "salt")
+    ranked = _ranked(found, scratch)
     placed = ranked.join(F.broadcast(places), "class").where("rank >= low AND rank < high")
     placed = placed.withColumn("sequence_id", F.expr("base + (rank - low) div each"))
-    line = "OVER (PARTITION BY sequence_id ORDER BY class DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    placed = placed.selectExpr("*", f"sum(length) {line} - length AS offset")
+    line = "(PARTITION BY sequence_id ORDER BY class DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    placed = placed.selectExpr("*", f"sum(length) OVER {line} - length AS offset")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -320,30 +320,52 @@ def test_cutting_stock_covers_demand_near_the_bound():
         assert bound <= n + 1e-6 and n <= 1.03 * bound + 2
 
 
-def test_packing_round_trip(spark):
-    rnd = random.Random(6)
-    texts = [None, "", "x", words(rnd, 9000), "a\u00a0b\x0bc\x1cd 'tis é"] + [words(rnd, rnd.randrange(1, 600)) for _ in range(120)] + ["same text here"] * 40
-    d = make(spark, texts).withColumn("length", F.lit("clash"))
-    path = packing.default_tokenizer()
-    got = packing.pack(d.unionByName(d.where("doc_id = 2")), path).collect()
-    tok = packing._tokenizer(path)
+def check_pieces(got, texts, times=None):
+    """Every id in one piece of its document, checksums, and gapless sequences; the number of sequences."""
+    tok = packing._tokenizer(packing.default_tokenizer())
     by, lines = {}, {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
         lines.setdefault(r.sequence_id, []).append(r)
     for i, t in enumerate(texts):
         ids, at = tok.encode(t or "", add_special_tokens=False).ids + [1], 0
-        for r in sorted(by[i], key=lambda r: r.start)[:: 2 if i == 2 else 1]:
-            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+        for r in sorted(by[i], key=lambda r: r.start)[:: (times or {}).get(i, 1)]:
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(ids)
     for own in lines.values():
         own.sort(key=lambda r: r.offset)
-        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 2048
-    assert len(lines) <= sum(r.length for r in got) / 2048 * 1.02 + 2
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        assert sum(r.length for r in own) <= 2048
+    return len(lines)
+
+
+def test_packing_round_trip(spark):
+    rnd = random.Random(6)
+    texts = [None, "", "x", words(rnd, 9000), "a\u00a0b\x0bc\x1cd 'tis é"] + [words(rnd, rnd.randrange(1, 600)) for _ in range(120)] + ["same text here"] * 40
+    d = make(spark, texts).withColumn("length", F.lit("clash"))
+    path = packing.default_tokenizer()
+    got = packing.pack(d.unionByName(d.where("doc_id = 2")), path).collect()
+    assert check_pieces(got, texts, {2: 2}) <= sum(r.length for r in got) / 2048 * 1.02 + 2
     assert packing.pack(d.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("tokens", [1500, 1100, 700, 1025])
+def test_lengths_that_do_not_combine_are_cut(spark, tokens):
+    texts = ["the " * (tokens - 1)] * 150 + ["a b c"] * 3
+    got = packing.pack(make(spark, texts), packing.default_tokenizer()).collect()
+    n = check_pieces(got, texts)
+    assert n * 2048 <= 1.06 * sum(r.length for r in got) + 4096
+
+
+def test_checksums_of_parts_join():
+    rnd = random.Random(8)
+    for _ in range(50):
+        parts = [rnd.randbytes(rnd.choice([0, 1, 4, 255, 256, 1000])) for _ in range(rnd.randrange(0, 6))]
+        assert packing.joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
 def test_chunked_ids_equal_whole_texts():
     rnd = random.Random(2)
     parts = [
