@@ -135,9 +135,9 @@ def train(
 ) -> OrdinalModel:
     """Fit on at most ``sample_rows`` labelled documents (labels: doc_id, toxic and, if there, quality).
 
-    The ordered grades are those of the labels: 0 for texts that aren't toxic, 1 for toxic ones, 2 for toxic
-    ones of low quality.  Null toxic labels are left out; a doc_id labelled twice is toxic if any label says
-    so, and of low quality if any says so; without quality there are two grades.  Of rows that repeat a doc_id
+    The ordered grades are those of the labels: 0 for good texts, 1 for poor ones (of low quality but not
+    toxic), 2 for toxic ones.  Null toxic labels are left out; a doc_id labelled twice is toxic if any label says
+    so, and poor if any says so; without quality labels there are two grades.  Of rows that repeat a doc_id
     the text with the smallest hash counts, so the bound holds.  Without labels of both kinds the model has no
     weight and finds nothing toxic.  The driver gets the features that tell the kinds apart (``least_ratio``,
     ``least_lift``) and, for each sampled row, the counts of those it has.
@@ -149,7 +149,7 @@ def train(
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     low = F.max(F.coalesce(poor, F.lit(False)))
     known = known.agg((F.max("toxic") > 0).alias("toxic"), low.alias("poor"))
-    known = known.withColumn("grade", F.when(F.col("toxic"), F.when(F.col("poor"), 2).otherwise(1)).otherwise(0))
+    known = known.withColumn("grade", F.when(F.col("toxic"), 2).when(F.col("poor"), 1).otherwise(0))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "toxic", "grade")
     scratch = Scratch(spark)
     sample = scratch.keep(sample, "labels")
@@ -217,11 +217,13 @@ def train(
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """(doc_id, severity, p_toxic, grade, toxic) for every row of ``docs`` (doc_id, text).
+    """(doc_id, severity, p_toxic, grade, toxic, level) for every row of ``docs`` (doc_id, text).
 
-    severity is the expected grade, grade the number of thresholds more likely passed than not, toxic
-    whether the first is.  Null and empty texts have no feature and so the least severity.  Repeated
-    rows get equal results; an empty table gives none; more columns are ignored.
+    severity is the expected grade on the labels' scale, level the number of thresholds more likely passed than
+    not; p_toxic is the probability of the last threshold, above which the toxic grade lies, toxic whether it is
+    more likely passed than not, and grade the same as 0 or 1.  Null and empty texts have no feature and so the
+    least severity.  Texts of any length count whole.  Repeated rows get equal results; an empty table gives
+    none; more columns are ignored.
     """
 
     @frugal
@@ -229,10 +231,19 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for batch in batches:
             s = np.array([model.score(counts(t.as_py())) for t in batch.column("text")], float)
             p = model.exceed(s)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "severity": pa.array(p.sum(axis=1)), "p_toxic": pa.array(p[:, 0]), "grade": pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), "toxic": pa.array(p[:, 0] >= 0.5)})
+            toxic = p[:, -1] >= 0.5
+            cols = {
+                "doc_id": batch.column("doc_id"),
+                "severity": pa.array(p.sum(axis=1)),
+                "p_toxic": pa.array(p[:, -1]),
+                "grade": pa.array(toxic.astype(np.int32)),
+                "toxic": pa.array(toxic),
+                "level": pa.array((p >= 0.5).sum(axis=1).astype(np.int32)),
+            }
+            yield pa.record_batch(cols)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    return plain.mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean, level int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,7 +253,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             s = np.array([model.score(counts(t)) for t in texts], float)
-            yield pd.Series(model.exceed(s)[:, 0] >= 0.5)
+            yield pd.Series(model.exceed(s)[:, -1] >= 0.5)
         release_memory()
 
     return docs.where(~F.pandas_udf(toxic, "boolean")(F.col("text").cast("string")))
