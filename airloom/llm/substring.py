@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -311,17 +310,20 @@ def dedupe(docs: DataFrame) -> DataFrame:
     changed = changed.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), units.alias("__u"))
     changed = changed.select("__doc", "__fp", F.col("__u.lo").alias("__lo"), F.col("__u.keeper").alias("__keeper"))
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("keeper", pa.int64())])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lows, keepers in batches:
             out, removed = [], []
             for t, a, b in zip(texts, lows, keepers):
-                clean, gone = (None, []) if t is None else cut(t, dict(zip(a.tolist(), b.tolist())))
+                clean, gone = cut(t.as_py(), dict(zip(a.as_py(), b.as_py()))) if t.is_valid else (None, [])
                 out.append(clean)
                 removed.append([{"start": s, "end": e, "keeper": k} for s, e, k in gone])
-            yield pd.DataFrame({"text": out, "removed": removed})
+            cols = [pa.array(out, pa.string()), pa.array(removed, pa.list_(span))]
+            yield pa.StructArray.from_arrays(cols, names=["text", "removed"])
         release_memory()
 
-    udf = F.pandas_udf(run, "text string, removed array<struct<start:long, end:long, keeper:long>>")
+    udf = F.arrow_udf(run, "text string, removed array<struct<start:long, end:long, keeper:long>>")
     same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__fp"))
     joined = docs.drop("removed").join(changed, same, "left")
     touched = F.col("__lo").isNotNull()

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -250,13 +249,13 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that aren't toxic, all columns as they are; no shuffle after training."""
     model = train(docs, labels)
 
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            s = np.array([model.score(counts(t)) for t in texts], float)
-            yield pd.Series(model.exceed(s)[:, -1] >= 0.5)
+            s = np.array([model.score(counts(t)) for t in texts.to_pylist()], float)
+            yield pa.array(model.exceed(s)[:, -1] >= 0.5)
         release_memory()
 
-    return docs.where(~F.pandas_udf(toxic, "boolean")(F.col("text").cast("string")))
+    return docs.where(~F.arrow_udf(toxic, "boolean")(F.col("text").cast("string")))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
