@@ -111,14 +111,18 @@ def words_for(tokens: int) -> int:
 
 
 def word_chunks(df: DataFrame, text: str, chunk_tokens: int, overlap_tokens: int) -> DataFrame:
-    """``chunk_no`` and ``chunk``: overlapping windows of words, the last one reaching the end."""
+    """``chunk_no`` and ``chunk`` in place of a text: overlapping windows of words, the last one reaching the end.
+
+    Chunks are cut before rows are multiplied, so no row carries the words of its whole text.
+    """
     size = words_for(chunk_tokens)
     stride = max(1, size - min(size - 1, words_for(overlap_tokens)))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     d = df.withColumn("__w", words).where(F.size("__w") > 0)
     n = F.greatest(F.lit(0), F.ceil((F.size("__w") - size) / stride)).cast("int")
-    d = d.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n)))
-    return d.withColumn("chunk", F.array_join(F.slice("__w", F.col("chunk_no") * stride + 1, F.lit(size)), " ")).drop("__w")
+    chunk = lambda i: F.array_join(F.slice("__w", i * stride + 1, F.lit(size)), " ")
+    d = d.withColumn("__c", F.transform(F.sequence(F.lit(0), n), chunk)).drop("__w")
+    return d.select(*[c for c in df.columns if c != text], F.posexplode("__c").alias("chunk_no", "chunk"))
 
 
 def chunk_type(heading: Column, text: Column) -> Column:
@@ -153,7 +157,7 @@ def manual_chunks(
     s = found.withColumn("text", both).withColumn("__short", token_estimate(F.col("text")) <= chunk_tokens)
     whole = s.where("__short").withColumn("chunk_no", F.lit(0)).withColumn("chunk", F.col("text"))
     cut = word_chunks(s.where("NOT __short"), "text", chunk_tokens, overlap_tokens)
-    out = whole.unionByName(cut).withColumn("chunk_type", chunk_type(F.col("heading"), F.col("chunk")))
+    out = whole.drop("text").unionByName(cut).withColumn("chunk_type", chunk_type(F.col("heading"), F.col("chunk")))
     out = out.where(F.regexp_count("chunk", F.lit(r"\S+")) >= LEAST_WORDS)
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "chunk_no")) - 1
     name = F.concat(F.col("doc_id").cast("string"), F.lit("::chunk::"), i.cast("string"))
@@ -168,14 +172,19 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 
 def chunk_positions(chunks: DataFrame, corpora: DataFrame) -> DataFrame:
-    """``chunks`` (doc_id, chunk, ...) with ``start`` and ``end`` in the document's joined text; null where not found."""
+    """``chunks`` (doc_id, chunk, ...) with ``start`` and ``end`` in the document's joined text; null where not found.
+
+    A document's chunks are gathered beside its text, which is looked through for each in turn.
+    """
     flat = F.trim(F.regexp_replace("chunk", r"\s+", " "))
-    at = F.when(F.col("__flat") != "", F.nullif(F.position(F.col("__flat"), F.col("corpus")), F.lit(0)))
-    d = chunks.withColumn("__flat", flat).join(corpora, "doc_id", "left").withColumn("__at", at)
-    return d.select(
-        *chunks.columns, (F.col("__at") - 1).cast("long").alias("start"),
-        (F.col("__at") - 1 + F.length("__flat")).cast("long").alias("end"),
-    )
+    own = [c for c in chunks.columns if c != "doc_id"]
+    per = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(*own, flat.alias("__flat"))).alias("__chunks"))
+    at = lambda c: F.when(c["__flat"] != "", F.nullif(F.position(c["__flat"], F.col("corpus")), F.lit(0)) - 1)
+    found = F.transform("__chunks", lambda c: F.struct(c.alias("c"), at(c).cast("long").alias("start")))
+    d = per.join(corpora, "doc_id", "left").select("doc_id", F.inline(found))
+    end = F.col("start") + F.length("c.__flat")
+    rest = [F.col(f"c.{c}").alias(c) if c != "doc_id" else F.col(c) for c in chunks.columns]
+    return d.select(*rest, "start", end.alias("end"))
 
 
 def page_spans(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CROSS_FEATURES, Config
+from ..functions import labels
 from ..functions import scalars as S
 from ..operators import diagnosis, gating, incidents, live, manuals, normalize, ordering, retrieval, tickets, windows
 from ..sources import adapter, readers
@@ -469,20 +470,20 @@ def q86_chunk_params(spark, sf):
 
 
 _flat = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-_chunk_words, _stride = manuals.words_for(60), manuals.words_for(60) - manuals.words_for(20)
+_chunk_words, _stride = manuals.words_for(300), manuals.words_for(300) - manuals.words_for(100)
 
 
 @query(
     f"""WITH l AS (SELECT doc_id, list_transform(string_split_regex(text, '\\n'), lambda x: {_flat.format('x')}) AS ls FROM documents), c AS (SELECT doc_id, array_to_string(ls, ' ') AS corpus FROM l),
-w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, unnest(generate_series(0, greatest(0, ceil((len(w) - {_chunk_words}) / {max(1, _stride)}.0)::INT))) AS chunk_no FROM w WHERE len(w) > 0),
-k AS (SELECT doc_id, chunk_no, array_to_string(w[chunk_no * {max(1, _stride)} + 1 : chunk_no * {max(1, _stride)} + {_chunk_words}], ' ') AS chunk FROM n)
+w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, unnest(generate_series(0, greatest(0, ceil((len(w) - {_chunk_words}) / {_stride}.0)::INT))) AS chunk_no FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, chunk_no, array_to_string(w[chunk_no * {_stride} + 1 : chunk_no * {_stride} + {_chunk_words}], ' ') AS chunk FROM n)
 SELECT doc_id, chunk_no::INT AS chunk_no, nullif(strpos(corpus, chunk), 0) - 1 AS start, nullif(strpos(corpus, chunk), 0) - 1 + length(chunk) AS "end" FROM k JOIN c USING (doc_id)"""
 )
 def q87_chunk_positions(spark, sf):
     """Documents as manuals, their lines as pages."""
     d = read(spark, sf, "documents").select("doc_id", "text")
     pages = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
-    chunks = manuals.word_chunks(d, "text", 60, 20)
+    chunks = manuals.word_chunks(d, "text", 300, 100)
     return manuals.chunk_positions(chunks, manuals.joined_pages(pages)).select("doc_id", "chunk_no", "start", "end")
 
 
@@ -629,3 +630,54 @@ def q96_text_forms(spark, sf):
 def q97_running_watermark(spark, sf):
     d = ordering.running_watermark(telemetry(spark, sf), "ahu_id", "timestamp", "event_id", 5)
     return d.select("event_id", S.iso_z(F.col("watermark")).alias("watermark"))
+
+
+_rt = "nullif(list_aggregate(list_filter([{}], lambda x: x IS NOT NULL), 'string_agg', ', '), '')"
+_shown = ", ".join(
+    f"CASE WHEN {n} IS NOT NULL THEN '{labels.FEATURE_LABELS[n][0]}=' || printf('%.2f', printf('%.{d}f', {n})::DOUBLE) || ' {labels.FEATURE_LABELS[n][1]}' END"
+    for n, d in (("sa_temp_mean", 2), ("sa_temp_mean_minus_sp", 2), ("cc_valve_mean", 1), ("avg_zone_temp_mean", 2))
+)
+
+
+@query(
+    f"""WITH {_SUMM} SELECT window_id, coalesce({_rt.format(_shown)}, '') AS features, t0 || '–' || t1 AS "window", array_to_string(list_sort(rl), ',') AS anomalies, '6 hours' AS duration, 'AHU ' || ahu_id AS unit,
+  CASE WHEN array_to_string(list_sort(rl), ',') = '' THEN 'none' ELSE array_to_string(list_sort(rl), ',') END AS field FROM tx"""
+)
+def q98_window_labels(spark, sf):
+    s = _text_of_windows(spark, sf).withColumn("k", labels.key_symptoms(F.col("text_summary")))
+    entries = F.transform(F.map_entries(labels.feature_labels(F.col("text_summary"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return s.select(
+        "window_id",
+        F.array_join(entries, ", ").alias("features"),
+        F.col("k.window").alias("window"),
+        F.array_join(F.array_remove("k.anomalies", "none"), ",").alias("anomalies"),
+        labels.duration_label(F.to_timestamp("time.start"), F.to_timestamp("time.end")).alias("duration"),
+        labels.unit_label(F.col("ahu_id")).alias("unit"),
+        labels.field(F.col("text_summary"), "anomalies=").alias("field"),
+    )
+
+
+@query(
+    f"""WITH {adapter.TICKETS_SQL} SELECT ticket_id, CASE detected_fault_type WHEN '1-URGENT' THEN '1-urgent' WHEN '2-HIGH' THEN '2-high' WHEN '3-MEDIUM' THEN '3-medium' WHEN '4-NOT SPECIFIED' THEN '4-not Specified' WHEN '5-LOW' THEN '5-low' END AS fault,
+  CASE WHEN ticket_id LIKE '%5' THEN '—' WHEN ticket_id LIKE '%6' THEN 'AHU 12' WHEN ticket_id LIKE '%7' THEN 'roof' ELSE 'AHU ' || ahu_id END AS unit, greatest(0, least(100, floor(coalesce(confidence, 0) * 100 + 0.5)))::INT AS pct,
+  coalesce(diagnosis_title, '') AS "primary", CASE WHEN diagnosis_title IS NULL THEN '' ELSE 'Reasoning: x' END AS reasoning,
+  CASE WHEN occurrence_count = 0 THEN '—' WHEN occurrence_count < 3 THEN occurrence_count * 25 || ' minutes' ELSE trim(trim(printf('%.1f', floor(occurrence_count * 25 / 6.0 + 0.5) / 10), '0'), '.') || ' hours' END AS duration FROM tk"""
+)
+def q99_ticket_labels(spark, sf):
+    t = adapter.tickets(spark, sf)
+    odd = F.when(F.col("ticket_id").endswith("5"), " ").when(F.col("ticket_id").endswith("6"), "ahu12")
+    unit = odd.when(F.col("ticket_id").endswith("7"), "roof").otherwise(F.col("ahu_id"))
+    title = F.col("diagnosis_title")
+    cause = F.when(title.isNull(), "").otherwise(F.concat(title, F.lit(" \nReasoning: x ")))
+    cause = labels.root_cause_parts(F.regexp_replace(cause, "\n", " "))
+    start = F.lit("2025-01-01").cast("timestamp")
+    end = F.timestamp_seconds(F.unix_timestamp(start) + F.col("occurrence_count") * 1500)
+    return t.select(
+        "ticket_id",
+        labels.fault_label(F.col("detected_fault_type")).alias("fault"),
+        labels.unit_label(unit).alias("unit"),
+        labels.percent(F.col("confidence")).alias("pct"),
+        cause["primary"].alias("primary"),
+        cause["reasoning"].alias("reasoning"),
+        labels.duration_label(start, end).alias("duration"),
+    )

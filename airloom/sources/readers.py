@@ -58,9 +58,22 @@ def json_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).load(path)
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, from_beginning: bool = False, most_per_trigger: int | None = None) -> DataFrame:
-    """A topic's values; needs Spark's Kafka package on the class path.  A new checkpoint folder replays."""
-    r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest" if from_beginning else "latest")
+def kafka_stream(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    from_beginning: bool = False,
+    most_per_trigger: int | None = None,
+    group: str | None = None,
+) -> DataFrame:
+    """A topic's values; needs Spark's Kafka package on the class path.
+
+    ``group`` names the consumer group, such as ``config.Settings.consumer_group`` gives it; positions are kept in
+    the query's checkpoint folder, so a new folder replays.
+    """
+    r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    r = r.option("startingOffsets", "earliest" if from_beginning else "latest")
+    r = r.option("kafka.group.id", group) if group else r
     return (r.option("maxOffsetsPerTrigger", most_per_trigger) if most_per_trigger else r).load()
 
 
