@@ -86,12 +86,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
         near = scratch.keep(near, "near")
-        two = both.join(near.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("q"))
+        two = both.join(
+            near.select(F.col("u").alias("v"), F.col("p").alias("q")), "v"
+        ).groupBy("u").agg(F.min("q").alias("q"))
         step = scratch.keep(two.select("u", F.least("u", "q").alias("root")), "step")
         left = step.select("u", F.col("root").alias("ru"))
         right = step.select(F.col("u").alias("v"), F.col("root").alias("rv"))
         joined = live.join(left, "u").join(right, "v").where("ru <> rv")
-        nxt = scratch.keep(joined.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        nxt = scratch.keep(
+            joined.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges"
+        )
         scratch.drop(live, near)
         steps.append(step)
         live = nxt

@@ -57,7 +57,10 @@ class LanguageFilters:
 
     def rates(self) -> np.ndarray:
         """Each language's false-positive rate, from how full its filter is."""
-        bits = [np.count_nonzero(self.table & self.table.dtype.type(1 << i)) / len(self.table) for i in range(len(self.languages))]
+        bits = [
+            np.count_nonzero(self.table & self.table.dtype.type(1 << i)) / len(self.table)
+            for i in range(len(self.languages))
+        ]
         return np.array(bits) ** PROBES
 
     def contained(self, keys: np.ndarray) -> np.ndarray:
@@ -113,12 +116,23 @@ def learn(docs: DataFrame) -> LanguageFilters:
     def emit(parts):
         for lang, keys in parts.items():
             gram, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.record_batch({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(gram.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    counted = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            yield pa.record_batch(
+                {
+                    "lang": pa.array([lang] * len(gram), pa.string()),
+                    "gram": pa.array(gram.view(np.int64)),
+                    "n": pa.array(n.astype(np.int64)),
+                }
+            )
+
+    counted = rows.select(
+        F.col("lang").cast("string"), F.col("text").cast("string")
+    ).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession)
     counted = scratch.keep(counted, "trigrams")
-    total = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
+    total = {
+        r["lang"]: r["n"]
+        for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    }
     if len(total) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     names = tuple(sorted(total))
@@ -148,9 +162,21 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
         rates = own.rates() if own.languages else np.zeros(0)
         for batch in batches:
             got = [own.predict(t.as_py(), rates) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    batch.column("held_out"),
+                    pa.array([g[0] for g in got], pa.string()),
+                    pa.array([g[1] for g in got], pa.float64()),
+                ],
+                names=["doc_id", "held_out", "lang_pred", "score"],
+            )
+
+    plain = docs.select(
+        F.col("doc_id").cast("long"),
+        F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        F.col("text").cast("string"),
+    )
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

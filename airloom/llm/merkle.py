@@ -123,7 +123,9 @@ def following(keys: DataFrame, scratch: Scratch) -> DataFrame:
     inner = ranged.selectExpr("*", f"lag(key) {w} AS previous")
     ends = ranged.groupBy("range").agg(F.max("key").alias("last"), F.min("key").alias("first"))
     ends = ends.selectExpr("range", "coalesce(lag(last) OVER (ORDER BY first), max(last) OVER ()) AS before")
-    return inner.join(F.broadcast(ends), "range").select(*[c for c in ranged.columns if c != "range"], F.coalesce("previous", "before").alias("previous"))
+    return inner.join(F.broadcast(ends), "range").select(
+        *[c for c in ranged.columns if c != "range"], F.coalesce("previous", "before").alias("previous")
+    )
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

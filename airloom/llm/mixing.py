@@ -47,7 +47,9 @@ def targets(sizes: dict, weights: dict, repeats: int = MOST_REPEATS) -> dict:
     return {s: out.get(s, (total - capped) * weights[s] / free if free else 0.0) for s in sizes}
 
 
-def min_cost_flow(sizes: list[int], members: list[tuple[int, ...]], quotas: list[int], repeats: int = MOST_REPEATS) -> list[int]:
+def min_cost_flow(
+    sizes: list[int], members: list[tuple[int, ...]], quotas: list[int], repeats: int = MOST_REPEATS
+) -> list[int]:
     """Words to take from each pattern so that quotas are met as far as possible at least cost.
 
     The r-th reading of a pattern's words costs r each, so repetition is spread before it deepens.
@@ -113,7 +115,9 @@ def _mixed(
     sums = narrow.groupBy("__pattern").agg(*totals).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
-    found = [{"pattern": r["__pattern"], "size": r["size"], "sources": json.loads(r["__pattern"] or "[]")} for r in sums]
+    found = [
+        {"pattern": r["__pattern"], "size": r["size"], "sources": json.loads(r["__pattern"] or "[]")} for r in sums
+    ]
     found = sorted((r for r in found if r["sources"]), key=lambda r: r["pattern"])
     names = sorted({s for r in found for s in r["sources"]}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(r["size"] for r in found if s in r["sources"]) for s in names}

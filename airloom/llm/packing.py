@@ -78,7 +78,9 @@ class ChunkEncoder:
             return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         model = self.tok.model.tokenize
         words = _WORDS.findall(chunk.lower())
-        return b"".join([t.id.to_bytes(4, "little") for w in words for t in model(w if w.isascii() else w.translate(self.letters))])
+        return b"".join(
+            [t.id.to_bytes(4, "little") for w in words for t in model(w if w.isascii() else w.translate(self.letters))]
+        )
 
 
 @lru_cache(maxsize=1)

@@ -17,7 +17,9 @@ BLOCKS, WIDTH = 4, 16
 REST = 64 - WIDTH
 ROWS_PER_TASK = 500_000
 DENSE = 32
-_NEAR = {d: np.array([sum(1 << i for i in c) for c in itertools.combinations(range(WIDTH), d)], np.int64) for d in (1, 2, 3)}
+_NEAR = {
+    d: np.array([sum(1 << i for i in c) for c in itertools.combinations(range(WIDTH), d)], np.int64) for d in (1, 2, 3)
+}
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -33,11 +35,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         end = np.cumsum(length + 1) - 1
         start = (end - length)[: len(words) - shingle + 1].tolist()
         h = xxhash.xxh64_intdigest
-        hashes = np.fromiter((h(norm[s:e], 42) for s, e in zip(start, end[shingle - 1 :].tolist())), np.uint64, len(start))
+        hashes = np.fromiter(
+            (h(norm[s:e], 42) for s, e in zip(start, end[shingle - 1 :].tolist())), np.uint64, len(start)
+        )
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
-        count += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += np.unpackbits(
+            part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little"
+        ).sum(axis=0, dtype=np.int64)
     bits = (2 * count > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
@@ -49,9 +55,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
+            yield pa.record_batch(
+                {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string")
+    ).mapInArrow(run, "doc_id long, fp long")
 
 
 def _dense_links(fp: np.ndarray, key: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +109,12 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = np.diff(np.r_[start, len(key)])
     u, v = [], []
     for gap in range(1, DENSE):
-        at = np.concatenate([start[size == s][:, None] + np.arange(s - gap) for s in range(gap + 1, DENSE + 1) if (size == s).any()] or [np.zeros((0, 1), np.int64)], axis=None).astype(np.int64)
+        at = np.concatenate(
+            [
+                start[size == s][:, None] + np.arange(s - gap) for s in range(gap + 1, DENSE + 1) if (size == s).any()
+            ] or [np.zeros((0, 1), np.int64)],
+            axis=None,
+        ).astype(np.int64)
         if len(at):
             near = np.bitwise_count((fp[at] ^ fp[at + gap]).view(np.uint64)) <= RADIUS
             u.append(fp[at[near]])

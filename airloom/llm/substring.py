@@ -130,7 +130,9 @@ def unit_digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                yield emit(part.column("doc_id").to_numpy(), part.column("fp").to_numpy(), Words.of(part.column("text")))
+                yield emit(
+                    part.column("doc_id").to_numpy(), part.column("fp").to_numpy(), Words.of(part.column("text"))
+                )
 
     def emit(ids, fps, words):
         rows = []

@@ -56,7 +56,9 @@ def attribute(token_bytes: np.ndarray, section_starts: np.ndarray) -> tuple[np.n
     return count + crossing, crossing
 
 
-def token_counts(docs: DataFrame, tokenizer: str, pattern: str, sections: Callable[[str], list[int]] = line_starts) -> DataFrame:
+def token_counts(
+    docs: DataFrame, tokenizer: str, pattern: str, sections: Callable[[str], list[int]] = line_starts
+) -> DataFrame:
     """(doc_id, section, start, end, tokens, crossing, doc_tokens): a row for every section of ``docs`` (doc_id, text).
 
     Each text is encoded once and whole, so tokens sum to doc_tokens; ids that split a character or
@@ -74,9 +76,21 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, sections: Callab
                 text = text.as_py() or ""
                 ids = encoder.encode_ordinary(text)
                 at = np.array(sections(text), np.int64)
-                raw = at if text.isascii() else np.cumsum([0] + [len(text[a:b].encode("utf-8")) for a, b in zip(at[:-1], at[1:])])
+                raw = at if text.isascii() else np.cumsum(
+                    [0] + [len(text[a:b].encode("utf-8")) for a, b in zip(at[:-1], at[1:])]
+                )
                 n, crossing = attribute(length[ids], raw)
-                rows.append([[doc] * len(at), np.arange(len(at)), at, np.r_[at[1:], len(text)], n, crossing, np.full(len(at), len(ids))])
+                rows.append(
+                    [
+                        [doc] * len(at),
+                        np.arange(len(at)),
+                        at,
+                        np.r_[at[1:], len(text)],
+                        n,
+                        crossing,
+                        np.full(len(at), len(ids)),
+                    ]
+                )
                 if len(rows) >= 5000:
                     yield emit(rows)
                     rows = []
@@ -85,13 +99,20 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, sections: Callab
 
     def emit(rows):
         ids = pa.array([i for r in rows for i in r[0]], pa.int64())
-        return pa.record_batch([ids] + [pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64)) for k in range(1, 7)], names=["doc_id", "section", "start", "end", "tokens", "crossing", "doc_tokens"])
+        return pa.record_batch(
+            [ids] + [pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64)) for k in range(1, 7)],
+            names=["doc_id", "section", "start", "end", "tokens", "crossing", "doc_tokens"],
+        )
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id long, section long, start long, end long, tokens long, crossing long, doc_tokens long")
+    return plain.mapInArrow(
+        run, "doc_id long, section long, start long, end long, tokens long, crossing long, doc_tokens long"
+    )
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )

@@ -145,7 +145,9 @@ def train(
     spark = docs.sparkSession
     none = OrdinalModel({}, (60.0,))
     poor = F.col("quality") <= 0 if "quality" in labels.columns else F.lit(False)
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")
+    )
     low = F.max(F.coalesce(poor, F.lit(False)))
     known = known.agg((F.max("toxic") > 0).alias("toxic"), low.alias("poor"))
     known = known.withColumn("grade", F.when(F.col("toxic"), 2).when(F.col("poor"), 1).otherwise(0))
@@ -173,16 +175,26 @@ def train(
         yield emit(sums)
 
     def emit(sums):
-        return pa.record_batch({"feature": pa.array(list(sums), pa.string()), "clean": pa.array([v[0] for v in sums.values()], pa.int64()), "toxic": pa.array([v[1] for v in sums.values()], pa.int64())})
+        return pa.record_batch(
+            {
+                "feature": pa.array(list(sums), pa.string()),
+                "clean": pa.array([v[0] for v in sums.values()], pa.int64()),
+                "toxic": pa.array([v[1] for v in sums.values()], pa.int64()),
+            }
+        )
 
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
         scratch.drop(sample, rows)
         return none
-    seen = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    seen = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(
+        F.sum("clean").alias("c"), F.sum("toxic").alias("t")
+    )
     share = n1 / (n0 + n1)
-    term = lambda a, e: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / ((F.col("t") + F.col("c")) * e))).otherwise(0.0)
+    term = lambda a, e: F.when(
+        F.col(a) > 0, F.col(a) * F.log(F.col(a) / ((F.col("t") + F.col("c")) * e))
+    ).otherwise(0.0)
     ranked = seen.where("t >= 3").withColumn("ratio", 2 * (term("t", share) + term("c", 1 - share)))
     ranked = ranked.where((F.col("ratio") >= least_ratio) & (F.col("t") / n1 >= least_lift * F.col("c") / n0))
     names = [r["feature"] for r in ranked.orderBy(F.desc("ratio"), "feature").select("feature").collect()]

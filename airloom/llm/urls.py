@@ -37,7 +37,12 @@ def host_path_rule(verdict: str, rule: str) -> Rule:
     path = slash + path
     tokens = re.findall(TOKEN, host.lower())
     inside = path if re.search(r"[^A-Za-z0-9]$", path) else re.sub(r"[A-Za-z0-9]*$", "", path)
-    return Rule(rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(tokens + re.findall(TOKEN, inside.lower())), verdict, rule)
+    return Rule(
+        rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}",
+        tuple(tokens + re.findall(TOKEN, inside.lower())),
+        verdict,
+        rule,
+    )
 
 
 def parse_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
@@ -75,11 +80,37 @@ def parse_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
     return tuple(out)
 
 
-HOST_RULES = tuple(host_path_rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
+HOST_RULES = tuple(
+    host_path_rule(*r)
+    for r in (
+        ("allow", "org/"),
+        ("block", "example.org/es/"),
+        ("block", "example.org/en/1"),
+        ("allow", "com/fr/"),
+        ("block", "com/de/"),
+    )
+)
 #: Host names of spam, gambling, adult and tracking sites, and paths without content of their own.
-HOST_TERMS = ("ads", "adult", "adserver", "bets", "casino", "clickbait", "pills", "poker", "porn", "spam", "tracker", "viagra", "warez", "xxx")
+HOST_TERMS = (
+    "ads",
+    "adult",
+    "adserver",
+    "bets",
+    "casino",
+    "clickbait",
+    "pills",
+    "poker",
+    "porn",
+    "spam",
+    "tracker",
+    "viagra",
+    "warez",
+    "xxx",
+)
 PATH_TERMS = ("cart", "checkout", "login", "signin", "signup")
-METHOD_RULES = tuple(Rule(rf"^(?:[^/]*[.\-])?{t}[.\-]", (t,), "block") for t in HOST_TERMS) + tuple(Rule(rf"^[^/]*/(?:.*/)?{t}(?:[/.]|\Z)", (t,), "block") for t in PATH_TERMS)
+METHOD_RULES = tuple(Rule(rf"^(?:[^/]*[.\-])?{t}[.\-]", (t,), "block") for t in HOST_TERMS) + tuple(
+    Rule(rf"^[^/]*/(?:.*/)?{t}(?:[/.]|\Z)", (t,), "block") for t in PATH_TERMS
+)
 
 
 def host(url: Column) -> Column:
@@ -110,7 +141,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + METHOD_RULES)
     are judged one by one, so repeated rows get equal results and hot hosts cost nothing more; other columns
     are ignored; no rows give no rows.  ``rules`` go to every task; they are a parameter, not data.
     """
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    plain = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")
+    )
     plain = plain.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "url")
     some_whole = any(r.whole for r in rules)
     text = F.col("url") if some_whole else F.concat("host", "path")

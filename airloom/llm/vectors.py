@@ -121,7 +121,9 @@ def shards(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> DataF
         sample = part.where(draw < F.col("k") * ROWS_PER_CENTROID / F.col("count")).select("shard", "raw", "k")
         centres = sample.groupBy("shard").applyInPandas(fit, "shard long, place int, centre binary")
         tasks = F.ceil(F.col("count") / ASSIGNED_ROWS).cast("int")
-        salted = part.select("node", "raw", "shard", "home", F.pmod(F.xxhash64("node"), tasks).cast("int").alias("salt"))
+        salted = part.select(
+            "node", "raw", "shard", "home", F.pmod(F.xxhash64("node"), tasks).cast("int").alias("salt")
+        )
         dealt = centres.join(big.select("shard", tasks.alias("n")), "shard")
         dealt = dealt.select("shard", "place", "centre", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
         both = salted.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt"))
@@ -240,9 +242,18 @@ def _graph_of(kind: str):
 
 def _exact(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
     """(node, pairs, links, root) from all pairs of a label, compared in blocks of bounded size."""
-    size = nodes.groupBy("label", F.length("raw").alias("bytes")).count().withColumn("n", F.ceil(F.col("count") / BLOCK_ROWS).cast("int"))
-    dealt = nodes.withColumn("bytes", F.length("raw")).join(F.broadcast(size.select("label", "bytes", "n")), ["label", "bytes"])
-    dealt = scratch.keep(dealt.select("label", "bytes", "n", "node", "copies", "raw", F.pmod(F.xxhash64("node"), "n").cast("int").alias("own")), "blocks")
+    size = nodes.groupBy("label", F.length("raw").alias("bytes")).count().withColumn(
+        "n", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")
+    )
+    dealt = nodes.withColumn("bytes", F.length("raw")).join(
+        F.broadcast(size.select("label", "bytes", "n")), ["label", "bytes"]
+    )
+    dealt = scratch.keep(
+        dealt.select(
+            "label", "bytes", "n", "node", "copies", "raw", F.pmod(F.xxhash64("node"), "n").cast("int").alias("own")
+        ),
+        "blocks",
+    )
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     asked = dealt.select("label", "bytes", "node", "raw", F.col("own").alias("i"), every.alias("j"))
     rows = dealt.select("label", "bytes", "node", "copies", "raw", F.col("own").alias("j"), every.alias("i"))
@@ -258,10 +269,14 @@ def _exact(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
         to = pd.Series(root, index=nodes)
         count = pd.DataFrame({"node": ids, "pairs": hit.sum(axis=1), "links": hit @ copies, "root": to[ids].to_numpy()})
         there = np.setdiff1d(own[v], ids)
-        return pd.concat([count, pd.DataFrame({"node": there, "pairs": 0, "links": 0, "root": to[there].to_numpy()})]).astype("int64")
+        return pd.concat(
+            [count, pd.DataFrame({"node": there, "pairs": 0, "links": 0, "root": to[there].to_numpy()})]
+        ).astype("int64")
 
     key = ["label", "bytes", "i", "j"]
-    out = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(compare, "node long, pairs long, links long, root long")
+    out = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(
+        compare, "node long, pairs long, links long, root long"
+    )
     return scratch.keep(out, "links")
 
 
@@ -329,7 +344,9 @@ def _search(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> Data
 
 def _recall(nodes: DataFrame, found: DataFrame, kind: str) -> dict[str, float]:
     """By label, the share of the links of AUDIT_ROWS nodes (smallest hashes) against all rows that was found."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT_ROWS).select("node", "label", "raw").collect()
+    asked = nodes.orderBy(
+        F.xxhash64("node", F.lit(7)), "node"
+    ).limit(AUDIT_ROWS).select("node", "label", "raw").collect()
     keys = np.array([r["node"] for r in asked], np.int64)
     groups: dict[tuple, list[int]] = {}
     for i, r in enumerate(asked):

@@ -17,7 +17,10 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def make(spark, texts, **more):
-    rows = [(i, t, more.get("lang", ["en"] * len(texts))[i], more.get("source", ["s"] * len(texts))[i], len(t or "")) for i, t in enumerate(texts)]
+    rows = [
+        (i, t, more.get("lang", ["en"] * len(texts))[i], more.get("source", ["s"] * len(texts))[i], len(t or ""))
+        for i, t in enumerate(texts)
+    ]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -41,7 +44,15 @@ def test_connected_components_of_paths_stars_and_islands(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 301)]
     d = common.connected_components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark))
     got = {r.node: r.root for r in d.collect()}
-    ids = {n: r for n, r in zip([x for p in links for x in p], spark.createDataFrame([(x,) for p in links for x in p], "x long").select(F.xxhash64("x").alias("h")).toPandas().h)}
+    ids = {
+        n: r
+        for n, r in zip(
+            [x for p in links for x in p],
+            spark.createDataFrame(
+                [(x,) for p in links for x in p], "x long"
+            ).select(F.xxhash64("x").alias("h")).toPandas().h,
+        )
+    }
     groups = {}
     for n, h in ids.items():
         groups.setdefault(got[h], set()).add(n)
@@ -54,7 +65,9 @@ def plain_simhash(text):
     """A fingerprint by counting bits one by one."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     own = re.findall(r"[^\x20\x09-\x0D]+", low)
-    shingles = [" ".join(own[i : i + 3]) for i in range(len(own) - 2)] if len(own) >= 3 else [" ".join(own)] if own else []
+    shingles = [
+        " ".join(own[i : i + 3]) for i in range(len(own) - 2)
+    ] if len(own) >= 3 else [" ".join(own)] if own else []
     hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -62,11 +75,15 @@ def plain_simhash(text):
 def test_simhash_equals_brute_force(spark):
     rnd = random.Random(3)
     base = [words(rnd, 300) for _ in range(12)]
-    texts = [None, "", "  \n ", "one two", "One  TWO", "a\u00a0b c\u2003d É é", "İ\x1cx y Z"] + base + base[:3] + [b.replace("w1 ", "w2 ", 1) for b in base] + [b + " tail" for b in base] + [words(rnd, 20_000)]
+    texts = [None, "", "  \n ", "one two", "One  TWO", "a\u00a0b c\u2003d É é", "İ\x1cx y Z"] + base + base[:3] + [
+        b.replace("w1 ", "w2 ", 1) for b in base
+    ] + [b + " tail" for b in base] + [words(rnd, 20_000)]
     d = make(spark, texts).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(5))
     got = {r.doc_id: r for r in simhash.near_duplicates(d).collect()}
     fps = [plain_simhash(t) for t in texts]
-    low = components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 3])
+    low = components(
+        len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 3]
+    )
     assert [got[i].component_id for i in range(len(texts))] == low
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps] and fps[0] == fps[2] == 0
     kept = simhash.keep_one(d)
@@ -94,7 +111,9 @@ def toxic_corpus(n=600):
     for i in range(n):
         t = words(rnd, rnd.randrange(5, 200))
         if bad := i % 6 == 0:
-            t += " " + " ".join(rnd.choice(["vile", "grubbish", "grubbier", "grubbest"]) for _ in range(rnd.choice([1, 2, 12])))
+            t += " " + " ".join(
+                rnd.choice(["vile", "grubbish", "grubbier", "grubbest"]) for _ in range(rnd.choice([1, 2, 12]))
+            )
         texts.append(t)
         toxic.append(int(bad))
     return texts, toxic
@@ -107,7 +126,9 @@ def test_toxicity_learns_words_and_stems(spark):
     texts, toxic = toxic_corpus()
     long = "w1 w2 " * 40_000
     docs = make(spark, [*texts, None, "", long, long + "vile grubbish " * 30])
-    labels = spark.createDataFrame([(i, i % 4 and 1, x) for i, x in enumerate(toxic) if i < 400] + [(None, 1, 1), (3, None, None)], LABELS)
+    labels = spark.createDataFrame(
+        [(i, i % 4 and 1, x) for i, x in enumerate(toxic) if i < 400] + [(None, 1, 1), (3, None, None)], LABELS
+    )
     model = toxicity.train(docs, labels)
     got = {r.doc_id: r for r in toxicity.score(docs.withColumn("severity", F.lit(9)), model).collect()}
     held = range(400, 600)
@@ -132,7 +153,9 @@ def test_repeated_labelled_rows_stay_within_the_bound(spark):
     again = docs
     for _ in range(4):
         again = again.unionByName(docs)
-    one, many = toxicity.train(docs, labels), toxicity.train(again.withColumn("grade", F.lit("clash")), labels.unionByName(labels))
+    one, many = toxicity.train(docs, labels), toxicity.train(
+        again.withColumn("grade", F.lit("clash")), labels.unionByName(labels)
+    )
     assert one == many
     twice = toxicity.score(docs.limit(5).unionByName(docs.limit(5)), one)
     assert twice.count() == 10 and twice.distinct().count() == 5
@@ -152,7 +175,9 @@ def test_ordinal_gradient_equals_differences():
         assert abs((up - down) / 2e-6 - g[i]) < 1e-6
     s, t = np.bincount(row, x[col] * value, n), x[m] + np.r_[0, np.cumsum(np.exp(x[m + 1 :]))]
     cumulative = np.c_[np.ones(n), 1 / (1 + np.exp(t - s[:, None])), np.zeros(n)]
-    by_hand = -np.mean([np.log(cumulative[i, k] - cumulative[i, k + 1]) for i, k in enumerate(grade)]) + 0.01 * (x[:m] ** 2).sum()
+    by_hand = -np.mean(
+        [np.log(cumulative[i, k] - cumulative[i, k + 1]) for i, k in enumerate(grade)]
+    ) + 0.01 * (x[:m] ** 2).sum()
     assert abs(f - by_hand) < 1e-9
 
 
@@ -227,7 +252,18 @@ def test_substring_dedup_equals_sequential(spark):
     rnd = random.Random(2)
     line = words(rnd, 60)
     passage = ". ".join(words(rnd, 9) for _ in range(7)) + "."
-    texts = [None, "", line, "Alpha beta.\n" + line.upper() + "\nown words that only this one has", f"start of it {passage} and the end of it is here", words(rnd, 30) + ". " + passage + " " + words(rnd, 25), "yes.\nyes.", "yes.\nyes.", line + "\n" + line, words(rnd, 30_000)]
+    texts = [
+        None,
+        "",
+        line,
+        "Alpha beta.\n" + line.upper() + "\nown words that only this one has",
+        f"start of it {passage} and the end of it is here",
+        words(rnd, 30) + ". " + passage + " " + words(rnd, 25),
+        "yes.\nyes.",
+        "yes.\nyes.",
+        line + "\n" + line,
+        words(rnd, 30_000),
+    ]
     d = make(spark, texts).withColumn("removed", F.lit(1))
     got = {r.doc_id: r for r in substring.dedupe(d).collect()}
     for i, want in enumerate(brute_cut(texts)):
@@ -239,7 +275,9 @@ def test_substring_dedup_equals_sequential(spark):
     left = got[5].text
     assert len(left.split()) < len(texts[5].split()) - 50 and left.startswith(texts[5][:40])
     clean = substring.without_copies(d.drop("removed"))
-    assert 8 not in {r.doc_id for r in clean.collect()} and clean.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    assert 8 not in {
+        r.doc_id for r in clean.collect()
+    } and clean.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert substring.dedupe(d.limit(0)).count() == 0
 
 
@@ -265,7 +303,9 @@ def cheapest(sizes, members, quotas, repeats=3):
 
 
 def test_targets_and_flow():
-    assert mixing.targets({"a": 10, "b": 100, None: 100}, {"a": 3, "b": 1, None: 2}) == {"a": 30.0, "b": 60.0, None: 120.0}
+    assert mixing.targets(
+        {"a": 10, "b": 100, None: 100}, {"a": 3, "b": 1, None: 2}
+    ) == {"a": 30.0, "b": 60.0, None: 120.0}
     assert mixing.targets({"a": 0}, {"a": 1}) == {"a": 0.0}
     assert mixing.min_cost_flow([10], [(0,)], [1000]) == [30]
     rnd = random.Random(12)
@@ -288,10 +328,14 @@ def test_mixing_meets_targets_with_overlapping_and_null_sources(spark):
     out, sizes, goal = mixing.mix(clash, F.array("source"))
     got = out.collect()
     assert len(got) == len(texts) and all(0 <= r.taken <= 3 * r.size for r in got)
-    assert all(r.size == len((texts[r.doc_id] or "").split()) and r.edge == "own edge" and r.rest == "own rest" for r in got)
+    assert all(
+        r.size == len((texts[r.doc_id] or "").split()) and r.edge == "own edge" and r.rest == "own rest" for r in got
+    )
     for s in sizes:
         assert abs(sum(r.taken for r in got if r.source == s) - goal[s]) <= 1
-    assert sorted((r.doc_id, r.taken) for r in mixing.mix(d, F.array("source"))[0].collect()) == sorted((r.doc_id, r.taken) for r in got)
+    assert sorted(
+        (r.doc_id, r.taken) for r in mixing.mix(d, F.array("source"))[0].collect()
+    ) == sorted((r.doc_id, r.taken) for r in got)
     both = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("q")))
     twice, sizes, goal = mixing.mix(d, both)
     rows = twice.collect()
@@ -343,7 +387,9 @@ def check_pieces(got, texts, times=None):
 
 def test_packing_round_trip(spark):
     rnd = random.Random(6)
-    texts = [None, "", "x", words(rnd, 9000), "a\u00a0b\x0bc\x1cd 'tis é"] + [words(rnd, rnd.randrange(1, 600)) for _ in range(120)] + ["same text here"] * 40
+    texts = [
+        None, "", "x", words(rnd, 9000), "a\u00a0b\x0bc\x1cd 'tis é"
+    ] + [words(rnd, rnd.randrange(1, 600)) for _ in range(120)] + ["same text here"] * 40
     d = make(spark, texts).withColumn("length", F.lit("clash"))
     path = packing.default_tokenizer()
     got = packing.pack(d.unionByName(d.where("doc_id = 2")), path).collect()
@@ -395,13 +441,17 @@ def test_language_filters(spark):
     make_text = lambda p, n: " ".join("".join(rnd.choice(p) for _ in range(rnd.randrange(2, 4))) for _ in range(n))
     parts = {"aa": ["ka", "lo", "mi"], "bb": ["kä", "ro", "sü"], "cc": ["qu", "lo", "ez"]}
     lang = [rnd.choice(list(parts)) for _ in range(300)]
-    texts = [make_text(parts[x], rnd.randrange(3, 200)) for x in lang] + [None, "", "123 !?", make_text(parts["bb"], 60_000)]
+    texts = [
+        make_text(parts[x], rnd.randrange(3, 200)) for x in lang
+    ] + [None, "", "123 !?", make_text(parts["bb"], 60_000)]
     lang += ["aa", None, "bb", "bb"]
     d = make(spark, texts, lang=lang)
     got = {r.doc_id: r for r in langid.identify(d.withColumn("score", F.lit("x")), langid.learn(d)).collect()}
     assert [got[i].lang_pred for i in (300, 301, 302, 303)] == ["und", "und", "und", "bb"]
     held = [i for i in range(300) if got[i].held_out]
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got) and np.mean([got[i].lang_pred == lang[i] for i in held]) > 0.98
+    assert all(
+        got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got
+    ) and np.mean([got[i].lang_pred == lang[i] for i in held]) > 0.98
     assert all(0 <= r.score <= 1 for r in got.values())
     none = langid.identify(d, langid.learn(d.withColumn("lang", F.lit(None).cast("string")))).collect()
     assert {r.lang_pred for r in none} == {"und"} and langid.identify(d.limit(0), langid.learn(d)).count() == 0
@@ -458,7 +508,9 @@ def test_token_attribution_equals_bytes(spark):
         for i, t in enumerate(texts):
             own, t = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section), t or ""
             ids = enc.encode_ordinary(t)
-            assert "".join(t[r.start : r.end] for r in own) == t and sum(r.tokens for r in own) == len(ids) == own[0].doc_tokens
+            assert "".join(
+                t[r.start : r.end] for r in own
+            ) == t and sum(r.tokens for r in own) == len(ids) == own[0].doc_tokens
             ends, count, at = [len(t[: r.end].encode()) for r in own], [0] * len(own), 0
             for x in ids:
                 n = len(enc.decode_single_token_bytes(x))
@@ -471,10 +523,14 @@ def test_token_attribution_equals_bytes(spark):
 def test_url_rules(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://A.Org/x?y": ("a.org", "/x", "org/", "allow"), "http://org": ("org", "", None, "allow"), "https://w.EXAMPLE.org/es/1#t": ("w.example.org", "/es/1", "example.org/es/", "block"),
-        "x://example.org/en/19": ("example.org", "/en/19", "example.org/en/1", "block"), "x://example.org/en/29": ("example.org", "/en/29", "org/", "allow"), "x://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"), "x://a.com/fr/": ("a.com", "/fr/", "com/fr/", "allow"),
+        "x://example.org/en/19": (
+            "example.org", "/en/19", "example.org/en/1", "block"
+        ), "x://example.org/en/29": ("example.org", "/en/29", "org/", "allow"), "x://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"), "x://a.com/fr/": ("a.com", "/fr/", "com/fr/", "allow"),
         "x://a.com/FR/": ("a.com", "/FR/", None, "allow"), "x://b.com/de/://q": ("b.com", "/de/://q", "com/de/", "block"), "x://casino.example.net/": ("casino.example.net", "/", None, "block"), "x://a.net/login": ("a.net", "/login", None, "block"), "x://a.net/logins": ("a.net", "/logins", None, "allow"),
     }
-    d = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string").withColumn("host", F.lit("clash"))
+    d = spark.createDataFrame(
+        [(i, u) for i, u in enumerate(cases)], "page_id long, url string"
+    ).withColumn("host", F.lit("clash"))
     got = sorted(urls.judge(d).collect())
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == list(cases.values())
     every = urls.HOST_RULES + urls.METHOD_RULES
@@ -488,15 +544,49 @@ def test_url_rules(spark):
 def test_many_parsed_rules_equal_trying_all(spark):
     rnd = random.Random(21)
     names = [f"{a}{b}" for a in ("shop", "news", "bet", "film", "bank") for b in range(40)]
-    lines = ["! a comment", "", "||shop1.example^", "@@||good.shop1.example^", "/track[0-9]+/", "|https://exact.net/a", "*banner*ad*.gif", "-popup-", "||news2.org/live/", ".swf|"]
-    lines += [f"||{n}.{rnd.choice(['com', 'net'])}^" for n in names[:120]] + [f"/{n}/*/x{i}^" for i, n in enumerate(names[120:])]
+    lines = [
+        "! a comment",
+        "",
+        "||shop1.example^",
+        "@@||good.shop1.example^",
+        "/track[0-9]+/",
+        "|https://exact.net/a",
+        "*banner*ad*.gif",
+        "-popup-",
+        "||news2.org/live/",
+        ".swf|",
+    ]
+    lines += [
+        f"||{n}.{rnd.choice(['com', 'net'])}^" for n in names[:120]
+    ] + [f"/{n}/*/x{i}^" for i, n in enumerate(names[120:])]
     rules = urls.parse_rules(lines)
     assert len(rules) == len(lines) - 2
-    cases = [None, "https://good.shop1.example/", "https://a.shop1.example/x", "https://exact.net/abc", "http://exact.net/a", "x://q.org/banner/my.ad/z.GIF", "x://n.org/a-popup-b", "x://a.news2.org/live/1", "x://news2.org/liver", "x://e.org/f.swf", "x://e.org/f.swf?x", "x://e.org/track12/", "x://e.org/track/"]
+    cases = [
+        None,
+        "https://good.shop1.example/",
+        "https://a.shop1.example/x",
+        "https://exact.net/abc",
+        "http://exact.net/a",
+        "x://q.org/banner/my.ad/z.GIF",
+        "x://n.org/a-popup-b",
+        "x://a.news2.org/live/1",
+        "x://news2.org/liver",
+        "x://e.org/f.swf",
+        "x://e.org/f.swf?x",
+        "x://e.org/track12/",
+        "x://e.org/track/",
+    ]
     for i, n in enumerate(names):
-        cases += [f"https://w.{n}.com/p", f"https://{n}.net", f"http://h.org/{n}/mid/x{i - 120}", f"http://h.org/{n}/mid/x{i - 120}y"]
+        cases += [
+            f"https://w.{n}.com/p",
+            f"https://{n}.net",
+            f"http://h.org/{n}/mid/x{i - 120}",
+            f"http://h.org/{n}/mid/x{i - 120}y",
+        ]
     cases += cases[:9] + ["https://w.org/" + "a/" * 50_000 + "track7/"]
-    d = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string").withColumn("verdict", F.lit("clash"))
+    d = spark.createDataFrame(
+        [(i, u) for i, u in enumerate(cases)], "page_id long, url string"
+    ).withColumn("verdict", F.lit("clash"))
     got = sorted(urls.judge(d, rules).collect())
     for r, url in zip(got, cases):
         whole = r.host + r.path
@@ -521,7 +611,9 @@ def test_vectors_equal_brute_force(spark):
     v += [v[0]] * 30 + [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [1.0, 2.0], [2.0, 4.0]]
     label += [label[0]] * 30 + [0] * 5 + [1, 1]
     label[5] = None
-    d = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(v, label))], "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("clash"))
+    d = spark.createDataFrame(
+        [(i, x, y) for i, (x, y) in enumerate(zip(v, label))], "vec_id long, embedding array<double>, label int"
+    ).withColumn("node", F.lit("clash"))
     got = {r.vec_id: r for r in vectors.near_duplicates(d).collect()}
     ok = lambda x: bool(x) and None not in x and all(np.isfinite(x)) and any(x)
     links = []
@@ -533,7 +625,9 @@ def test_vectors_equal_brute_force(spark):
     degree = np.bincount(np.array(links).ravel(), minlength=len(v))
     assert [got[i].n_links for i in range(len(v))] == degree.tolist()
     low = components(len(v), links)
-    assert [got[i].component_id for i in range(len(v))] == low and [got[i].kept for i in range(len(v))] == [low[i] == i for i in range(len(v))]
+    assert [
+        got[i].component_id for i in range(len(v))
+    ] == low and [got[i].kept for i in range(len(v))] == [low[i] == i for i in range(len(v))]
     assert vectors.near_duplicates(d.limit(0)).count() == 0
 
 
@@ -542,7 +636,9 @@ def test_graph_search_recall_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(vectors, "DENSE", 5)
     rnd = np.random.default_rng(9)
     x = np.concatenate([c + 0.1 * rnd.normal(size=(40, 12)) for c in rnd.normal(size=(15, 12))])
-    d = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    d = spark.createDataFrame(
+        [(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int"
+    )
     u = x / np.linalg.norm(x, axis=1)[:, None]
     exact = ((u @ u.T) >= 0.98).sum() - len(x)
     found = sum(r.n_links for r in vectors.near_duplicates(d).collect())
@@ -583,7 +679,9 @@ def plain_likeness(a, b):
 
 
 EDIT_TEXTS = [
-    "", None, "a", "ab", "One. Two, three.\n\nSection two\nline.", "same", "same", "é😀漢" * 40, " ".join(f"s{i}." for i in range(3000)),
+    "", None, "a", "ab", "One. Two, three.\n\nSection two\nline.", "same", "same", "é😀漢" * 40, " ".join(
+        f"s{i}." for i in range(3000)
+    ),
     "tail text. more of it.", "first. second\n\n\nthird\n", "\n", "\r\nx\r\n", "漢字。かな、" * 30, "x" * 500, "it stays, " * 5, "it stays, " * 4 + "and ends",
     "many plain words that carry no mark at all but only blanks " * 4, "many plain words that carry no mark at all but only blanks " * 5, "short",
 ]
@@ -592,23 +690,31 @@ EDIT_TEXTS = [
 def test_merkle_edits(spark):
     rows = [(i * 3 - 5, t) for i, t in enumerate(EDIT_TEXTS)]
     random.Random(1).shuffle(rows)
-    clash = {c: F.lit("clash") for c in ("key", "head", "fingerprint", "leaves", "edited", "next", "range", "__sections")}
+    clash = {
+        c: F.lit("clash") for c in ("key", "head", "fingerprint", "leaves", "edited", "next", "range", "__sections")
+    }
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
     got = sorted(merkle.fingerprint_edits(d).collect())
     plain = [t or "" for t in EDIT_TEXTS]
     for i, (r, t) in enumerate(zip(got, plain)):
         after = plain[(i + 1) % len(plain)]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        assert (r.doc_id, r.n_chars, r.edited_sha256) == (i * 3 - 5, len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (
+            i * 3 - 5, len(t), hashlib.sha256(edited.encode()).hexdigest()
+        )
         assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(t), plain_fingerprint(edited))
         assert abs(r.near_edited - plain_likeness(t, edited)) < 1e-12
         assert abs(r.near_next - plain_likeness(t, after)) < 1e-12
     assert got[5].fingerprint == got[6].fingerprint and got[5].near_next == 1.0 and got[0].near_edited == 1.0
     assert got[8].near_edited > 0.4 > got[8].near_next
     assert len({r.fingerprint[:64] for r in got}) == len(set(plain))
-    one = merkle.fingerprint_edits(spark.createDataFrame([(None, "abcd"), (None, "abcd")], "doc_id long, text string")).collect()
+    one = merkle.fingerprint_edits(
+        spark.createDataFrame([(None, "abcd"), (None, "abcd")], "doc_id long, text string")
+    ).collect()
     assert [(r.doc_id, r.n_chars) for r in one] == [(None, 4), (None, 4)]
-    many = merkle.fingerprint_edits(spark.createDataFrame([(1, "abcd ef")] * 500 + [(2, "x")], "doc_id long, text string")).collect()
+    many = merkle.fingerprint_edits(
+        spark.createDataFrame([(1, "abcd ef")] * 500 + [(2, "x")], "doc_id long, text string")
+    ).collect()
     assert len(many) == 501 and len({r.fingerprint for r in many}) == 2
     assert merkle.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -654,7 +760,10 @@ def test_pipeline_stages(spark, tmp_path):
         nxt = spark.read.parquet(path)
         if name != "packing":
             assert nxt.columns == d.columns
-        before, after = ({r.doc_id: r.text for r in x.select("doc_id", F.col(x.columns[1]).alias("text")).collect()} for x in (docs, nxt))
+        before, after = (
+            {r.doc_id: r.text for r in x.select("doc_id", F.col(x.columns[1]).alias("text")).collect()}
+            for x in (docs, nxt)
+        )
         if name == "toxicity":
             gone = set(before) - set(after)
             held = [i + 35 for i in range(200, 240)]

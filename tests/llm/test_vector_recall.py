@@ -11,7 +11,9 @@ def clouds(n, size, dim, seed):
 
 
 def linked(spark, x):
-    d = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    d = spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"
+    )
     got = {r.vec_id: r for r in vectors.near_duplicates(d).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.98
@@ -26,7 +28,9 @@ def test_clouds_without_bridges_are_linked(spark):
 def test_all_pairs_are_compared_when_recall_stays_low(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
     monkeypatch.setattr(vectors, "_recall", lambda nodes, *a: {"1": 0.0})
-    monkeypatch.setattr(vectors, "_search", lambda nodes, *a: nodes.selectExpr("node", "0L AS pairs", "0L AS links", "node AS root"))
+    monkeypatch.setattr(
+        vectors, "_search", lambda nodes, *a: nodes.selectExpr("node", "0L AS pairs", "0L AS links", "node AS root")
+    )
     linked(spark, clouds(3, 60, 16, 2))
 
 
@@ -43,7 +47,9 @@ def test_shards_are_bounded_and_recall_is_audited(spark, monkeypatch, caplog):
     scratch = vectors.Scratch(spark)
     nodes = d.selectExpr("vec_id AS node", "CAST(label AS STRING) AS label", "embedding")
     raw = {r.vec_id: r.raw for r in vectors.valid_rows(d).collect()}
-    nodes = spark.createDataFrame([(i, str(y), bytes(raw[i])) for i, y in enumerate(label)], "node long, label string, raw binary")
+    nodes = spark.createDataFrame(
+        [(i, str(y), bytes(raw[i])) for i, y in enumerate(label)], "node long, label string, raw binary"
+    )
     dealt = vectors.shards(nodes, scratch, "<f4", 2).toPandas()
     assert dealt.groupby("shard").size().max() <= 60 and sorted(dealt[dealt.home].node) == list(range(len(x)))
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(d).collect()}
