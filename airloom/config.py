@@ -40,14 +40,62 @@ class Rule:
 
 # Rules in the order of evaluation.
 RULES = {
-    "SAT_NOT_DROPPING_WHEN_VALVE_HIGH": Rule("medium", "Cooling demand high but SAT not decreasing", ("cooling_coil_fault",), "Cooling demand high but supply air temperature not dropping.", {"valve_high_pct": 70.0, "sat_slope_min": 0.0, "sa_temp_mean_minus_sp_min": 1.0, "min_samples": 3}),
-    "SAT_TOO_HIGH_WHEN_VALVE_HIGH": Rule("medium", "SAT above setpoint while valve high", ("cooling_coil_fault",), "Supply air temperature above setpoint while cooling demand is high.", {"valve_high_pct": 70.0, "sa_temp_mean_minus_sp_high": 1.0}),
-    "OA_DAMPER_STUCK_OR_FLATLINE": Rule("low", "OA damper variance near zero", ("stuck_damper_fault",), "oa_damper shows near-zero variance (possible stuck/flatline).", {"damper_var_eps": 0.05}),
-    "RA_DAMPER_STUCK_OR_FLATLINE": Rule("low", "RA damper variance near zero", ("stuck_damper_fault",), "ra_damper shows near-zero variance (possible stuck/flatline).", {"damper_var_eps": 0.05}),
-    "ZONE_TEMP_PERSISTENT_TREND": Rule("low", "Zone temperature persistent trend", ("zone_temp_sensor_drift",), "Zone temperature shows sustained upward trend.", {"zone_slope_high": 0.005, "zone_delta_min": 0.05, "sa_temp_mean_minus_sp_max": 1.0}),
-    "ZONE_TEMP_SENSOR_NOISY": Rule("low", "Zone temperature variance unusually high", ("zone_temp_sensor_drift",), "Zone temperature variance unusually high (possible sensor noise).", {"zone_var_high": 0.25}),
-    "MISSING_DATA_HIGH": Rule("medium", "High missing data ratio", ("data_quality",), "High missing data ratio in window.", {"missing_ratio_high": 0.2}),
-    "OUT_OF_RANGE_VALUES": Rule("high", "Signals outside configured bounds", ("data_quality",), "One or more signals exceeded configured bounds.", {"use_signal_bounds": True}),
+    "SAT_NOT_DROPPING_WHEN_VALVE_HIGH": Rule(
+        "medium",
+        "Cooling demand high but SAT not decreasing",
+        ("cooling_coil_fault",),
+        "Cooling demand high but supply air temperature not dropping.",
+        {"valve_high_pct": 70.0, "sat_slope_min": 0.0, "sa_temp_mean_minus_sp_min": 1.0, "min_samples": 3},
+    ),
+    "SAT_TOO_HIGH_WHEN_VALVE_HIGH": Rule(
+        "medium",
+        "SAT above setpoint while valve high",
+        ("cooling_coil_fault",),
+        "Supply air temperature above setpoint while cooling demand is high.",
+        {"valve_high_pct": 70.0, "sa_temp_mean_minus_sp_high": 1.0},
+    ),
+    "OA_DAMPER_STUCK_OR_FLATLINE": Rule(
+        "low",
+        "OA damper variance near zero",
+        ("stuck_damper_fault",),
+        "oa_damper shows near-zero variance (possible stuck/flatline).",
+        {"damper_var_eps": 0.05},
+    ),
+    "RA_DAMPER_STUCK_OR_FLATLINE": Rule(
+        "low",
+        "RA damper variance near zero",
+        ("stuck_damper_fault",),
+        "ra_damper shows near-zero variance (possible stuck/flatline).",
+        {"damper_var_eps": 0.05},
+    ),
+    "ZONE_TEMP_PERSISTENT_TREND": Rule(
+        "low",
+        "Zone temperature persistent trend",
+        ("zone_temp_sensor_drift",),
+        "Zone temperature shows sustained upward trend.",
+        {"zone_slope_high": 0.005, "zone_delta_min": 0.05, "sa_temp_mean_minus_sp_max": 1.0},
+    ),
+    "ZONE_TEMP_SENSOR_NOISY": Rule(
+        "low",
+        "Zone temperature variance unusually high",
+        ("zone_temp_sensor_drift",),
+        "Zone temperature variance unusually high (possible sensor noise).",
+        {"zone_var_high": 0.25},
+    ),
+    "MISSING_DATA_HIGH": Rule(
+        "medium",
+        "High missing data ratio",
+        ("data_quality",),
+        "High missing data ratio in window.",
+        {"missing_ratio_high": 0.2},
+    ),
+    "OUT_OF_RANGE_VALUES": Rule(
+        "high",
+        "Signals outside configured bounds",
+        ("data_quality",),
+        "One or more signals exceeded configured bounds.",
+        {"use_signal_bounds": True},
+    ),
 }
 
 
@@ -109,12 +157,23 @@ def load(signals: str | None = None, rules: str | None = None, windowing: str |
         known = dict(RULES)
         for k, r in (load_yaml(rules).get("rules") or {}).items():
             base = known.get(k, Rule("low", "", (), ""))
-            known[k] = Rule(r.get("severity", "low"), r.get("symptom", ""), tuple(r.get("fault_hypotheses") or ()), base.message, r.get("params") or {}, r.get("enabled", True))
+            known[k] = Rule(
+                r.get("severity", "low"),
+                r.get("symptom", ""),
+                tuple(r.get("fault_hypotheses") or ()),
+                base.message,
+                r.get("params") or {},
+                r.get("enabled", True),
+            )
         out["rules"] = known
     if windowing:
         y = load_yaml(windowing)
         w = y.get("window") or y
-        out["windowing"] = Windowing(int(w.get("size_sec", w.get("window_size_sec", 300))), w.get("step_sec"), bool(w.get("align_to_epoch", True)))
+        out["windowing"] = Windowing(
+            int(w.get("size_sec", w.get("window_size_sec", 300))),
+            w.get("step_sec"),
+            bool(w.get("align_to_epoch", True)),
+        )
     return Config(**out)
 
 
@@ -133,7 +192,17 @@ def load_scenario(path: str) -> dict:
     from datetime import datetime
 
     s = json.loads(Path(path).read_text(encoding="utf-8"))
-    need = {"run_id", "scenario_name", "ahu_id", "start_time", "end_time", "sampling_interval_sec", "seed", "signals", "fault_episodes"}
+    need = {
+        "run_id",
+        "scenario_name",
+        "ahu_id",
+        "start_time",
+        "end_time",
+        "sampling_interval_sec",
+        "seed",
+        "signals",
+        "fault_episodes",
+    }
     if missing := need - set(s):
         raise ValueError(f"missing keys: {sorted(missing)}")
     at = lambda x: datetime.fromisoformat(x.replace("Z", "+00:00"))

@@ -84,7 +84,9 @@ def unit_label(unit: Column) -> Column:
 
 def percent(confidence: Column) -> Column:
     """A confidence as whole percent within 0 and 100; none is 0."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.coalesce(confidence, F.lit(0.0)) * 100 + 0.5))).cast("int")
+    return F.greatest(
+        F.lit(0), F.least(F.lit(100), F.floor(F.coalesce(confidence, F.lit(0.0)) * 100 + 0.5))
+    ).cast("int")
 
 
 def root_cause_parts(text: Column) -> Column:

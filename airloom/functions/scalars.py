@@ -16,8 +16,12 @@ ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2
 def to_float(c: Column) -> Column:
     """Double from text, number or boolean; blank, nan, null, none and anything else that isn't a number is null."""
     s = F.trim(c.cast("string"))
-    number = F.when(F.lower(s).isin("true", "false"), (F.lower(s) == "true").cast("double")).otherwise(s.try_cast("double"))
-    return F.nullif(F.when(F.lower(s).isin("", "nan", "null", "none"), F.lit(None)).otherwise(number), F.lit(float("nan")))
+    number = F.when(
+        F.lower(s).isin("true", "false"), (F.lower(s) == "true").cast("double")
+    ).otherwise(s.try_cast("double"))
+    return F.nullif(
+        F.when(F.lower(s).isin("", "nan", "null", "none"), F.lit(None)).otherwise(number), F.lit(float("nan"))
+    )
 
 
 def to_timestamp(c: Column) -> Column:
@@ -48,7 +52,9 @@ def event_id(unit: Column, timestamp_text: Column) -> Column:
     """SHA-256 over the canonical JSON of unit and raw timestamp text."""
     quote = lambda c: F.to_json(F.array(c))
     inner = lambda c: F.regexp_replace(quote(c), r"^\[|\]$", "")
-    return F.sha2(F.concat(F.lit('{"ahu_id":'), inner(unit), F.lit(',"timestamp":'), inner(timestamp_text), F.lit("}")), 256)
+    return F.sha2(
+        F.concat(F.lit('{"ahu_id":'), inner(unit), F.lit(',"timestamp":'), inner(timestamp_text), F.lit("}")), 256
+    )
 
 
 def signature(rule_ids: Column) -> Column:
@@ -75,7 +81,11 @@ def fixed(digits: int):
 
     @F.pandas_udf(StringType())
     def fmt(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: "n/a" if v is None or pd.isna(v) else str(Decimal(float(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN))).astype(object)
+        return x.map(
+            lambda v: "n/a" if v is None or pd.isna(v) else str(
+                Decimal(float(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN)
+            )
+        ).astype(object)
 
     return fmt
 
@@ -154,7 +164,9 @@ def evidence_lists(ids: Column) -> Column:
 
 def json_list(c: Column) -> Column:
     """A list from JSON text, elements as texts; null, blank, other JSON and no JSON at all give the empty list."""
-    return F.coalesce(F.from_json(F.when(F.trim(c).startswith("["), c), "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(
+        F.from_json(F.when(F.trim(c).startswith("["), c), "array<string>"), F.array().cast("array<string>")
+    )
 
 
 def json_value(c: Column) -> Column:

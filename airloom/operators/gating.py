@@ -31,13 +31,17 @@ def gate(windows: DataFrame, offsets: list[tuple[int, int]], base: DataFrame) ->
     for a, b in offsets:
         inside |= (since >= a) & (since < b)
     out = windows.join(base, "ahu_id", "left").withColumn("gated", ~F.coalesce(inside, F.lit(False)))
-    return out.withColumn("anomalies", F.when(F.col("gated"), F.filter("anomalies", lambda _: F.lit(False))).otherwise(F.col("anomalies"))).drop("base_ts")
+    return out.withColumn(
+        "anomalies", F.when(F.col("gated"), F.filter("anomalies", lambda _: F.lit(False))).otherwise(F.col("anomalies"))
+    ).drop("base_ts")
 
 
 def effective_magnitude(magnitude: Column, ramp_minutes: Column, elapsed_sec: Column) -> Column:
     """Magnitude within 0 and 1, growing linearly over the ramp."""
     base = clamp(magnitude, 0.0, 1.0)
-    return F.when(ramp_minutes > 0, base * clamp(elapsed_sec / F.nullif(ramp_minutes * 60.0, F.lit(0.0)), 0.0, 1.0)).otherwise(base)
+    return F.when(
+        ramp_minutes > 0, base * clamp(elapsed_sec / F.nullif(ramp_minutes * 60.0, F.lit(0.0)), 0.0, 1.0)
+    ).otherwise(base)
 
 
 def overlaps(episodes: DataFrame) -> DataFrame:

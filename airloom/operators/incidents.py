@@ -35,15 +35,21 @@ def hypothesis_fault(token: Column) -> Column:
         .when(s.contains("cooling") & either(has("coil", "valve", "sat")), "COOLING_COIL_FAULT")
         .when(either(has("outdoor", "oa")) & stuck, "OA_DAMPER_STUCK")
         .when(either(has("return", "ra")) & stuck, "RA_DAMPER_STUCK")
-        .when(s.contains("zone") & s.contains("temp") & either(has("drift", "trend", "noise")), "ZONE_TEMP_SENSOR_DRIFT")
+        .when(
+            s.contains("zone") & s.contains("temp") & either(has("drift", "trend", "noise")), "ZONE_TEMP_SENSOR_DRIFT"
+        )
         .otherwise("UNKNOWN")
     )
 
 
 def fault_types(anomalies: Column, ignore_unknown: bool = True) -> Column:
     """A window's sorted fault types from its hypotheses and its rules together."""
-    hyp = F.flatten(F.transform(anomalies, lambda a: F.coalesce(a["fault_hypotheses"], F.array().cast("array<string>"))))
-    found = F.array_union(F.transform(hyp, hypothesis_fault), F.transform(anomalies, lambda a: rule_fault(a["rule_id"])))
+    hyp = F.flatten(
+        F.transform(anomalies, lambda a: F.coalesce(a["fault_hypotheses"], F.array().cast("array<string>")))
+    )
+    found = F.array_union(
+        F.transform(hyp, hypothesis_fault), F.transform(anomalies, lambda a: rule_fault(a["rule_id"]))
+    )
     found = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     if ignore_unknown:
         return F.array_except(found, F.array(F.lit("UNKNOWN")))
@@ -55,7 +61,10 @@ def primary_hypothesis(df: DataFrame, key: str, tokens: str) -> DataFrame:
     e = df.select(key, F.posexplode(tokens).alias("pos", "t")).where("t <> ''")
     c = e.groupBy(key, "t").agg(F.count("*").alias("c"), F.min("pos").alias("first"))
     best = F.max_by("t", F.struct("c", (-F.col("first")).alias("p")))
-    return c.groupBy(key).agg(best.alias("primary"), F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda x: x["t"]).alias("all"))
+    return c.groupBy(key).agg(
+        best.alias("primary"),
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda x: x["t"]).alias("all"),
+    )
 
 
 def presence(windows: DataFrame) -> DataFrame:
@@ -72,8 +81,12 @@ def streaks(present: DataFrame) -> DataFrame:
     """``rl``: length so far of the run of equal ``s``."""
     w = Window.partitionBy("ahu_id", "fault").orderBy("i")
     change = F.when(F.lag("s").over(w).eqNullSafe(F.col("s")), 0).otherwise(1)
-    d = present.withColumn("__c", change).withColumn("island", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn("rl", F.row_number().over(Window.partitionBy("ahu_id", "fault", "island").orderBy("i"))).drop("__c")
+    d = present.withColumn("__c", change).withColumn(
+        "island", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    return d.withColumn(
+        "rl", F.row_number().over(Window.partitionBy("ahu_id", "fault", "island").orderBy("i"))
+    ).drop("__c")
 
 
 def episodes(streaked: DataFrame, n_trigger: int = 2, k_clear: int = 3) -> DataFrame:

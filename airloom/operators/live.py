@@ -26,7 +26,9 @@ def online(time: Column, as_of: Column, threshold_sec: int = 15) -> Column:
 def retain(df: DataFrame, key: str, time: str, minutes: int) -> DataFrame:
     """Rows no older than so many minutes before their key's newest."""
     newest = df.groupBy(F.col(key).alias("__k")).agg(F.max(time).alias("__newest"))
-    return df.join(newest, F.col(key) == F.col("__k")).where(F.col(time) >= F.col("__newest") - F.expr(f"INTERVAL {minutes} MINUTES")).drop("__k", "__newest")
+    return df.join(newest, F.col(key) == F.col("__k")).where(
+        F.col(time) >= F.col("__newest") - F.expr(f"INTERVAL {minutes} MINUTES")
+    ).drop("__k", "__newest")
 
 
 def downsample(df: DataFrame, key: str, time: list[str], most: int) -> DataFrame:
@@ -125,8 +127,12 @@ def top_rules(df: DataFrame, key: list[str], ordered_ids: str, n: int, alphabeti
     e = df.select(*key, F.posexplode(ordered_ids).alias("pos", "id"))
     c = e.groupBy(*key, "id").agg(F.count("*").alias("c"), F.min("pos").alias("first"))
     tie = F.col("id") if alphabetical else F.col("first")
-    c = c.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("c"), tie))).where(F.col("rn") <= n)
-    return c.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("top_rules"))
+    c = c.withColumn(
+        "rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("c"), tie))
+    ).where(F.col("rn") <= n)
+    return c.groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("top_rules")
+    )
 
 
 def min_window_item(summaries: DataFrame, n: int = 3) -> DataFrame:
@@ -134,8 +140,21 @@ def min_window_item(summaries: DataFrame, n: int = 3) -> DataFrame:
     ids = F.filter(F.col("anomalies.rule_id"), lambda r: r.isNotNull())
     times = lambda r: F.size(F.filter(F.col("__ids"), lambda x: x == r))
     d = summaries.withColumn("__ids", ids)
-    ranked = F.array_sort(F.transform(F.array_distinct("__ids"), lambda r: F.struct((-times(r)).alias("c"), F.array_position(F.col("__ids"), r).alias("p"), r.alias("id"))))
-    return d.select("window_id", F.col("time.start").alias("start"), F.col("time.end").alias("end"), "signature", max_severity(F.col("anomalies")).alias("max_severity"), F.transform(F.slice(ranked, 1, n), lambda x: x["id"]).alias("top_rules"), "text_summary")
+    ranked = F.array_sort(
+        F.transform(
+            F.array_distinct("__ids"),
+            lambda r: F.struct((-times(r)).alias("c"), F.array_position(F.col("__ids"), r).alias("p"), r.alias("id")),
+        )
+    )
+    return d.select(
+        "window_id",
+        F.col("time.start").alias("start"),
+        F.col("time.end").alias("end"),
+        "signature",
+        max_severity(F.col("anomalies")).alias("max_severity"),
+        F.transform(F.slice(ranked, 1, n), lambda x: x["id"]).alias("top_rules"),
+        "text_summary",
+    )
 
 
 def active_incidents(summaries: DataFrame, n: int = 3) -> DataFrame:

@@ -45,10 +45,16 @@ def repeated_lines(pages: DataFrame, share: float = REPEATED_SHARE) -> DataFrame
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Pages without repeated lines and page numbers; pages left without lines have empty text."""
-    kept = page_lines(pages).join(repeated_lines(pages).select("doc_id", "line"), ["doc_id", "line"], "left_anti").where(~F.col("line").rlike(r"^\d{1,4}$"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    kept = page_lines(pages).join(
+        repeated_lines(pages).select("doc_id", "line"), ["doc_id", "line"], "left_anti"
+    ).where(~F.col("line").rlike(r"^\d{1,4}$"))
+    text = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"
+    )
     out = kept.groupBy("doc_id", "page_no").agg(text.alias("text"))
-    return pages.select("doc_id", "page_no").join(out, ["doc_id", "page_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return pages.select("doc_id", "page_no").join(out, ["doc_id", "page_no"], "left").withColumn(
+        "text", F.coalesce("text", F.lit(""))
+    )
 
 
 def normal_space(text: Column) -> Column:
@@ -203,9 +209,13 @@ def page_range(spans: DataFrame, pieces: DataFrame) -> DataFrame:
     """First and last page of pieces (doc_id, piece, start, end) by overlap.
 
     Pages and pieces meet in stretches of STRETCH characters, so a document's pairs grow with its length, not its square."""
-    at = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / STRETCH), F.floor(F.greatest(F.col(a), F.col(b) - 1) / STRETCH)))
+    at = lambda a, b: F.explode(
+        F.sequence(F.floor(F.col(a) / STRETCH), F.floor(F.greatest(F.col(a), F.col(b) - 1) / STRETCH))
+    )
     spans = spans.select("doc_id", "page_no", "page_start", "page_end", at("page_start", "page_end").alias("stretch"))
-    j = pieces.withColumn("stretch", at("start", "end")).join(spans, ["doc_id", "stretch"]).where((F.col("page_end") > F.col("start")) & (F.col("page_start") < F.col("end")))
+    j = pieces.withColumn("stretch", at("start", "end")).join(spans, ["doc_id", "stretch"]).where(
+        (F.col("page_end") > F.col("start")) & (F.col("page_start") < F.col("end"))
+    )
     return j.groupBy("doc_id", "piece").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
 
 

@@ -24,7 +24,11 @@ def parse_json(df: DataFrame, value: str = "value") -> DataFrame:
     nested = F.from_json(F.coalesce(flat["signals"], flat["values"]), "map<string,string>")
     out = df.select("*", flat.alias("__flat"), nested.alias("__nested")).where("__flat IS NOT NULL")
     own = F.map_filter("__flat", lambda k, _: ~k.isin("timestamp", "ts", "ahu_id", "signals", "values"))
-    return out.select(F.coalesce(F.nullif(F.trim(F.col("__flat")["timestamp"]), F.lit("")), F.col("__flat")["ts"]).alias("timestamp"), F.col("__flat")["ahu_id"].alias("ahu_id"), F.coalesce("__nested", own).alias("signals"))
+    return out.select(
+        F.coalesce(F.nullif(F.trim(F.col("__flat")["timestamp"]), F.lit("")), F.col("__flat")["ts"]).alias("timestamp"),
+        F.col("__flat")["ahu_id"].alias("ahu_id"),
+        F.coalesce("__nested", own).alias("signals"),
+    )
 
 
 def normalize_events(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -37,9 +41,17 @@ def normalize_events(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     when = _text(df, cfg.timestamp_field, "timestamp", "ts")
     unit = _text(df, cfg.unit_field, "ahu_id")
     nested = next((n for n in ("signals", "values") if n in df.columns), None)
-    value = lambda s: F.coalesce(F.col(nested)[s] if nested else F.lit(None), F.col(s).cast("string") if s in df.columns else F.lit(None))
+    value = lambda s: F.coalesce(
+        F.col(nested)[s] if nested else F.lit(None), F.col(s).cast("string") if s in df.columns else F.lit(None)
+    )
     signals = [to_float(value(s)).alias(s) for s in cfg.signals]
-    out = df.select(to_timestamp(when).alias("timestamp"), when.alias("timestamp_text"), unit.alias("ahu_id"), *[c for c in df.columns if c.startswith("arrival")], *signals)
+    out = df.select(
+        to_timestamp(when).alias("timestamp"),
+        when.alias("timestamp_text"),
+        unit.alias("ahu_id"),
+        *[c for c in df.columns if c.startswith("arrival")],
+        *signals,
+    )
     if cfg.drop_if_missing_timestamp:
         out = out.where("timestamp IS NOT NULL")
     if cfg.drop_if_missing_unit:
@@ -49,7 +61,9 @@ def normalize_events(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def free_form_values(df: DataFrame) -> DataFrame:
     """The serving side's form: any keys, values coerced, nulls left out."""
-    return df.withColumn("values", F.map_filter(F.transform_values("signals", lambda _, v: to_float(v)), lambda _, v: v.isNotNull())).drop("signals")
+    return df.withColumn(
+        "values", F.map_filter(F.transform_values("signals", lambda _, v: to_float(v)), lambda _, v: v.isNotNull())
+    ).drop("signals")
 
 
 def with_required(df: DataFrame, *names: str) -> DataFrame:

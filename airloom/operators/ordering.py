@@ -92,4 +92,8 @@ def account(
 
 def window_accounts(accounted: DataFrame) -> DataFrame:
     """sample, duplicate and late counts for each unit and window."""
-    return accounted.groupBy("unit", "window_s").agg(F.count_if(~F.col("dup") & ~F.col("late")).alias("sample_count"), F.count_if(F.col("dup") & ~F.col("late")).alias("duplicate_count"), F.count_if("late").alias("late_count"))
+    return accounted.groupBy("unit", "window_s").agg(
+        F.count_if(~F.col("dup") & ~F.col("late")).alias("sample_count"),
+        F.count_if(F.col("dup") & ~F.col("late")).alias("duplicate_count"),
+        F.count_if("late").alias("late_count"),
+    )

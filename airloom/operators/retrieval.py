@@ -16,7 +16,9 @@ ROW_BLOCK, QUERY_BLOCK = 4_096, 2_048
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
 
 
 def with_unit(df: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -32,7 +34,9 @@ def knn(collection: DataFrame, queries: DataFrame, k: int, where: Column | None
     k rows a query go on.  Null and zero vectors neither ask nor answer.
     Columns: collection (vec_id, embedding, ...), queries (query_id, query_embedding)."""
     rows = with_unit(collection.where(where) if where is not None else collection).drop("embedding")
-    asked = with_unit(queries.select("query_id", F.col("query_embedding").alias("embedding"))).select("query_id", F.col("unit").alias("qu"))
+    asked = with_unit(
+        queries.select("query_id", F.col("query_embedding").alias("embedding"))
+    ).select("query_id", F.col("unit").alias("qu"))
     rows, asked = rows.where("unit IS NOT NULL"), asked.where("qu IS NOT NULL")
     n, m = (max(1, -(-d.count() // size)) for d, size in ((rows, ROW_BLOCK), (asked, QUERY_BLOCK)))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
@@ -70,7 +74,12 @@ def knn(collection: DataFrame, queries: DataFrame, k: int, where: Column | None
 
 
 def retrieval_stats(hits: DataFrame) -> DataFrame:
-    g = hits.groupBy("query_id").agg(F.min("distance").alias("min_distance"), F.avg("distance").alias("avg_distance"), F.count_if(F.col("corpus") == "manuals").alias("manuals"), F.count_if(F.col("corpus") == "past_cases").alias("past_cases"))
+    g = hits.groupBy("query_id").agg(
+        F.min("distance").alias("min_distance"),
+        F.avg("distance").alias("avg_distance"),
+        F.count_if(F.col("corpus") == "manuals").alias("manuals"),
+        F.count_if(F.col("corpus") == "past_cases").alias("past_cases"),
+    )
     return g.withColumn("coverage_ok", (F.col("manuals") > 0) & (F.col("past_cases") > 0))
 
 
@@ -94,7 +103,13 @@ def top_features(features: Column, n: int = 8) -> Column:
 
 
 def history_id(df: DataFrame) -> Column:
-    key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (F.col("ahu_id"), F.col("window_id"), F.col("time.start"), F.col("time.end"), F.col("signature"))])
+    key = F.concat_ws(
+        "|",
+        *[
+            F.coalesce(c, F.lit(""))
+            for c in (F.col("ahu_id"), F.col("window_id"), F.col("time.start"), F.col("time.end"), F.col("signature"))
+        ],
+    )
     return F.coalesce(F.nullif(F.trim(F.col("window_id")), F.lit("")), F.sha1(key))
 
 
@@ -172,7 +187,9 @@ def history_documents(summaries: DataFrame) -> DataFrame:
             F.coalesce(F.nullif(F.concat_ws(" | ", *[F.col(f"__a{i}") for i in range(5)]), blank), F.lit("none")),
         ),
         line("FEATURES", F.concat_ws(", ", *[F.col(f"__f{i}") for i in range(8)])),
-        line("STATS", F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(f"stats.{c}").cast("string")) for c in counts])),
+        line(
+            "STATS", F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(f"stats.{c}").cast("string")) for c in counts])
+        ),
         line("PROVENANCE", F.when(source != "", F.concat(F.lit("sha256="), source))),
         line("MAX_SEVERITY", six("__sev")),
     )

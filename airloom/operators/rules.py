@@ -14,7 +14,9 @@ def condition(rule: str, cfg: Config, has: set[str]) -> Column:
     c = lambda n: F.col(n) if n in has else F.lit(None).cast("double")
     diff = c("sa_temp_mean_minus_sp")
     if rule == "SAT_NOT_DROPPING_WHEN_VALVE_HIGH":
-        return (F.col("sample_count") >= p.get("min_samples", 0)) & (F.coalesce(diff, F.lit(0.0)) >= p.get("sa_temp_mean_minus_sp_min", 0.0)) & (c("cc_valve_mean") > p["valve_high_pct"]) & (c("sa_temp_slope") >= p["sat_slope_min"])
+        return (F.col("sample_count") >= p.get("min_samples", 0)) & (
+            F.coalesce(diff, F.lit(0.0)) >= p.get("sa_temp_mean_minus_sp_min", 0.0)
+        ) & (c("cc_valve_mean") > p["valve_high_pct"]) & (c("sa_temp_slope") >= p["sat_slope_min"])
     if rule == "SAT_TOO_HIGH_WHEN_VALVE_HIGH":
         return (c("cc_valve_mean") > p["valve_high_pct"]) & (diff > p["sa_temp_mean_minus_sp_high"])
     if rule in ("OA_DAMPER_STUCK_OR_FLATLINE", "RA_DAMPER_STUCK_OR_FLATLINE"):
@@ -22,11 +24,15 @@ def condition(rule: str, cfg: Config, has: set[str]) -> Column:
     if rule == "ZONE_TEMP_PERSISTENT_TREND":
         most = p.get("sa_temp_mean_minus_sp_max")
         calm = ~F.coalesce(diff > most, F.lit(False)) if most is not None else F.lit(True)
-        return calm & (c("avg_zone_temp_slope") > p["zone_slope_high"]) & (F.coalesce(c("avg_zone_temp_delta"), F.lit(0.0)) >= p.get("zone_delta_min", 0.0))
+        return calm & (c("avg_zone_temp_slope") > p["zone_slope_high"]) & (
+            F.coalesce(c("avg_zone_temp_delta"), F.lit(0.0)) >= p.get("zone_delta_min", 0.0)
+        )
     if rule == "ZONE_TEMP_SENSOR_NOISY":
         return c("avg_zone_temp_var") > p["zone_var_high"]
     if rule == "MISSING_DATA_HIGH":
-        return F.col("missing_count") / F.greatest(F.col("sample_count") * len(cfg.signals), F.lit(1)) > p["missing_ratio_high"]
+        return F.col("missing_count") / F.greatest(
+            F.col("sample_count") * len(cfg.signals), F.lit(1)
+        ) > p["missing_ratio_high"]
     if rule == "OUT_OF_RANGE_VALUES":
         if not p.get("use_signal_bounds", True):
             return F.lit(False)
@@ -49,10 +55,22 @@ def evidence(rule: str, cfg: Config, has: set[str]) -> Column:
         found = []
         for s, (_, low, high) in cfg.signals.items():
             for k, bad in (("min", c(f"{s}_min") < low), ("max", c(f"{s}_max") > high)):
-                found.append(F.when(bad, F.struct(F.lit(f"{s}_{k}").alias("feature"), c(f"{s}_{k}").alias("value"), F.lit(low).alias("min"), F.lit(high).alias("max"))))
+                found.append(
+                    F.when(
+                        bad,
+                        F.struct(
+                            F.lit(f"{s}_{k}").alias("feature"),
+                            c(f"{s}_{k}").alias("value"),
+                            F.lit(low).alias("min"),
+                            F.lit(high).alias("max"),
+                        ),
+                    )
+                )
         return F.to_json(F.struct(F.filter(F.array(*found), lambda x: x.isNotNull()).alias("offenders")))
     names = {
-        "SAT_NOT_DROPPING_WHEN_VALVE_HIGH": ("cc_valve_mean", "sa_temp_slope", "sa_temp_mean_minus_sp", "sa_temp_delta"),
+        "SAT_NOT_DROPPING_WHEN_VALVE_HIGH": (
+            "cc_valve_mean", "sa_temp_slope", "sa_temp_mean_minus_sp", "sa_temp_delta"
+        ),
         "SAT_TOO_HIGH_WHEN_VALVE_HIGH": ("cc_valve_mean", "sa_temp_mean_minus_sp", "sa_temp_mean", "sa_temp_sp_mean"),
         "OA_DAMPER_STUCK_OR_FLATLINE": ("oa_damper_var", "oa_damper_mean"),
         "RA_DAMPER_STUCK_OR_FLATLINE": ("ra_damper_var", "ra_damper_mean"),
@@ -69,6 +87,13 @@ def with_anomalies(windows: DataFrame, cfg: Config) -> DataFrame:
     fired = []
     for name, r in cfg.rules.items():
         if r.enabled:
-            item = F.struct(F.lit(name).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.symptom).alias("symptom"), F.array(*map(F.lit, r.hypotheses)).alias("fault_hypotheses"), evidence(name, cfg, has).alias("evidence"))
+            item = F.struct(
+                F.lit(name).alias("rule_id"),
+                F.lit(r.severity).alias("severity"),
+                F.lit(r.message).alias("message"),
+                F.lit(r.symptom).alias("symptom"),
+                F.array(*map(F.lit, r.hypotheses)).alias("fault_hypotheses"),
+                evidence(name, cfg, has).alias("evidence"),
+            )
             fired.append(F.when(condition(name, cfg, has), item))
     return windows.withColumn("anomalies", F.filter(F.array(*fired), lambda a: a.isNotNull()))

@@ -13,20 +13,57 @@ HIGHLIGHTS = (("sa_temp_mean", 2), ("sa_temp_mean_minus_sp", 2), ("cc_valve_mean
 
 
 def text_summary(df: DataFrame) -> Column:
-    parts = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}="), fixed(d)(F.col(n)))) for n, d in HIGHLIGHTS if n in df.columns]
+    parts = [
+        F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}="), fixed(d)(F.col(n))))
+        for n, d in HIGHLIGHTS
+        if n in df.columns
+    ]
     shown = F.nullif(F.concat_ws(", ", *parts), F.lit("")) if parts else F.lit(None)
     rules = F.nullif(F.array_join(F.array_sort(F.col("anomalies.rule_id")), ","), F.lit(""))
-    return F.concat(F.lit("AHU "), F.col("ahu_id"), F.lit(" window "), iso_z(F.col("start")), F.lit("–"), iso_z(F.col("end")), F.lit(": "), F.coalesce(shown, F.lit("no feature highlights")), F.lit(". anomalies="), F.coalesce(rules, F.lit("none")), F.lit(". signature="), F.col("signature"))
+    return F.concat(
+        F.lit("AHU "),
+        F.col("ahu_id"),
+        F.lit(" window "),
+        iso_z(F.col("start")),
+        F.lit("–"),
+        iso_z(F.col("end")),
+        F.lit(": "),
+        F.coalesce(shown, F.lit("no feature highlights")),
+        F.lit(". anomalies="),
+        F.coalesce(rules, F.lit("none")),
+        F.lit(". signature="),
+        F.col("signature"),
+    )
 
 
 def summaries(windows: DataFrame, cfg: Config, config_sha256: str | None = None) -> DataFrame:
     """Canonical window events from windows with anomalies."""
     w = cfg.windowing
     d = windows.withColumn("signature", signature(F.col("anomalies.rule_id")))
-    stats = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) if c in d.columns else F.lit(0).cast("long").alias(c) for c in ("sample_count", "missing_count", "duplicate_count", "late_count")]
-    time = F.struct(iso_z(F.col("start")).alias("start"), iso_z(F.col("end")).alias("end"), F.lit(w.kind).alias("window_type"), F.lit(w.size_sec).alias("window_size_sec"), F.lit(w.step_sec).cast("int").alias("step_sec"))
-    out = d.select(window_id(F.col("ahu_id"), F.col("start"), F.col("end"), F.lit(w.kind)).alias("window_id"), "ahu_id", time.alias("time"), F.struct(*stats).alias("stats"), feature_map(d, cfg).alias("features"), "anomalies", "signature", text_summary(d).alias("text_summary"))
-    return out.withColumn("provenance", F.struct(F.struct(F.lit(config_sha256).alias("sha256")).alias("config"))) if config_sha256 else out
+    stats = [
+        F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) if c in d.columns else F.lit(0).cast("long").alias(c)
+        for c in ("sample_count", "missing_count", "duplicate_count", "late_count")
+    ]
+    time = F.struct(
+        iso_z(F.col("start")).alias("start"),
+        iso_z(F.col("end")).alias("end"),
+        F.lit(w.kind).alias("window_type"),
+        F.lit(w.size_sec).alias("window_size_sec"),
+        F.lit(w.step_sec).cast("int").alias("step_sec"),
+    )
+    out = d.select(
+        window_id(F.col("ahu_id"), F.col("start"), F.col("end"), F.lit(w.kind)).alias("window_id"),
+        "ahu_id",
+        time.alias("time"),
+        F.struct(*stats).alias("stats"),
+        feature_map(d, cfg).alias("features"),
+        "anomalies",
+        "signature",
+        text_summary(d).alias("text_summary"),
+    )
+    return out.withColumn(
+        "provenance", F.struct(F.struct(F.lit(config_sha256).alias("sha256")).alias("config"))
+    ) if config_sha256 else out
 
 
 def json_lines(df: DataFrame) -> DataFrame:

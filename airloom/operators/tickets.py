@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import json_list, json_value, ticket_ref
 
 # States, sort columns, columns that a patch can't change, and an insert's defaults.
-STATES = {"lifecycle_status": ("OPEN", "RESOLVED"), "diagnosis_status": ("DRAFT", "DIAGNOSING", "DIAGNOSED", "FAILED"), "review_status": ("NONE", "APPROVED", "REJECTED")}
+STATES = {
+    "lifecycle_status": ("OPEN", "RESOLVED"),
+    "diagnosis_status": ("DRAFT", "DIAGNOSING", "DIAGNOSED", "FAILED"),
+    "review_status": ("NONE", "APPROVED", "REJECTED"),
+}
 SORTS = ("updated_at", "created_at", "last_seen_at", "diagnosed_at", "resolved_at", "confidence", "ticket_ref")
 IMMUTABLE = ("ticket_id", "ticket_ref", "incident_key", "created_at")
 DEFAULTS = {
@@ -32,7 +36,20 @@ def like_pattern(q: str) -> str:
     return "%" + q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
 
 
-def list_tickets(df: DataFrame, *, q: str | None = None, min_confidence: float | None = None, ahu_id: str | None = None, fault_type: str | None = None, sort: str = "updated_at", order: str = "desc", limit: int = 100, offset: int = 0, count: bool = False, **states: str | None) -> DataFrame:
+def list_tickets(
+    df: DataFrame,
+    *,
+    q: str | None = None,
+    min_confidence: float | None = None,
+    ahu_id: str | None = None,
+    fault_type: str | None = None,
+    sort: str = "updated_at",
+    order: str = "desc",
+    limit: int = 100,
+    offset: int = 0,
+    count: bool = False,
+    **states: str | None,
+) -> DataFrame:
     """A page of the tickets that fit all filters, or with ``count`` how many there are.
 
     An unknown state is an error, an unknown sort column means updated_at; ties are sorted by ticket_id."""
@@ -49,13 +66,17 @@ def list_tickets(df: DataFrame, *, q: str | None = None, min_confidence: float |
     if min_confidence is not None:
         tests.append(F.col("confidence") >= min_confidence)
     if q:
-        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(like_pattern(q)), F.lit(False)) for c in SEARCHED]))
+        tests.append(
+            reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(like_pattern(q)), F.lit(False)) for c in SEARCHED])
+        )
     found = reduce(lambda d, t: d.where(t), tests, df)
     if count:
         return found.agg(F.count("*").alias("total"))
     by = sort if sort in SORTS else "updated_at"
     up = str(order).lower() == "asc"
-    return found.orderBy(F.col(by).asc_nulls_first() if up else F.col(by).desc_nulls_last(), "ticket_id").offset(max(0, offset)).limit(max(1, limit))
+    return found.orderBy(
+        F.col(by).asc_nulls_first() if up else F.col(by).desc_nulls_last(), "ticket_id"
+    ).offset(max(0, offset)).limit(max(1, limit))
 
 
 def metrics(df: DataFrame, high_confidence: float = 0.6) -> DataFrame:
@@ -86,7 +107,9 @@ def references(new: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     return free.groupBy("ticket_id").agg(F.min_by("ticket_ref", "n").alias("ticket_ref"))
 
 
-def upsert(tickets: DataFrame, patches: DataFrame, now: str, sequence: str = "seq", incomplete: str = "raise") -> DataFrame:
+def upsert(
+    tickets: DataFrame, patches: DataFrame, now: str, sequence: str = "seq", incomplete: str = "raise"
+) -> DataFrame:
     """Tickets after patches: a null keeps what is there, the last non-null of a ticket's patches wins.
 
     A ticket's identity and creation stay; a new one needs a unit and a fault and gets the defaults and a
@@ -123,7 +146,9 @@ def upsert(tickets: DataFrame, patches: DataFrame, now: str, sequence: str = "se
         if c == "ticket_id":
             out.append(F.col(c))
         elif c == "updated_at":
-            out.append(F.when(old & patched, F.lit(now)).when(old, F.col(c)).otherwise(F.coalesce(new, created)).alias(c))
+            out.append(
+                F.when(old & patched, F.lit(now)).when(old, F.col(c)).otherwise(F.coalesce(new, created)).alias(c)
+            )
         elif c == "created_at":
             out.append(F.when(old, F.col(c)).otherwise(created).alias(c))
         elif c == "ticket_ref":
@@ -153,7 +178,13 @@ def review(tickets: DataFrame, ticket_id: str, status: str, notes: str | None, n
     if tickets.where(F.col("ticket_id") == ticket_id).isEmpty():
         raise KeyError(ticket_id)
     own = F.col("ticket_id") == ticket_id
-    return tickets.withColumns({"review_status": F.when(own, F.lit(status)).otherwise(F.col("review_status")), "review_notes": F.when(own, F.lit(notes)).otherwise(F.col("review_notes")), "updated_at": F.when(own, F.lit(now)).otherwise(F.col("updated_at"))})
+    return tickets.withColumns(
+        {
+            "review_status": F.when(own, F.lit(status)).otherwise(F.col("review_status")),
+            "review_notes": F.when(own, F.lit(notes)).otherwise(F.col("review_notes")),
+            "updated_at": F.when(own, F.lit(now)).otherwise(F.col("updated_at")),
+        }
+    )
 
 
 def get_ticket(tickets: DataFrame, name: str) -> DataFrame:
@@ -164,7 +195,9 @@ def get_ticket(tickets: DataFrame, name: str) -> DataFrame:
 def active_ticket(incidents: DataFrame, tickets: DataFrame) -> DataFrame:
     """Incidents with the latest open ticket of their key, if any."""
     w = Window.partitionBy("incident_key").orderBy(F.desc("updated_at"), "ticket_id")
-    one = tickets.where("lifecycle_status = 'OPEN'").withColumn("__n", F.row_number().over(w)).where("__n = 1").select("incident_key", "ticket_id", "ticket_ref")
+    one = tickets.where("lifecycle_status = 'OPEN'").withColumn("__n", F.row_number().over(w)).where("__n = 1").select(
+        "incident_key", "ticket_id", "ticket_ref"
+    )
     return incidents.join(one, "incident_key", "left")
 
 

@@ -44,12 +44,21 @@ def windowed(events: DataFrame, cfg: Config, stats: tuple[str, ...] = STATS) ->
     """
     w = cfg.windowing
     ts = F.col("timestamp")
-    win = F.window(ts, f"{w.size_sec} seconds", f"{w.step_sec} seconds") if w.kind == "sliding" else F.window(ts, f"{w.size_sec} seconds")
+    win = F.window(
+        ts, f"{w.size_sec} seconds", f"{w.step_sec} seconds"
+    ) if w.kind == "sliding" else F.window(ts, f"{w.size_sec} seconds")
     e = events.withColumn("window", win).withColumn("__start", F.col("window.start"))
     missing = sum((F.col(s).isNull().cast("int") for s in cfg.signals), F.lit(0))
     aggs = [stat(s, k, ts, F.col("__start")).alias(f"{s}_{k}") for s in cfg.signals for k in stats]
-    out = e.groupBy("ahu_id", "window").agg(F.count("*").alias("sample_count"), F.sum(missing).alias("missing_count"), *aggs)
-    out = out.select("ahu_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in out.columns if c not in ("ahu_id", "window")])
+    out = e.groupBy("ahu_id", "window").agg(
+        F.count("*").alias("sample_count"), F.sum(missing).alias("missing_count"), *aggs
+    )
+    out = out.select(
+        "ahu_id",
+        F.col("window.start").alias("start"),
+        F.col("window.end").alias("end"),
+        *[c for c in out.columns if c not in ("ahu_id", "window")],
+    )
     return with_cross(out, cfg)
 
 
@@ -62,7 +71,9 @@ def unaligned_start(events: DataFrame, size_sec: int) -> DataFrame:
     """``start`` counted from each unit's first event instead of the epoch."""
     first = events.groupBy("ahu_id").agg(F.min(F.unix_timestamp("timestamp")).alias("__first"))
     s = F.unix_timestamp("timestamp")
-    return events.join(first, "ahu_id").withColumn("start", F.timestamp_seconds(s - F.pmod(s - F.col("__first"), F.lit(size_sec)))).drop("__first")
+    return events.join(first, "ahu_id").withColumn(
+        "start", F.timestamp_seconds(s - F.pmod(s - F.col("__first"), F.lit(size_sec)))
+    ).drop("__first")
 
 
 def fill_gaps(windows: DataFrame, size_sec: int) -> DataFrame:
@@ -71,7 +82,9 @@ def fill_gaps(windows: DataFrame, size_sec: int) -> DataFrame:
     nxt = F.lead("start").over(Window.partitionBy("ahu_id").orderBy("start"))
     gaps = windows.select("ahu_id", "end", nxt.alias("next")).where("next > end")
     gaps = gaps.select("ahu_id", F.explode(F.expr(f"sequence(end, next - {step}, {step})")).alias("start"))
-    gaps = gaps.withColumn("end", F.col("start") + F.expr(step)).withColumns({c: F.lit(0).cast("long") for c in ("sample_count", "missing_count") if c in windows.columns})
+    gaps = gaps.withColumn("end", F.col("start") + F.expr(step)).withColumns(
+        {c: F.lit(0).cast("long") for c in ("sample_count", "missing_count") if c in windows.columns}
+    )
     return windows.unionByName(gaps, allowMissingColumns=True)
 
 
@@ -79,4 +92,6 @@ def feature_map(df: DataFrame, cfg: Config) -> Column:
     """Features that are there, as a map."""
     names = [f"{s}_{k}" for s in cfg.signals for k in STATS] + list(cfg.cross)
     names = [n for n in names if n in df.columns]
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names))), lambda _, v: v.isNotNull())
+    return F.map_filter(
+        F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names))), lambda _, v: v.isNotNull()
+    )

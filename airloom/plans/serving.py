@@ -152,7 +152,9 @@ def q68_windows_in_last(spark, sf):
 o AS (SELECT window_id, ahu_id, max(arrival) AS arrival FROM a GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY arrival DESC) AS rn FROM o) WHERE rn <= 60"""
 )
 def q69_ring_buffer(spark, sf):
-    s = _text_of_windows(spark, sf).select("window_id", "ahu_id", F.unix_timestamp(F.to_timestamp("time.start")).alias("arrival"))
+    s = _text_of_windows(spark, sf).select(
+        "window_id", "ahu_id", F.unix_timestamp(F.to_timestamp("time.start")).alias("arrival")
+    )
     again = s.where("arrival % 5 = 0").withColumn("arrival", F.col("arrival") + 1_000_000)
     kept = live.ring_buffer(s.unionByName(again), "arrival", 60)
     rank = F.row_number().over(Window.partitionBy("ahu_id").orderBy(F.desc("arrival"))).cast("long")
@@ -204,7 +206,9 @@ def q71_prompt_context(spark, sf):
     docs = F.array(F.lit("doc_a"), F.lit(""), F.lit("doc_a"))
     ids = F.transform(shown, lambda w: w["evidence_id"])
     d = u.select(
-        "ahu_id", ids.alias("ids"), span.alias("span"), diagnosis.symptom_summary(F.col("windows")).alias("symptoms"), docs.alias("docs")
+        "ahu_id", ids.alias("ids"), span.alias("span"), diagnosis.symptom_summary(
+            F.col("windows")
+        ).alias("symptoms"), docs.alias("docs")
     )
     allowed = diagnosis.allowed_evidence(F.col("ids"), F.col("docs"))
     order = F.concat(F.filter(allowed, lambda x: x == "doc_a"), F.filter(allowed, lambda x: x != "doc_a"))
@@ -240,7 +244,9 @@ def q72_docs_payload(spark, sf):
         lambda _, v: v.isNotNull(),
     )
     docs = d.select(
-        F.expr("doc_id % 50").alias("k"), F.lit("manuals").alias("corpus"), F.concat(F.lit("d"), "doc_id").alias("doc_id"), far.alias("distance"), "text", F.col("doc_id").alias("pos"), meta.alias("metadata")
+        F.expr("doc_id % 50").alias("k"), F.lit("manuals").alias("corpus"), F.concat(
+            F.lit("d"), "doc_id"
+        ).alias("doc_id"), far.alias("distance"), "text", F.col("doc_id").alias("pos"), meta.alias("metadata")
     )
     return diagnosis.docs_payload(docs, "k").withColumn("text", F.md5("text"))
 
@@ -268,10 +274,14 @@ def q73_parse_replies(spark, sf):
     o = read(spark, sf, "orders")
     reply = F.lit(None).cast("string")
     for i, r in _REPLIES.items():
-        reply = F.when(F.col("o_orderkey") % 7 == i, F.replace(F.lit(r), F.lit("%k"), F.col("o_orderkey").cast("string"))).otherwise(reply)
+        reply = F.when(
+            F.col("o_orderkey") % 7 == i, F.replace(F.lit(r), F.lit("%k"), F.col("o_orderkey").cast("string"))
+        ).otherwise(reply)
     allowed = F.array(*map(F.lit, ("a", "x_1", "window:2", "b")))
     d = diagnosis.replies_to_results(o.select("o_orderkey", reply.alias("reply"), allowed.alias("allowed")))
-    lists = [F.array_join("recommended_actions", ",").alias("actions"), F.array_join("evidence_ids", ",").alias("evidence")]
+    lists = [
+        F.array_join("recommended_actions", ",").alias("actions"), F.array_join("evidence_ids", ",").alias("evidence")
+    ]
     return d.select("o_orderkey", "title", "root_cause", "confidence", *lists, "conflict")
 
 
@@ -284,7 +294,11 @@ def q74_first_json(spark, sf):
     for i, r in _REPLIES.items():
         reply = F.when(F.col("o_orderkey") % 7 == i, F.lit(r)).otherwise(reply)
     d = o.select("o_orderkey", S.first_json_object(reply).alias("j"))
-    return d.select("o_orderkey", F.get_json_object("j", "$.confidence").cast("double").alias("confidence"), F.col("j").isNotNull().alias("found"))
+    return d.select(
+        "o_orderkey",
+        F.get_json_object("j", "$.confidence").cast("double").alias("confidence"),
+        F.col("j").isNotNull().alias("found"),
+    )
 
 
 _HAS, _BUSY = "ahu_id IN ('1', '3')", "i % 5 = 0"
@@ -296,7 +310,13 @@ y AS (SELECT *, sum(opened::INT) OVER (PARTITION BY ahu_id, fault ORDER BY i ROW
 
 def _guarded(spark, sf: str) -> DataFrame:
     d = incidents.streaks(base._present(spark, sf))
-    return d.withColumns({"has_ticket": F.expr(_HAS), "busy": F.expr(_BUSY), "diagnosis_status": F.expr("CASE WHEN i % 4 = 0 THEN 'DIAGNOSED' ELSE 'DRAFT' END")})
+    return d.withColumns(
+        {
+            "has_ticket": F.expr(_HAS),
+            "busy": F.expr(_BUSY),
+            "diagnosis_status": F.expr("CASE WHEN i % 4 = 0 THEN 'DIAGNOSED' ELSE 'DRAFT' END"),
+        }
+    )
 
 
 @query(
@@ -333,7 +353,9 @@ SELECT window_id, array_to_string(h, ',') AS a, array_to_string(h, ',') AS t, ar
 def q78_hypothesis_forms(spark, sf):
     """The same hypotheses as a list with blanks, as comma-separated text and as the keys of maps."""
     s = _text_of_windows(spark, sf).select("window_id", F.flatten("anomalies.fault_hypotheses").alias("h"))
-    blanks = F.concat(F.transform("h", lambda x: F.concat(F.lit(" "), x)), F.array(F.lit(" "), F.lit(None).cast("string")))
+    blanks = F.concat(
+        F.transform("h", lambda x: F.concat(F.lit(" "), x)), F.array(F.lit(" "), F.lit(None).cast("string"))
+    )
     text = F.concat(F.lit(" ,"), F.array_join("h", " , "))
     maps = F.transform("h", lambda x: F.create_map(x, F.lit(0.5)))
     d = s.select("window_id", blanks.alias("a"), text.alias("t"), maps.alias("m"))
@@ -383,7 +405,9 @@ def q81_ticket_review(spark, sf):
     return t.select("ticket_id", "review_status", "review_notes", "updated_at")
 
 
-@query(f"WITH {adapter.TICKETS_SQL} SELECT ticket_id, ticket_ref FROM tk WHERE ticket_ref = 'TCK-6' OR ticket_id = 't7'")
+@query(
+    f"WITH {adapter.TICKETS_SQL} SELECT ticket_id, ticket_ref FROM tk WHERE ticket_ref = 'TCK-6' OR ticket_id = 't7'"
+)
 def q82_ticket_by_name(spark, sf):
     t = adapter.tickets(spark, sf)
     found = tickets.get_ticket(t, "TCK-6").unionByName(tickets.get_ticket(t, "t7"))
@@ -415,7 +439,12 @@ def q83_evidence_kinds(spark, sf):
     n = sum((F.size(lists[k]) for k in ("windows", "chunks", "cases", "other")), F.lit(0))
     none = F.array().cast("array<string>")
     view = live.ticket_view(none, none, F.col("ids"), F.lit(None).cast("string"))
-    return d.select("o_orderkey", S.evidence_kind(F.col("id")).alias("kind"), n.alias("lists"), F.array_join(view["window_refs"], ",").alias("last_two"))
+    return d.select(
+        "o_orderkey",
+        S.evidence_kind(F.col("id")).alias("kind"),
+        n.alias("lists"),
+        F.array_join(view["window_refs"], ",").alias("last_two"),
+    )
 
 
 @query(
@@ -423,11 +452,19 @@ def q83_evidence_kinds(spark, sf):
 )
 def q84_ticket_view(spark, sf):
     k = F.col("o_orderkey").cast("string")
-    refs = F.when(F.col("o_orderkey") % 3 == 0, F.array(*map(F.lit, ("a", "b", "a", "c")))).otherwise(F.array(F.lit(""), (F.col("o_orderkey") - 1).cast("string"), k))
-    signed = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(""))).otherwise(F.array(*map(F.lit, ("s1", "s2", "s1", "s3", "s4"))))
+    refs = F.when(
+        F.col("o_orderkey") % 3 == 0, F.array(*map(F.lit, ("a", "b", "a", "c")))
+    ).otherwise(F.array(F.lit(""), (F.col("o_orderkey") - 1).cast("string"), k))
+    signed = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(""))).otherwise(
+        F.array(*map(F.lit, ("s1", "s2", "s1", "s3", "s4")))
+    )
     d = read(spark, sf, "orders").select("o_orderkey", refs.alias("r"), signed.alias("s"))
     view = live.ticket_view(F.col("r"), F.col("s"), F.array().cast("array<string>"), F.lit("x. Signature=abcdef12 y"))
-    return d.select("o_orderkey", F.array_join(view["window_refs"], ",").alias("refs"), F.array_join(view["signatures"], ",").alias("signatures"))
+    return d.select(
+        "o_orderkey",
+        F.array_join(view["window_refs"], ",").alias("refs"),
+        F.array_join(view["signatures"], ",").alias("signatures"),
+    )
 
 
 # --- manuals and cases
@@ -440,7 +477,11 @@ def q84_ticket_view(spark, sf):
 )
 def q85_case_documents(spark, sf):
     c = read(spark, sf, "customer")
-    pattern = F.struct((F.col("c_custkey") % 9).alias("persistence_windows"), F.lit(None).cast("string").alias("severity"), F.lit("n").alias("trend_notes"))
+    pattern = F.struct(
+        (F.col("c_custkey") % 9).alias("persistence_windows"),
+        F.lit(None).cast("string").alias("severity"),
+        F.lit("n").alias("trend_notes"),
+    )
     cases = c.select(
         F.concat(F.lit("c"), "c_custkey").alias("case_id"),
         F.col("c_mktsegment").alias("fault_type"),
@@ -497,7 +538,9 @@ SELECT pg.doc_id, pg.page_no, md5(coalesce(k.text, '')) AS text FROM pg LEFT JOI
 )
 def q88_clean_pages(spark, sf):
     """Documents as pages of forty manuals."""
-    pages = read(spark, sf, "documents").select((F.col("doc_id") % 40).alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    pages = read(spark, sf, "documents").select(
+        (F.col("doc_id") % 40).alias("doc_id"), F.col("doc_id").alias("page_no"), "text"
+    )
     return manuals.clean_pages(pages).withColumn("text", F.md5("text"))
 
 
@@ -546,7 +589,12 @@ UNION ALL SELECT 'time', count(*) FILTER (WHERE t), sum(event_id) FILTER (WHERE
 )
 def q90_missing_policies(spark, sf):
     raw, out = _raw(spark, sf), None
-    for name, t, u, v in (("both", True, True, True), ("neither", False, False, True), ("time", True, False, True), ("whole", True, True, False)):
+    for name, t, u, v in (
+        ("both", True, True, True),
+        ("neither", False, False, True),
+        ("time", True, False, True),
+        ("whole", True, True, False),
+    ):
         cfg = Config(drop_if_missing_timestamp=t, drop_if_missing_unit=u, allow_missing_values=v)
         d = normalize.normalize_events(raw, cfg).agg(F.count("*").alias("n"), F.sum("arrival").alias("ids"))
         d = d.select(F.lit(name).alias("policy"), "n", "ids")
@@ -573,7 +621,9 @@ def q92_intake_counters(spark, sf):
     rows, seen = normalize.counted(_raw(spark, sf), F.trim("ts") != "")
     rows.write.format("noop").mode("overwrite").save()
     got = seen.get
-    return spark.createDataFrame([tuple(got[k] for k in ("consumed", "indexed", "skipped"))], "consumed long, indexed long, skipped long")
+    return spark.createDataFrame(
+        [tuple(got[k] for k in ("consumed", "indexed", "skipped"))], "consumed long, indexed long, skipped long"
+    )
 
 
 @query(
@@ -582,7 +632,12 @@ def q92_intake_counters(spark, sf):
 def q93_gaps_and_replay(spark, sf):
     t = ordering.replay_schedule(ordering.gaps(telemetry(spark, sf), ties=("event_id",)), 0.5)
     moved = gating.shift(t.withColumn("later", F.col("timestamp")), 3600, "later")
-    return moved.select("event_id", F.round("gap_s", 6).alias("gap_s"), F.round("due_s", 6).alias("due_s"), S.iso_z(F.col("later")).alias("later"))
+    return moved.select(
+        "event_id",
+        F.round("gap_s", 6).alias("gap_s"),
+        F.round("due_s", 6).alias("due_s"),
+        S.iso_z(F.col("later")).alias("later"),
+    )
 
 
 @query(
@@ -645,7 +700,10 @@ _shown = ", ".join(
 )
 def q98_window_labels(spark, sf):
     s = _text_of_windows(spark, sf).withColumn("k", labels.key_symptoms(F.col("text_summary")))
-    entries = F.transform(F.map_entries(labels.feature_labels(F.col("text_summary"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    entries = F.transform(
+        F.map_entries(labels.feature_labels(F.col("text_summary"))),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"]),
+    )
     return s.select(
         "window_id",
         F.array_join(entries, ", ").alias("features"),

@@ -12,7 +12,9 @@ from ..sources.adapter import TELEMETRY_SQL, read, telemetry
 
 SIZE = 21_600
 _base = Config()
-CFG = Config(signals=_base.signals | {"sa_temp": ("C", 10.0, 19.0)}, windowing=Windowing(SIZE)).with_params("ZONE_TEMP_PERSISTENT_TREND", zone_slope_high=0.0005)
+CFG = Config(
+    signals=_base.signals | {"sa_temp": ("C", 10.0, 19.0)}, windowing=Windowing(SIZE)
+).with_params("ZONE_TEMP_PERSISTENT_TREND", zone_slope_high=0.0005)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -69,7 +71,10 @@ WIN_SQL = f"""{TELEMETRY_SQL},
 win0 AS (SELECT ahu_id, {_W} AS start_s, count(*) AS sample_count, sum({_missing})::BIGINT AS missing_count, {', '.join(map(_stats, CFG.signals))} FROM tel GROUP BY 1, 2),
 win AS (SELECT *, sa_temp_mean - sa_temp_sp_mean AS sa_temp_mean_minus_sp, ra_temp_mean - sa_temp_mean AS ra_temp_mean_minus_sa FROM win0)"""
 _p = {k: r.params for k, r in CFG.rules.items()}
-_bounds = " OR ".join(f"coalesce({s}_min < {low}, false) OR coalesce({s}_max > {high}, false)" for s, (_, low, high) in CFG.signals.items())
+_bounds = " OR ".join(
+    f"coalesce({s}_min < {low}, false) OR coalesce({s}_max > {high}, false)"
+    for s, (_, low, high) in CFG.signals.items()
+)
 RULE_SQL = {
     "SAT_NOT_DROPPING_WHEN_VALVE_HIGH": "sample_count >= 3 AND coalesce(sa_temp_mean_minus_sp, 0) >= 1.0 AND cc_valve_mean > 70 AND sa_temp_slope >= 0",
     "SAT_TOO_HIGH_WHEN_VALVE_HIGH": "cc_valve_mean > 70 AND sa_temp_mean_minus_sp > 1.0",
@@ -82,7 +87,9 @@ RULE_SQL = {
 }
 _list = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in RULE_SQL.items())
 _iso = lambda s: f"strftime(make_timestamp(({s}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
-_sev = "CASE r " + " ".join(f"WHEN '{k}' THEN {dict(low=1, medium=2, high=3)[r.severity]}" for k, r in CFG.rules.items()) + " END"
+_sev = "CASE r " + " ".join(
+    f"WHEN '{k}' THEN {dict(low=1, medium=2, high=3)[r.severity]}" for k, r in CFG.rules.items()
+) + " END"
 ANOM_SQL = f"""{WIN_SQL},
 anom AS (SELECT *, list_filter([{_list}], lambda x: x IS NOT NULL) AS rl FROM win)"""
 SUMM_SQL = f"""{ANOM_SQL},
@@ -91,33 +98,57 @@ summ AS (SELECT *, ahu_id || '_' || {_iso('start_s')} || '_' || {_iso(f'start_s
 
 
 def symptoms(spark, sf: str) -> DataFrame:
-    return _anom(spark, sf).select("ahu_id", _start(), "sample_count", _rules(), S.signature(F.col("anomalies.rule_id")).alias("signature"))
+    return _anom(spark, sf).select(
+        "ahu_id", _start(), "sample_count", _rules(), S.signature(F.col("anomalies.rule_id")).alias("signature")
+    )
 
 
-@query(f"WITH {TELEMETRY_SQL} SELECT event_id, ahu_id, ts_s, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, sa_temp, cc_valve, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN k + 0.5::DOUBLE WHEN 3 THEN NULL ELSE 1.0::DOUBLE END AS coerced FROM tel")
+@query(
+    f"WITH {TELEMETRY_SQL} SELECT event_id, ahu_id, ts_s, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, sa_temp, cc_valve, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN k + 0.5::DOUBLE WHEN 3 THEN NULL ELSE 1.0::DOUBLE END AS coerced FROM tel"
+)
 def q01_normalize_events(spark, sf):
-    raw = F.expr("CASE event_id % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN concat(' ', CAST(k + 0.5D AS STRING), ' ') WHEN 3 THEN 'x1' ELSE 'true' END")
+    raw = F.expr(
+        "CASE event_id % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN concat(' ', CAST(k + 0.5D AS STRING), ' ') WHEN 3 THEN 'x1' ELSE 'true' END"
+    )
     t = telemetry(spark, sf)
-    return t.select("event_id", "ahu_id", F.unix_timestamp(S.to_timestamp(S.iso_z(F.col("timestamp")))).alias("ts_s"), S.iso_z(F.col("timestamp")).alias("iso"), "sa_temp", "cc_valve", S.to_float(raw).alias("coerced"))
+    return t.select(
+        "event_id",
+        "ahu_id",
+        F.unix_timestamp(S.to_timestamp(S.iso_z(F.col("timestamp")))).alias("ts_s"),
+        S.iso_z(F.col("timestamp")).alias("iso"),
+        "sa_temp",
+        "cc_valve",
+        S.to_float(raw).alias("coerced"),
+    )
 
 
 def _with_dups(spark, sf) -> DataFrame:
     t = telemetry(spark, sf).select("event_id", "ahu_id", "timestamp")
     dup = t.where("event_id % 50 = 0").withColumn("seq", F.col("event_id") + 7)
-    return t.withColumn("seq", F.col("event_id")).unionByName(dup).withColumn("seq", F.col("seq") * 2 + F.when(F.col("seq") == F.col("event_id"), 0).otherwise(1))
+    return t.withColumn("seq", F.col("event_id")).unionByName(dup).withColumn(
+        "seq", F.col("seq") * 2 + F.when(F.col("seq") == F.col("event_id"), 0).otherwise(1)
+    )
 
 
 _DUPS = f"{TELEMETRY_SQL}, dups AS (SELECT event_id, ahu_id, ts, ts_s, event_id * 2 AS seq FROM tel UNION ALL SELECT event_id, ahu_id, ts, ts_s, (event_id + 7) * 2 + 1 FROM tel WHERE event_id % 50 = 0)"
 
 
-@query(f"WITH {_DUPS} SELECT event_id, ahu_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n FROM dups) WHERE n = 1")
+@query(
+    f"WITH {_DUPS} SELECT event_id, ahu_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n FROM dups) WHERE n = 1"
+)
 def q02_dedup_events(spark, sf):
-    return ordering.first_arrivals(_with_dups(spark, sf), ["ahu_id", "timestamp"], "seq").select("event_id", "ahu_id", "seq")
+    return ordering.first_arrivals(
+        _with_dups(spark, sf), ["ahu_id", "timestamp"], "seq"
+    ).select("event_id", "ahu_id", "seq")
 
 
-@query(f"""WITH {TELEMETRY_SQL} SELECT event_id, sha256('{{"ahu_id":"' || ahu_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}}') AS eid FROM tel""")
+@query(
+    f"""WITH {TELEMETRY_SQL} SELECT event_id, sha256('{{"ahu_id":"' || ahu_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}}') AS eid FROM tel"""
+)
 def q03_event_id_sha(spark, sf):
-    return telemetry(spark, sf).select("event_id", S.event_id(F.col("ahu_id"), S.iso_z(F.col("timestamp"))).alias("eid"))
+    return telemetry(spark, sf).select(
+        "event_id", S.event_id(F.col("ahu_id"), S.iso_z(F.col("timestamp"))).alias("eid")
+    )
 
 
 @query(f"WITH {WIN_SQL} SELECT ahu_id, start_s, sample_count, missing_count FROM win")
@@ -128,43 +159,71 @@ def q04_tumbling_counts(spark, sf):
 _five = ("sa_temp", "cc_valve", "oa_damper")
 
 
-@query(f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(f"round({s}_{k} + 1e-9, 6) AS {s}_{k}" for s in _five for k in ("mean", "var", "min", "max")) + " FROM win")
+@query(
+    f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(
+        f"round({s}_{k} + 1e-9, 6) AS {s}_{k}" for s in _five for k in ("mean", "var", "min", "max")
+    ) + " FROM win"
+)
 def q05_window_stats(spark, sf):
-    return _win(spark, sf).select("ahu_id", _start(), *[_num(f"{s}_{k}") for s in _five for k in ("mean", "var", "min", "max")])
+    return _win(spark, sf).select(
+        "ahu_id", _start(), *[_num(f"{s}_{k}") for s in _five for k in ("mean", "var", "min", "max")]
+    )
 
 
-@query(f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(f"round({s}_delta + 1e-9, 6) AS {s}_delta" for s in _five) + " FROM win")
+@query(
+    f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(
+        f"round({s}_delta + 1e-9, 6) AS {s}_delta" for s in _five
+    ) + " FROM win"
+)
 def q06_window_delta(spark, sf):
     return _win(spark, sf).select("ahu_id", _start(), *[_num(f"{s}_delta") for s in _five])
 
 
-@query(f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(f"round({s}_slope + 1e-9, 6) AS {s}_slope" for s in _five) + " FROM win")
+@query(
+    f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(
+        f"round({s}_slope + 1e-9, 6) AS {s}_slope" for s in _five
+    ) + " FROM win"
+)
 def q07_window_slope(spark, sf):
     return _win(spark, sf).select("ahu_id", _start(), *[_num(f"{s}_slope") for s in _five])
 
 
-@query(f"WITH {WIN_SQL} SELECT ahu_id, start_s, round(sa_temp_mean_minus_sp + 1e-9, 6) AS sa_temp_mean_minus_sp, round(ra_temp_mean_minus_sa + 1e-9, 6) AS ra_temp_mean_minus_sa FROM win")
+@query(
+    f"WITH {WIN_SQL} SELECT ahu_id, start_s, round(sa_temp_mean_minus_sp + 1e-9, 6) AS sa_temp_mean_minus_sp, round(ra_temp_mean_minus_sa + 1e-9, 6) AS ra_temp_mean_minus_sa FROM win"
+)
 def q08_cross_features(spark, sf):
     return _win(spark, sf).select("ahu_id", _start(), _num("sa_temp_mean_minus_sp"), _num("ra_temp_mean_minus_sa"))
 
 
-@query(f"WITH {TELEMETRY_SQL}, w AS (SELECT ahu_id, ts_s - ts_s % 900 AS s, count(*) AS n FROM tel GROUP BY 1, 2), g AS (SELECT ahu_id, unnest(generate_series(min(s), max(s), 900)) AS s FROM w GROUP BY 1) SELECT g.ahu_id, g.s AS start_s, coalesce(n, 0) AS sample_count FROM g LEFT JOIN w USING (ahu_id, s)")
+@query(
+    f"WITH {TELEMETRY_SQL}, w AS (SELECT ahu_id, ts_s - ts_s % 900 AS s, count(*) AS n FROM tel GROUP BY 1, 2), g AS (SELECT ahu_id, unnest(generate_series(min(s), max(s), 900)) AS s FROM w GROUP BY 1) SELECT g.ahu_id, g.s AS start_s, coalesce(n, 0) AS sample_count FROM g LEFT JOIN w USING (ahu_id, s)"
+)
 def q09_gap_windows(spark, sf):
     w = windows.windowed(telemetry(spark, sf), Config(signals={}, cross={}, rules={}, windowing=Windowing(900)), ())
     return windows.fill_gaps(w, 900).select("ahu_id", _start(), "sample_count")
 
 
-@query(f"WITH {TELEMETRY_SQL}, o AS (SELECT unnest([0, 7200, 14400]) AS back) SELECT ahu_id, ts_s - ts_s % 7200 - back AS start_s, count(*) AS sample_count, round(avg(sa_temp) + 1e-9, 6) AS sa_temp_mean FROM tel CROSS JOIN o GROUP BY 1, 2")
+@query(
+    f"WITH {TELEMETRY_SQL}, o AS (SELECT unnest([0, 7200, 14400]) AS back) SELECT ahu_id, ts_s - ts_s % 7200 - back AS start_s, count(*) AS sample_count, round(avg(sa_temp) + 1e-9, 6) AS sa_temp_mean FROM tel CROSS JOIN o GROUP BY 1, 2"
+)
 def q10_sliding_windows(spark, sf):
     c = Config(signals={"sa_temp": CFG.signals["sa_temp"]}, cross={}, windowing=Windowing(SIZE, 7200))
-    return windows.windowed(telemetry(spark, sf), c, ("mean",)).select("ahu_id", _start(), "sample_count", _num("sa_temp_mean"))
+    return windows.windowed(telemetry(spark, sf), c, ("mean",)).select(
+        "ahu_id", _start(), "sample_count", _num("sa_temp_mean")
+    )
 
 
-@query(f"WITH {_DUPS}, d AS (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n FROM dups) SELECT ahu_id, {_W} AS start_s, count(*) FILTER (WHERE n = 1) AS sample_count, count(*) FILTER (WHERE n > 1) AS duplicate_count FROM d GROUP BY 1, 2")
+@query(
+    f"WITH {_DUPS}, d AS (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n FROM dups) SELECT ahu_id, {_W} AS start_s, count(*) FILTER (WHERE n = 1) AS sample_count, count(*) FILTER (WHERE n > 1) AS duplicate_count FROM d GROUP BY 1, 2"
+)
 def q11_dup_accounting(spark, sf):
-    d = _with_dups(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("ahu_id", "timestamp").orderBy("seq")))
+    d = _with_dups(spark, sf).withColumn(
+        "n", F.row_number().over(Window.partitionBy("ahu_id", "timestamp").orderBy("seq"))
+    )
     w = F.unix_timestamp(S.epoch_floor(F.col("timestamp"), SIZE)).alias("start_s")
-    return d.groupBy("ahu_id", w).agg(F.count_if(F.col("n") == 1).alias("sample_count"), F.count_if(F.col("n") > 1).alias("duplicate_count"))
+    return d.groupBy("ahu_id", w).agg(
+        F.count_if(F.col("n") == 1).alias("sample_count"), F.count_if(F.col("n") > 1).alias("duplicate_count")
+    )
 
 
 _LATE = f"""{TELEMETRY_SQL},
@@ -179,21 +238,40 @@ p AS (SELECT *, max({_W}) OVER (PARTITION BY unit ORDER BY rel, ts_s, seq ROWS B
 q AS (SELECT *, coalesce(ts_s < pf, false) AS late, CASE WHEN ts_s < pf THEN pf ELSE {_W} END AS w FROM p)"""
 
 
-@query(f"WITH {_LATE} SELECT unit, w AS window_s, count(*) FILTER (WHERE NOT dup AND NOT late) AS sample_count, count(*) FILTER (WHERE dup AND NOT late) AS duplicate_count, count(*) FILTER (WHERE late) AS late_count FROM q GROUP BY 1, 2")
+@query(
+    f"WITH {_LATE} SELECT unit, w AS window_s, count(*) FILTER (WHERE NOT dup AND NOT late) AS sample_count, count(*) FILTER (WHERE dup AND NOT late) AS duplicate_count, count(*) FILTER (WHERE late) AS late_count FROM q GROUP BY 1, 2"
+)
 def q12_late_accounting(spark, sf):
-    t = telemetry(spark, sf).select(F.col("ahu_id").alias("unit"), F.unix_timestamp("timestamp").alias("ts_s"), "event_id")
-    a = t.select("unit", "ts_s", F.expr("event_id * 2 + CASE WHEN event_id % 17 = 0 THEN 400 ELSE 0 END AS seq"), F.col("ts_s").cast("string").alias("key"))
-    b = t.where("event_id % 50 = 0").select("unit", "ts_s", F.expr("event_id * 2 + 31 AS seq"), F.col("ts_s").cast("string").alias("key"))
+    t = telemetry(spark, sf).select(
+        F.col("ahu_id").alias("unit"), F.unix_timestamp("timestamp").alias("ts_s"), "event_id"
+    )
+    a = t.select(
+        "unit",
+        "ts_s",
+        F.expr("event_id * 2 + CASE WHEN event_id % 17 = 0 THEN 400 ELSE 0 END AS seq"),
+        F.col("ts_s").cast("string").alias("key"),
+    )
+    b = t.where("event_id % 50 = 0").select(
+        "unit", "ts_s", F.expr("event_id * 2 + 31 AS seq"), F.col("ts_s").cast("string").alias("key")
+    )
     return ordering.window_accounts(ordering.account(a.unionByName(b), SIZE, 3600))
 
 
 def _rule_query(name: str, *ids: str):
     def f(spark, sf):
         w = _win(spark, sf)
-        return w.select("ahu_id", _start(), *[F.coalesce(rules.condition(r, CFG, set(w.columns)), F.lit(False)).alias(r.lower()) for r in ids])
+        return w.select(
+            "ahu_id",
+            _start(),
+            *[F.coalesce(rules.condition(r, CFG, set(w.columns)), F.lit(False)).alias(r.lower()) for r in ids],
+        )
 
     f.__name__ = name
-    query(f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(f"coalesce({RULE_SQL[r]}, false) AS {r.lower()}" for r in ids) + " FROM win")(f)
+    query(
+        f"WITH {WIN_SQL} SELECT ahu_id, start_s, " + ", ".join(
+            f"coalesce({RULE_SQL[r]}, false) AS {r.lower()}" for r in ids
+        ) + " FROM win"
+    )(f)
 
 
 _names = list(RULE_SQL)
@@ -203,7 +281,9 @@ for _q, _i in (("q13_rules_cooling", 0), ("q14_rules_damper", 2), ("q15_rules_zo
 
 @query(f"WITH {SUMM_SQL} SELECT ahu_id, start_s, signature, array_to_string(rl, ',') AS rules FROM summ")
 def q17_signature(spark, sf):
-    return _anom(spark, sf).select("ahu_id", _start(), S.signature(F.col("anomalies.rule_id")).alias("signature"), _rules())
+    return _anom(spark, sf).select(
+        "ahu_id", _start(), S.signature(F.col("anomalies.rule_id")).alias("signature"), _rules()
+    )
 
 
 _hl = ", ".join(f"'{n}=' || printf('%.{d}f', {n})" for n, d in summary.HIGHLIGHTS)
@@ -219,21 +299,36 @@ _symptom = "CASE r " + " ".join(f"WHEN '{k}' THEN '{r.symptom}'" for k, r in CFG
 _hyp = "CASE r " + " ".join(f"WHEN '{k}' THEN '{r.hypotheses[0]}'" for k, r in CFG.rules.items()) + " END"
 
 
-@query(f"WITH {SUMM_SQL}, x AS (SELECT window_id, unnest(rl) AS r FROM summ) SELECT window_id, r AS rule_id, {_symptom} AS symptom, {_hyp} AS hypothesis FROM x")
+@query(
+    f"WITH {SUMM_SQL}, x AS (SELECT window_id, unnest(rl) AS r FROM summ) SELECT window_id, r AS rule_id, {_symptom} AS symptom, {_hyp} AS hypothesis FROM x"
+)
 def q19_rule_metadata(spark, sf):
-    return _summ(spark, sf).select("window_id", F.explode("anomalies").alias("a")).select("window_id", "a.rule_id", "a.symptom", F.col("a.fault_hypotheses")[0].alias("hypothesis"))
+    return _summ(spark, sf).select("window_id", F.explode("anomalies").alias("a")).select(
+        "window_id", "a.rule_id", "a.symptom", F.col("a.fault_hypotheses")[0].alias("hypothesis")
+    )
 
 
-_EPISODES = (("E1", "2024-01-03 00:00:00", "2024-01-05 12:00:00", 0.7, 300.0), ("E2", "2024-01-10 06:00:00", "2024-01-12 00:00:00", 1.0, 0.0), ("E3", "2024-01-20 00:00:00", "2024-01-21 00:00:00", 0.3, 60.0))
-_EP_SQL = "ep AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', TIMESTAMP '{a}', TIMESTAMP '{b}', {m}::DOUBLE, {r}::DOUBLE)" for i, a, b, m, r in _EPISODES) + ") AS t(episode_id, episode_start, episode_end, magnitude, ramp_minutes))"
+_EPISODES = (
+    ("E1", "2024-01-03 00:00:00", "2024-01-05 12:00:00", 0.7, 300.0),
+    ("E2", "2024-01-10 06:00:00", "2024-01-12 00:00:00", 1.0, 0.0),
+    ("E3", "2024-01-20 00:00:00", "2024-01-21 00:00:00", 0.3, 60.0),
+)
+_EP_SQL = "ep AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{i}', TIMESTAMP '{a}', TIMESTAMP '{b}', {m}::DOUBLE, {r}::DOUBLE)" for i, a, b, m, r in _EPISODES
+) + ") AS t(episode_id, episode_start, episode_end, magnitude, ramp_minutes))"
 
 
 def _episodes(spark) -> DataFrame:
-    d = spark.createDataFrame(list(_EPISODES), "episode_id string, episode_start string, episode_end string, magnitude double, ramp_minutes double")
+    d = spark.createDataFrame(
+        list(_EPISODES),
+        "episode_id string, episode_start string, episode_end string, magnitude double, ramp_minutes double",
+    )
     return d.withColumns({c: F.col(c).cast("timestamp") for c in ("episode_start", "episode_end")})
 
 
-@query(f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, episode_id FROM tel LEFT JOIN ep ON ts >= episode_start AND ts < episode_end")
+@query(
+    f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, episode_id FROM tel LEFT JOIN ep ON ts >= episode_start AND ts < episode_end"
+)
 def q20_episode_active(spark, sf):
     return gating.active_episode(telemetry(spark, sf), _episodes(spark)).select("event_id", "episode_id")
 
@@ -241,17 +336,33 @@ def q20_episode_active(spark, sf):
 _OFFSETS = [(100_000, 300_000), (900_000, 1_200_000)]
 
 
-@query(f"WITH {SUMM_SQL}, b AS (SELECT ahu_id, min(ts_s) AS base FROM tel GROUP BY 1) SELECT window_id, CASE WHEN " + " OR ".join(f"(start_s - base >= {a} AND start_s - base < {b})" for a, b in _OFFSETS) + " THEN array_to_string(rl, ',') ELSE '' END AS rules FROM summ JOIN b USING (ahu_id)")
+@query(
+    f"WITH {SUMM_SQL}, b AS (SELECT ahu_id, min(ts_s) AS base FROM tel GROUP BY 1) SELECT window_id, CASE WHEN " + " OR ".join(f"(start_s - base >= {a} AND start_s - base < {b})" for a, b in _OFFSETS) + " THEN array_to_string(rl, ',') ELSE '' END AS rules FROM summ JOIN b USING (ahu_id)"
+)
 def q21_scenario_gating(spark, sf):
     base = telemetry(spark, sf).groupBy("ahu_id").agg(F.min("timestamp").alias("base_ts"))
     g = gating.gate(_anom(spark, sf), _OFFSETS, base)
-    return g.select(S.window_id(F.col("ahu_id"), F.col("start"), F.col("end"), F.lit("tumbling")).alias("window_id"), _rules())
+    return g.select(
+        S.window_id(F.col("ahu_id"), F.col("start"), F.col("end"), F.lit("tumbling")).alias("window_id"), _rules()
+    )
 
 
-@query(f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, round(CASE WHEN ramp_minutes > 0 THEN magnitude * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (epoch_us(ts) - epoch_us(episode_start)) / 1e6 / (ramp_minutes * 60))) ELSE magnitude END, 6) AS m FROM tel JOIN ep ON ts >= episode_start AND ts < episode_end")
+@query(
+    f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, round(CASE WHEN ramp_minutes > 0 THEN magnitude * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (epoch_us(ts) - epoch_us(episode_start)) / 1e6 / (ramp_minutes * 60))) ELSE magnitude END, 6) AS m FROM tel JOIN ep ON ts >= episode_start AND ts < episode_end"
+)
 def q22_effective_magnitude(spark, sf):
     e = gating.active_episode(telemetry(spark, sf), _episodes(spark)).where("episode_id IS NOT NULL")
-    return e.select("event_id", F.round(gating.effective_magnitude(F.col("magnitude"), F.col("ramp_minutes"), (F.unix_micros("timestamp") - F.unix_micros("episode_start")) / 1e6), 6).alias("m"))
+    return e.select(
+        "event_id",
+        F.round(
+            gating.effective_magnitude(
+                F.col("magnitude"),
+                F.col("ramp_minutes"),
+                (F.unix_micros("timestamp") - F.unix_micros("episode_start")) / 1e6,
+            ),
+            6,
+        ).alias("m"),
+    )
 
 
 _SPAN = "o_orderkey % 400"
@@ -276,36 +387,56 @@ def q23_episode_overlap(spark, sf):
     return gating.overlaps(d).select("scenario", "episode_id", "overlaps")
 
 
-@query(f"WITH {TELEMETRY_SQL}, l AS (SELECT ahu_id, max(ts_s) AS ts_s, max_by(event_id, ts) AS event_id, max_by(cc_valve, ts) AS cc_valve FROM tel GROUP BY 1) SELECT *, (SELECT max(ts_s) FROM tel) - ts_s <= 3600 AS online FROM l")
+@query(
+    f"WITH {TELEMETRY_SQL}, l AS (SELECT ahu_id, max(ts_s) AS ts_s, max_by(event_id, ts) AS event_id, max_by(cc_valve, ts) AS cc_valve FROM tel GROUP BY 1) SELECT *, (SELECT max(ts_s) FROM tel) - ts_s <= 3600 AS online FROM l"
+)
 def q24_latest_per_unit(spark, sf):
     t = telemetry(spark, sf)
     newest = t.agg(F.max("timestamp").alias("as_of"))
     d = live.latest(t, "ahu_id", "timestamp", ["event_id", "cc_valve"]).join(F.broadcast(newest))
-    return d.select("ahu_id", F.unix_timestamp("timestamp").alias("ts_s"), "event_id", "cc_valve", live.online(F.col("timestamp"), F.col("as_of"), 3600).alias("online"))
+    return d.select(
+        "ahu_id",
+        F.unix_timestamp("timestamp").alias("ts_s"),
+        "event_id",
+        "cc_valve",
+        live.online(F.col("timestamp"), F.col("as_of"), 3600).alias("online"),
+    )
 
 
-@query(f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) WHERE rn <= 5")
+@query(
+    f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) WHERE rn <= 5"
+)
 def q25_last_n(spark, sf):
     return live.last_n(telemetry(spark, sf), "ahu_id", ["timestamp", "event_id"], 5).select("ahu_id", "event_id", "rn")
 
 
-@query(f"WITH {TELEMETRY_SQL}, d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, row_number() OVER (PARTITION BY ahu_id ORDER BY ts, event_id) AS i FROM tel WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT ahu_id, event_id, sa_temp FROM d WHERE (i - 1) % (CASE WHEN n <= 100 THEN 1 ELSE ceil(n / 100.0)::BIGINT END) = 0 OR i = n")
+@query(
+    f"WITH {TELEMETRY_SQL}, d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, row_number() OVER (PARTITION BY ahu_id ORDER BY ts, event_id) AS i FROM tel WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT ahu_id, event_id, sa_temp FROM d WHERE (i - 1) % (CASE WHEN n <= 100 THEN 1 ELSE ceil(n / 100.0)::BIGINT END) = 0 OR i = n"
+)
 def q26_range_downsample(spark, sf):
     t = live.in_range(telemetry(spark, sf), "timestamp", "2024-01-05", "2024-01-20")
     return live.downsample(t, "ahu_id", ["timestamp", "event_id"], 100).select("ahu_id", "event_id", "sa_temp")
 
 
-@query(f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY ahu_id) AS m FROM tel) WHERE ts >= m - INTERVAL 1440 MINUTES")
+@query(
+    f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY ahu_id) AS m FROM tel) WHERE ts >= m - INTERVAL 1440 MINUTES"
+)
 def q27_retention(spark, sf):
     return live.retain(telemetry(spark, sf), "ahu_id", "timestamp", 1440).select("ahu_id", "event_id")
 
 
-@query(f"WITH {SUMM_SQL} SELECT window_id, t0 AS start, t1 AS \"end\", signature, max_severity, array_to_string(rl[1:3], ',') AS top_rules FROM summ")
+@query(
+    f"WITH {SUMM_SQL} SELECT window_id, t0 AS start, t1 AS \"end\", signature, max_severity, array_to_string(rl[1:3], ',') AS top_rules FROM summ"
+)
 def q28_min_window_item(spark, sf):
-    return live.min_window_item(_summ(spark, sf)).drop("text_summary").withColumn("top_rules", F.array_join("top_rules", ","))
+    return live.min_window_item(_summ(spark, sf)).drop("text_summary").withColumn(
+        "top_rules", F.array_join("top_rules", ",")
+    )
 
 
-@query(f"WITH {SUMM_SQL} SELECT signature, min(t0) AS first_seen, max(t1) AS last_seen, count(*) AS count, max(max_severity) AS max_severity, array_to_string(min(rl)[1:3], ',') AS top_rules FROM summ GROUP BY 1")
+@query(
+    f"WITH {SUMM_SQL} SELECT signature, min(t0) AS first_seen, max(t1) AS last_seen, count(*) AS count, max(max_severity) AS max_severity, array_to_string(min(rl)[1:3], ',') AS top_rules FROM summ GROUP BY 1"
+)
 def q29_active_incidents(spark, sf):
     return live.active_incidents(_summ(spark, sf)).withColumn("top_rules", F.array_join("top_rules", ","))
 
@@ -322,11 +453,17 @@ _FAULTS = f"{SUMM_SQL}, fl AS (SELECT *, list_sort(list_distinct(list_filter(lis
 
 @query(f"WITH {_FAULTS} SELECT window_id, array_to_string(faults, ',') AS faults FROM fl")
 def q31_fault_types(spark, sf):
-    return _summ(spark, sf).select("window_id", F.array_join(incidents.fault_types(F.col("anomalies")), ",").alias("faults"))
+    return _summ(spark, sf).select(
+        "window_id", F.array_join(incidents.fault_types(F.col("anomalies")), ",").alias("faults")
+    )
 
 
 def _present(spark, sf) -> DataFrame:
-    s = _summ(spark, sf).select("ahu_id", incidents.fault_types(F.col("anomalies")).alias("faults"), F.row_number().over(Window.partitionBy("ahu_id").orderBy("time.start")).alias("i"))
+    s = _summ(spark, sf).select(
+        "ahu_id",
+        incidents.fault_types(F.col("anomalies")).alias("faults"),
+        F.row_number().over(Window.partitionBy("ahu_id").orderBy("time.start")).alias("i"),
+    )
     return incidents.presence(s)
 
 
@@ -339,7 +476,9 @@ st AS (SELECT *, row_number() OVER (PARTITION BY ahu_id, fault, island ORDER BY
 
 @query(f"WITH {_STREAK} SELECT ahu_id, fault, i, s, rl2 AS rl FROM st")
 def q32_streaks(spark, sf):
-    return incidents.streaks(_present(spark, sf)).select("ahu_id", "fault", F.col("i").cast("long"), "s", F.col("rl").cast("long").alias("rl"))
+    return incidents.streaks(_present(spark, sf)).select(
+        "ahu_id", "fault", F.col("i").cast("long"), "s", F.col("rl").cast("long").alias("rl")
+    )
 
 
 @query(f"""WITH {_STREAK}, v AS (SELECT *, CASE WHEN s AND rl2 = 2 THEN 'S' WHEN NOT s AND rl2 = 3 THEN 'C' END AS evt FROM st),
@@ -349,29 +488,53 @@ y AS (SELECT *, sum(opened::INT) OVER (PARTITION BY ahu_id, fault ORDER BY i ROW
 SELECT ahu_id, fault, episode::BIGINT AS episode, min(i) FILTER (WHERE opened) AS opened_at, min(i) FILTER (WHERE resolved) AS resolved_at, count(*) FILTER (WHERE s AND ce = 'S') AS occurrence_count FROM y WHERE episode > 0 GROUP BY 1, 2, 3""")
 def q33_ticket_episodes(spark, sf):
     e = incidents.episodes(incidents.streaks(_present(spark, sf)))
-    return e.select("ahu_id", "fault", "episode", F.col("opened_at").cast("long"), F.col("resolved_at").cast("long"), "occurrence_count")
+    return e.select(
+        "ahu_id",
+        "fault",
+        "episode",
+        F.col("opened_at").cast("long"),
+        F.col("resolved_at").cast("long"),
+        "occurrence_count",
+    )
 
 
-@query(f"WITH {_STREAK} SELECT ahu_id, fault, i, concat_ws(',', lag(i) OVER (PARTITION BY ahu_id, fault ORDER BY i), i) AS recent FROM pr WHERE s")
+@query(
+    f"WITH {_STREAK} SELECT ahu_id, fault, i, concat_ws(',', lag(i) OVER (PARTITION BY ahu_id, fault ORDER BY i), i) AS recent FROM pr WHERE s"
+)
 def q34_recent_windows(spark, sf):
-    return incidents.recent_seen(_present(spark, sf)).select("ahu_id", "fault", F.col("i").cast("long"), F.array_join(F.col("recent").cast("array<string>"), ",").alias("recent"))
+    return incidents.recent_seen(_present(spark, sf)).select(
+        "ahu_id",
+        "fault",
+        F.col("i").cast("long"),
+        F.array_join(F.col("recent").cast("array<string>"), ",").alias("recent"),
+    )
 
 
-@query(f"WITH {SUMM_SQL}, {TELEMETRY_SQL.replace('tel AS', 'tel2 AS', 1)} SELECT DISTINCT ahu_id FROM (SELECT ahu_id FROM tel2 UNION SELECT ahu_id FROM summ)")
+@query(
+    f"WITH {SUMM_SQL}, {TELEMETRY_SQL.replace('tel AS', 'tel2 AS', 1)} SELECT DISTINCT ahu_id FROM (SELECT ahu_id FROM tel2 UNION SELECT ahu_id FROM summ)"
+)
 def q40_unit_union(spark, sf):
     return live.units(telemetry(spark, sf), _summ(spark, sf))
 
 
-@query(f"WITH {SUMM_SQL}, x AS (SELECT ahu_id, unnest(rl) AS id FROM summ), c AS (SELECT ahu_id, id, count(*) AS c FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, id) AS rn FROM c) SELECT ahu_id, string_agg(id, ',' ORDER BY rn) AS top_rules FROM r WHERE rn <= 5 GROUP BY 1")
+@query(
+    f"WITH {SUMM_SQL}, x AS (SELECT ahu_id, unnest(rl) AS id FROM summ), c AS (SELECT ahu_id, id, count(*) AS c FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, id) AS rn FROM c) SELECT ahu_id, string_agg(id, ',' ORDER BY rn) AS top_rules FROM r WHERE rn <= 5 GROUP BY 1"
+)
 def q41_top_rules(spark, sf):
     s = _summ(spark, sf).select("ahu_id", F.col("anomalies.rule_id").alias("ids"))
-    return live.top_rules(s, ["ahu_id"], "ids", 5, alphabetical=True).withColumn("top_rules", F.array_join("top_rules", ","))
+    return live.top_rules(s, ["ahu_id"], "ids", 5, alphabetical=True).withColumn(
+        "top_rules", F.array_join("top_rules", ",")
+    )
 
 
-@query(f"WITH {SUMM_SQL}, h AS (SELECT window_id, unnest(list_transform(rl, lambda r: {_hyp})) AS t, unnest(range(len(rl))) AS p FROM summ), c AS (SELECT window_id, t, count(*) AS c, min(p) AS f FROM h GROUP BY 1, 2) SELECT window_id, first(t ORDER BY c DESC, f) AS \"primary\", string_agg(t, ',' ORDER BY f) AS \"all\" FROM c GROUP BY 1")
+@query(
+    f"WITH {SUMM_SQL}, h AS (SELECT window_id, unnest(list_transform(rl, lambda r: {_hyp})) AS t, unnest(range(len(rl))) AS p FROM summ), c AS (SELECT window_id, t, count(*) AS c, min(p) AS f FROM h GROUP BY 1, 2) SELECT window_id, first(t ORDER BY c DESC, f) AS \"primary\", string_agg(t, ',' ORDER BY f) AS \"all\" FROM c GROUP BY 1"
+)
 def q42_primary_hypothesis(spark, sf):
     s = _summ(spark, sf).select("window_id", F.flatten("anomalies.fault_hypotheses").alias("tokens"))
-    return incidents.primary_hypothesis(s, "window_id", "tokens").select("window_id", "primary", F.array_join("all", ",").alias("all"))
+    return incidents.primary_hypothesis(s, "window_id", "tokens").select(
+        "window_id", "primary", F.array_join("all", ",").alias("all")
+    )
 
 
 _TEXT_SQL = f"""'AHU ' || ahu_id || ' window ' || t0 || '–' || t1 || ': ' || coalesce(nullif(concat_ws(', ', {_hl}), ''), 'no feature highlights')
@@ -400,15 +563,22 @@ hp AS (SELECT window_id, first(h ORDER BY c DESC, f) AS prim, string_agg(h, ', '
 )
 def q43_history_doc(spark, sf):
     s = summary.summaries(_anom(spark, sf), CFG, "c0ffee")
-    d = retrieval.history_documents(s.withColumn("features", F.transform_values("features", lambda _, v: F.round(v + 1e-9, 6))))
+    d = retrieval.history_documents(
+        s.withColumn("features", F.transform_values("features", lambda _, v: F.round(v + 1e-9, 6)))
+    )
     m = F.col("metadata")
-    keys = {"hypotheses": "fault_hypotheses", **{k: k for k in ("start_ts", "end_ts", "incident_key", "rule_ids", "feature_keys")}}
+    keys = {
+        "hypotheses": "fault_hypotheses",
+        **{k: k for k in ("start_ts", "end_ts", "incident_key", "rule_ids", "feature_keys")},
+    }
     return d.select("id", "text", *[m[v].alias(k) for k, v in keys.items()], F.size("metadata").alias("n"))
 
 
 def _by_fault(place: int, other) -> str:
     """The SQL value of a fault's entry."""
-    return "CASE fault " + " ".join(f"WHEN '{r[0]}' THEN {other(r[place])}" for r in diagnosis.LOOKUP[:-1]) + f" ELSE {other(diagnosis.LOOKUP[-1][place])} END"
+    return "CASE fault " + " ".join(
+        f"WHEN '{r[0]}' THEN {other(r[place])}" for r in diagnosis.LOOKUP[:-1]
+    ) + f" ELSE {other(diagnosis.LOOKUP[-1][place])} END"
 
 
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -424,17 +594,32 @@ SELECT window_id, fault, {_by_fault(1, _quoted)} AS title, {_by_fault(2, _quoted
 )
 def q53_mock_diagnosis(spark, sf):
     """Both stages; a window without missing values counts as covered."""
-    s = _summ(spark, sf).select("window_id", incidents.fault_types(F.col("anomalies")).alias("faults"), (F.col("stats.missing_count") == 0).alias("coverage_ok"))
+    s = _summ(spark, sf).select(
+        "window_id",
+        incidents.fault_types(F.col("anomalies")).alias("faults"),
+        (F.col("stats.missing_count") == 0).alias("coverage_ok"),
+    )
     d = diagnosis.two_stages(s.select("window_id", F.explode("faults").alias("fault"), "coverage_ok"))
-    lists = [F.array_join("recommended_actions", "; ").alias("actions"), F.array_join("evidence_ids", "; ").alias("evidence")]
+    lists = [
+        F.array_join("recommended_actions", "; ").alias("actions"), F.array_join("evidence_ids", "; ").alias("evidence")
+    ]
     return d.select("window_id", "fault", "title", "root_cause", "confidence", *lists, "stage", "reasoner_calls")
 
 
-@query(f"WITH {SUMM_SQL} SELECT window_id, printf('%.2f', cc_valve_mean)::DOUBLE AS valve, array_to_string(list_sort(rl), ',') AS rules, signature FROM summ")
+@query(
+    f"WITH {SUMM_SQL} SELECT window_id, printf('%.2f', cc_valve_mean)::DOUBLE AS valve, array_to_string(list_sort(rl), ',') AS rules, signature FROM summ"
+)
 def q56_ui_extract(spark, sf):
-    s = _summ(spark, sf).withColumn("t", F.concat("text_summary", F.lit(" "), F.lit("v="), S.fixed(2)(F.col("features")["cc_valve_mean"])))
+    s = _summ(spark, sf).withColumn(
+        "t", F.concat("text_summary", F.lit(" "), F.lit("v="), S.fixed(2)(F.col("features")["cc_valve_mean"]))
+    )
     pick = lambda p: F.regexp_extract("t", p, 1)
-    return s.select("window_id", pick(r"v=([0-9.]+)$").cast("double").alias("valve"), F.regexp_replace(pick(r"anomalies=([^.]*)\."), "^none$", "").alias("rules"), pick(r"signature=([0-9a-f]{64})").alias("signature"))
+    return s.select(
+        "window_id",
+        pick(r"v=([0-9.]+)$").cast("double").alias("valve"),
+        F.regexp_replace(pick(r"anomalies=([^.]*)\."), "^none$", "").alias("rules"),
+        pick(r"signature=([0-9a-f]{64})").alias("signature"),
+    )
 
 
 @query()
@@ -446,9 +631,19 @@ def st_window_summaries(spark, sf):
 
     at = new_path(spark, "stream")
     raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/event[s].parquet")
-    raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
-    events = raw.selectExpr("event_id", "CAST(user_id % 8 AS STRING) AS ahu_id", "ts AS timestamp", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS timestamp_text", *[f"{x} AS {n}" for n, x in TELEMETRY.items()])
+    raw = raw.withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int")
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = raw.selectExpr(
+        "event_id",
+        "CAST(user_id % 8 AS STRING) AS ahu_id",
+        "ts AS timestamp",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS timestamp_text",
+        *[f"{x} AS {n}" for n, x in TELEMETRY.items()],
+    )
     out = streaming.window_summaries(events, CFG).select("window_id", "ahu_id", "signature", "text_summary")
-    q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+    q = out.writeStream.format("parquet").option(
+        "checkpointLocation", f"{at}/state"
+    ).trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

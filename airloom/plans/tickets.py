@@ -22,13 +22,25 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH {TICKETS_SQL} SELECT ticket_id, updated_at, confidence FROM tk WHERE lifecycle_status = 'OPEN' AND confidence >= 0.3 AND diagnosis_title ILIKE '%case\\_1%' ESCAPE '\\' ORDER BY updated_at DESC NULLS LAST, ticket_id LIMIT 50 OFFSET 10")
+@query(
+    f"WITH {TICKETS_SQL} SELECT ticket_id, updated_at, confidence FROM tk WHERE lifecycle_status = 'OPEN' AND confidence >= 0.3 AND diagnosis_title ILIKE '%case\\_1%' ESCAPE '\\' ORDER BY updated_at DESC NULLS LAST, ticket_id LIMIT 50 OFFSET 10"
+)
 def q35_tickets_list(spark, sf) -> DataFrame:
-    page = T.list_tickets(tickets(spark, sf), q="case_1", min_confidence=0.3, lifecycle_status="OPEN", sort="nonsense", limit=50, offset=10)
+    page = T.list_tickets(
+        tickets(spark, sf),
+        q="case_1",
+        min_confidence=0.3,
+        lifecycle_status="OPEN",
+        sort="nonsense",
+        limit=50,
+        offset=10,
+    )
     return page.select("ticket_id", "updated_at", "confidence")
 
 
-@query(f"WITH {TICKETS_SQL} SELECT count(*) FILTER (WHERE lifecycle_status = 'OPEN') AS active_count, count(*) FILTER (WHERE review_status = 'NONE' AND diagnosis_status = 'DIAGNOSED') AS awaiting_review_count, count(*) FILTER (WHERE review_status = 'APPROVED') AS approved_count, count(*) FILTER (WHERE review_status = 'REJECTED') AS rejected_count, count(*) FILTER (WHERE diagnosis_status = 'DIAGNOSED' AND confidence >= 0.6) AS high_confidence_count FROM tk")
+@query(
+    f"WITH {TICKETS_SQL} SELECT count(*) FILTER (WHERE lifecycle_status = 'OPEN') AS active_count, count(*) FILTER (WHERE review_status = 'NONE' AND diagnosis_status = 'DIAGNOSED') AS awaiting_review_count, count(*) FILTER (WHERE review_status = 'APPROVED') AS approved_count, count(*) FILTER (WHERE review_status = 'REJECTED') AS rejected_count, count(*) FILTER (WHERE diagnosis_status = 'DIAGNOSED' AND confidence >= 0.6) AS high_confidence_count FROM tk"
+)
 def q36_ticket_metrics(spark, sf) -> DataFrame:
     return T.metrics(tickets(spark, sf))
 
@@ -46,20 +58,46 @@ l AS (SELECT ticket_id, max_by(lifecycle_status, seq) FILTER (WHERE lifecycle_st
 def q37_ticket_upsert(spark, sf) -> DataFrame:
     o = read(spark, sf, "orders")
     null = "CAST(NULL AS STRING)"
-    a = o.where("o_orderkey % 10 = 0").selectExpr("concat('t', o_orderkey) AS ticket_id", "1 AS seq", "CASE WHEN o_orderkey % 2 = 0 THEN 'RESOLVED' END AS lifecycle_status", "0.9D AS confidence", "'9' AS ahu_id", f"{null} AS detected_fault_type")
-    b = o.where("o_orderkey % 20 = 0").selectExpr("concat('t', o_orderkey)", "2", null, "CASE WHEN o_orderkey % 4 = 0 THEN 0.4D END", null, null)
-    c = o.where("o_orderkey % 50 = 0").selectExpr("concat('n', o_orderkey)", "3", null, "0.2D", "'3'", "CASE WHEN o_orderkey % 3 = 0 THEN 'X' END")
+    a = o.where("o_orderkey % 10 = 0").selectExpr(
+        "concat('t', o_orderkey) AS ticket_id",
+        "1 AS seq",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'RESOLVED' END AS lifecycle_status",
+        "0.9D AS confidence",
+        "'9' AS ahu_id",
+        f"{null} AS detected_fault_type",
+    )
+    b = o.where("o_orderkey % 20 = 0").selectExpr(
+        "concat('t', o_orderkey)", "2", null, "CASE WHEN o_orderkey % 4 = 0 THEN 0.4D END", null, null
+    )
+    c = o.where("o_orderkey % 50 = 0").selectExpr(
+        "concat('n', o_orderkey)", "3", null, "0.2D", "'3'", "CASE WHEN o_orderkey % 3 = 0 THEN 'X' END"
+    )
     out = T.upsert(tickets(spark, sf), a.union(b).union(c), "2025-01-01", incomplete="leave out")
-    return out.select("ticket_id", "incident_key", "lifecycle_status", "confidence", "ahu_id", "created_at", "updated_at", "occurrence_count")
-
-
-@query(f"WITH {TICKETS_SQL}, i AS (SELECT c_custkey, (c_custkey % 8)::VARCHAR || '|' || '1-URGENT' AS incident_key FROM customer), o AS (SELECT incident_key, ticket_id FROM (SELECT *, row_number() OVER (PARTITION BY incident_key ORDER BY updated_at DESC, ticket_id) AS n FROM tk WHERE lifecycle_status = 'OPEN') WHERE n = 1) SELECT c_custkey, i.incident_key, ticket_id FROM i LEFT JOIN o ON i.incident_key = o.incident_key")
+    return out.select(
+        "ticket_id",
+        "incident_key",
+        "lifecycle_status",
+        "confidence",
+        "ahu_id",
+        "created_at",
+        "updated_at",
+        "occurrence_count",
+    )
+
+
+@query(
+    f"WITH {TICKETS_SQL}, i AS (SELECT c_custkey, (c_custkey % 8)::VARCHAR || '|' || '1-URGENT' AS incident_key FROM customer), o AS (SELECT incident_key, ticket_id FROM (SELECT *, row_number() OVER (PARTITION BY incident_key ORDER BY updated_at DESC, ticket_id) AS n FROM tk WHERE lifecycle_status = 'OPEN') WHERE n = 1) SELECT c_custkey, i.incident_key, ticket_id FROM i LEFT JOIN o ON i.incident_key = o.incident_key"
+)
 def q38_active_ticket_lookup(spark, sf) -> DataFrame:
-    i = read(spark, sf, "customer").select("c_custkey", F.concat((F.col("c_custkey") % 8).cast("string"), F.lit("|1-URGENT")).alias("incident_key"))
+    i = read(spark, sf, "customer").select(
+        "c_custkey", F.concat((F.col("c_custkey") % 8).cast("string"), F.lit("|1-URGENT")).alias("incident_key")
+    )
     return T.active_ticket(i, tickets(spark, sf)).select("c_custkey", "incident_key", "ticket_id")
 
 
-@query("SELECT * FROM (VALUES ('OPEN'), ('RESOLVED')) a(lifecycle_status), (VALUES ('DRAFT'), ('DIAGNOSING'), ('DIAGNOSED'), ('FAILED')) b(diagnosis_status), (VALUES ('NONE'), ('APPROVED'), ('REJECTED')) c(review_status)")
+@query(
+    "SELECT * FROM (VALUES ('OPEN'), ('RESOLVED')) a(lifecycle_status), (VALUES ('DRAFT'), ('DIAGNOSING'), ('DIAGNOSED'), ('FAILED')) b(diagnosis_status), (VALUES ('NONE'), ('APPROVED'), ('REJECTED')) c(review_status)"
+)
 def q39_enum_matrix(spark, sf) -> DataFrame:
     return T.state_matrix(spark)
 

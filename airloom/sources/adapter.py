@@ -26,8 +26,16 @@ def read(spark, sf_dir: str, name: str) -> DataFrame:
 
 def telemetry(spark, sf_dir: str) -> DataFrame:
     """``events`` as ten signals of eight units."""
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.selectExpr("event_id", "CAST(user_id % 8 AS STRING) AS ahu_id", "ts AS timestamp", "k", *[f"{x} AS {n}" for n, x in TELEMETRY.items()])
+    e = read(spark, sf_dir, "events").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int")
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.selectExpr(
+        "event_id",
+        "CAST(user_id % 8 AS STRING) AS ahu_id",
+        "ts AS timestamp",
+        "k",
+        *[f"{x} AS {n}" for n, x in TELEMETRY.items()],
+    )
 
 
 def tickets(spark, sf_dir: str) -> DataFrame:

@@ -101,27 +101,53 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
         from pypdf import PdfReader
 
         for pdf in batches:
-            rows = [(p, i + 1, page.extract_text() or "") for p, c in zip(pdf.path, pdf.content) for i, page in enumerate(PdfReader(io.BytesIO(c)).pages)]
+            rows = [
+                (p, i + 1, page.extract_text() or "")
+                for p, c in zip(pdf.path, pdf.content)
+                for i, page in enumerate(PdfReader(io.BytesIO(c)).pages)
+            ]
             yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page_no int, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(
+        run, "path string, page_no int, text string"
+    )
 
 
 def kv_line(line: Column) -> Column:
     """``k=v | k=v`` as a map; parts without ``=`` are left out."""
     parts = F.filter(F.split(line, r"\s*\|\s*"), lambda p: p.contains("="))
-    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("value"))))
+    return F.map_from_entries(
+        F.transform(
+            parts,
+            lambda p: F.struct(
+                F.trim(F.substring_index(p, "=", 1)).alias("key"),
+                F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("value"),
+            ),
+        )
+    )
 
 
 def retrieval_log(spark: SparkSession, path: str) -> DataFrame:
     """A retrieval log's ``k=v | k=v`` lines with the heading above them (lines of ``== name ==``)."""
     from pyspark.sql import Window
 
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    rows = spark.read.option("wholetext", True).text(path).select(
+        F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")
+    )
     title = F.when(F.col("line").rlike(r"^\s*=+.*\S.*=+\s*$"), F.regexp_replace("line", r"^[\s=]+|[\s=]+$", ""))
-    section = F.last(title, ignorenulls=True).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("section", section).where(F.col("line").contains("=") & title.isNull()).select("file", "n", "section", kv_line(F.col("line")).alias("kv"))
+    section = F.last(title, ignorenulls=True).over(
+        Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return rows.withColumn("section", section).where(F.col("line").contains("=") & title.isNull()).select(
+        "file", "n", "section", kv_line(F.col("line")).alias("kv")
+    )
 
 
 def telemetry_schema(signals) -> T.StructType:
-    return T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("ahu_id", T.StringType()), *[T.StructField(s, T.StringType()) for s in signals]])
+    return T.StructType(
+        [
+            T.StructField("timestamp", T.StringType()),
+            T.StructField("ahu_id", T.StringType()),
+            *[T.StructField(s, T.StringType()) for s in signals],
+        ]
+    )

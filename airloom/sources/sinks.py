@@ -27,11 +27,16 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 def keyed_json(df: DataFrame, key: str = "ahu_id") -> DataFrame:
     """``key`` and JSON ``value``, as a topic wants them."""
-    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(
+        F.col(key).cast("string").alias("key"),
+        F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"),
+    )
 
 
 def kafka_stream(df: DataFrame, servers: str, topic: str, checkpoint: str):
-    return keyed_json(df).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+    return keyed_json(df).writeStream.format("kafka").option(
+        "kafka.bootstrap.servers", servers
+    ).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
 def tee(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

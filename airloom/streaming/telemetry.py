@@ -54,7 +54,9 @@ def window_summaries(events: DataFrame, cfg: Config, horizon_sec: int | None = N
     The watermark is one for all units; ``account`` keeps one for each.
     """
     horizon = cfg.reorder_sec if horizon_sec is None else horizon_sec
-    once = events.withWatermark("timestamp", f"{horizon} seconds").dropDuplicatesWithinWatermark(["ahu_id", "timestamp_text"])
+    once = events.withWatermark(
+        "timestamp", f"{horizon} seconds"
+    ).dropDuplicatesWithinWatermark(["ahu_id", "timestamp_text"])
     return summary.summaries(rules.with_anomalies(windows.windowed(once, cfg), cfg), cfg)
 
 
@@ -137,12 +139,23 @@ def account(events: DataFrame, size_sec: int, horizon_sec: int, bounded: bool =
         state.update((base64.b64encode(pickle.dumps(m)).decode(),))
         yield pd.DataFrame(out, columns=names)
 
-    return events.groupBy("unit").applyInPandasWithState(step, "unit string, window_s long, sample_count long, duplicate_count long, late_count long", "machine string", "append", "NoTimeout")
+    return events.groupBy("unit").applyInPandasWithState(
+        step,
+        "unit string, window_s long, sample_count long, duplicate_count long, late_count long",
+        "machine string",
+        "append",
+        "NoTimeout",
+    )
 
 
 def ticket_changes(summaries: DataFrame, n_trigger: int = 2, k_clear: int = 3) -> DataFrame:
     """(ahu_id, fault, window_id, change, occurrence_count): tickets opened, seen again and resolved, by keyed state."""
-    d = summaries.select("ahu_id", "window_id", F.col("time.start").alias("start"), incidents.fault_types(F.col("anomalies")).alias("faults"))
+    d = summaries.select(
+        "ahu_id",
+        "window_id",
+        F.col("time.start").alias("start"),
+        incidents.fault_types(F.col("anomalies")).alias("faults"),
+    )
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known = pickle.loads(base64.b64decode(state.get[0])) if state.exists else {}
@@ -168,4 +181,10 @@ def ticket_changes(summaries: DataFrame, n_trigger: int = 2, k_clear: int = 3) -
         state.update((base64.b64encode(pickle.dumps(known)).decode(),))
         yield pd.DataFrame(out, columns=["ahu_id", "fault", "window_id", "change", "occurrence_count"])
 
-    return d.groupBy("ahu_id").applyInPandasWithState(step, "ahu_id string, fault string, window_id string, change string, occurrence_count long", "known string", "append", "NoTimeout")
+    return d.groupBy("ahu_id").applyInPandasWithState(
+        step,
+        "ahu_id string, fault string, window_id string, change string, occurrence_count long",
+        "known string",
+        "append",
+        "NoTimeout",
+    )

@@ -25,8 +25,13 @@ def duck():
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v
-    return sorted(repr([clean(v.item() if hasattr(v, "item") else v) for v in row]) for row in df.astype(object).where(df.notna(), None).itertuples(index=False))
+    clean = lambda v: None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(
+        v, (int, float)
+    ) and not isinstance(v, bool) else v
+    return sorted(
+        repr([clean(v.item() if hasattr(v, "item") else v) for v in row])
+        for row in df.astype(object).where(df.notna(), None).itertuples(index=False)
+    )
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")

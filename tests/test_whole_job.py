@@ -11,7 +11,9 @@ def put(spark, path, name, rows, schema):
 def test_chunk_pages_reach_the_end_of_long_manuals(spark, tmp_path):
     from airloom.plans import text
 
-    rows = [(i, ("ab " * (700 + 40 * (i % 7))).strip() if i % 11 else " ", "long" if i < 90 else "short") for i in range(95)] + [(95, " ", "blank"), (96, None, "null")]
+    rows = [
+        (i, ("ab " * (700 + 40 * (i % 7))).strip() if i % 11 else " ", "long" if i < 90 else "short") for i in range(95)
+    ] + [(95, " ", "blank"), (96, None, "null")]
     sf = put(spark, tmp_path, "documents", rows, "doc_id long, text string, source string")
     want, at = {}, {}
     spans = {}
@@ -37,7 +39,13 @@ def test_every_twentieth_vector_asks_all(spark, tmp_path, monkeypatch):
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(900, 8)).astype(np.float32)
     x[500:600] = x[20]
-    sf = put(spark, tmp_path, "embeddings", [(i, v.tolist(), i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    sf = put(
+        spark,
+        tmp_path,
+        "embeddings",
+        [(i, v.tolist(), i % 10) for i, v in enumerate(x)],
+        "vec_id long, embedding array<float>, label int",
+    )
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     far = np.round(1 - u @ u.T, 9)
 
@@ -59,7 +67,13 @@ def test_every_twentieth_vector_asks_all(spark, tmp_path, monkeypatch):
 def test_every_event_line_is_parsed(spark, tmp_path):
     from airloom.plans import text
 
-    sf = put(spark, tmp_path, "events", [(i, i % 7, f"k{i % 3}") for i in range(101)], "event_id long, user_id long, event_type string")
+    sf = put(
+        spark,
+        tmp_path,
+        "events",
+        [(i, i % 7, f"k{i % 3}") for i in range(101)],
+        "event_id long, user_id long, event_type string",
+    )
     got = {r.event_id: (r.unit, r.kind) for r in text.q55_kv_line_parse(spark, sf).collect()}
     assert got == {i: (f"u{i % 7}", f"k{i % 3}") for i in range(101)}
 
