@@ -211,18 +211,26 @@ def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 15) AS BIGINT) AS h FROM documents),
+                  CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 15) AS BIGINT) AS h
+                  FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS w FROM s),
-c AS (SELECT *, sum(size) OVER () AS total, coalesce(sum({MOST_REPEATS} * size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+c AS (SELECT *, sum(size) OVER () AS total,
+  coalesce(sum({MOST_REPEATS} * size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
              sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, row_number() OVER o AS k
       FROM w WINDOW o AS (ORDER BY {MOST_REPEATS} * size / w, source)),
-f AS (SELECT arg_min(total - capped, k) AS rest, arg_min(free, k) AS free, min(k) AS k FROM c WHERE (total - capped) * w / free < {MOST_REPEATS} * size),
-t AS (SELECT c.source, c.size AS source_size, CASE WHEN f.k IS NULL OR c.k < f.k THEN CAST({MOST_REPEATS} * c.size AS DOUBLE) ELSE CAST(f.rest * c.w AS DOUBLE) / CAST(f.free AS DOUBLE) END AS target FROM c LEFT JOIN f ON true),
+f AS (SELECT arg_min(total - capped, k) AS rest, arg_min(free, k) AS free, min(k) AS k FROM c
+  WHERE (total - capped) * w / free < {MOST_REPEATS} * size),
+t AS (SELECT c.source, c.size AS source_size, CASE WHEN f.k IS NULL OR c.k < f.k
+  THEN CAST({MOST_REPEATS} * c.size AS DOUBLE)
+  ELSE CAST(f.rest * c.w AS DOUBLE) / CAST(f.free AS DOUBLE) END AS target FROM c LEFT JOIN f ON true),
 q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
-r AS (SELECT d.doc_id, d.size, q.source_size, q.target, CASE WHEN q.source_size > 0 THEN quota // q.source_size ELSE 0 END AS passes,
+r AS (SELECT d.doc_id, d.size, q.source_size, q.target, CASE WHEN q.source_size > 0 THEN quota // q.source_size
+  ELSE 0 END AS passes,
              CASE WHEN q.source_size > 0 THEN quota % q.source_size ELSE 0 END AS rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING
+             AND CURRENT ROW) - d.size AS before
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (passes * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (passes * size + greatest(0, least(size,
+  rest - before)))::BIGINT AS taken FROM r
 """

@@ -182,14 +182,19 @@ def op3_url_filters(spark, sf_dir: str) -> DataFrame:
 
 _hosts, _paths = "|".join(HOST_TERMS), "|".join(PATH_TERMS)
 OP3_SQL = rf"""
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}',
+  '{LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-f AS (SELECT *, host = 'example.org' OR host LIKE '%.example.org' AS ex, host = 'org' OR host LIKE '%.org' AS org, host = 'com' OR host LIKE '%.com' AS com FROM p),
-r AS (SELECT *, CASE WHEN ex AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN ex AND starts_with(path, '/es/') THEN 'example.org/es/'
-                     WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN com AND starts_with(path, '/de/') THEN 'com/de/'
+f AS (SELECT *, host = 'example.org' OR host LIKE '%.example.org' AS ex, host = 'org' OR host LIKE '%.org' AS org,
+  host = 'com' OR host LIKE '%.com' AS com FROM p),
+r AS (SELECT *, CASE WHEN ex AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN ex AND starts_with(path, '/es/') THEN 'example.org/es/'
+                     WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/'
+                     WHEN com AND starts_with(path, '/de/') THEN 'com/de/'
                      WHEN org AND starts_with(path, '/') THEN 'org/' END AS rule FROM f)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host || path, '(?s)^(?:[^/]*[.\-])?(?:{_hosts})[.\-]') OR regexp_matches(host || path, '(?s)^[^/]*/(?:.*/)?(?:{_paths})(?:[/.]|$)') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(host || path, '(?s)^(?:[^/]*[.\-])?(?:{_hosts})[.\-]') OR regexp_matches(host || path,
+            '(?s)^[^/]*/(?:.*/)?(?:{_paths})(?:[/.]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """

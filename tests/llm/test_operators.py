@@ -520,6 +520,25 @@ def test_token_attribution_equals_bytes(spark):
             assert [r.tokens for r in own] == count
 
 
+def test_token_counts_of_repeated_and_very_long_rows(spark):
+    import public_tokenizers as P
+
+    texts = ["one\ntwo words", "line of words\n" * 30_000]
+    d = make(spark, texts).withColumn("section", F.lit("clash"))
+    path = P.path("byte_bpe_50k.tiktoken")
+    one = tokens.token_counts(d, path, P.PATTERN)
+    many = tokens.token_counts(d.unionByName(d), path, P.PATTERN)
+    assert many.count() == 2 * one.count() and many.distinct().count() == one.count() == 2 + 30_000
+    assert tokens.token_counts(d.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_fingerprints_are_spread_before_their_keys(spark):
+    fps = spark.range(10).select(F.col("id").alias("fp")).coalesce(1)
+    n = -(-100_000 * 196 // simhash.ROWS_PER_TASK)
+    plan = simhash.ball_links(fps, 100_000)._jdf.queryExecution().toString()
+    assert f"RoundRobinPartitioning({n})" in plan and "hashpartitioning(key" in plan
+
+
 def test_url_rules(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://A.Org/x?y": ("a.org", "/x", "org/", "allow"), "http://org": ("org", "", None, "allow"), "https://w.EXAMPLE.org/es/1#t": ("w.example.org", "/es/1", "example.org/es/", "block"),
