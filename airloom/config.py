@@ -168,22 +168,31 @@ def load(signals: str | None = None, rules: str | None = None, windowing: str |
         out["rules"] = known
     if windowing:
         y = load_yaml(windowing)
-        w = y.get("window") or y
-        out["windowing"] = Windowing(
-            int(w.get("size_sec", w.get("window_size_sec", 300))),
-            w.get("step_sec"),
-            bool(w.get("align_to_epoch", True)),
-        )
+        w, order, missing = (y.get(k) or {} for k in ("windowing", "ordering", "missing_data"))
+        step = w.get("step_sec") if w.get("window_type", "tumbling") == "sliding" else None
+        if w.get("window_type") == "sliding" and not step:
+            raise ValueError(f"{windowing}: sliding windows need step_sec")
+        out["windowing"] = Windowing(int(w.get("window_size_sec", 300)), step, bool(w.get("align_to_epoch", True)))
+        out["reorder_sec"] = int(order.get("reorder_buffer_sec") or 0)
+        out["allow_missing_values"] = bool(missing.get("allow_missing_values", True))
+        out["drop_if_missing_timestamp"] = bool(missing.get("drop_event_if_missing_timestamp", True))
+        out["drop_if_missing_unit"] = bool(missing.get("drop_event_if_missing_ahu_id", True))
     return Config(**out)
 
 
-def fingerprint(*paths: str, with_paths: bool = True) -> str:
-    """SHA-256 over the files' bytes and, by default, their paths."""
+def load_folder(folder: str) -> tuple[Config, str]:
+    """The Config in a folder's signals.yaml, windowing.yaml and rules.yaml, and the files' fingerprint."""
+    paths = [str(Path(folder) / f"{n}.yaml") for n in ("signals", "windowing", "rules")]
+    if missing := [p for p in paths if not Path(p).exists()]:
+        raise FileNotFoundError(", ".join(missing))
+    return load(signals=paths[0], windowing=paths[1], rules=paths[2]), fingerprint(*paths)
+
+
+def fingerprint(*paths: str) -> str:
+    """SHA-256 over each file's path and bytes, a line end after both, in the order of the paths."""
     h = hashlib.sha256()
-    for p in sorted(paths):
-        if with_paths:
-            h.update(p.encode())
-        h.update(Path(p).read_bytes())
+    for p in sorted(map(Path, paths), key=Path.as_posix):
+        h.update(p.as_posix().encode() + b"\n" + p.read_bytes() + b"\n")
     return h.hexdigest()
 
 

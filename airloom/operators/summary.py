@@ -36,8 +36,10 @@ def text_summary(df: DataFrame) -> Column:
     )
 
 
-def summaries(windows: DataFrame, cfg: Config, config_sha256: str | None = None) -> DataFrame:
-    """Canonical window events from windows with anomalies."""
+def summaries(
+    windows: DataFrame, cfg: Config, config_sha256: str | None = None, config_paths: tuple[str, ...] = ()
+) -> DataFrame:
+    """Canonical window events from windows with anomalies; with the configuration's fingerprint and files, if given."""
     w = cfg.windowing
     d = windows.withColumn("signature", signature(F.col("anomalies.rule_id")))
     stats = [
@@ -61,9 +63,11 @@ def summaries(windows: DataFrame, cfg: Config, config_sha256: str | None = None)
         "signature",
         text_summary(d).alias("text_summary"),
     )
-    return out.withColumn(
-        "provenance", F.struct(F.struct(F.lit(config_sha256).alias("sha256")).alias("config"))
-    ) if config_sha256 else out
+    if not config_sha256:
+        return out
+    paths = F.array(*map(F.lit, config_paths)) if config_paths else F.array().cast("array<string>")
+    source = F.struct(F.lit(config_sha256).alias("sha256"), paths.alias("paths"))
+    return out.withColumn("provenance", F.struct(source.alias("config")))
 
 
 def json_lines(df: DataFrame) -> DataFrame:

@@ -56,25 +56,35 @@ def q59_signal_aliases(spark, sf):
 
 
 @query(
-    f"""WITH {_SUMM}, n AS (SELECT ahu_id, max(ts) AS ts, arg_max({{'a': sa_temp, 'b': coalesce(ra_temp, avg_zone_temp), 'c': cc_valve,
-  'd': sa_fan_speed}}, ts) AS v FROM tel GROUP BY 1), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY start_s DESC) AS r FROM tx) WHERE r = 1)
-SELECT ahu_id, epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', ts)) <= 15 AS system_online, {_iso_ts} AS last_updated, v.a AS sat, v.b AS rat, v.c AS valve_pos, v.d AS fan_speed,
-  text AS diagnosis, NULL::DOUBLE AS confidence, max_severity AS severity, window_id AS active_window_id FROM n FULL JOIN w USING (ahu_id)"""
+    f"""WITH {_SUMM}, n AS (SELECT ahu_id, max(ts) AS ts, arg_max({{'a': sa_temp, 'b': coalesce(ra_temp,
+    avg_zone_temp), 'c': cc_valve,
+  'd': sa_fan_speed}}, ts) AS v FROM tel GROUP BY 1), w AS (SELECT *
+  FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY start_s DESC) AS r FROM tx) WHERE r = 1)
+SELECT ahu_id, epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', ts)) <= 15 AS system_online,
+  {_iso_ts} AS last_updated, v.a AS sat, v.b AS rat, v.c AS valve_pos, v.d AS fan_speed,
+  text AS diagnosis, NULL::DOUBLE AS confidence, max_severity AS severity, window_id AS active_window_id FROM n FULL
+  JOIN w USING (ahu_id)"""
 )
 def q60_live_overview(spark, sf):
     return live.overview(telemetry(spark, sf), _text_of_windows(spark, sf), AS_OF)
 
 
-_RESOLVED = """newest AS (SELECT ahu_id, max(ts) AS newest, arg_max({'sat': sa_temp, 'ra': ra_temp, 'zone': avg_zone_temp, 'oat': oa_temp}, ts) AS v FROM tel GROUP BY 1),
-res AS (SELECT tel.*, newest, CASE WHEN v.sat IS NOT NULL THEN sa_temp END AS sat, CASE WHEN v.ra IS NOT NULL THEN ra_temp ELSE avg_zone_temp END AS rat,
+_RESOLVED = """newest AS (SELECT ahu_id, max(ts) AS newest,
+  arg_max({'sat': sa_temp, 'ra': ra_temp, 'zone': avg_zone_temp, 'oat': oa_temp}, ts) AS v FROM tel GROUP BY 1),
+res AS (SELECT tel.*, newest, CASE WHEN v.sat IS NOT NULL THEN sa_temp END AS sat, CASE
+  WHEN v.ra IS NOT NULL THEN ra_temp ELSE avg_zone_temp END AS rat,
   CASE WHEN v.oat IS NOT NULL THEN oa_temp END AS oat, NULL::DOUBLE AS other FROM tel JOIN newest USING (ahu_id))"""
 _NAMES = ["sat", "rat", "oat", "other"]
 
 
 @query(
-    f"""WITH {TELEMETRY_SQL}, {_RESOLVED}, u AS (SELECT *, CASE WHEN newest < TIMESTAMP '{AS_OF}' - INTERVAL 120 MINUTES THEN newest ELSE TIMESTAMP '{AS_OF}' END AS until FROM res),
-d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, row_number() OVER (PARTITION BY ahu_id ORDER BY ts) AS i FROM u WHERE ts BETWEEN until - INTERVAL 120 MINUTES AND until)
-SELECT ahu_id, {_iso_ts} AS ts, sat, rat, oat, other FROM d WHERE (i - 1) % (CASE WHEN n <= 7 THEN 1 ELSE ceil(n / 7.0)::BIGINT END) = 0 OR i = n"""
+    f"""WITH {TELEMETRY_SQL}, {_RESOLVED}, u AS (SELECT *, CASE
+    WHEN newest < TIMESTAMP '{AS_OF}' - INTERVAL 120 MINUTES THEN newest ELSE TIMESTAMP '{AS_OF}' END AS until
+    FROM res),
+d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, row_number() OVER (PARTITION BY ahu_id ORDER BY ts) AS i
+  FROM u WHERE ts BETWEEN until - INTERVAL 120 MINUTES AND until)
+SELECT ahu_id, {_iso_ts} AS ts, sat, rat, oat, other FROM d WHERE (i - 1) % (CASE WHEN n <= 7 THEN 1
+  ELSE ceil(n / 7.0)::BIGINT END) = 0 OR i = n"""
 )
 def q61_timeseries(spark, sf):
     return live.timeseries(telemetry(spark, sf), 500, _NAMES, AS_OF, 7)
@@ -89,7 +99,8 @@ def q62_last_points(spark, sf):
 
 
 @query(
-    f"""WITH {_SUMM} SELECT ahu_id, rn::INT AS rn, window_id, t0 AS start_ts, t1 AS end_ts, max_severity AS severity, text AS diagnosis
+    f"""WITH {_SUMM} SELECT ahu_id, rn::INT AS rn, window_id, t0 AS start_ts, t1 AS end_ts, max_severity AS severity,
+    text AS diagnosis
 FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY start_s DESC) AS rn FROM tx) WHERE rn <= 40"""
 )
 def q63_windows_latest(spark, sf):
@@ -100,7 +111,8 @@ _failed = "coalesce(nullif(array_to_string(rl, ','), ''), '')"
 
 
 @query(
-    f"""WITH {_SUMM} SELECT window_id, t0 AS start_ts, t1 AS end_ts, max_severity AS severity, text AS diagnosis, NULL::DOUBLE AS confidence, ahu_id, signature, {_failed} AS failed, 0 AS passed FROM tx"""
+    f"""WITH {_SUMM} SELECT window_id, t0 AS start_ts, t1 AS end_ts, max_severity AS severity, text AS diagnosis,
+    NULL::DOUBLE AS confidence, ahu_id, signature, {_failed} AS failed, 0 AS passed FROM tx"""
 )
 def q64_window_detail(spark, sf):
     d = live.window_detail(_text_of_windows(spark, sf))
@@ -114,7 +126,8 @@ _QUIET = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 @query(
-    f"""WITH {_SUMM} SELECT window_id, t0 AS start, t1 AS "end", max_severity FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY start_s DESC) AS rn
+    f"""WITH {_SUMM} SELECT window_id, t0 AS start, t1 AS "end", max_severity
+    FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY start_s DESC) AS rn
 FROM summ WHERE signature = '{_QUIET}') WHERE rn <= 50"""
 )
 def q65_incident_windows(spark, sf):
@@ -123,8 +136,10 @@ def q65_incident_windows(spark, sf):
 
 
 @query(
-    f"""WITH {_SUMM} SELECT 'ok' AS status, (SELECT {base._iso('max(ts_s)')} FROM tel) AS last_ts, (SELECT count(*) FROM tel) AS points_cached_total, max(t1) AS last_window_end,
-  count(*) AS windows_cached_total, (SELECT string_agg(DISTINCT ahu_id, ',' ORDER BY ahu_id) FROM tel) AS ahus FROM summ"""
+    f"""WITH {_SUMM} SELECT 'ok' AS status, (SELECT {base._iso('max(ts_s)')} FROM tel) AS last_ts, (SELECT count(*)
+    FROM tel) AS points_cached_total, max(t1) AS last_window_end,
+  count(*) AS windows_cached_total, (SELECT string_agg(DISTINCT ahu_id, ',' ORDER BY ahu_id) FROM tel) AS ahus
+  FROM summ"""
 )
 def q66_health(spark, sf):
     d = live.health(telemetry(spark, sf), _text_of_windows(spark, sf))
@@ -132,7 +147,8 @@ def q66_health(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT {_iso_ts} AS ts, sa_temp, cc_valve FROM tel WHERE ahu_id = '3' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09 12:00:00'"
+    f"WITH {TELEMETRY_SQL} SELECT {_iso_ts} AS ts, sa_temp, cc_valve FROM tel "
+    f"WHERE ahu_id = '3' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09 12:00:00'"
 )
 def q67_time_range(spark, sf):
     return live.time_range(
@@ -148,8 +164,10 @@ def q68_windows_in_last(spark, sf):
 
 
 @query(
-    f"""WITH {base.SUMM_SQL}, a AS (SELECT window_id, ahu_id, start_s AS arrival FROM summ UNION ALL SELECT window_id, ahu_id, start_s + 1000000 FROM summ WHERE start_s % 5 = 0),
-o AS (SELECT window_id, ahu_id, max(arrival) AS arrival FROM a GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY arrival DESC) AS rn FROM o) WHERE rn <= 60"""
+    f"""WITH {base.SUMM_SQL}, a AS (SELECT window_id, ahu_id, start_s AS arrival FROM summ
+    UNION ALL SELECT window_id, ahu_id, start_s + 1000000 FROM summ WHERE start_s % 5 = 0),
+o AS (SELECT window_id, ahu_id, max(arrival) AS arrival FROM a GROUP BY 1, 2) SELECT *
+  FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY arrival DESC) AS rn FROM o) WHERE rn <= 60"""
 )
 def q69_ring_buffer(spark, sf):
     s = _text_of_windows(spark, sf).select(
@@ -175,16 +193,22 @@ def _unit_windows(spark, sf: str) -> DataFrame:
 
 _said = "CASE r " + " ".join(f"WHEN '{k}' THEN '{r.message}'" for k, r in base.CFG.rules.items()) + " END"
 _LAST = f"""{_SUMM}, l AS (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY start_s DESC) AS rn FROM tx),
-u AS (SELECT ahu_id, string_agg(window_id, ',' ORDER BY start_s) AS ids, min(t0) AS t0, max(t1) AS t1, max(CASE WHEN rn = 1 THEN text END) AS newest,
-  coalesce(flatten(list(list_transform(rl, lambda r: {_said}) ORDER BY start_s) FILTER (WHERE rn <= 2)), []) AS said, flatten(list(rl)) AS rules FROM l WHERE rn <= 8 GROUP BY 1),
-sy AS (SELECT *, CASE WHEN ahu_id::INT % 2 = 0 THEN newest ELSE array_to_string(said, '; ')[1:300] END AS symptoms FROM u),
+u AS (SELECT ahu_id, string_agg(window_id, ',' ORDER BY start_s) AS ids, min(t0) AS t0, max(t1) AS t1, max(CASE
+  WHEN rn = 1 THEN text END) AS newest,
+  coalesce(flatten(list(list_transform(rl, lambda r: {_said}) ORDER BY start_s) FILTER (WHERE rn <= 2)), []) AS said,
+  flatten(list(rl)) AS rules FROM l WHERE rn <= 8 GROUP BY 1),
+sy AS (SELECT *, CASE WHEN ahu_id::INT % 2 = 0 THEN newest ELSE array_to_string(said, '; ')[1:300] END AS symptoms
+  FROM u),
 rk AS (SELECT ahu_id, r, count(*) AS c FROM (SELECT ahu_id, unnest(rules) AS r FROM u) GROUP BY 1, 2),
-tr AS (SELECT ahu_id, string_agg(r, ', ' ORDER BY c DESC, r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, r) AS n FROM rk) WHERE n <= 5 GROUP BY 1)"""
+tr AS (SELECT ahu_id, string_agg(r, ', ' ORDER BY c DESC, r) AS top
+  FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, r) AS n FROM rk) WHERE n <= 5 GROUP BY 1)"""
 
 
 @query(
-    f"""WITH {_LAST}, q AS (SELECT ahu_id, trim(array_to_string(list_filter(['fault_type=F' || ahu_id, coalesce('rules=' || top, ''), trim(symptoms)], lambda p: p <> ''), chr(10))) AS query
-FROM sy LEFT JOIN tr USING (ahu_id)) SELECT ahu_id, query, query || chr(10) || 'procedure inspection steps checklist verify' AS procedural FROM q"""
+    f"""WITH {_LAST}, q AS (SELECT ahu_id, trim(array_to_string(list_filter(['fault_type=F' || ahu_id,
+    coalesce('rules=' || top, ''), trim(symptoms)], lambda p: p <> ''), chr(10))) AS query
+FROM sy LEFT JOIN tr USING (ahu_id)) SELECT ahu_id, query, query || chr(10)
+  || 'procedure inspection steps checklist verify' AS procedural FROM q"""
 )
 def q70_retrieval_query(spark, sf):
     u = _unit_windows(spark, sf)
@@ -197,7 +221,8 @@ def q70_retrieval_query(spark, sf):
 
 
 @query(
-    f"""WITH {_LAST} SELECT ahu_id, ids AS evidence, t0 AS first_start, t1 AS last_end, symptoms, 'doc_a,' || ids AS allowed FROM sy"""
+    f"""WITH {_LAST} SELECT ahu_id, ids AS evidence, t0 AS first_start, t1 AS last_end, symptoms,
+    'doc_a,' || ids AS allowed FROM sy"""
 )
 def q71_prompt_context(spark, sf):
     u = _unit_windows(spark, sf)
@@ -222,14 +247,20 @@ def q71_prompt_context(spark, sf):
     )
 
 
-_DOCS = """d AS (SELECT doc_id % 50 AS k, 'manuals' AS corpus, 'd' || doc_id AS doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 37 % 101) / 101.0::DOUBLE END AS distance, text, doc_id AS pos,
-  CASE WHEN doc_id % 2 = 0 THEN 'm' || (doc_id % 7) END AS src, CASE WHEN doc_id % 5 = 0 THEN doc_id::VARCHAR END AS page FROM documents)"""
+_DOCS = """d AS (SELECT doc_id % 50 AS k, 'manuals' AS corpus, 'd' || doc_id AS doc_id, CASE
+  WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 37 % 101) / 101.0::DOUBLE END AS distance, text, doc_id AS pos,
+  CASE WHEN doc_id % 2 = 0 THEN 'm' || (doc_id % 7) END AS src, CASE
+  WHEN doc_id % 5 = 0 THEN doc_id::VARCHAR END AS page FROM documents)"""
 
 
 @query(
-    f"""WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(distance, 1e9), pos) AS rank FROM d)
-SELECT k, rank::INT AS rank, corpus, coalesce(src, r.doc_id) AS doc_id, r.doc_id AS chunk_id, 'lang ' || lang AS source, 'general_section' AS chunk_type, page::INT AS page_start, NULL::INT AS page_end, distance AS score,
-  md5(CASE WHEN length(coalesce(r.text, '')) > 1400 THEN r.text[1:1400] || '…' ELSE coalesce(r.text, '') END) AS text FROM r JOIN documents o ON 'd' || o.doc_id = r.doc_id WHERE rank <= 12"""
+    f"""WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(distance, 1e9), pos) AS rank
+    FROM d)
+SELECT k, rank::INT AS rank, corpus, coalesce(src, r.doc_id) AS doc_id, r.doc_id AS chunk_id,
+  'lang ' || lang AS source, 'general_section' AS chunk_type, page::INT AS page_start, NULL::INT AS page_end,
+  distance AS score,
+  md5(CASE WHEN length(coalesce(r.text, '')) > 1400 THEN r.text[1:1400] || '…' ELSE coalesce(r.text, '') END) AS text
+  FROM r JOIN documents o ON 'd' || o.doc_id = r.doc_id WHERE rank <= 12"""
 )
 def q72_docs_payload(spark, sf):
     d = read(spark, sf, "documents")
@@ -266,9 +297,13 @@ _ok = "o_orderkey % 7 < 2"
 
 @query(
     f"""SELECT o_orderkey, CASE WHEN {_ok} THEN 'T' || o_orderkey ELSE 'Uncertain diagnosis' END AS title,
-  CASE o_orderkey % 7 WHEN 0 THEN 'c' WHEN 1 THEN '{{r}}' ELSE 'Could not produce a grounded schema-valid diagnosis. (evidence: none) (reason: ' || CASE o_orderkey % 7 WHEN 5 THEN 'empty' ELSE 'invalid' END || ' reply)' END AS root_cause,
-  CASE o_orderkey % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS confidence, CASE o_orderkey % 7 WHEN 0 THEN 'do it' WHEN 1 THEN 'x,y' ELSE 'Collect additional evidence and rerun diagnosis' END AS actions,
-  CASE o_orderkey % 7 WHEN 0 THEN 'a' WHEN 1 THEN 'x_1,a' ELSE 'x_1,window:2' END AS evidence, o_orderkey % 7 <> 0 AS conflict FROM orders"""
+  CASE o_orderkey % 7 WHEN 0 THEN 'c' WHEN 1 THEN '{{r}}'
+  ELSE 'Could not produce a grounded schema-valid diagnosis. (evidence: none) (reason: ' || CASE o_orderkey % 7
+  WHEN 5 THEN 'empty' ELSE 'invalid' END || ' reply)' END AS root_cause,
+  CASE o_orderkey % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS confidence, CASE o_orderkey % 7
+  WHEN 0 THEN 'do it' WHEN 1 THEN 'x,y' ELSE 'Collect additional evidence and rerun diagnosis' END AS actions,
+  CASE o_orderkey % 7 WHEN 0 THEN 'a' WHEN 1 THEN 'x_1,a' ELSE 'x_1,window:2' END AS evidence,
+  o_orderkey % 7 <> 0 AS conflict FROM orders"""
 )
 def q73_parse_replies(spark, sf):
     o = read(spark, sf, "orders")
@@ -286,7 +321,8 @@ def q73_parse_replies(spark, sf):
 
 
 @query(
-    "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 1.5 WHEN 1 THEN 0.4 WHEN 4 THEN 0.5 END::DOUBLE AS confidence, o_orderkey % 7 IN (0, 1, 4, 6) AS found FROM orders"
+    "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 1.5 WHEN 1 THEN 0.4 "
+    "WHEN 4 THEN 0.5 END::DOUBLE AS confidence, o_orderkey % 7 IN (0, 1, 4, 6) AS found FROM orders"
 )
 def q74_first_json(spark, sf):
     o = read(spark, sf, "orders")
@@ -302,10 +338,16 @@ def q74_first_json(spark, sf):
 
 
 _HAS, _BUSY = "ahu_id IN ('1', '3')", "i % 5 = 0"
-_FLAGGED = f"""{base._STREAK}, v AS (SELECT *, CASE WHEN s AND (rl2 >= 2 OR {_HAS}) THEN 'S' WHEN NOT s AND rl2 >= 3 AND NOT ({_BUSY}) THEN 'C' END AS evt FROM st),
-w AS (SELECT *, coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'C') AS pe, coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'C') AS ce FROM v),
-x AS (SELECT *, coalesce(evt = 'S' AND pe = 'C', false) AS opened, coalesce(evt = 'C' AND pe = 'S', false) AS resolved FROM w),
-y AS (SELECT *, sum(opened::INT) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM x)"""
+_FLAGGED = f"""{base._STREAK}, v AS (SELECT *, CASE WHEN s AND (rl2 >= 2 OR {_HAS}) THEN 'S'
+  WHEN NOT s AND rl2 >= 3 AND NOT ({_BUSY}) THEN 'C' END AS evt FROM st),
+w AS (SELECT *, coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id,
+  fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'C') AS pe,
+  coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id,
+  fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'C') AS ce FROM v),
+x AS (SELECT *, coalesce(evt = 'S' AND pe = 'C', false) AS opened, coalesce(evt = 'C' AND pe = 'S', false) AS resolved
+  FROM w),
+y AS (SELECT *, sum(opened::INT) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS episode FROM x)"""
 
 
 def _guarded(spark, sf: str) -> DataFrame:
@@ -320,7 +362,9 @@ def _guarded(spark, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_FLAGGED} SELECT ahu_id, fault, episode::BIGINT AS episode, min(i) FILTER (WHERE opened) AS opened_at, min(i) FILTER (WHERE resolved) AS resolved_at, count(*) FILTER (WHERE s AND ce = 'S') AS occurrence_count FROM y WHERE episode > 0 GROUP BY 1, 2, 3"
+    f"WITH {_FLAGGED} SELECT ahu_id, fault, episode::BIGINT AS episode, "
+    f"min(i) FILTER (WHERE opened) AS opened_at, min(i) FILTER (WHERE resolved) AS resolved_at, "
+    f"count(*) FILTER (WHERE s AND ce = 'S') AS occurrence_count FROM y WHERE episode > 0 GROUP BY 1, 2, 3"
 )
 def q75_guarded_episodes(spark, sf):
     e = incidents.episodes(_guarded(spark, sf))
@@ -388,8 +432,11 @@ def q79_ticket_api_rows(spark, sf):
 
 
 @query(
-    """WITH t AS (SELECT 't' || o_orderkey AS id FROM orders), w AS (SELECT id, n, 'TCK-' || upper(substr(sha1(id), 1, n)) AS ref FROM t, (VALUES (4), (5), (6), (7), (8), (9), (10), (11), (12), (16), (40)) v(n)),
-f AS (SELECT ref, min(id) AS id, min(n) AS n FROM w GROUP BY ref HAVING count(*) = 1) SELECT id AS ticket_id, arg_min(ref, n) AS ticket_ref FROM f WHERE ref NOT IN (SELECT 'TCK-' || upper(substr(sha1('c' || c_custkey), 1, 4)) FROM customer) GROUP BY 1"""
+    """WITH t AS (SELECT 't' || o_orderkey AS id FROM orders), w AS (SELECT id, n, 'TCK-' || upper(substr(sha1(id), 1,
+    n)) AS ref FROM t, (VALUES (4), (5), (6), (7), (8), (9), (10), (11), (12), (16), (40)) v(n)),
+f AS (SELECT ref, min(id) AS id, min(n) AS n FROM w GROUP BY ref HAVING count(*) = 1) SELECT id AS ticket_id,
+  arg_min(ref, n) AS ticket_ref FROM f WHERE ref NOT IN (SELECT 'TCK-' || upper(substr(sha1('c' || c_custkey), 1, 4))
+  FROM customer) GROUP BY 1"""
 )
 def q80_ticket_refs(spark, sf):
     new = read(spark, sf, "orders").select(F.concat(F.lit("t"), "o_orderkey").alias("ticket_id"))
@@ -398,7 +445,9 @@ def q80_ticket_refs(spark, sf):
 
 
 @query(
-    f"WITH {adapter.TICKETS_SQL} SELECT ticket_id, CASE WHEN ticket_id = 't7' THEN 'APPROVED' ELSE review_status END AS review_status, CASE WHEN ticket_id = 't7' THEN 'seen' END AS review_notes, CASE WHEN ticket_id = 't7' THEN '2025-02-02' ELSE updated_at END AS updated_at FROM tk"
+    f"WITH {adapter.TICKETS_SQL} SELECT ticket_id, CASE WHEN ticket_id = 't7' THEN 'APPROVED' "
+    f"ELSE review_status END AS review_status, CASE WHEN ticket_id = 't7' THEN 'seen' END AS review_notes, CASE "
+    f"WHEN ticket_id = 't7' THEN '2025-02-02' ELSE updated_at END AS updated_at FROM tk"
 )
 def q81_ticket_review(spark, sf):
     t = tickets.review(adapter.tickets(spark, sf), "t7", "APPROVED", "seen", "2025-02-02")
@@ -471,8 +520,10 @@ def q84_ticket_view(spark, sf):
 
 
 @query(
-    """SELECT 'c' || c_custkey AS id, 'CASE_ID: c' || c_custkey || chr(10) || 'FAULT: ' || c_mktsegment || chr(10) || 'TITLE: ' || coalesce(c_name, '') || chr(10) || 'SYMPTOMS: hot|cold' || chr(10)
-  || 'WINDOW_PATTERN: persistence=' || c_custkey % 9 || ', severity=, notes=n' || chr(10) || 'ROOT_CAUSE: ' || chr(10) || 'VERIFICATION: ' || chr(10) || 'RESOLUTION: ' || chr(10) || 'EXPECTED_POST_FIX: ' || chr(10)
+    """SELECT 'c' || c_custkey AS id, 'CASE_ID: c' || c_custkey || chr(10) || 'FAULT: ' || c_mktsegment || chr(10)
+    || 'TITLE: ' || coalesce(c_name, '') || chr(10) || 'SYMPTOMS: hot|cold' || chr(10)
+  || 'WINDOW_PATTERN: persistence=' || c_custkey % 9 || ', severity=, notes=n' || chr(10) || 'ROOT_CAUSE: ' || chr(10)
+  || 'VERIFICATION: ' || chr(10) || 'RESOLUTION: ' || chr(10) || 'EXPECTED_POST_FIX: ' || chr(10)
   || 'TAGS: ' || c_mktsegment AS text, c_mktsegment AS tags, 'past_case' AS source FROM customer"""
 )
 def q85_case_documents(spark, sf):
@@ -497,9 +548,12 @@ def q85_case_documents(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey, greatest(300, least(2000, coalesce(try_cast(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE (o_orderkey % 2500)::VARCHAR END AS INT), 800))) AS size,
-  greatest(0, least(greatest(300, least(2000, coalesce(try_cast(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE (o_orderkey % 2500)::VARCHAR END AS INT), 800))) - 1,
-  coalesce(try_cast(CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE (o_orderkey % 700 - 50)::VARCHAR END AS INT), 100))) AS "overlap" FROM orders"""
+    """SELECT o_orderkey, greatest(300, least(2000, coalesce(try_cast(CASE o_orderkey % 4 WHEN 0 THEN NULL
+    WHEN 1 THEN 'x' ELSE (o_orderkey % 2500)::VARCHAR END AS INT), 800))) AS size,
+  greatest(0, least(greatest(300, least(2000, coalesce(try_cast(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x'
+  ELSE (o_orderkey % 2500)::VARCHAR END AS INT), 800))) - 1,
+  coalesce(try_cast(CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE (o_orderkey % 700 - 50)::VARCHAR END AS INT),
+  100))) AS "overlap" FROM orders"""
 )
 def q86_chunk_params(spark, sf):
     o = read(spark, sf, "orders")
@@ -515,10 +569,15 @@ _chunk_words, _stride = manuals.words_for(300), manuals.words_for(300) - manuals
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, list_transform(string_split_regex(text, '\\n'), lambda x: {_flat.format('x')}) AS ls FROM documents), c AS (SELECT doc_id, array_to_string(ls, ' ') AS corpus FROM l),
-w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, unnest(generate_series(0, greatest(0, ceil((len(w) - {_chunk_words}) / {_stride}.0)::INT))) AS chunk_no FROM w WHERE len(w) > 0),
-k AS (SELECT doc_id, chunk_no, array_to_string(w[chunk_no * {_stride} + 1 : chunk_no * {_stride} + {_chunk_words}], ' ') AS chunk FROM n)
-SELECT doc_id, chunk_no::INT AS chunk_no, nullif(strpos(corpus, chunk), 0) - 1 AS start, nullif(strpos(corpus, chunk), 0) - 1 + length(chunk) AS "end" FROM k JOIN c USING (doc_id)"""
+    f"""WITH l AS (SELECT doc_id, list_transform(string_split_regex(text, '\\n'), lambda x: {_flat.format('x')}) AS ls
+    FROM documents), c AS (SELECT doc_id, array_to_string(ls, ' ') AS corpus FROM l),
+w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w
+  FROM documents), n AS (SELECT *, unnest(generate_series(0, greatest(0,
+  ceil((len(w) - {_chunk_words}) / {_stride}.0)::INT))) AS chunk_no FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, chunk_no, array_to_string(w[chunk_no * {_stride} + 1 : chunk_no * {_stride} + {_chunk_words}],
+  ' ') AS chunk FROM n)
+SELECT doc_id, chunk_no::INT AS chunk_no, nullif(strpos(corpus, chunk), 0) - 1 AS start, nullif(strpos(corpus, chunk),
+  0) - 1 + length(chunk) AS "end" FROM k JOIN c USING (doc_id)"""
 )
 def q87_chunk_positions(spark, sf):
     """Documents as manuals, their lines as pages."""
@@ -532,8 +591,12 @@ _LINES = "pg AS (SELECT doc_id % 40 AS doc_id, doc_id AS page_no, text FROM docu
 
 
 @query(
-    f"""WITH {_LINES}, np AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM pg GROUP BY 1), rep AS (SELECT doc_id, line FROM ln JOIN np USING (doc_id) WHERE line <> '' AND length(line) <= 80 GROUP BY doc_id, line, n HAVING count(DISTINCT page_no) / n >= 0.5),
-k AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ln WHERE line <> '' AND NOT regexp_full_match(line, '\\d{{1,4}}') AND (doc_id, line) NOT IN (SELECT (doc_id, line) FROM rep) GROUP BY 1, 2)
+    f"""WITH {_LINES}, np AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM pg
+    GROUP BY 1), rep AS (SELECT doc_id, line FROM ln JOIN np USING (doc_id) WHERE line <> '' AND length(line) <= 80
+    GROUP BY doc_id, line, n HAVING count(DISTINCT page_no) / n >= 0.5),
+k AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ln
+  WHERE line <> '' AND NOT regexp_full_match(line, '\\d{{1,4}}') AND (doc_id, line) NOT IN (SELECT (doc_id, line)
+  FROM rep) GROUP BY 1, 2)
 SELECT pg.doc_id, pg.page_no, md5(coalesce(k.text, '')) AS text FROM pg LEFT JOIN k ON k.page_no = pg.page_no"""
 )
 def q88_clean_pages(spark, sf):
@@ -551,16 +614,28 @@ _any = lambda names: " OR ".join(f"contains({_h}, '{x}')" for x in names)  # noq
 
 
 @query(
-    f"""WITH {_SECT}, s AS (SELECT doc_id, section, coalesce(max(s) FILTER (WHERE h), '') AS heading, string_agg(s, chr(10) ORDER BY line_no) FILTER (WHERE NOT h) AS body FROM sc GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT h) > 0),
-b AS (SELECT *, CASE WHEN heading <> '' THEN heading || chr(10) || body ELSE body END AS text FROM s), e AS (SELECT *, {_est} AS est, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM b),
+    f"""WITH {_SECT}, s AS (SELECT doc_id, section, coalesce(max(s) FILTER (WHERE h), '') AS heading, string_agg(s,
+    chr(10) ORDER BY line_no) FILTER (WHERE NOT h) AS body FROM sc GROUP BY 1, 2
+    HAVING count(*) FILTER (WHERE NOT h) > 0),
+b AS (SELECT *, CASE WHEN heading <> '' THEN heading || chr(10) || body ELSE body END AS text
+  FROM s), e AS (SELECT *, {_est} AS est, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w
+  FROM b),
 c AS (SELECT doc_id, section, heading, 0 AS chunk_no, text AS chunk FROM e WHERE est <= 300 UNION ALL
-  SELECT doc_id, section, heading, k, array_to_string(w[k * {_step} + 1 : k * {_step} + {_size}], ' ') FROM (SELECT *, unnest(generate_series(0, greatest(0, ceil((len(w) - {_size}) / {_step}.0)::INT))) AS k FROM e WHERE est > 300)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, chunk_no) - 1 AS i FROM c WHERE len(regexp_extract_all(chunk, '\\S+')) >= 30)
-SELECT doc_id || '::chunk::' || i AS id, doc_id, section::BIGINT AS section, chunk_no::INT AS chunk_no, md5(chunk) AS chunk,
-  CASE WHEN contains({_h}, 'table of contents') OR trim({_h}) = 'contents' OR (contains({_h}, 'contents') AND len(list_filter(string_split_regex({_h}, '\\s+'), lambda w: w <> '')) <= 3) THEN 'toc'
-  WHEN contains({_h}, 'fault') AND (contains({_h}, 'table') OR contains({_t}, 'table')) THEN 'fault_table' WHEN {_any(manuals.PROCEDURE_WORDS)} THEN 'procedure' WHEN {_any(manuals.CHECKLIST_WORDS)} THEN 'checklist'
-  WHEN {_any(manuals.DEFINITION_WORDS)} THEN 'definition' WHEN {_any(manuals.EQUATION_WORDS)} THEN 'equation' WHEN {_any(manuals.EXAMPLE_WORDS)} THEN 'case_example'
-  WHEN regexp_matches({_t}, '\\bprocedure\\b') AND regexp_matches({_t}, '\\bstep\\b') THEN 'procedure' ELSE 'general_section' END AS chunk_type FROM f"""
+  SELECT doc_id, section, heading, k, array_to_string(w[k * {_step} + 1 : k * {_step} + {_size}], ' ')
+  FROM (SELECT *, unnest(generate_series(0, greatest(0, ceil((len(w) - {_size}) / {_step}.0)::INT))) AS k FROM e
+  WHERE est > 300)),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, chunk_no) - 1 AS i FROM c
+  WHERE len(regexp_extract_all(chunk, '\\S+')) >= 30)
+SELECT doc_id || '::chunk::' || i AS id, doc_id, section::BIGINT AS section, chunk_no::INT AS chunk_no,
+  md5(chunk) AS chunk,
+  CASE WHEN contains({_h}, 'table of contents') OR trim({_h}) = 'contents' OR (contains({_h},
+  'contents') AND len(list_filter(string_split_regex({_h}, '\\s+'), lambda w: w <> '')) <= 3) THEN 'toc'
+  WHEN contains({_h}, 'fault') AND (contains({_h}, 'table') OR contains({_t}, 'table')) THEN 'fault_table'
+  WHEN {_any(manuals.PROCEDURE_WORDS)} THEN 'procedure' WHEN {_any(manuals.CHECKLIST_WORDS)} THEN 'checklist'
+  WHEN {_any(manuals.DEFINITION_WORDS)} THEN 'definition' WHEN {_any(manuals.EQUATION_WORDS)} THEN 'equation'
+  WHEN {_any(manuals.EXAMPLE_WORDS)} THEN 'case_example'
+  WHEN regexp_matches({_t}, '\\bprocedure\\b') AND regexp_matches({_t}, '\\bstep\\b') THEN 'procedure'
+  ELSE 'general_section' END AS chunk_type FROM f"""
 )
 def q89_manual_chunks(spark, sf):
     c = manuals.manual_chunks(read(spark, sf, "documents").select("doc_id", "text"), 300, 100)
@@ -584,8 +659,11 @@ _all = " AND ".join(f"{s} IS NOT NULL" for s in base.CFG.signals)
 
 @query(
     f"""WITH {TELEMETRY_SQL}, f AS (SELECT *, event_id % 7 <> 0 AS t, event_id % 11 <> 0 AS u, {_all} AS v FROM tel)
-SELECT 'both' AS policy, count(*) FILTER (WHERE t AND u) AS n, sum(event_id) FILTER (WHERE t AND u)::BIGINT AS ids FROM f UNION ALL SELECT 'neither', count(*), sum(event_id)::BIGINT FROM f
-UNION ALL SELECT 'time', count(*) FILTER (WHERE t), sum(event_id) FILTER (WHERE t)::BIGINT FROM f UNION ALL SELECT 'whole', count(*) FILTER (WHERE t AND u AND v), sum(event_id) FILTER (WHERE t AND u AND v)::BIGINT FROM f"""
+SELECT 'both' AS policy, count(*) FILTER (WHERE t AND u) AS n, sum(event_id) FILTER (WHERE t AND u)::BIGINT AS ids
+  FROM f UNION ALL SELECT 'neither', count(*), sum(event_id)::BIGINT FROM f
+UNION ALL SELECT 'time', count(*) FILTER (WHERE t), sum(event_id) FILTER (WHERE t)::BIGINT FROM f
+  UNION ALL SELECT 'whole', count(*) FILTER (WHERE t AND u AND v), sum(event_id) FILTER (WHERE t AND u AND v)::BIGINT
+  FROM f"""
 )
 def q90_missing_policies(spark, sf):
     raw, out = _raw(spark, sf), None
@@ -603,7 +681,8 @@ def q90_missing_policies(spark, sf):
 
 
 @query(
-    f"WITH {base.SUMM_SQL} SELECT window_id, ahu_id FROM summ WHERE start_s % 7 <> 0 AND start_s % 11 <> 0 AND ahu_id <> '5'"
+    f"WITH {base.SUMM_SQL} SELECT window_id, ahu_id FROM summ WHERE start_s % 7 <> 0 AND start_s % 11 <> 0 "
+    f"AND ahu_id <> '5'"
 )
 def q91_valid_windows(spark, sf):
     s = _text_of_windows(spark, sf).withColumn("k", F.unix_timestamp(F.to_timestamp("time.start")))
@@ -615,7 +694,8 @@ def q91_valid_windows(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT count(*) AS consumed, count(*) FILTER (WHERE event_id % 7 <> 0) AS indexed, count(*) FILTER (WHERE event_id % 7 = 0) AS skipped FROM tel"
+    f"WITH {TELEMETRY_SQL} SELECT count(*) AS consumed, count(*) FILTER (WHERE event_id % 7 <> 0) AS indexed, "
+    f"count(*) FILTER (WHERE event_id % 7 = 0) AS skipped FROM tel"
 )
 def q92_intake_counters(spark, sf):
     rows, seen = normalize.counted(_raw(spark, sf), F.trim("ts") != "")
@@ -627,7 +707,9 @@ def q92_intake_counters(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY ahu_id ORDER BY ts, event_id)) / 1e6::DOUBLE, 6) AS gap_s, round((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM tel)) / 1e6::DOUBLE * 2, 6) AS due_s, {base._iso('ts_s + 3600')} AS later FROM tel"
+    f"WITH {TELEMETRY_SQL} SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY ahu_id "
+    f"ORDER BY ts, event_id)) / 1e6::DOUBLE, 6) AS gap_s, round((epoch_us(ts) - (SELECT min(epoch_us(ts)) "
+    f"FROM tel)) / 1e6::DOUBLE * 2, 6) AS due_s, {base._iso('ts_s + 3600')} AS later FROM tel"
 )
 def q93_gaps_and_replay(spark, sf):
     t = ordering.replay_schedule(ordering.gaps(telemetry(spark, sf), ties=("event_id",)), 0.5)
@@ -641,7 +723,8 @@ def q93_gaps_and_replay(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, f AS (SELECT *, min(ts_s) OVER (PARTITION BY ahu_id) AS f FROM tel) SELECT ahu_id, ts_s - (ts_s - f) % 21600 AS start_s, count(*) AS n FROM f GROUP BY 1, 2"
+    f"WITH {TELEMETRY_SQL}, f AS (SELECT *, min(ts_s) OVER (PARTITION BY ahu_id) AS f "
+    f"FROM tel) SELECT ahu_id, ts_s - (ts_s - f) % 21600 AS start_s, count(*) AS n FROM f GROUP BY 1, 2"
 )
 def q94_unaligned_windows(spark, sf):
     d = windows.unaligned_start(telemetry(spark, sf), SIZE)
@@ -662,8 +745,11 @@ def q95_inspect_parquet(spark, sf):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN length(t) > 80 THEN t[1:77] || '...' ELSE t END AS short, sha1(doc_id || '||' || coalesce(lang, '') || '||') AS fallback, least(1, greatest(0, CASE WHEN p > 1 THEN p / 100 ELSE p END))::DOUBLE AS share
-FROM (SELECT doc_id, lang, trim(replace(coalesce(text, ''), chr(10), ' ')) AS t, (doc_id % 130 - 5)::DOUBLE AS p FROM documents)"""
+    """SELECT doc_id, CASE WHEN length(t) > 80 THEN t[1:77] || '...'
+    ELSE t END AS short, sha1(doc_id || '||' || coalesce(lang, '') || '||') AS fallback, least(1, greatest(0, CASE
+    WHEN p > 1 THEN p / 100 ELSE p END))::DOUBLE AS share
+FROM (SELECT doc_id, lang, trim(replace(coalesce(text, ''), chr(10), ' ')) AS t, (doc_id % 130 - 5)::DOUBLE AS p
+  FROM documents)"""
 )
 def q96_text_forms(spark, sf):
     d = read(spark, sf, "documents").select(
@@ -680,7 +766,9 @@ def q96_text_forms(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT event_id, {base._iso('max(ts_s) OVER (PARTITION BY ahu_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 5')} AS watermark FROM tel"
+    f"WITH {TELEMETRY_SQL} SELECT event_id, "
+    f"{base._iso('max(ts_s) OVER (PARTITION BY ahu_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 5')} AS watermark "
+    f"FROM tel"
 )
 def q97_running_watermark(spark, sf):
     d = ordering.running_watermark(telemetry(spark, sf), "ahu_id", "timestamp", "event_id", 5)
@@ -689,14 +777,17 @@ def q97_running_watermark(spark, sf):
 
 _rt = "nullif(list_aggregate(list_filter([{}], lambda x: x IS NOT NULL), 'string_agg', ', '), '')"
 _shown = ", ".join(
-    f"CASE WHEN {n} IS NOT NULL THEN '{labels.FEATURE_LABELS[n][0]}=' || printf('%.2f', printf('%.{d}f', {n})::DOUBLE) || ' {labels.FEATURE_LABELS[n][1]}' END"
+    f"CASE WHEN {n} IS NOT NULL THEN '{labels.FEATURE_LABELS[n][0]}=' || printf('%.2f', printf('%.{d}f', "
+    f"{n})::DOUBLE) || ' {labels.FEATURE_LABELS[n][1]}' END"
     for n, d in (("sa_temp_mean", 2), ("sa_temp_mean_minus_sp", 2), ("cc_valve_mean", 1), ("avg_zone_temp_mean", 2))
 )
 
 
 @query(
-    f"""WITH {_SUMM} SELECT window_id, coalesce({_rt.format(_shown)}, '') AS features, t0 || '–' || t1 AS "window", array_to_string(list_sort(rl), ',') AS anomalies, '6 hours' AS duration, 'AHU ' || ahu_id AS unit,
-  CASE WHEN array_to_string(list_sort(rl), ',') = '' THEN 'none' ELSE array_to_string(list_sort(rl), ',') END AS field FROM tx"""
+    f"""WITH {_SUMM} SELECT window_id, coalesce({_rt.format(_shown)}, '') AS features, t0 || '–' || t1 AS "window",
+    array_to_string(list_sort(rl), ',') AS anomalies, '6 hours' AS duration, 'AHU ' || ahu_id AS unit,
+  CASE WHEN array_to_string(list_sort(rl), ',') = '' THEN 'none' ELSE array_to_string(list_sort(rl), ',') END AS field
+  FROM tx"""
 )
 def q98_window_labels(spark, sf):
     s = _text_of_windows(spark, sf).withColumn("k", labels.key_symptoms(F.col("text_summary")))
@@ -716,10 +807,16 @@ def q98_window_labels(spark, sf):
 
 
 @query(
-    f"""WITH {adapter.TICKETS_SQL} SELECT ticket_id, CASE detected_fault_type WHEN '1-URGENT' THEN '1-urgent' WHEN '2-HIGH' THEN '2-high' WHEN '3-MEDIUM' THEN '3-medium' WHEN '4-NOT SPECIFIED' THEN '4-not Specified' WHEN '5-LOW' THEN '5-low' END AS fault,
-  CASE WHEN ticket_id LIKE '%5' THEN '—' WHEN ticket_id LIKE '%6' THEN 'AHU 12' WHEN ticket_id LIKE '%7' THEN 'roof' ELSE 'AHU ' || ahu_id END AS unit, greatest(0, least(100, floor(coalesce(confidence, 0) * 100 + 0.5)))::INT AS pct,
-  coalesce(diagnosis_title, '') AS "primary", CASE WHEN diagnosis_title IS NULL THEN '' ELSE 'Reasoning: x' END AS reasoning,
-  CASE WHEN occurrence_count = 0 THEN '—' WHEN occurrence_count < 3 THEN occurrence_count * 25 || ' minutes' ELSE trim(trim(printf('%.1f', floor(occurrence_count * 25 / 6.0 + 0.5) / 10), '0'), '.') || ' hours' END AS duration FROM tk"""
+    f"""WITH {adapter.TICKETS_SQL} SELECT ticket_id, CASE detected_fault_type WHEN '1-URGENT' THEN '1-urgent'
+    WHEN '2-HIGH' THEN '2-high' WHEN '3-MEDIUM' THEN '3-medium' WHEN '4-NOT SPECIFIED' THEN '4-not Specified'
+    WHEN '5-LOW' THEN '5-low' END AS fault,
+  CASE WHEN ticket_id LIKE '%5' THEN '—' WHEN ticket_id LIKE '%6' THEN 'AHU 12' WHEN ticket_id LIKE '%7' THEN 'roof'
+  ELSE 'AHU ' || ahu_id END AS unit, greatest(0, least(100, floor(coalesce(confidence, 0) * 100 + 0.5)))::INT AS pct,
+  coalesce(diagnosis_title, '') AS "primary", CASE WHEN diagnosis_title IS NULL THEN ''
+  ELSE 'Reasoning: x' END AS reasoning,
+  CASE WHEN occurrence_count = 0 THEN '—' WHEN occurrence_count < 3 THEN occurrence_count * 25 || ' minutes'
+  ELSE trim(trim(printf('%.1f', floor(occurrence_count * 25 / 6.0 + 0.5) / 10), '0'), '.') || ' hours' END AS duration
+  FROM tk"""
 )
 def q99_ticket_labels(spark, sf):
     t = adapter.tickets(spark, sf)

@@ -61,15 +61,18 @@ _min = f"(epoch_us(ts) / 1e6 - ({_W})) / 60.0"
 def _stats(s: str) -> str:
     v = f"FILTER (WHERE {s} IS NOT NULL)"
     return (
-        f"avg({s}) AS {s}_mean, var_pop({s}) AS {s}_var, min({s}) AS {s}_min, max({s}) AS {s}_max, CASE WHEN count({s}) >= 2 THEN max_by({s}, ts) {v} - min_by({s}, ts) {v} END AS {s}_delta, "
+        f"avg({s}) AS {s}_mean, var_pop({s}) AS {s}_var, min({s}) AS {s}_min, max({s}) AS {s}_max, CASE "
+        f"WHEN count({s}) >= 2 THEN max_by({s}, ts) {v} - min_by({s}, ts) {v} END AS {s}_delta, "
         f"CASE WHEN count({s}) >= 2 THEN regr_slope({s}, {_min}) END AS {s}_slope"
     )
 
 
 _missing = " + ".join(f"({s} IS NULL)::INT" for s in CFG.signals)
 WIN_SQL = f"""{TELEMETRY_SQL},
-win0 AS (SELECT ahu_id, {_W} AS start_s, count(*) AS sample_count, sum({_missing})::BIGINT AS missing_count, {', '.join(map(_stats, CFG.signals))} FROM tel GROUP BY 1, 2),
-win AS (SELECT *, sa_temp_mean - sa_temp_sp_mean AS sa_temp_mean_minus_sp, ra_temp_mean - sa_temp_mean AS ra_temp_mean_minus_sa FROM win0)"""
+win0 AS (SELECT ahu_id, {_W} AS start_s, count(*) AS sample_count, sum({_missing})::BIGINT AS missing_count,
+  {', '.join(map(_stats, CFG.signals))} FROM tel GROUP BY 1, 2),
+win AS (SELECT *, sa_temp_mean - sa_temp_sp_mean AS sa_temp_mean_minus_sp,
+  ra_temp_mean - sa_temp_mean AS ra_temp_mean_minus_sa FROM win0)"""
 _p = {k: r.params for k, r in CFG.rules.items()}
 _bounds = " OR ".join(
     f"coalesce({s}_min < {low}, false) OR coalesce({s}_max > {high}, false)"
@@ -93,8 +96,10 @@ _sev = "CASE r " + " ".join(
 ANOM_SQL = f"""{WIN_SQL},
 anom AS (SELECT *, list_filter([{_list}], lambda x: x IS NOT NULL) AS rl FROM win)"""
 SUMM_SQL = f"""{ANOM_SQL},
-summ AS (SELECT *, ahu_id || '_' || {_iso('start_s')} || '_' || {_iso(f'start_s + {SIZE}')} || '_tumbling' AS window_id, {_iso('start_s')} AS t0, {_iso(f'start_s + {SIZE}')} AS t1,
-  sha256(array_to_string(list_sort(list_distinct(rl)), '|')) AS signature, coalesce(list_max(list_transform(rl, lambda r: {_sev})), 0) AS max_severity FROM anom)"""
+summ AS (SELECT *, ahu_id || '_' || {_iso('start_s')} || '_' || {_iso(f'start_s + {SIZE}')}
+  || '_tumbling' AS window_id, {_iso('start_s')} AS t0, {_iso(f'start_s + {SIZE}')} AS t1,
+  sha256(array_to_string(list_sort(list_distinct(rl)), '|')) AS signature, coalesce(list_max(list_transform(rl,
+  lambda r: {_sev})), 0) AS max_severity FROM anom)"""
 
 
 def symptoms(spark, sf: str) -> DataFrame:
@@ -104,11 +109,14 @@ def symptoms(spark, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT event_id, ahu_id, ts_s, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, sa_temp, cc_valve, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN k + 0.5::DOUBLE WHEN 3 THEN NULL ELSE 1.0::DOUBLE END AS coerced FROM tel"
+    f"WITH {TELEMETRY_SQL} SELECT event_id, ahu_id, ts_s, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, sa_temp, "
+    f"cc_valve, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN k + 0.5::DOUBLE WHEN 3 THEN NULL "
+    f"ELSE 1.0::DOUBLE END AS coerced FROM tel"
 )
 def q01_normalize_events(spark, sf):
     raw = F.expr(
-        "CASE event_id % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN concat(' ', CAST(k + 0.5D AS STRING), ' ') WHEN 3 THEN 'x1' ELSE 'true' END"
+        "CASE event_id % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN concat(' ', "
+        "CAST(k + 0.5D AS STRING), ' ') WHEN 3 THEN 'x1' ELSE 'true' END"
     )
     t = telemetry(spark, sf)
     return t.select(
@@ -134,7 +142,8 @@ _DUPS = f"{TELEMETRY_SQL}, dups AS (SELECT event_id, ahu_id, ts, ts_s, event_id
 
 
 @query(
-    f"WITH {_DUPS} SELECT event_id, ahu_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n FROM dups) WHERE n = 1"
+    f"WITH {_DUPS} SELECT event_id, ahu_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id, "
+    f"ts ORDER BY seq) AS n FROM dups) WHERE n = 1"
 )
 def q02_dedup_events(spark, sf):
     return ordering.first_arrivals(
@@ -143,7 +152,8 @@ def q02_dedup_events(spark, sf):
 
 
 @query(
-    f"""WITH {TELEMETRY_SQL} SELECT event_id, sha256('{{"ahu_id":"' || ahu_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}}') AS eid FROM tel"""
+    f"""WITH {TELEMETRY_SQL} SELECT event_id, sha256('{{"ahu_id":"' || ahu_id || '","timestamp":"' || strftime(ts,
+    '%Y-%m-%dT%H:%M:%SZ') || '"}}') AS eid FROM tel"""
 )
 def q03_event_id_sha(spark, sf):
     return telemetry(spark, sf).select(
@@ -189,14 +199,18 @@ def q07_window_slope(spark, sf):
 
 
 @query(
-    f"WITH {WIN_SQL} SELECT ahu_id, start_s, round(sa_temp_mean_minus_sp + 1e-9, 6) AS sa_temp_mean_minus_sp, round(ra_temp_mean_minus_sa + 1e-9, 6) AS ra_temp_mean_minus_sa FROM win"
+    f"WITH {WIN_SQL} SELECT ahu_id, start_s, round(sa_temp_mean_minus_sp + 1e-9, 6) AS sa_temp_mean_minus_sp, "
+    f"round(ra_temp_mean_minus_sa + 1e-9, 6) AS ra_temp_mean_minus_sa FROM win"
 )
 def q08_cross_features(spark, sf):
     return _win(spark, sf).select("ahu_id", _start(), _num("sa_temp_mean_minus_sp"), _num("ra_temp_mean_minus_sa"))
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, w AS (SELECT ahu_id, ts_s - ts_s % 900 AS s, count(*) AS n FROM tel GROUP BY 1, 2), g AS (SELECT ahu_id, unnest(generate_series(min(s), max(s), 900)) AS s FROM w GROUP BY 1) SELECT g.ahu_id, g.s AS start_s, coalesce(n, 0) AS sample_count FROM g LEFT JOIN w USING (ahu_id, s)"
+    f"WITH {TELEMETRY_SQL}, w AS (SELECT ahu_id, ts_s - ts_s % 900 AS s, count(*) AS n FROM tel "
+    f"GROUP BY 1, 2), g AS (SELECT ahu_id, unnest(generate_series(min(s), max(s), 900)) AS s FROM w "
+    f"GROUP BY 1) SELECT g.ahu_id, g.s AS start_s, coalesce(n, 0) AS sample_count FROM g LEFT "
+    f"JOIN w USING (ahu_id, s)"
 )
 def q09_gap_windows(spark, sf):
     w = windows.windowed(telemetry(spark, sf), Config(signals={}, cross={}, rules={}, windowing=Windowing(900)), ())
@@ -204,7 +218,9 @@ def q09_gap_windows(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, o AS (SELECT unnest([0, 7200, 14400]) AS back) SELECT ahu_id, ts_s - ts_s % 7200 - back AS start_s, count(*) AS sample_count, round(avg(sa_temp) + 1e-9, 6) AS sa_temp_mean FROM tel CROSS JOIN o GROUP BY 1, 2"
+    f"WITH {TELEMETRY_SQL}, o AS (SELECT unnest([0, 7200, 14400]) AS back) SELECT ahu_id, "
+    f"ts_s - ts_s % 7200 - back AS start_s, count(*) AS sample_count, round(avg(sa_temp) + 1e-9, "
+    f"6) AS sa_temp_mean FROM tel CROSS JOIN o GROUP BY 1, 2"
 )
 def q10_sliding_windows(spark, sf):
     c = Config(signals={"sa_temp": CFG.signals["sa_temp"]}, cross={}, windowing=Windowing(SIZE, 7200))
@@ -214,7 +230,9 @@ def q10_sliding_windows(spark, sf):
 
 
 @query(
-    f"WITH {_DUPS}, d AS (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n FROM dups) SELECT ahu_id, {_W} AS start_s, count(*) FILTER (WHERE n = 1) AS sample_count, count(*) FILTER (WHERE n > 1) AS duplicate_count FROM d GROUP BY 1, 2"
+    f"WITH {_DUPS}, d AS (SELECT *, row_number() OVER (PARTITION BY ahu_id, ts ORDER BY seq) AS n "
+    f"FROM dups) SELECT ahu_id, {_W} AS start_s, count(*) FILTER (WHERE n = 1) AS sample_count, "
+    f"count(*) FILTER (WHERE n > 1) AS duplicate_count FROM d GROUP BY 1, 2"
 )
 def q11_dup_accounting(spark, sf):
     d = _with_dups(spark, sf).withColumn(
@@ -227,19 +245,27 @@ def q11_dup_accounting(spark, sf):
 
 
 _LATE = f"""{TELEMETRY_SQL},
-a AS (SELECT ahu_id AS unit, ts_s, event_id * 2 + CASE WHEN event_id % 17 = 0 THEN 400 ELSE 0 END AS seq, ts_s::VARCHAR AS key FROM tel
+a AS (SELECT ahu_id AS unit, ts_s, event_id * 2 + CASE WHEN event_id % 17 = 0 THEN 400
+  ELSE 0 END AS seq, ts_s::VARCHAR AS key FROM tel
       UNION ALL SELECT ahu_id, ts_s, event_id * 2 + 31, ts_s::VARCHAR FROM tel WHERE event_id % 50 = 0),
 d AS (SELECT *, row_number() OVER (PARTITION BY unit, key ORDER BY seq) > 1 AS dup FROM a),
-m AS (SELECT *, max(CASE WHEN NOT dup THEN ts_s END) OVER (PARTITION BY unit ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mx FROM d),
-u AS (SELECT unit, mx AS v, seq AS ms, NULL::BIGINT AS qs FROM m UNION ALL SELECT unit, ts_s + 3600, NULL, seq FROM m WHERE NOT dup),
-z AS (SELECT unit, qs, min(ms) OVER (PARTITION BY unit ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fs FROM u),
-r AS (SELECT m.*, CASE WHEN dup THEN seq ELSE greatest(seq, coalesce(fs, 1000000000000000000)) END AS rel FROM m LEFT JOIN z ON z.unit = m.unit AND z.qs = m.seq),
-p AS (SELECT *, max({_W}) OVER (PARTITION BY unit ORDER BY rel, ts_s, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pf FROM r),
+m AS (SELECT *, max(CASE WHEN NOT dup THEN ts_s END) OVER (PARTITION BY unit
+  ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mx FROM d),
+u AS (SELECT unit, mx AS v, seq AS ms, NULL::BIGINT AS qs FROM m UNION ALL SELECT unit, ts_s + 3600, NULL, seq FROM m
+  WHERE NOT dup),
+z AS (SELECT unit, qs, min(ms) OVER (PARTITION BY unit ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS fs FROM u),
+r AS (SELECT m.*, CASE WHEN dup THEN seq ELSE greatest(seq, coalesce(fs, 1000000000000000000)) END AS rel FROM m LEFT
+  JOIN z ON z.unit = m.unit AND z.qs = m.seq),
+p AS (SELECT *, max({_W}) OVER (PARTITION BY unit ORDER BY rel, ts_s,
+  seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pf FROM r),
 q AS (SELECT *, coalesce(ts_s < pf, false) AS late, CASE WHEN ts_s < pf THEN pf ELSE {_W} END AS w FROM p)"""
 
 
 @query(
-    f"WITH {_LATE} SELECT unit, w AS window_s, count(*) FILTER (WHERE NOT dup AND NOT late) AS sample_count, count(*) FILTER (WHERE dup AND NOT late) AS duplicate_count, count(*) FILTER (WHERE late) AS late_count FROM q GROUP BY 1, 2"
+    f"WITH {_LATE} SELECT unit, w AS window_s, count(*) FILTER (WHERE NOT dup AND NOT late) AS sample_count, "
+    f"count(*) FILTER (WHERE dup AND NOT late) AS duplicate_count, count(*) FILTER (WHERE late) AS late_count "
+    f"FROM q GROUP BY 1, 2"
 )
 def q12_late_accounting(spark, sf):
     t = telemetry(spark, sf).select(
@@ -289,8 +315,10 @@ def q17_signature(spark, sf):
 _hl = ", ".join(f"'{n}=' || printf('%.{d}f', {n})" for n, d in summary.HIGHLIGHTS)
 
 
-@query(f"""WITH {SUMM_SQL} SELECT window_id, 'AHU ' || ahu_id || ' window ' || t0 || '–' || t1 || ': ' || coalesce(nullif(concat_ws(', ', {_hl}), ''), 'no feature highlights') || '. anomalies='
-  || coalesce(nullif(array_to_string(list_sort(rl), ','), ''), 'none') || '. signature=' || signature AS text_summary FROM summ""")
+@query(f"""WITH {SUMM_SQL} SELECT window_id, 'AHU ' || ahu_id || ' window ' || t0 || '–' || t1 || ': '
+  || coalesce(nullif(concat_ws(', ', {_hl}), ''), 'no feature highlights') || '. anomalies='
+  || coalesce(nullif(array_to_string(list_sort(rl), ','), ''), 'none') || '. signature=' || signature AS text_summary
+  FROM summ""")
 def q18_window_summary_text(spark, sf):
     return _summ(spark, sf).select("window_id", "text_summary")
 
@@ -300,7 +328,8 @@ _hyp = "CASE r " + " ".join(f"WHEN '{k}' THEN '{r.hypotheses[0]}'" for k, r in C
 
 
 @query(
-    f"WITH {SUMM_SQL}, x AS (SELECT window_id, unnest(rl) AS r FROM summ) SELECT window_id, r AS rule_id, {_symptom} AS symptom, {_hyp} AS hypothesis FROM x"
+    f"WITH {SUMM_SQL}, x AS (SELECT window_id, unnest(rl) AS r FROM summ) SELECT window_id, r AS rule_id, "
+    f"{_symptom} AS symptom, {_hyp} AS hypothesis FROM x"
 )
 def q19_rule_metadata(spark, sf):
     return _summ(spark, sf).select("window_id", F.explode("anomalies").alias("a")).select(
@@ -327,7 +356,8 @@ def _episodes(spark) -> DataFrame:
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, episode_id FROM tel LEFT JOIN ep ON ts >= episode_start AND ts < episode_end"
+    f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, episode_id FROM tel LEFT "
+    f"JOIN ep ON ts >= episode_start AND ts < episode_end"
 )
 def q20_episode_active(spark, sf):
     return gating.active_episode(telemetry(spark, sf), _episodes(spark)).select("event_id", "episode_id")
@@ -348,7 +378,10 @@ def q21_scenario_gating(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, round(CASE WHEN ramp_minutes > 0 THEN magnitude * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (epoch_us(ts) - epoch_us(episode_start)) / 1e6 / (ramp_minutes * 60))) ELSE magnitude END, 6) AS m FROM tel JOIN ep ON ts >= episode_start AND ts < episode_end"
+    f"WITH {TELEMETRY_SQL}, {_EP_SQL} SELECT event_id, round(CASE "
+    f"WHEN ramp_minutes > 0 THEN magnitude * greatest(0.0::DOUBLE, least(1.0::DOUBLE, "
+    f"(epoch_us(ts) - epoch_us(episode_start)) / 1e6 / (ramp_minutes * 60))) ELSE magnitude END, 6) AS m "
+    f"FROM tel JOIN ep ON ts >= episode_start AND ts < episode_end"
 )
 def q22_effective_magnitude(spark, sf):
     e = gating.active_episode(telemetry(spark, sf), _episodes(spark)).where("episode_id IS NOT NULL")
@@ -370,7 +403,8 @@ _SPAN = "o_orderkey % 400"
 
 @query(
     f"WITH e AS (SELECT (o_custkey % 97)::VARCHAR AS scenario, o_orderkey::VARCHAR AS episode_id, "
-    f"datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS a, datediff('day', DATE '1990-01-01', o_orderdate::DATE) "
+    f"datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS a, datediff('day', DATE '1990-01-01', "
+    f"o_orderdate::DATE) "
     f"+ {_SPAN} AS b FROM orders) SELECT scenario, episode_id, coalesce(a < lag(b) OVER (PARTITION BY scenario "
     f'ORDER BY a, episode_id), false) AS "overlaps" FROM e'
 )
@@ -388,7 +422,9 @@ def q23_episode_overlap(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, l AS (SELECT ahu_id, max(ts_s) AS ts_s, max_by(event_id, ts) AS event_id, max_by(cc_valve, ts) AS cc_valve FROM tel GROUP BY 1) SELECT *, (SELECT max(ts_s) FROM tel) - ts_s <= 3600 AS online FROM l"
+    f"WITH {TELEMETRY_SQL}, l AS (SELECT ahu_id, max(ts_s) AS ts_s, max_by(event_id, ts) AS event_id, "
+    f"max_by(cc_valve, ts) AS cc_valve FROM tel GROUP BY 1) SELECT *, (SELECT max(ts_s) "
+    f"FROM tel) - ts_s <= 3600 AS online FROM l"
 )
 def q24_latest_per_unit(spark, sf):
     t = telemetry(spark, sf)
@@ -404,14 +440,19 @@ def q24_latest_per_unit(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) WHERE rn <= 5"
+    f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id, rn::INT AS rn "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY ts DESC, event_id DESC) AS rn FROM tel) "
+    f"WHERE rn <= 5"
 )
 def q25_last_n(spark, sf):
     return live.last_n(telemetry(spark, sf), "ahu_id", ["timestamp", "event_id"], 5).select("ahu_id", "event_id", "rn")
 
 
 @query(
-    f"WITH {TELEMETRY_SQL}, d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, row_number() OVER (PARTITION BY ahu_id ORDER BY ts, event_id) AS i FROM tel WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT ahu_id, event_id, sa_temp FROM d WHERE (i - 1) % (CASE WHEN n <= 100 THEN 1 ELSE ceil(n / 100.0)::BIGINT END) = 0 OR i = n"
+    f"WITH {TELEMETRY_SQL}, d AS (SELECT *, count(*) OVER (PARTITION BY ahu_id) AS n, "
+    f"row_number() OVER (PARTITION BY ahu_id ORDER BY ts, event_id) AS i FROM tel "
+    f"WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT ahu_id, event_id, sa_temp "
+    f"FROM d WHERE (i - 1) % (CASE WHEN n <= 100 THEN 1 ELSE ceil(n / 100.0)::BIGINT END) = 0 OR i = n"
 )
 def q26_range_downsample(spark, sf):
     t = live.in_range(telemetry(spark, sf), "timestamp", "2024-01-05", "2024-01-20")
@@ -419,14 +460,16 @@ def q26_range_downsample(spark, sf):
 
 
 @query(
-    f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY ahu_id) AS m FROM tel) WHERE ts >= m - INTERVAL 1440 MINUTES"
+    f"WITH {TELEMETRY_SQL} SELECT ahu_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY ahu_id) AS m "
+    f"FROM tel) WHERE ts >= m - INTERVAL 1440 MINUTES"
 )
 def q27_retention(spark, sf):
     return live.retain(telemetry(spark, sf), "ahu_id", "timestamp", 1440).select("ahu_id", "event_id")
 
 
 @query(
-    f"WITH {SUMM_SQL} SELECT window_id, t0 AS start, t1 AS \"end\", signature, max_severity, array_to_string(rl[1:3], ',') AS top_rules FROM summ"
+    f"WITH {SUMM_SQL} SELECT window_id, t0 AS start, t1 AS \"end\", signature, max_severity, "
+    f"array_to_string(rl[1:3], ',') AS top_rules FROM summ"
 )
 def q28_min_window_item(spark, sf):
     return live.min_window_item(_summ(spark, sf)).drop("text_summary").withColumn(
@@ -435,7 +478,8 @@ def q28_min_window_item(spark, sf):
 
 
 @query(
-    f"WITH {SUMM_SQL} SELECT signature, min(t0) AS first_seen, max(t1) AS last_seen, count(*) AS count, max(max_severity) AS max_severity, array_to_string(min(rl)[1:3], ',') AS top_rules FROM summ GROUP BY 1"
+    f"WITH {SUMM_SQL} SELECT signature, min(t0) AS first_seen, max(t1) AS last_seen, count(*) AS count, "
+    f"max(max_severity) AS max_severity, array_to_string(min(rl)[1:3], ',') AS top_rules FROM summ GROUP BY 1"
 )
 def q29_active_incidents(spark, sf):
     return live.active_incidents(_summ(spark, sf)).withColumn("top_rules", F.array_join("top_rules", ","))
@@ -467,10 +511,14 @@ def _present(spark, sf) -> DataFrame:
     return incidents.presence(s)
 
 
-_STREAK = f"""{_FAULTS}, f1 AS (SELECT ahu_id, f AS fault, min(i) AS first FROM (SELECT ahu_id, i, unnest(faults) AS f FROM fl) GROUP BY 1, 2),
-pr AS (SELECT fl.ahu_id, f1.fault, fl.i, list_contains(faults, f1.fault) AS s FROM fl JOIN f1 ON fl.ahu_id = f1.ahu_id AND fl.i >= f1.first),
-c AS (SELECT *, CASE WHEN lag(s) OVER o IS DISTINCT FROM s THEN 1 ELSE 0 END AS ch FROM pr WINDOW o AS (PARTITION BY ahu_id, fault ORDER BY i)),
-isl AS (SELECT *, sum(ch) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM c),
+_STREAK = f"""{_FAULTS}, f1 AS (SELECT ahu_id, f AS fault, min(i) AS first FROM (SELECT ahu_id, i, unnest(faults) AS f
+  FROM fl) GROUP BY 1, 2),
+pr AS (SELECT fl.ahu_id, f1.fault, fl.i, list_contains(faults, f1.fault) AS s FROM fl
+  JOIN f1 ON fl.ahu_id = f1.ahu_id AND fl.i >= f1.first),
+c AS (SELECT *, CASE WHEN lag(s) OVER o IS DISTINCT FROM s THEN 1 ELSE 0 END AS ch
+  FROM pr WINDOW o AS (PARTITION BY ahu_id, fault ORDER BY i)),
+isl AS (SELECT *, sum(ch) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS island FROM c),
 st AS (SELECT *, row_number() OVER (PARTITION BY ahu_id, fault, island ORDER BY i) AS rl2 FROM isl)"""
 
 
@@ -481,11 +529,19 @@ def q32_streaks(spark, sf):
     )
 
 
-@query(f"""WITH {_STREAK}, v AS (SELECT *, CASE WHEN s AND rl2 = 2 THEN 'S' WHEN NOT s AND rl2 = 3 THEN 'C' END AS evt FROM st),
-w AS (SELECT *, coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'C') AS pe, coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'C') AS ce FROM v),
-x AS (SELECT *, coalesce(evt = 'S' AND pe = 'C', false) AS opened, coalesce(evt = 'C' AND pe = 'S', false) AS resolved FROM w),
-y AS (SELECT *, sum(opened::INT) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM x)
-SELECT ahu_id, fault, episode::BIGINT AS episode, min(i) FILTER (WHERE opened) AS opened_at, min(i) FILTER (WHERE resolved) AS resolved_at, count(*) FILTER (WHERE s AND ce = 'S') AS occurrence_count FROM y WHERE episode > 0 GROUP BY 1, 2, 3""")
+@query(f"""WITH {_STREAK}, v AS (SELECT *, CASE WHEN s AND rl2 = 2 THEN 'S' WHEN NOT s AND rl2 = 3 THEN 'C' END AS evt
+  FROM st),
+w AS (SELECT *, coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id,
+  fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'C') AS pe,
+  coalesce(last_value(evt IGNORE NULLS) OVER (PARTITION BY ahu_id,
+  fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'C') AS ce FROM v),
+x AS (SELECT *, coalesce(evt = 'S' AND pe = 'C', false) AS opened, coalesce(evt = 'C' AND pe = 'S', false) AS resolved
+  FROM w),
+y AS (SELECT *, sum(opened::INT) OVER (PARTITION BY ahu_id, fault ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS episode FROM x)
+SELECT ahu_id, fault, episode::BIGINT AS episode, min(i) FILTER (WHERE opened) AS opened_at,
+  min(i) FILTER (WHERE resolved) AS resolved_at, count(*) FILTER (WHERE s AND ce = 'S') AS occurrence_count FROM y
+  WHERE episode > 0 GROUP BY 1, 2, 3""")
 def q33_ticket_episodes(spark, sf):
     e = incidents.episodes(incidents.streaks(_present(spark, sf)))
     return e.select(
@@ -499,7 +555,8 @@ def q33_ticket_episodes(spark, sf):
 
 
 @query(
-    f"WITH {_STREAK} SELECT ahu_id, fault, i, concat_ws(',', lag(i) OVER (PARTITION BY ahu_id, fault ORDER BY i), i) AS recent FROM pr WHERE s"
+    f"WITH {_STREAK} SELECT ahu_id, fault, i, concat_ws(',', lag(i) OVER (PARTITION BY ahu_id, "
+    f"fault ORDER BY i), i) AS recent FROM pr WHERE s"
 )
 def q34_recent_windows(spark, sf):
     return incidents.recent_seen(_present(spark, sf)).select(
@@ -511,14 +568,17 @@ def q34_recent_windows(spark, sf):
 
 
 @query(
-    f"WITH {SUMM_SQL}, {TELEMETRY_SQL.replace('tel AS', 'tel2 AS', 1)} SELECT DISTINCT ahu_id FROM (SELECT ahu_id FROM tel2 UNION SELECT ahu_id FROM summ)"
+    f"WITH {SUMM_SQL}, {TELEMETRY_SQL.replace('tel AS', 'tel2 AS', 1)} SELECT DISTINCT ahu_id "
+    f"FROM (SELECT ahu_id FROM tel2 UNION SELECT ahu_id FROM summ)"
 )
 def q40_unit_union(spark, sf):
     return live.units(telemetry(spark, sf), _summ(spark, sf))
 
 
 @query(
-    f"WITH {SUMM_SQL}, x AS (SELECT ahu_id, unnest(rl) AS id FROM summ), c AS (SELECT ahu_id, id, count(*) AS c FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, id) AS rn FROM c) SELECT ahu_id, string_agg(id, ',' ORDER BY rn) AS top_rules FROM r WHERE rn <= 5 GROUP BY 1"
+    f"WITH {SUMM_SQL}, x AS (SELECT ahu_id, unnest(rl) AS id FROM summ), c AS (SELECT ahu_id, id, count(*) AS c "
+    f"FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ahu_id ORDER BY c DESC, id) AS rn "
+    f"FROM c) SELECT ahu_id, string_agg(id, ',' ORDER BY rn) AS top_rules FROM r WHERE rn <= 5 GROUP BY 1"
 )
 def q41_top_rules(spark, sf):
     s = _summ(spark, sf).select("ahu_id", F.col("anomalies.rule_id").alias("ids"))
@@ -528,7 +588,10 @@ def q41_top_rules(spark, sf):
 
 
 @query(
-    f"WITH {SUMM_SQL}, h AS (SELECT window_id, unnest(list_transform(rl, lambda r: {_hyp})) AS t, unnest(range(len(rl))) AS p FROM summ), c AS (SELECT window_id, t, count(*) AS c, min(p) AS f FROM h GROUP BY 1, 2) SELECT window_id, first(t ORDER BY c DESC, f) AS \"primary\", string_agg(t, ',' ORDER BY f) AS \"all\" FROM c GROUP BY 1"
+    f"WITH {SUMM_SQL}, h AS (SELECT window_id, unnest(list_transform(rl, lambda r: {_hyp})) AS t, "
+    f"unnest(range(len(rl))) AS p FROM summ), c AS (SELECT window_id, t, count(*) AS c, min(p) AS f FROM h "
+    f"GROUP BY 1, 2) SELECT window_id, first(t ORDER BY c DESC, f) AS \"primary\", string_agg(t, "
+    f"',' ORDER BY f) AS \"all\" FROM c GROUP BY 1"
 )
 def q42_primary_hypothesis(spark, sf):
     s = _summ(spark, sf).select("window_id", F.flatten("anomalies.fault_hypotheses").alias("tokens"))
@@ -537,28 +600,41 @@ def q42_primary_hypothesis(spark, sf):
     )
 
 
-_TEXT_SQL = f"""'AHU ' || ahu_id || ' window ' || t0 || '–' || t1 || ': ' || coalesce(nullif(concat_ws(', ', {_hl}), ''), 'no feature highlights')
-  || '. anomalies=' || coalesce(nullif(array_to_string(list_sort(rl), ','), ''), 'none') || '. signature=' || signature"""
+_TEXT_SQL = f"""'AHU ' || ahu_id || ' window ' || t0 || '–' || t1 || ': ' || coalesce(nullif(concat_ws(', ', {_hl}),
+  ''), 'no feature highlights')
+  || '. anomalies=' || coalesce(nullif(array_to_string(list_sort(rl), ','), ''),
+  'none') || '. signature=' || signature"""
 _features = sorted([f"{s}_{k}" for s in CFG.signals for k in windows.STATS] + list(CFG.cross))
 _pairs = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {{'k': '{n}', 'v': round({n} + 1e-9, 6)}} END" for n in _features)
 _msg = "CASE r " + " ".join(f"WHEN '{k}' THEN '{r.message}'" for k, r in CFG.rules.items()) + " END"
-_HIST = f"""{SUMM_SQL}, t AS (SELECT *, {_TEXT_SQL} AS ts, list_filter([{_pairs}], lambda x: x IS NOT NULL)[1:8] AS fs FROM summ),
+_HIST = f"""{SUMM_SQL}, t AS (SELECT *, {_TEXT_SQL} AS ts, list_filter([{_pairs}], lambda x: x IS NOT NULL)[1:8] AS fs
+  FROM summ),
 hy AS (SELECT window_id, unnest(list_transform(rl, lambda r: {_hyp})) AS h, unnest(range(len(rl))) AS p FROM summ),
 hc AS (SELECT window_id, h, count(*) AS c, min(p) AS f FROM hy GROUP BY 1, 2),
-hp AS (SELECT window_id, first(h ORDER BY c DESC, f) AS prim, string_agg(h, ', ' ORDER BY f) AS al FROM hc GROUP BY 1)"""
+hp AS (SELECT window_id, first(h ORDER BY c DESC, f) AS prim, string_agg(h, ', ' ORDER BY f) AS al FROM hc
+  GROUP BY 1)"""
 
 
 @query(
-    f"""WITH {_HIST} SELECT t.window_id AS id, 'WINDOW: ahu=' || ahu_id || ' window_id=' || t.window_id || ' signature=' || signature
-  || ' start=' || t0 || ' end=' || t1 || coalesce(chr(10) || 'PRIMARY_HYPOTHESIS: ' || prim || chr(10) || 'HYPOTHESES: ' || al || chr(10)
-  || 'INCIDENT_KEY: ' || ahu_id || '|' || prim, '') || chr(10) || 'SUMMARY: ' || CASE WHEN length(ts) > 300 THEN ts[1:297] || '...' ELSE ts END
-  || chr(10) || 'ANOMALIES: ' || coalesce(nullif(array_to_string(list_transform(rl[1:5], lambda r: r || ' msg=' || {_msg}), ' | '), ''), 'none')
-  || CASE WHEN len(fs) > 0 THEN chr(10) || 'FEATURES: ' || array_to_string(list_transform(fs, lambda x: x.k || '=' || printf('%.4g', x.v)), ', ') ELSE '' END
-  || chr(10) || 'STATS: sample_count=' || sample_count || ', missing_count=' || missing_count || ', late_count=0, duplicate_count=0'
+    f"""WITH {_HIST} SELECT t.window_id AS id, 'WINDOW: ahu=' || ahu_id || ' window_id=' || t.window_id
+    || ' signature=' || signature
+  || ' start=' || t0 || ' end=' || t1 || coalesce(chr(10) || 'PRIMARY_HYPOTHESIS: ' || prim || chr(10)
+  || 'HYPOTHESES: ' || al || chr(10)
+  || 'INCIDENT_KEY: ' || ahu_id || '|' || prim, '') || chr(10) || 'SUMMARY: ' || CASE
+  WHEN length(ts) > 300 THEN ts[1:297] || '...' ELSE ts END
+  || chr(10) || 'ANOMALIES: ' || coalesce(nullif(array_to_string(list_transform(rl[1:5],
+  lambda r: r || ' msg=' || {_msg}), ' | '), ''), 'none')
+  || CASE WHEN len(fs) > 0 THEN chr(10) || 'FEATURES: ' || array_to_string(list_transform(fs,
+  lambda x: x.k || '=' || printf('%.4g', x.v)), ', ') ELSE '' END
+  || chr(10) || 'STATS: sample_count=' || sample_count || ', missing_count=' || missing_count
+  || ', late_count=0, duplicate_count=0'
   || chr(10) || 'PROVENANCE: sha256=c0ffee' AS text,
-  start_s::VARCHAR AS start_ts, (start_s + {SIZE})::VARCHAR AS end_ts, replace(al, ', ', ',') AS hypotheses, ahu_id || '|' || prim AS incident_key,
-  nullif(array_to_string(rl, ','), '') AS rule_ids, nullif(array_to_string(list_transform(fs, lambda x: x.k), ','), '') AS feature_keys,
-  CAST(13 + CASE WHEN prim IS NULL THEN 0 ELSE 3 END + CASE WHEN len(rl) > 0 THEN 1 ELSE 0 END + CASE WHEN len(fs) > 0 THEN 1 ELSE 0 END AS INT) AS n
+  start_s::VARCHAR AS start_ts, (start_s + {SIZE})::VARCHAR AS end_ts, replace(al, ', ', ',') AS hypotheses,
+  ahu_id || '|' || prim AS incident_key,
+  nullif(array_to_string(rl, ','), '') AS rule_ids, nullif(array_to_string(list_transform(fs, lambda x: x.k), ','),
+  '') AS feature_keys,
+  CAST(13 + CASE WHEN prim IS NULL THEN 0 ELSE 3 END + CASE WHEN len(rl) > 0 THEN 1 ELSE 0 END + CASE
+  WHEN len(fs) > 0 THEN 1 ELSE 0 END AS INT) AS n
   FROM t LEFT JOIN hp ON hp.window_id = t.window_id"""
 )
 def q43_history_doc(spark, sf):
@@ -589,8 +665,10 @@ _number = lambda x: f"{x}::DOUBLE"
 @query(
     f"""WITH {_FAULTS}, x AS (SELECT window_id, unnest(faults) AS fault, missing_count = 0 AS covered FROM fl),
 y AS (SELECT *, ({_by_fault(3, _number)} < 0.85 OR NOT covered) AS again FROM x)
-SELECT window_id, fault, {_by_fault(1, _quoted)} AS title, {_by_fault(2, _quoted)} AS root_cause, CASE WHEN again THEN {_by_fault(4, _number)} ELSE {_by_fault(3, _number)} END AS confidence,
-  {_by_fault(5, _joined)} AS actions, {_by_fault(6, _joined)} AS evidence, CASE WHEN again THEN 2 ELSE 1 END AS stage, CASE WHEN again THEN 2 ELSE 1 END AS reasoner_calls FROM y"""
+SELECT window_id, fault, {_by_fault(1, _quoted)} AS title, {_by_fault(2, _quoted)} AS root_cause, CASE
+  WHEN again THEN {_by_fault(4, _number)} ELSE {_by_fault(3, _number)} END AS confidence,
+  {_by_fault(5, _joined)} AS actions, {_by_fault(6, _joined)} AS evidence, CASE WHEN again THEN 2
+  ELSE 1 END AS stage, CASE WHEN again THEN 2 ELSE 1 END AS reasoner_calls FROM y"""
 )
 def q53_mock_diagnosis(spark, sf):
     """Both stages; a window without missing values counts as covered."""
@@ -607,7 +685,8 @@ def q53_mock_diagnosis(spark, sf):
 
 
 @query(
-    f"WITH {SUMM_SQL} SELECT window_id, printf('%.2f', cc_valve_mean)::DOUBLE AS valve, array_to_string(list_sort(rl), ',') AS rules, signature FROM summ"
+    f"WITH {SUMM_SQL} SELECT window_id, printf('%.2f', cc_valve_mean)::DOUBLE AS valve, "
+    f"array_to_string(list_sort(rl), ',') AS rules, signature FROM summ"
 )
 def q56_ui_extract(spark, sf):
     s = _summ(spark, sf).withColumn(

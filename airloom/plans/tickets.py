@@ -23,7 +23,9 @@ def query(sql: str | None = None):
 
 
 @query(
-    f"WITH {TICKETS_SQL} SELECT ticket_id, updated_at, confidence FROM tk WHERE lifecycle_status = 'OPEN' AND confidence >= 0.3 AND diagnosis_title ILIKE '%case\\_1%' ESCAPE '\\' ORDER BY updated_at DESC NULLS LAST, ticket_id LIMIT 50 OFFSET 10"
+    f"WITH {TICKETS_SQL} SELECT ticket_id, updated_at, confidence FROM tk "
+    f"WHERE lifecycle_status = 'OPEN' AND confidence >= 0.3 AND diagnosis_title ILIKE '%case\\_1%' ESCAPE '\\' "
+    f"ORDER BY updated_at DESC NULLS LAST, ticket_id LIMIT 50 OFFSET 10"
 )
 def q35_tickets_list(spark, sf) -> DataFrame:
     page = T.list_tickets(
@@ -39,22 +41,40 @@ def q35_tickets_list(spark, sf) -> DataFrame:
 
 
 @query(
-    f"WITH {TICKETS_SQL} SELECT count(*) FILTER (WHERE lifecycle_status = 'OPEN') AS active_count, count(*) FILTER (WHERE review_status = 'NONE' AND diagnosis_status = 'DIAGNOSED') AS awaiting_review_count, count(*) FILTER (WHERE review_status = 'APPROVED') AS approved_count, count(*) FILTER (WHERE review_status = 'REJECTED') AS rejected_count, count(*) FILTER (WHERE diagnosis_status = 'DIAGNOSED' AND confidence >= 0.6) AS high_confidence_count FROM tk"
+    f"WITH {TICKETS_SQL} SELECT count(*) FILTER (WHERE lifecycle_status = 'OPEN') AS active_count, "
+    f"count(*) FILTER (WHERE review_status = 'NONE' "
+    f"AND diagnosis_status = 'DIAGNOSED') AS awaiting_review_count, "
+    f"count(*) FILTER (WHERE review_status = 'APPROVED') AS approved_count, "
+    f"count(*) FILTER (WHERE review_status = 'REJECTED') AS rejected_count, "
+    f"count(*) FILTER (WHERE diagnosis_status = 'DIAGNOSED' AND confidence >= 0.6) AS high_confidence_count "
+    f"FROM tk"
 )
 def q36_ticket_metrics(spark, sf) -> DataFrame:
     return T.metrics(tickets(spark, sf))
 
 
 _PATCHES = f"""{TICKETS_SQL},
-pt AS (SELECT 't' || o_orderkey::VARCHAR AS ticket_id, 1 AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'RESOLVED' END AS lifecycle_status, 0.9::DOUBLE AS confidence, '9' AS ahu_id, NULL::VARCHAR AS detected_fault_type FROM orders WHERE o_orderkey % 10 = 0
-       UNION ALL SELECT 't' || o_orderkey::VARCHAR, 2, NULL, CASE WHEN o_orderkey % 4 = 0 THEN 0.4::DOUBLE END, NULL, NULL FROM orders WHERE o_orderkey % 20 = 0
-       UNION ALL SELECT 'n' || o_orderkey::VARCHAR, 3, NULL, 0.2::DOUBLE, '3', CASE WHEN o_orderkey % 3 = 0 THEN 'X' END FROM orders WHERE o_orderkey % 50 = 0),
-l AS (SELECT ticket_id, max_by(lifecycle_status, seq) FILTER (WHERE lifecycle_status IS NOT NULL) AS lifecycle_status, max_by(confidence, seq) FILTER (WHERE confidence IS NOT NULL) AS confidence, max_by(ahu_id, seq) FILTER (WHERE ahu_id IS NOT NULL) AS ahu_id, max_by(detected_fault_type, seq) FILTER (WHERE detected_fault_type IS NOT NULL) AS detected_fault_type FROM pt GROUP BY 1)"""
-
-
-@query(f"""WITH {_PATCHES} SELECT coalesce(tk.ticket_id, l.ticket_id) AS ticket_id, coalesce(tk.incident_key, l.ahu_id || '|' || l.detected_fault_type) AS incident_key, coalesce(l.lifecycle_status, tk.lifecycle_status, 'OPEN') AS lifecycle_status,
-  coalesce(l.confidence, tk.confidence) AS confidence, coalesce(l.ahu_id, tk.ahu_id) AS ahu_id, coalesce(tk.created_at, '2025-01-01') AS created_at, CASE WHEN l.ticket_id IS NOT NULL THEN '2025-01-01' ELSE tk.updated_at END AS updated_at, coalesce(tk.occurrence_count, 0) AS occurrence_count
-  FROM tk FULL JOIN l ON tk.ticket_id = l.ticket_id WHERE tk.ticket_id IS NOT NULL OR (l.ahu_id IS NOT NULL AND l.detected_fault_type IS NOT NULL)""")
+pt AS (SELECT 't' || o_orderkey::VARCHAR AS ticket_id, 1 AS seq, CASE
+  WHEN o_orderkey % 2 = 0 THEN 'RESOLVED' END AS lifecycle_status, 0.9::DOUBLE AS confidence, '9' AS ahu_id,
+  NULL::VARCHAR AS detected_fault_type FROM orders WHERE o_orderkey % 10 = 0
+       UNION ALL SELECT 't' || o_orderkey::VARCHAR, 2, NULL, CASE
+       WHEN o_orderkey % 4 = 0 THEN 0.4::DOUBLE END, NULL, NULL FROM orders WHERE o_orderkey % 20 = 0
+       UNION ALL SELECT 'n' || o_orderkey::VARCHAR, 3, NULL, 0.2::DOUBLE, '3', CASE
+       WHEN o_orderkey % 3 = 0 THEN 'X' END FROM orders WHERE o_orderkey % 50 = 0),
+l AS (SELECT ticket_id, max_by(lifecycle_status, seq) FILTER (WHERE lifecycle_status IS NOT NULL) AS lifecycle_status,
+  max_by(confidence, seq) FILTER (WHERE confidence IS NOT NULL) AS confidence, max_by(ahu_id,
+  seq) FILTER (WHERE ahu_id IS NOT NULL) AS ahu_id, max_by(detected_fault_type,
+  seq) FILTER (WHERE detected_fault_type IS NOT NULL) AS detected_fault_type FROM pt GROUP BY 1)"""
+
+
+@query(f"""WITH {_PATCHES} SELECT coalesce(tk.ticket_id, l.ticket_id) AS ticket_id, coalesce(tk.incident_key,
+  l.ahu_id || '|' || l.detected_fault_type) AS incident_key, coalesce(l.lifecycle_status, tk.lifecycle_status,
+  'OPEN') AS lifecycle_status,
+  coalesce(l.confidence, tk.confidence) AS confidence, coalesce(l.ahu_id, tk.ahu_id) AS ahu_id,
+  coalesce(tk.created_at, '2025-01-01') AS created_at, CASE WHEN l.ticket_id IS NOT NULL THEN '2025-01-01'
+  ELSE tk.updated_at END AS updated_at, coalesce(tk.occurrence_count, 0) AS occurrence_count
+  FROM tk FULL JOIN l ON tk.ticket_id = l.ticket_id WHERE tk.ticket_id IS NOT NULL OR (l.ahu_id IS NOT NULL
+  AND l.detected_fault_type IS NOT NULL)""")
 def q37_ticket_upsert(spark, sf) -> DataFrame:
     o = read(spark, sf, "orders")
     null = "CAST(NULL AS STRING)"
@@ -86,7 +106,11 @@ def q37_ticket_upsert(spark, sf) -> DataFrame:
 
 
 @query(
-    f"WITH {TICKETS_SQL}, i AS (SELECT c_custkey, (c_custkey % 8)::VARCHAR || '|' || '1-URGENT' AS incident_key FROM customer), o AS (SELECT incident_key, ticket_id FROM (SELECT *, row_number() OVER (PARTITION BY incident_key ORDER BY updated_at DESC, ticket_id) AS n FROM tk WHERE lifecycle_status = 'OPEN') WHERE n = 1) SELECT c_custkey, i.incident_key, ticket_id FROM i LEFT JOIN o ON i.incident_key = o.incident_key"
+    f"WITH {TICKETS_SQL}, i AS (SELECT c_custkey, (c_custkey % 8)::VARCHAR || '|' || '1-URGENT' AS incident_key "
+    f"FROM customer), o AS (SELECT incident_key, ticket_id FROM (SELECT *, "
+    f"row_number() OVER (PARTITION BY incident_key ORDER BY updated_at DESC, ticket_id) AS n FROM tk "
+    f"WHERE lifecycle_status = 'OPEN') WHERE n = 1) SELECT c_custkey, i.incident_key, ticket_id FROM i LEFT "
+    f"JOIN o ON i.incident_key = o.incident_key"
 )
 def q38_active_ticket_lookup(spark, sf) -> DataFrame:
     i = read(spark, sf, "customer").select(
@@ -96,7 +120,9 @@ def q38_active_ticket_lookup(spark, sf) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES ('OPEN'), ('RESOLVED')) a(lifecycle_status), (VALUES ('DRAFT'), ('DIAGNOSING'), ('DIAGNOSED'), ('FAILED')) b(diagnosis_status), (VALUES ('NONE'), ('APPROVED'), ('REJECTED')) c(review_status)"
+    "SELECT * FROM (VALUES ('OPEN'), ('RESOLVED')) a(lifecycle_status), (VALUES ('DRAFT'), ('DIAGNOSING'), "
+    "('DIAGNOSED'), ('FAILED')) b(diagnosis_status), (VALUES ('NONE'), ('APPROVED'), "
+    "('REJECTED')) c(review_status)"
 )
 def q39_enum_matrix(spark, sf) -> DataFrame:
     return T.state_matrix(spark)

@@ -51,11 +51,17 @@ def tickets(spark, sf_dir: str) -> DataFrame:
     )
 
 
-TICKETS_SQL = """tk AS (SELECT 't' || o_orderkey::VARCHAR AS ticket_id, 'TCK-' || o_orderkey::VARCHAR AS ticket_ref, (o_custkey % 8)::VARCHAR AS ahu_id,
-  (o_custkey % 8)::VARCHAR || '|' || o_orderpriority AS incident_key, o_orderpriority AS detected_fault_type, CASE WHEN o_orderstatus = 'O' THEN 'OPEN' ELSE 'RESOLVED' END AS lifecycle_status,
-  CASE o_orderkey % 4 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'DIAGNOSING' WHEN 2 THEN 'DIAGNOSED' ELSE 'FAILED' END AS diagnosis_status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey % 100 AS DOUBLE) / 100.0::DOUBLE END AS confidence,
-  CAST(o_custkey % 7 AS INT) AS occurrence_count, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Case_' || (o_custkey % 50)::VARCHAR || '%' END AS diagnosis_title,
-  CASE o_orderkey % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'APPROVED' ELSE 'REJECTED' END AS review_status, strftime(o_orderdate, '%Y-%m-%d') AS created_at, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders)"""
+TICKETS_SQL = """tk AS (SELECT 't' || o_orderkey::VARCHAR AS ticket_id, 'TCK-' || o_orderkey::VARCHAR AS ticket_ref,
+  (o_custkey % 8)::VARCHAR AS ahu_id,
+  (o_custkey % 8)::VARCHAR || '|' || o_orderpriority AS incident_key, o_orderpriority AS detected_fault_type, CASE
+  WHEN o_orderstatus = 'O' THEN 'OPEN' ELSE 'RESOLVED' END AS lifecycle_status,
+  CASE o_orderkey % 4 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'DIAGNOSING' WHEN 2 THEN 'DIAGNOSED'
+  ELSE 'FAILED' END AS diagnosis_status, CASE WHEN o_orderkey % 5 = 0 THEN NULL
+  ELSE CAST(o_custkey % 100 AS DOUBLE) / 100.0::DOUBLE END AS confidence,
+  CAST(o_custkey % 7 AS INT) AS occurrence_count, CASE WHEN o_orderkey % 3 = 0 THEN NULL
+  ELSE 'Case_' || (o_custkey % 50)::VARCHAR || '%' END AS diagnosis_title,
+  CASE o_orderkey % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'APPROVED' ELSE 'REJECTED' END AS review_status,
+  strftime(o_orderdate, '%Y-%m-%d') AS created_at, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders)"""
 
 TELEMETRY_SQL = "tel AS (SELECT event_id, CAST(user_id % 8 AS VARCHAR) AS ahu_id, ts, epoch_us(ts) // 1000000 AS ts_s, k, " + ", ".join(f"{x} AS {n}" for n, x in TELEMETRY.items()) + " FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"
 
