@@ -16,6 +16,8 @@ RADIUS = 3
 BLOCKS, WIDTH = 4, 16
 REST = 64 - WIDTH
 ROWS_PER_TASK = 500_000
+#: A task that explodes fingerprints fills so many of the tasks that link them.
+SPREAD = 4
 DENSE = 32
 _NEAR = {
     d: np.array([sum(1 << i for i in c) for c in itertools.combinations(range(WIDTH), d)], np.int64) for d in (1, 2, 3)
@@ -143,7 +145,7 @@ def ball_links(fps: DataFrame, n_fps: int) -> DataFrame:
         keys += [outer] + [outer.bitwiseXOR(F.lit(1 << j)) for j in range(REST)]
     n = max(partitions(fps.sparkSession), -(-n_fps * len(keys) // ROWS_PER_TASK))
     # spread before the explosion: the table of fingerprints is small, that of its keys isn't
-    dealt = fps.repartition(n).select("fp", F.explode(F.array(*keys)).alias("key")).repartition(n, "key")
+    dealt = fps.repartition(-(-n // SPREAD)).select("fp", F.explode(F.array(*keys)).alias("key")).repartition(n, "key")
 
     @frugal
     def run(batches):

@@ -536,7 +536,7 @@ def test_fingerprints_are_spread_before_their_keys(spark):
     fps = spark.range(10).select(F.col("id").alias("fp")).coalesce(1)
     n = -(-100_000 * 196 // simhash.ROWS_PER_TASK)
     plan = simhash.ball_links(fps, 100_000)._jdf.queryExecution().toString()
-    assert f"RoundRobinPartitioning({n})" in plan and "hashpartitioning(key" in plan
+    assert f"RoundRobinPartitioning({-(-n // simhash.SPREAD)})" in plan and "hashpartitioning(key" in plan
 
 
 def test_url_rules(spark):
