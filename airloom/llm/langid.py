@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table, text_batches
 
-#: A trigram belongs to a language if it makes up this share of the language's trigrams, so none has more than 1 / LEAST_SHARE.
+#: A trigram belongs to a language if it makes up this share of its trigrams, so none has more than 1 / LEAST_SHARE.
 LEAST_SHARE = 2e-5
 SLOT_BITS, PROBES = 21, 2
-MOST_LANGUAGES = 64
+#: More distinct values of lang than this are taken for an error in the column.
+MOST_LANGUAGES = 1_024
 CHUNK = 1_000_000
 FOLDS = 5
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -50,18 +51,29 @@ def slots(keys: np.ndarray) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """Bit i of every slot is the Bloom filter of language i, so that one lookup serves all languages."""
+    """Bit i of every slot is the Bloom filter of language i, so that one lookup serves all languages.
+
+    ``table``: a row of machine words for each slot, one word for up to 64 languages.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
 
+    def place(self, i: int) -> tuple[int, np.integer]:
+        """The word of a slot that has language i's bit, and that bit."""
+        kind = self.table.dtype.type
+        width = 8 * kind().itemsize
+        return i // width, kind(1 << i % width)
+
+    def holding(self, mask: np.ndarray, i: int) -> np.ndarray:
+        """Which masks have language i."""
+        word, bit = self.place(i)
+        return (mask[:, word] & bit) != 0
+
     def rates(self) -> np.ndarray:
         """Each language's false-positive rate, from how full its filter is."""
-        bits = [
-            np.count_nonzero(self.table & self.table.dtype.type(1 << i)) / len(self.table)
-            for i in range(len(self.languages))
-        ]
-        return np.array(bits) ** PROBES
+        full = [np.count_nonzero(self.holding(self.table, i)) for i in range(len(self.languages))]
+        return (np.array(full) / len(self.table)) ** PROBES
 
     def contained(self, keys: np.ndarray) -> np.ndarray:
         """Masks of the languages that hold each trigram."""
@@ -79,7 +91,7 @@ class LanguageFilters:
         for keys in trigrams(text):
             mask = self.contained(keys)
             n += len(keys)
-            hits += [np.count_nonzero(mask & mask.dtype.type(1 << i)) for i in range(len(self.languages))]
+            hits += [np.count_nonzero(self.holding(mask, i)) for i in range(len(self.languages))]
         if not n:
             return "und", 0.0
         share = np.clip((hits / n - rates) / np.maximum(1 - rates, 1e-9), 0, 1)
@@ -139,12 +151,15 @@ def learn(docs: DataFrame) -> LanguageFilters:
     least = F.create_map(*[F.lit(x) for k in names for x in (k, total[k] * LEAST_SHARE)]) if names else None
     frequent = counted.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas() if names else None
     scratch.drop(counted)
-    dtype = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= 8 * t().itemsize)
-    bits = np.zeros(1 << SLOT_BITS, dtype)
+    # slots are as narrow as the languages allow, and have several words for over 64
+    dtype = next((t for t in (np.uint8, np.uint16, np.uint32) if len(names) <= 8 * t().itemsize), np.uint64)
+    words = max(1, -(-len(names) // (8 * dtype().itemsize)))
+    filters = LanguageFilters(names, np.zeros((1 << SLOT_BITS, words), dtype))
     for i, lang in enumerate(names):
+        word, bit = filters.place(i)
         for s in slots(frequent.gram[frequent.lang == lang].to_numpy(np.int64).view(np.uint64)):
-            bits[s] |= dtype(1 << i)
-    return LanguageFilters(names, bits)
+            filters.table[s, word] |= bit
+    return filters
 
 
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:

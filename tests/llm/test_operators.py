@@ -485,7 +485,7 @@ def test_filters_equal_exact_sets_within_their_error(spark):
     masks = filters.contained(np.array([key(g) for g in every], np.uint64))
     rates = filters.rates()
     for i, x in enumerate(filters.languages):
-        found = {g for g, m in zip(every, masks.tolist()) if m >> i & 1}
+        found = {g for g, m in zip(every, filters.holding(masks, i).tolist()) if m}
         assert exact[x] <= found and len(found - exact[x]) <= 3 + 10 * rates[i] * len(every)
     got = {r.doc_id: r for r in langid.identify(d, filters).collect()}
     for i, t in enumerate(texts):
@@ -496,6 +496,19 @@ def test_filters_equal_exact_sets_within_their_error(spark):
     assert all(got[203 + k][2:] == got[k][2:] for k in range(5))
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rnd = random.Random(31)
+    names = [f"l{i:02}" for i in range(70)]
+    own = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for x in names}
+    lang = [x for x in names for _ in range(6)]
+    texts = [" ".join(rnd.choice(own[x]) for _ in range(30)) for x in lang]
+    d = make(spark, texts, lang=lang)
+    filters = langid.learn(d)
+    assert filters.table.shape[1] == 2 and len(filters.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, filters).collect()}
+    assert [got[i] for i in range(len(lang))] == lang
+
+
 def test_token_attribution_equals_bytes(spark):
     import public_tokenizers as P
 
