@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
@@ -54,12 +55,13 @@ def tee(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int]
 
 
 def _versions(spark, path: str) -> tuple:
-    """The file system, and a collection's versions as (number, last batch, folder name) in order."""
+    """The file system, and a collection's versions as (number, writer, last batch, folder name) in order."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    found = [n for n in names if re.fullmatch(r"v\d+-b-?\d+", n) and fs.exists(root.suffix(f"/{n}/_SUCCESS"))]
-    return fs, root, sorted((int(n[1:].split("-b")[0]), int(n.split("-b")[1]), n) for n in found)
+    found = [m for n in names if (m := re.fullmatch(r"v(\d+)-(\w+)-b(-?\d+)", n))]
+    whole = [m for m in found if fs.exists(root.suffix(f"/{m[0]}/_SUCCESS"))]
+    return fs, root, sorted((int(m[1]), m[2], int(m[3]), m[0]) for m in whole)
 
 
 def collection_writer(
@@ -67,8 +69,9 @@ def collection_writer(
 ) -> Callable[[DataFrame, int], None]:
     """Upserts batches into a parquet collection; a version folder is written whole, then counts as current.
 
-    A folder's name has its batch's number, so a batch that is repeated after a failure changes nothing.  Of
-    a batch's rows with equal keys the one with the greatest ``order`` wins; without ``order`` equal keys in
+    A folder's name has its query and its batch's number, so a batch that the same query repeats after a
+    failure changes nothing, and a query started anew writes again.  A collection has one writer at a time.
+    Of a batch's rows with equal keys the one with the greatest ``order`` wins; without ``order`` equal keys in
     a batch are an error, since none of them is the last.  ``keep`` says what a store retains, such as
     the newest minutes or windows of each unit.  A write costs the collection's size; a table format with
     row-level merges suits larger ones.
@@ -76,8 +79,10 @@ def collection_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        writer = hashlib.sha256(query.encode()).hexdigest()[:8] if query else "batches"
         fs, root, versions = _versions(spark, path)
-        if versions and versions[-1][1] >= batch_id >= 0:
+        if versions and versions[-1][1] == writer and versions[-1][2] >= batch_id:
             return
         if order:
             best = Window.partitionBy(key).orderBy(F.desc(order))
@@ -87,10 +92,11 @@ def collection_writer(
             n = F.count("*").over(Window.partitionBy(key))
             new = batch.withColumn("__n", n).where(F.when(F.col("__n") == 1, True).otherwise(twice.cast("boolean")))
             new = new.drop("__n")
-        out = upsert_documents(spark.read.parquet(f"{path}/{versions[-1][2]}"), new, key) if versions else new
+        out = upsert_documents(spark.read.parquet(f"{path}/{versions[-1][3]}"), new, key) if versions else new
         out = keep(out) if keep else out
-        out.write.mode("overwrite").parquet(f"{path}/v{versions[-1][0] + 1 if versions else 0}-b{batch_id}")
-        for _, _, name in versions[:-1]:
+        number = versions[-1][0] + 1 if versions else 0
+        out.write.mode("overwrite").parquet(f"{path}/v{number}-{writer}-b{batch_id}")
+        for *_, name in versions[:-1]:
             fs.delete(root.suffix(f"/{name}"), True)
 
     return write
@@ -98,7 +104,7 @@ def collection_writer(
 
 def read_collection(spark, path: str) -> DataFrame:
     _, _, versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{versions[-1][2]}")
+    return spark.read.parquet(f"{path}/{versions[-1][3]}")
 
 
 def telemetry_store(path: str, minutes: int = 30) -> Callable[[DataFrame, int], None]:

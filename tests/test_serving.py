@@ -85,6 +85,12 @@ def test_a_stream_of_windows_into_a_store(spark, tmp_path):
     )
     q.awaitTermination()
     assert rows(sinks.read_collection(spark, str(tmp_path / "s")), "window_id") == [("w1",)]
+    (tmp_path / "in" / "b.txt").write_text(json.dumps(good | {"window_id": "w2"}), encoding="utf-8")
+    anew = streaming.start(
+        events, sinks.window_store(str(tmp_path / "s"), "arrival"), str(tmp_path / "k2"), until_idle=True
+    )
+    anew.awaitTermination()  # its first batch has the number of one written before
+    assert rows(sinks.read_collection(spark, str(tmp_path / "s")), "window_id") == [("w1",), ("w2",)]
 
 
 def test_printed_rows_and_counts(spark):
