@@ -64,15 +64,18 @@ def normal_space(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Numbered, named, mostly upper-case or title-case short lines."""
-    s = F.trim(line)
-    words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    return _is_heading(F.trim(line))
+
+
+def _is_heading(s: Column) -> Column:
+    """The same of a trimmed line; cheap tests come first, and counts stand in for lists of words."""
+    words = F.regexp_count(s, F.lit(r"\S+"))
     letters, upper = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(r"\p{Lu}"))
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    shout = (letters > 0) & (upper / F.greatest(letters, F.lit(1)) >= UPPER_SHARE) & (F.size(words) <= UPPER_WORDS)
-    share = capital / F.greatest(F.size(words), F.lit(1))
-    title = (F.size(words) <= TITLE_WORDS) & s.rlike(TITLE) & (share >= TITLE_SHARE)
+    capital = F.regexp_count(s, F.lit(r"(?<!\S)\p{Lu}"))
+    shout = (upper > 0) & (upper / F.greatest(letters, F.lit(1)) >= UPPER_SHARE) & (words <= UPPER_WORDS)
+    title = s.rlike(TITLE) & (words <= TITLE_WORDS) & (capital / F.greatest(words, F.lit(1)) >= TITLE_SHARE)
     short = (F.length(s) > 0) & (F.length(s) <= HEADING_CHARS)
-    return short & (s.rlike(NUMBERED) | F.lower(s).rlike(NAMED) | shout | title)
+    return short & (s.rlike(NUMBERED) | F.lower(s).rlike(NAMED) | title | shout)
 
 
 def text_sections(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -83,15 +86,20 @@ def text_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     lines = F.filter(F.transform(F.split(text, LINE_END), lambda x: F.trim(x)), lambda x: x != "")
     d = docs.withColumn("__lines", lines).where(F.size("__lines") > 0)
-    d = d.withColumn("__flags", F.transform("__lines", is_heading))
+    d = d.withColumn("__at", _places(F.transform("__lines", lambda x, i: F.when(_is_heading(x), i + 1))))
     return _fold(d, [c for c in docs.columns if c != text])
 
 
+def _places(marks: Column) -> Column:
+    return F.filter(marks, lambda i: i.isNotNull())
+
+
 def _fold(d: DataFrame, kept: list[str]) -> DataFrame:
-    """Sections of rows with the arrays ``__lines`` and ``__flags``."""
+    """Sections of rows with the array ``__lines`` and the places of its headings, ``__at``.
+
+    No function here looks into a computed array element by element, which would compute it anew for each.
+    """
     n = F.size("__lines")
-    at = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("__flags", i))
-    d = d.withColumn("__at", at)
     bounds = F.transform(
         F.arrays_zip(F.concat(F.array(F.lit(0)), "__at").alias("a"), F.concat("__at", F.array(n + 1)).alias("b")),
         lambda x, k: F.struct(k.cast("long").alias("section"), x["a"].alias("a"), x["b"].alias("b")),
@@ -101,7 +109,9 @@ def _fold(d: DataFrame, kept: list[str]) -> DataFrame:
     sections = F.transform(
         bounds, lambda x: F.struct(x["section"].alias("section"), heading(x).alias("heading"), body(x).alias("body"))
     )
-    return d.select(*kept, F.inline(F.filter(sections, lambda x: x["body"] != "")))
+    # the outer form, since the inner one would compute the sections once more to filter by their number
+    full = F.filter(sections, lambda x: x["body"] != "")
+    return d.select(*kept, F.inline_outer(full)).where("section IS NOT NULL")
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -109,7 +119,8 @@ def sections(lines: DataFrame) -> DataFrame:
     d = lines.where(F.trim("line") != "").withColumn("line", F.trim("line"))
     d = d.withColumn("h", is_heading(F.col("line")))
     d = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "h"))).alias("__rows"))
-    return _fold(d.withColumns({"__lines": F.col("__rows.line"), "__flags": F.col("__rows.h")}), ["doc_id"])
+    at = _places(F.transform("__rows", lambda r, i: F.when(r["h"], i + 1)))
+    return _fold(d.withColumns({"__lines": F.col("__rows.line"), "__at": at}), ["doc_id"])
 
 
 def words_for(tokens: int) -> int:
@@ -119,7 +130,8 @@ def words_for(tokens: int) -> int:
 def word_chunks(df: DataFrame, text: str, chunk_tokens: int, overlap_tokens: int) -> DataFrame:
     """``chunk_no`` and ``chunk`` in place of a text: overlapping windows of words, the last one reaching the end.
 
-    Chunks are cut before rows are multiplied, so no row carries the words of its whole text.
+    Chunks are cut before rows are multiplied, so no row carries the words of its whole text.  (The outer form of
+    explode, since the inner one would compute the chunks once more to filter by their number.)
     """
     size = words_for(chunk_tokens)
     stride = max(1, size - min(size - 1, words_for(overlap_tokens)))
@@ -128,7 +140,7 @@ def word_chunks(df: DataFrame, text: str, chunk_tokens: int, overlap_tokens: int
     n = F.greatest(F.lit(0), F.ceil((F.size("__w") - size) / stride)).cast("int")
     chunk = lambda i: F.array_join(F.slice("__w", i * stride + 1, F.lit(size)), " ")
     d = d.withColumn("__c", F.transform(F.sequence(F.lit(0), n), chunk)).drop("__w")
-    return d.select(*[c for c in df.columns if c != text], F.posexplode("__c").alias("chunk_no", "chunk"))
+    return d.select(*[c for c in df.columns if c != text], F.posexplode_outer("__c").alias("chunk_no", "chunk"))
 
 
 def chunk_type(heading: Column, text: Column) -> Column:

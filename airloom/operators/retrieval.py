@@ -38,7 +38,9 @@ def knn(collection: DataFrame, queries: DataFrame, k: int, where: Column | None
         queries.select("query_id", F.col("query_embedding").alias("embedding"))
     ).select("query_id", F.col("unit").alias("qu"))
     rows, asked = rows.where("unit IS NOT NULL"), asked.where("qu IS NOT NULL")
-    n, m = (max(1, -(-d.count() // size)) for d, size in ((rows, ROW_BLOCK), (asked, QUERY_BLOCK)))
+    # counts of all rows will do for the number of blocks, and need no vectors
+    kept_rows = collection.where(where) if where is not None else collection
+    n, m = (max(1, -(-d.count() // size)) for d, size in ((kept_rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     block = lambda key, c: F.pmod(F.xxhash64(key), F.lit(c)).cast("int")
     left = asked.select("*", block("query_id", m).alias("__q"), every(n).alias("__r"))
