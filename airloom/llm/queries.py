@@ -6,6 +6,7 @@ from .langid import op5_language_id
 from .merkle import op10_document_fingerprints
 from .mixing import OP7_SQL, op7_source_mixing
 from .packing import op4_packing
+from .search import OP12_SQL, op12_ranked_search
 from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
 from .tokens import op2_token_counts
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op7_source_mixing": OP7_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
