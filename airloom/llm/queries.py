@@ -11,6 +11,7 @@ from .simhash import op1_simhash_near_dedup
 from .substring import op9_substring_dedup
 from .tokens import op2_token_counts
 from .toxicity import op8_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 from .urls import OP3_SQL, op3_url_filters
 from .vectors import OP6_SQL, op6_embedding_near_dedup
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_near_dedup": OP6_SQL,
     "op7_source_mixing": OP7_SQL,
     "op12_ranked_search": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

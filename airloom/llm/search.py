@@ -51,7 +51,8 @@ def split_terms(text: bytes) -> Iterator[list[bytes]]:
 class ShardBuilder:
     """Documents of one task until the shard is full, then its row of the index."""
 
-    def __init__(self):
+    def __init__(self, most_terms: int = SHARD_TERMS, most_docs: int = SHARD_DOCS):
+        self.most_terms, self.most_docs = most_terms, most_docs
         self.names: dict[bytes, int] = {}
         self.ids: list[np.ndarray] = []
         self.doc_ids: list[int | None] = []
@@ -71,7 +72,7 @@ class ShardBuilder:
         self.size += n
 
     def full(self) -> bool:
-        return self.size >= SHARD_TERMS or len(self.lens) >= SHARD_DOCS
+        return self.size >= self.most_terms or len(self.lens) >= self.most_docs
 
     def row(self) -> dict:
         lens = np.array(self.lens, np.int64)
@@ -136,11 +137,12 @@ def packed(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, n: np.ndarray, ter
     }
 
 
-def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def build_index(docs: DataFrame, scratch: Scratch, shard: tuple[int, int] = (SHARD_TERMS, SHARD_DOCS)) -> DataFrame:
     """The index of every row of ``docs`` (doc_id, text): a table of shards in the checkpoint folder.
 
     A task makes shards of its own rows, so nothing is shuffled and no term's list grows with the corpus.  A
     row is a document; null and empty texts are documents without terms; a doc_id may be null or repeat.
+    ``shard``: after how many terms or documents a shard ends.
     """
     text_batches(docs.sparkSession)
     plain = docs.select(
@@ -149,20 +151,20 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     @frugal
     def run(batches):
-        shard = ShardBuilder()
+        open_shard = ShardBuilder(*shard)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                shard.add(doc_id.as_py(), text.as_py())
-                if shard.full():
-                    yield as_batch(shard)
-                    shard = ShardBuilder()
-        if shard.lens:
-            yield as_batch(shard)
-
-    def as_batch(shard):
+                open_shard.add(doc_id.as_py(), text.as_py())
+                if open_shard.full():
+                    yield as_batch(open_shard)
+                    open_shard = ShardBuilder(*shard)
+        if open_shard.lens:
+            yield as_batch(open_shard)
+
+    def as_batch(full):
         binary = pa.binary()
         types = [("doc_ids", pa.list_(pa.int64())), *((c.split()[0], binary) for c in INDEX.split(", ")[1:])]
-        return pa.RecordBatch.from_pylist([shard.row()], pa.schema(types))
+        return pa.RecordBatch.from_pylist([full.row()], pa.schema(types))
 
     return scratch.keep(plain.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, INDEX), "index")
 
@@ -348,7 +350,9 @@ def search_index(index: DataFrame, items: dict[int, Counter], top: int = 20) ->
     return index.mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, top: int = 20) -> DataFrame:
+def ranked_search(
+    docs: DataFrame, items: DataFrame, top: int = 20, shard: tuple[int, int] = (SHARD_TERMS, SHARD_DOCS)
+) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` rows of ``docs`` (doc_id, text) for every item (item_id, text).
 
     Scores are whole numbers by the contract of ``op12``; equal ones rank by doc_id, a null one last.  Items
@@ -357,7 +361,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = 20) -> DataFrame
     or no items give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    index = build_index(docs, Scratch(spark))
+    index = build_index(docs, Scratch(spark), shard)
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     asked = asked.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     jobs = max(1, -(-asked.select("item_id").distinct().count() // ITEMS_AT_ONCE))

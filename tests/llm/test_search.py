@@ -51,18 +51,16 @@ def corpus(rnd, n):
     return out
 
 
-@pytest.mark.parametrize("shard_docs, block", [(65_536, 128), (40, 4), (7, 1)])
-def test_search_equals_scoring_every_document(spark, monkeypatch, shard_docs, block):
-    monkeypatch.setattr(search, "SHARD_DOCS", shard_docs)
-    monkeypatch.setattr(search, "BLOCK", block)
-    rnd = random.Random(block)
-    texts = corpus(rnd, 400) + [None, "", "..!", "C1 c1 C1", "Ça ÇA ça", "r1 " * 30_000]
+@pytest.mark.parametrize("shard", [(3_000_000, 65_536), (300, 40), (10**9, 7)])
+def test_search_equals_scoring_every_document(spark, shard):
+    rnd = random.Random(shard[1])
+    texts = corpus(rnd, 900) + [None, "", "..!", "C1 c1 C1", "Ça ÇA ça", "r1 " * 30_000]
     docs = list(enumerate(texts)) + [(3, texts[3]), (3, texts[3]), (None, "r2 r2 r3")]
     items = [(i, " ".join(rnd.choices(texts[i].split() or ["c1"], k=8))) for i in range(12)]
     items += [(50, None), (51, ""), (52, "nowhere"), (53, "c0 c1 c2 c3 c4 c5 r1 r2 r3"), (54, "C0 c0 C0"), (55, "日本 É ça")]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 AS score", "'x' AS item_id")
     q = spark.createDataFrame([*items, items[0], (None, "c1")], "item_id long, text string").selectExpr("*", "1 AS rank")
-    got = sorted(tuple(r) for r in search.ranked_search(d.repartition(3), q).collect())
+    got = sorted(tuple(r) for r in search.ranked_search(d.repartition(3), q, shard=shard).collect())
     want = plain_search(docs, items)
     # rows of one doc_id and equal scores rank in any order among themselves; they are equal rows
     assert got == want
