@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP11_SQL, op11_chat_formatting
 from .langid import op5_language_id
 from .merkle import op10_document_fingerprints
 from .mixing import OP7_SQL, op7_source_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_chat_formatting": op11_chat_formatting,
     "op12_ranked_search": op12_ranked_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -34,6 +36,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op7_source_mixing": OP7_SQL,
+    "op11_chat_formatting": OP11_SQL,
     "op12_ranked_search": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
