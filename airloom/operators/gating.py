@@ -26,11 +26,16 @@ def active_episode(
 
 def gate(windows: DataFrame, offsets: list[tuple[int, int]], base: DataFrame) -> DataFrame:
     """Anomalies only where the window's start, counted from its unit's base time, lies in an episode's offsets."""
+    return gate_based(windows.join(base, "ahu_id", "left"), offsets)
+
+
+def gate_based(windows: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """``gate`` where the windows carry their unit's ``base_ts``, as in a stream."""
     since = F.unix_timestamp("start") - F.unix_timestamp("base_ts")
     inside = F.lit(False)
     for a, b in offsets:
         inside |= (since >= a) & (since < b)
-    out = windows.join(base, "ahu_id", "left").withColumn("gated", ~F.coalesce(inside, F.lit(False)))
+    out = windows.withColumn("gated", ~F.coalesce(inside, F.lit(False)))
     return out.withColumn(
         "anomalies", F.when(F.col("gated"), F.filter("anomalies", lambda _: F.lit(False))).otherwise(F.col("anomalies"))
     ).drop("base_ts")

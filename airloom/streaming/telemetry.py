@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import base64
-import heapq
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import incidents, rules, summary, windows
+from ..operators import rules, summary, windows
 from ..operators.normalize import normalize_events, normalize_windows, parse_json
 from ..sources.readers import SUMMARY_SCHEMA
+from .machine import WindowMachine  # noqa: F401
+from .state import incident_changes, unit_windows
 
 
 def events_from_json(values: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -60,131 +58,18 @@ def window_summaries(events: DataFrame, cfg: Config, horizon_sec: int | None = N
     return summary.summaries(rules.with_anomalies(windows.windowed(once, cfg), cfg), cfg)
 
 
-class WindowMachine:
-    """One unit's reorder buffer and open window, event by event.
-
-    Duplicates pass the buffer and may move windows on; an event behind the open window is late and
-    counts there; windows without events between others are closed too; ``flush`` ends the stream.
-    Closed windows come one by one, so that a jump in time needs no list of the empty ones.
-    """
-
-    def __init__(self, size_sec: int, horizon_sec: int):
-        self.size, self.horizon = size_sec, horizon_sec
-        self.seen: dict[str, int] = {}
-        self.buffer: list[tuple[int, int]] = []  # a heap
-        self.newest: int | None = None
-        self.open: int | None = None
-        self.count = [0, 0, 0]
-
-    def push(self, ts: int, seq: int, key: str) -> Iterator[tuple[int, int, int, int]]:
-        if key in self.seen:
-            yield from self._place(ts, duplicate=True)
-            return
-        self.seen[key] = ts
-        heapq.heappush(self.buffer, (ts, seq))
-        self.newest = ts if self.newest is None else max(self.newest, ts)
-        while self.buffer and self.buffer[0][0] <= self.newest - self.horizon:
-            yield from self._place(heapq.heappop(self.buffer)[0])
-
-    def flush(self) -> Iterator[tuple[int, int, int, int]]:
-        while self.buffer:
-            yield from self._place(heapq.heappop(self.buffer)[0])
-        if self.open is not None and any(self.count):
-            yield (self.open, *self.count)
-        self.open, self.count = None, [0, 0, 0]
-
-    def _place(self, ts: int, duplicate: bool = False) -> Iterator[tuple[int, int, int, int]]:
-        w = ts - ts % self.size
-        if self.open is None:
-            self.open = w
-        if w < self.open:
-            self.count[2] += 1
-            return
-        while self.open < w:
-            closed = (self.open, *self.count)
-            self.open, self.count = self.open + self.size, [0, 0, 0]
-            yield closed
-        self.count[1 if duplicate else 0] += 1
-
-    def forget(self) -> None:
-        """Drop keys too old for a window that is still open, which bounds the state."""
-        if self.open is not None:
-            self.seen = {k: t for k, t in self.seen.items() if t >= self.open - self.horizon}
-
-
-#: Closed windows go on in frames of so many rows.
-ROWS_AT_ONCE = 50_000
-
-
 def account(events: DataFrame, size_sec: int, horizon_sec: int, bounded: bool = True) -> DataFrame:
     """(unit, window_s, sample_count, duplicate_count, late_count) of closed windows, with a watermark for each unit.
 
-    Events have unit, ts_s, seq and key; a null ts_s ends the unit's stream.
+    Events have unit, ts_s, seq and key; a null ts_s ends the unit's stream; see ``unit_windows``.
     """
-
-    names = ["unit", "window_s", "sample_count", "duplicate_count", "late_count"]
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        m = pickle.loads(base64.b64decode(state.get[0])) if state.exists else WindowMachine(size_sec, horizon_sec)
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        out = []
-        for ts, seq, k in zip(rows.ts_s, rows.seq, rows["key"]):
-            for w in m.flush() if pd.isna(ts) else m.push(int(ts), int(seq), k):
-                out.append((key[0], *w))
-                if len(out) >= ROWS_AT_ONCE:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        if bounded:
-            m.forget()
-        state.update((base64.b64encode(pickle.dumps(m)).decode(),))
-        yield pd.DataFrame(out, columns=names)
-
-    return events.groupBy("unit").applyInPandasWithState(
-        step,
-        "unit string, window_s long, sample_count long, duplicate_count long, late_count long",
-        "machine string",
-        "append",
-        "NoTimeout",
-    )
+    d = events.select("unit", (F.col("ts_s") * 1_000_000).alias("ts"), "seq", "key")
+    closed = unit_windows(d, (), size_sec, horizon_sec, bounded=bounded)
+    window = F.expr("`window` DIV 1000000").alias("window_s")
+    return closed.select("unit", window, "sample_count", "duplicate_count", "late_count")
 
 
 def ticket_changes(summaries: DataFrame, n_trigger: int = 2, k_clear: int = 3) -> DataFrame:
-    """(ahu_id, fault, window_id, change, occurrence_count): tickets opened, seen again and resolved, by keyed state."""
-    d = summaries.select(
-        "ahu_id",
-        "window_id",
-        F.col("time.start").alias("start"),
-        incidents.fault_types(F.col("anomalies")).alias("faults"),
-    )
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = pickle.loads(base64.b64decode(state.get[0])) if state.exists else {}
-        out = []
-        for r in pd.concat(list(pdfs)).sort_values("start").itertuples():
-            here = set(r.faults)
-            for f in sorted(here | set(known)):
-                seen, clear, is_open, n = known.get(f, (0, 0, False, 0))
-                if f in here:
-                    seen, clear = seen + 1, 0
-                    change = None
-                    if not is_open and seen >= n_trigger:
-                        is_open, n, change = True, 1, "opened"
-                    elif is_open:
-                        n, change = n + 1, "seen"
-                else:
-                    seen, clear, change = 0, clear + 1, None
-                    if is_open and clear >= k_clear:
-                        is_open, change = False, "resolved"
-                if change:
-                    out.append((key[0], f, r.window_id, change, n))
-                known[f] = (seen, clear, is_open, n)
-        state.update((base64.b64encode(pickle.dumps(known)).decode(),))
-        yield pd.DataFrame(out, columns=["ahu_id", "fault", "window_id", "change", "occurrence_count"])
-
-    return d.groupBy("ahu_id").applyInPandasWithState(
-        step,
-        "ahu_id string, fault string, window_id string, change string, occurrence_count long",
-        "known string",
-        "append",
-        "NoTimeout",
-    )
+    """(ahu_id, fault, window_id, change, occurrence_count): tickets opened, seen again and resolved; see ``incident_changes``."""
+    found = incident_changes(summaries, n_trigger=n_trigger, k_clear=k_clear)
+    return found.select("ahu_id", "fault", "window_id", "change", "occurrence_count")
