@@ -116,9 +116,25 @@ def history_id(df: DataFrame) -> Column:
 
 
 def hypothesis_tokens(c: Column, kind: T.DataType) -> Column:
-    """Hypotheses as an array of names: from comma-separated text, a list of texts or maps, or a map's keys."""
+    """Hypotheses as an array of names: from comma-separated text, a list of texts or maps, or a map's keys.
+
+    A VARIANT column may hold all of these; each value's own type decides (keys in code point order).
+    """
     blank = lambda x: x.isNotNull() & (x != "")
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, T.VariantType):
+        of = lambda v: F.schema_of_variant(v)
+        keys = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        one = lambda v: F.when(of(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(
+            of(v).startswith("OBJECT"), keys(v)
+        )
+        nothing = F.array().cast("array<string>")
+        items = F.transform(F.try_variant_get(c, "$", "array<variant>"), lambda v: F.coalesce(one(v), nothing))
+        found = (
+            F.when(of(c) == "STRING", F.split(F.try_variant_get(c, "$", "string"), ","))
+            .when(of(c).startswith("ARRAY"), F.flatten(items))
+            .when(of(c).startswith("OBJECT"), keys(c))
+        )
+    elif isinstance(kind, T.StringType):
         found = F.split(c, ",")
     elif isinstance(kind, T.MapType):
         found = F.map_keys(c).cast("array<string>")

@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions.scalars import fixed, iso_z, signature, window_id
 from .windows import feature_map
 
+# The features that a text shows, with their decimals; the text's form is in ``text_summary``.
 HIGHLIGHTS = (("sa_temp_mean", 2), ("sa_temp_mean_minus_sp", 2), ("cc_valve_mean", 1), ("avg_zone_temp_mean", 2))
 
 
@@ -71,5 +72,15 @@ def summaries(
 
 
 def json_lines(df: DataFrame) -> DataFrame:
-    """One column ``value``: rows as JSON with sorted top-level keys and nulls written."""
+    """One column ``value``: rows as JSON with sorted top-level keys and nulls written.
+
+    The evidence of ``anomalies`` is JSON text in a table and an object in a line.
+    """
+    kind = df.schema["anomalies"].dataType if "anomalies" in df.columns else None
+    fields = getattr(getattr(kind, "elementType", None), "names", [])
+    if "evidence" in fields and kind.elementType["evidence"].dataType.simpleString() == "string":
+        value = lambda a, n: F.try_parse_json(a[n]) if n == "evidence" else a[n]
+        df = df.withColumn(
+            "anomalies", F.transform("anomalies", lambda a: F.struct(*[value(a, n).alias(n) for n in fields]))
+        )
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))

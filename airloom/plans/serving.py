@@ -407,6 +407,65 @@ def q78_hypothesis_forms(spark, sf):
     return d.select("window_id", *[F.array_join(x, ",").alias(c) for c, x in names.items()])
 
 
+@query(
+    f"""WITH {base.SUMM_SQL}, h AS (SELECT window_id, start_s // {base.SIZE} % 5 AS form,
+  list_transform(rl, lambda r: {base._hyp}) AS h FROM summ)
+SELECT window_id, form, CASE form WHEN 3 THEN array_to_string(list_sort(list_distinct(h)), ',') WHEN 4 THEN ''
+  ELSE array_to_string(h, ',') END AS names FROM h"""
+)
+def q100_mixed_hypotheses(spark, sf):
+    """One VARIANT column whose rows are lists of texts, comma-separated text, lists of maps, maps and numbers."""
+    s = _text_of_windows(spark, sf).select(
+        "window_id",
+        F.expr(f"unix_timestamp(to_timestamp(time.start)) DIV {base.SIZE} % 5").alias("form"),
+        F.flatten("anomalies.fault_hypotheses").alias("h"),
+    )
+    scored = F.map_from_arrays(F.array_distinct("h"), F.transform(F.array_distinct("h"), lambda _: F.lit(0.5)))
+    text = (
+        F.when(F.col("form") == 0, F.to_json("h"))
+        .when(F.col("form") == 1, F.to_json(F.array(F.array_join("h", " , "))).substr(F.lit(2), F.lit(1 << 30)))
+        .when(F.col("form") == 2, F.to_json(F.transform("h", lambda x: F.create_map(x, F.lit(1)))))
+        .when(F.col("form") == 3, F.to_json(scored))
+        .otherwise("17")
+    )
+    text = F.when(F.col("form") == 1, F.regexp_replace(text, r"\]$", "")).otherwise(text)
+    d = s.select("window_id", "form", F.parse_json(text).alias("v"))
+    names = retrieval.hypothesis_tokens(F.col("v"), d.schema["v"].dataType)
+    return d.select("window_id", "form", F.array_join(names, ",").alias("names"))
+
+
+def _evidence_sql() -> str:
+    """The figures of every rule as rows (rule, name, value, there), from the windows' features."""
+    out = []
+    for rule, r in base.CFG.rules.items():
+        fields = [f.partition("=") for f in base.rules.EVIDENCE.get(rule, ())]
+        n = len(base.CFG.signals)
+        own = {"missing_ratio": f"missing_count / greatest(sample_count * {n}, 1)", "num_signals": f"{n}"}
+        rows = [(f, own.get(f, f if not instead else f"coalesce({f}, {instead})"), "true") for f, _, instead in fields]
+        if rule.startswith("SAT_NOT"):
+            rows.append(("sa_temp_delta", "sa_temp_delta", "sa_temp_delta IS NOT NULL"))
+        if rows:
+            rows += [(f"thresholds.{k}", v, "true") for k, v in r.params.items()]
+        else:
+            for s, (_, low, high) in base.CFG.signals.items():
+                for k, bad in (("min", f"{s}_min < {low}"), ("max", f"{s}_max > {high}")):
+                    at = f"offenders.{s}_{k}"
+                    rows += [(f"{at}.value", f"{s}_{k}", bad), (f"{at}.min", low, bad), (f"{at}.max", high, bad)]
+        out += [f"('{rule}', '{name}', ({v})::DOUBLE, {there})" for name, v, there in rows]
+    return ", ".join(out)
+
+
+@query(
+    f"""WITH {base.ANOM_SQL} SELECT ahu_id, start_s, t.rule_id, t.name, round(t.value + 1e-9, 6) AS value
+FROM anom, LATERAL (SELECT * FROM (VALUES {_evidence_sql()}) AS v(rule_id, name, value, there)) AS t
+WHERE there AND list_contains(rl, t.rule_id)"""
+)
+def q101_rule_evidence(spark, sf):
+    a = base._anom(spark, sf).select("ahu_id", base._start(), F.explode("anomalies").alias("a"))
+    d = base.rules.evidence_values(a, "ahu_id", "start_s")
+    return d.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
 # --- tickets
 
 _JSON = {

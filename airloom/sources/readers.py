@@ -68,8 +68,8 @@ def kafka_stream(
 ) -> DataFrame:
     """A topic's values; needs Spark's Kafka package on the class path.
 
-    ``group`` begins the names of consumer groups, such as ``config.Settings.consumer_group`` gives it: each query has one of its own, as positions are kept in
-    the query's checkpoint folder, so a new folder replays.
+    ``group`` begins the names of consumer groups, such as ``config.Settings.consumer_group`` gives it: each query
+    has one of its own.  Positions are kept in the query's checkpoint folder, so a new folder replays.
     """
     r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     r = r.option("startingOffsets", "earliest" if from_beginning else "latest")
