@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running
+from ..staging import Scratch
 from .common import frugal, table, text_batches
 
 #: Turns whose prefixes are rendered from the first one on; a longer conversation is cut into windows of so many.
@@ -193,6 +194,8 @@ def format_conversations(
         yield from out(finish(spanned(placed)), fields)
 
     counts = rows.groupBy(F.col("conv_id").alias("long_id")).agg(F.count("*").alias("turns")).where(F.col("turns") > size)
+    # a table's size is known before texts would be shuffled for the join: a short one is broadcast
+    counts = Scratch(conversations.sparkSession).keep(counts, "long")
     same = F.col("conv_id").eqNullSafe(F.col("long_id"))
     done = rows.join(counts, same, "left_anti").repartition("conv_id").sortWithinPartitions(*order)
     # a null id gets a name of its own while rows are numbered, as equi-joins on it lose it
