@@ -187,6 +187,30 @@ def review(tickets: DataFrame, ticket_id: str, status: str, notes: str | None, n
     )
 
 
+def review_all(tickets: DataFrame, reviews: DataFrame, now: str) -> DataFrame:
+    """Tickets after ``reviews`` (ticket_id, review_status, review_notes), at most one for each ticket.
+
+    A status that isn't known, a ticket that isn't there and a second review of one are errors of the job.
+    """
+    known = F.col("review_status").isin(*STATES["review_status"])
+    fail = lambda text, c: F.raise_error(F.concat(F.lit(f"{text}: "), c)).cast("boolean")
+    n = F.count("*").over(Window.partitionBy("ticket_id"))
+    checked = reviews.withColumn("__n", n).where(
+        F.when(~F.coalesce(known, F.lit(False)), fail("review_status", F.coalesce("review_status", F.lit("null"))))
+        .when(F.col("__n") > 1, fail("reviewed twice", F.col("ticket_id")))
+        .otherwise(True)
+    )
+    own = checked.select(
+        "ticket_id", F.col("review_status").alias("__status"), F.col("review_notes").alias("__notes"), F.lit(True).alias("__own")
+    )
+    both = tickets.withColumn("__there", F.lit(True)).join(own, "ticket_id", "full")
+    both = both.where(F.when(F.col("__there"), True).otherwise(fail("no such ticket", F.col("ticket_id"))))
+    new = {"review_status": F.col("__status"), "review_notes": F.col("__notes"), "updated_at": F.lit(now)}
+    return both.select(
+        *[F.when(F.col("__own"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tickets.columns]
+    )
+
+
 def get_ticket(tickets: DataFrame, name: str) -> DataFrame:
     """By reference where the name starts with ``TCK-``, else by id."""
     return tickets.where(F.col("ticket_ref" if name.startswith("TCK-") else "ticket_id") == name).limit(1)

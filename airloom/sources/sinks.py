@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import re
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.live import KEPT_WINDOWS, retain, ring_buffer
-from ..operators.retrieval import upsert_documents
 from ..operators.summary import json_lines
+from .collections import collection_writer, read_collection, telemetry_store, window_store  # noqa: F401
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -54,69 +51,6 @@ def tee(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int]
     return write
 
 
-def _versions(spark, path: str) -> tuple:
-    """The file system, and a collection's versions as (number, writer, last batch, folder name) in order."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    found = [m for n in names if (m := re.fullmatch(r"v(\d+)-(\w+)-b(-?\d+)", n))]
-    whole = [m for m in found if fs.exists(root.suffix(f"/{m[0]}/_SUCCESS"))]
-    return fs, root, sorted((int(m[1]), m[2], int(m[3]), m[0]) for m in whole)
-
-
-def collection_writer(
-    path: str, key: str = "id", order: str | None = None, keep: Callable[[DataFrame], DataFrame] | None = None
-) -> Callable[[DataFrame, int], None]:
-    """Upserts batches into a parquet collection; a version folder is written whole, then counts as current.
-
-    A folder's name has its query and its batch's number, so a batch that the same query repeats after a
-    failure changes nothing, and a query started anew writes again.  A collection has one writer at a time.
-    Of a batch's rows with equal keys the one with the greatest ``order`` wins; without ``order`` equal keys in
-    a batch are an error, since none of them is the last.  ``keep`` says what a store retains, such as
-    the newest minutes or windows of each unit.  A write costs the collection's size; a table format with
-    row-level merges suits larger ones.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
-        writer = hashlib.sha256(query.encode()).hexdigest()[:8] if query else "batches"
-        fs, root, versions = _versions(spark, path)
-        if versions and versions[-1][1] == writer and versions[-1][2] >= batch_id:
-            return
-        if order:
-            best = Window.partitionBy(key).orderBy(F.desc(order))
-            new = batch.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
-        else:
-            twice = F.raise_error(F.concat(F.lit("equal keys in a batch without order: "), F.col(key).cast("string")))
-            n = F.count("*").over(Window.partitionBy(key))
-            new = batch.withColumn("__n", n).where(F.when(F.col("__n") == 1, True).otherwise(twice.cast("boolean")))
-            new = new.drop("__n")
-        out = upsert_documents(spark.read.parquet(f"{path}/{versions[-1][3]}"), new, key) if versions else new
-        out = keep(out) if keep else out
-        number = versions[-1][0] + 1 if versions else 0
-        out.write.mode("overwrite").parquet(f"{path}/v{number}-{writer}-b{batch_id}")
-        for *_, name in versions[:-1]:
-            fs.delete(root.suffix(f"/{name}"), True)
-
-    return write
-
-
-def read_collection(spark, path: str) -> DataFrame:
-    _, _, versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{versions[-1][3]}")
-
-
-def telemetry_store(path: str, minutes: int = 30) -> Callable[[DataFrame, int], None]:
-    """A writer of telemetry (``row_id``, ahu_id, timestamp, ...) that retains each unit's last minutes."""
-    return collection_writer(path, "row_id", keep=lambda d: retain(d, "ahu_id", "timestamp", minutes))
-
-
-def window_store(path: str, arrival: str, maxlen: int = KEPT_WINDOWS) -> Callable[[DataFrame, int], None]:
-    """A writer of window summaries that retains each unit's newest ``maxlen`` arrivals."""
-    return collection_writer(path, "window_id", arrival, keep=lambda d: ring_buffer(d, arrival, maxlen))
-
-
 def print_rows(df: DataFrame, pretty: bool = False, show: Callable[[str], None] = print) -> int:
     """Rows as JSON, one a line or indented, to standard output; how many.  Rows come a partition at a time."""
     n = 0
