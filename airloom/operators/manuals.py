@@ -44,17 +44,16 @@ def repeated_lines(pages: DataFrame, share: float = REPEATED_SHARE) -> DataFrame
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """Pages without repeated lines and page numbers; pages left without lines have empty text."""
-    kept = page_lines(pages).join(
-        repeated_lines(pages).select("doc_id", "line"), ["doc_id", "line"], "left_anti"
-    ).where(~F.col("line").rlike(r"^\d{1,4}$"))
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"
-    )
-    out = kept.groupBy("doc_id", "page_no").agg(text.alias("text"))
-    return pages.select("doc_id", "page_no").join(out, ["doc_id", "page_no"], "left").withColumn(
-        "text", F.coalesce("text", F.lit(""))
-    )
+    """Pages without repeated lines and page numbers; pages left without lines have empty text.
+
+    A document has few repeated lines (at most twice a page's), so they come to its pages, which stay whole.
+    """
+    few = repeated_lines(pages).groupBy("doc_id").agg(F.collect_set("line").alias("__repeated"))
+    lines = F.transform(F.split("text", LINE_END), lambda x: F.trim(x))
+    none = F.array().cast("array<string>")
+    kept = lambda x: (x != "") & ~x.rlike(r"^\d{1,4}$") & ~F.array_contains(F.coalesce("__repeated", none), x)
+    text = F.coalesce(F.array_join(F.filter(lines, kept), "\n"), F.lit(""))
+    return pages.join(few, "doc_id", "left").select("doc_id", "page_no", text.alias("text"))
 
 
 def normal_space(text: Column) -> Column:
@@ -231,6 +230,117 @@ def page_range(spans: DataFrame, pieces: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "piece").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
 
 
+def indexed_chunks(
+    pages: DataFrame, params: DataFrame | None = None, chunk_tokens: int = CHUNK_TOKENS, overlap_tokens: int = OVERLAP_TOKENS
+) -> DataFrame:
+    """(doc_id, chunk_index, section, chunk_no, heading, chunk, chunk_type, first_word, words, page_start, page_end).
+
+    Chunks of whole manuals from their pages (doc_id, page_no, text), headers removed.  Lines stay rows: running
+    sums give each its section and its first word's place there, so a line knows the windows of words that it meets
+    and the pages come along; no manual and no section is ever one row, and no text is searched for.  ``params``
+    (doc_id, size, overlap) has tokens for single manuals.  A section without headings anywhere in its manual keeps
+    an empty line between pages, as the text it comes from.  Chunks under 30 words go; ``first_word`` counts in
+    the section, heading included.
+    """
+    clean = clean_pages(pages).withColumn("text", normal_space(F.col("text")))
+    lines = clean.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
+    lines = lines.withColumn("h", _is_heading(F.col("line"))).withColumn("n", F.regexp_count("line", F.lit(r"\S+")))
+    block, order = F.floor(F.col("page_no") / PAGE_BLOCK), ["page_no", "line_no"]
+    numbered = running(lines, "doc_id", block, order, F.col("h").cast("int"), F.sum, frame="here")
+    numbered = numbered.withColumnRenamed("running", "section").withColumn(
+        "own", F.concat_ws("|", F.col("section").cast("string"), F.col("doc_id").cast("string"))
+    )
+    placed = running(numbered, "own", block, order, F.col("n"), F.sum).withColumnRenamed("running", "at")
+    of_section = numbered.groupBy("own").agg(
+        F.sum("n").alias("total"),
+        F.count_if(~F.col("h")).alias("bodies"),
+        F.coalesce(F.max(F.when(F.col("h"), F.col("line"))), F.lit("")).alias("heading"),
+    )
+    plain = numbered.groupBy("doc_id").agg((~F.bool_or("h")).alias("plain"))
+    d = placed.join(of_section.where("bodies > 0"), "own").join(plain, "doc_id")
+    tokens, over = F.lit(chunk_tokens), F.lit(overlap_tokens)
+    if params is not None:
+        d = d.join(params.select("doc_id", F.col("size").alias("__size"), F.col("overlap").alias("__over")), "doc_id", "left")
+        tokens, over = F.coalesce("__size", tokens), F.coalesce("__over", over)
+    window = lambda t: F.greatest(F.lit(50), F.floor(t / 1.3)).cast("int")
+    d = d.withColumn("size", window(tokens)).withColumn("whole", F.floor(F.col("total") * 1.3) <= tokens)
+    d = d.withColumn("stride", F.greatest(F.lit(1), F.col("size") - F.least(F.col("size") - 1, window(over))))
+    last = F.greatest(F.lit(0), F.ceil((F.col("total") - F.col("size")) / F.col("stride")))
+    low = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("size") + 1) / F.col("stride")))
+    high = F.least(last, F.floor((F.col("at") + F.col("n") - 1) / F.col("stride")))
+    met = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).when(low <= high, F.sequence(low.cast("long"), high.cast("long")))
+    d = d.withColumn("__words", words).withColumn("__met", F.coalesce(met, F.array().cast("array<long>")))
+
+    def cut(c: Column) -> Column:
+        start = F.greatest(F.lit(0), c * F.col("stride") - F.col("at"))
+        end = F.least(F.col("n"), c * F.col("stride") + F.col("size") - F.col("at"))
+        part = F.array_join(F.slice("__words", (start + 1).cast("int"), (end - start).cast("int")), " ")
+        return F.struct(
+            c.alias("chunk_no"),
+            F.when(F.col("whole"), F.col("line")).otherwise(part).alias("part"),
+            F.when(F.col("whole"), F.col("n")).otherwise(end - start).cast("long").alias("held"),
+        )
+
+    parts = d.select(
+        *"doc_id section own heading plain whole page_no line_no stride".split(), F.inline(F.transform("__met", cut))
+    )
+    gathered = F.array_sort(F.collect_list(F.struct("page_no", "line_no", "part")))
+    chunks = parts.groupBy("doc_id", "section", "chunk_no").agg(
+        gathered.alias("rows"),
+        F.sum("held").alias("words"),
+        F.min("page_no").alias("page_start"),
+        F.max("page_no").alias("page_end"),
+        *(F.first(c).alias(c) for c in ("heading", "plain", "whole", "stride")),
+    )
+    gap = lambda r, i: F.when(i == 0, "").when(
+        F.col("plain") & (r["page_no"] != F.try_element_at("rows", i)["page_no"]), "\n\n"
+    ).otherwise("\n")
+    lined = F.array_join(F.transform("rows", lambda r, i: F.concat(gap(r, i), r["part"])), "")
+    text = F.when(F.col("whole"), lined).otherwise(F.array_join("rows.part", " "))
+    chunks = chunks.where(F.col("words") >= LEAST_WORDS).withColumn("chunk", text)
+    chunks = chunks.withColumn("chunk_type", chunk_type(F.col("heading"), F.col("chunk")))
+    first = (F.col("chunk_no") * F.col("stride")).cast("long").alias("first_word")
+    flat = chunks.select(
+        "doc_id", "section", "chunk_no", "heading", "chunk", "chunk_type", first, "words", "page_start", "page_end"
+    )
+    out = running(flat, "doc_id", F.floor(F.col("section") / PAGE_BLOCK), ["section", "chunk_no"], F.lit(1), F.sum)
+    return out.withColumnRenamed("running", "chunk_index")
+
+
+# Fields of a manual that its chunks carry as they are, as a switch, and as a list in one text.
+PLAIN_FIELDS = ("doc_id", "file_name", "authority", "doc_type", "ui_label", "citation_short")
+SWITCHES = ("supports_diagnosis", "supports_resolution")
+LIST_FIELDS = ("reasoning_role", "equipment_scope", "fault_types", "canonical_topics")
+
+
+def manual_index(pages: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(id, document, metadata): the chunks of manuals as a vector collection takes them, embedding apart.
+
+    ``pages``: file_name, page_no, text.  ``metadata``: one row a file, its fields, and chunk sizes that the manual
+    recommends; files without are left out.  A list is joined by ``|``; a chunk's ``metadata`` has its 17 fields.
+    """
+    has = lambda c: F.col(c) if c in metadata.columns else F.lit(None).cast("string")
+    size, over = bounded_chunk_params(
+        has("recommended_chunk_size_tokens").cast("string"), has("recommended_overlap_tokens").cast("string")
+    )
+    params = metadata.select("doc_id", size.alias("size"), over.alias("overlap"))
+    own = pages.join(metadata.select("file_name", "doc_id"), "file_name").select("doc_id", "page_no", "text")
+    chunks = indexed_chunks(own, params)
+    listed = lambda c: F.array_join(has(c), "|") if dict(metadata.dtypes).get(c, "").startswith("array") else has(c)
+    known = [
+        *(has(c).alias(c) for c in PLAIN_FIELDS),
+        *(F.coalesce(has(c).cast("boolean"), F.lit(False)).alias(c) for c in SWITCHES),
+        *(F.coalesce(listed(c), F.lit("")).alias(c) for c in LIST_FIELDS),
+    ]
+    d = chunks.join(metadata.select(*known), "doc_id")
+    fields = [*PLAIN_FIELDS, *SWITCHES, *LIST_FIELDS, "chunk_index", "chunk_type", "page_start", "page_end"]
+    name = F.concat_ws("::chunk::", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    whole = F.struct(*fields, F.lit("manual").alias("source"))
+    return d.select(name.alias("id"), F.col("chunk").alias("document"), whole.alias("metadata"))
+
+
 def bounded_chunk_params(size: Column, overlap: Column) -> tuple[Column, Column]:
     """Recommended sizes within the bounds; missing ones and texts that aren't numbers are the defaults."""
     own = F.coalesce(size.try_cast("int"), F.lit(CHUNK_TOKENS))

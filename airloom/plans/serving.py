@@ -13,7 +13,7 @@ from ..operators import diagnosis, gating, incidents, live, manuals, normalize,
 from ..sources import adapter, readers
 from ..sources.adapter import TELEMETRY_SQL, read, telemetry
 from . import telemetry as base
-from .text import _SECT
+from .text import _HEAD, _SECT
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -701,6 +701,71 @@ def q89_manual_chunks(spark, sf):
     return c.withColumn("chunk", F.md5("chunk"))
 
 
+_bounded = "greatest(300, least(2000, 300 + 100 * (n_nationkey % 3)))"
+
+
+@query(
+    f"""WITH {_LINES}, np AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM pg GROUP BY 1),
+rep AS (SELECT doc_id, line FROM ln JOIN np USING (doc_id) WHERE line <> '' AND length(line) <= 80
+  GROUP BY doc_id, line, n HAVING count(DISTINCT page_no) / n >= 0.5),
+m AS (SELECT n_nationkey AS k, n_name, 'f' || n_nationkey || '.pdf' AS file_name, {_bounded} AS tokens,
+        greatest(50, floor({_bounded} / 1.3)::INT) AS size, greatest(50, floor(100 / 1.3)::INT) AS over,
+        n_regionkey FROM nation),
+dl AS (SELECT m.*, page_no, line_no, trim(regexp_replace(replace(line, chr(160), ' '), '[ \\t]+', ' ', 'g')) AS s FROM ln
+       JOIN m ON m.k = ln.doc_id WHERE line <> '' AND NOT regexp_full_match(line, '\\d{{1,4}}')
+         AND (doc_id, line) NOT IN (SELECT (doc_id, line) FROM rep)),
+hd AS (SELECT *, {_HEAD} AS h, len(regexp_extract_all(s, '\\S+')) AS n FROM dl WHERE s <> ''),
+sc AS (SELECT *, sum(h::INT) OVER w AS section, bool_or(h) OVER (PARTITION BY k) AS headed FROM hd
+       WINDOW w AS (PARTITION BY k ORDER BY page_no, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT k, section, sum(n) AS total, coalesce(max(s) FILTER (WHERE h), '') AS heading,
+        count(*) FILTER (WHERE NOT h) AS bodies FROM sc GROUP BY 1, 2),
+pv AS (SELECT *, lag(page_no) OVER (PARTITION BY k, section ORDER BY page_no, line_no) AS before,
+         lag(section) OVER (PARTITION BY k, section ORDER BY page_no, line_no) IS NULL AS first FROM sc),
+c0 AS (SELECT pv.k, section, 0 AS chunk_no, any_value(heading) AS heading, any_value(total) AS words,
+         string_agg(CASE WHEN first THEN '' WHEN NOT headed AND before <> page_no THEN chr(10) || chr(10) ELSE chr(10) END
+           || s, '' ORDER BY page_no, line_no) AS chunk, min(page_no) AS page_start, max(page_no) AS page_end
+       FROM pv JOIN g USING (k, section) WHERE bodies > 0 AND floor(total * 1.3::DOUBLE) <= tokens GROUP BY 1, 2),
+wd AS (SELECT k, section, page_no, size, greatest(1, size - least(size - 1, over)) AS stride, total, heading, word,
+         row_number() OVER (PARTITION BY k, section ORDER BY page_no, line_no, i) - 1 AS pos
+       FROM (SELECT *, unnest(regexp_extract_all(s, '\\S+')) AS word, unnest(range(n)) AS i FROM sc) JOIN g USING (k, section)
+       WHERE bodies > 0 AND floor(total * 1.3::DOUBLE) > tokens),
+cw AS (SELECT *, unnest(range(greatest(0, ceil((pos - size + 1) / stride)::INT), least(greatest(0,
+         ceil((total - size) / stride)::INT), pos // stride) + 1)) AS chunk_no FROM wd),
+c1 AS (SELECT k, section, chunk_no, any_value(heading), count(*), string_agg(word, ' ' ORDER BY pos), min(page_no), max(page_no)
+       FROM cw GROUP BY 1, 2, 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY section, chunk_no) - 1 AS chunk_index
+      FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1) WHERE words >= 30)
+SELECT n_name || '::chunk::' || chunk_index AS id, md5(chunk) AS document, n_name AS doc_id, file_name,
+  n_regionkey % 2 = 0 AS supports_diagnosis, 'r' || n_regionkey || '|' || n_name AS fault_types,
+  CASE WHEN contains({_h}, 'table of contents') OR trim({_h}) = 'contents' OR (contains({_h},
+  'contents') AND len(list_filter(string_split_regex({_h}, '\\s+'), lambda w: w <> '')) <= 3) THEN 'toc'
+  WHEN contains({_h}, 'fault') AND (contains({_h}, 'table') OR contains({_t}, 'table')) THEN 'fault_table'
+  WHEN {_any(manuals.PROCEDURE_WORDS)} THEN 'procedure' WHEN {_any(manuals.CHECKLIST_WORDS)} THEN 'checklist'
+  WHEN {_any(manuals.DEFINITION_WORDS)} THEN 'definition' WHEN {_any(manuals.EQUATION_WORDS)} THEN 'equation'
+  WHEN {_any(manuals.EXAMPLE_WORDS)} THEN 'case_example'
+  WHEN regexp_matches({_t}, '\\bprocedure\\b') AND regexp_matches({_t}, '\\bstep\\b') THEN 'procedure'
+  ELSE 'general_section' END AS chunk_type, page_start, page_end, 'manual' AS source
+FROM f JOIN m ON m.k = f.k"""
+)
+def q102_manual_index(spark, sf):
+    """Documents as pages of forty manuals, of which the nations describe twenty-five."""
+    pages = read(spark, sf, "documents").select(
+        F.concat(F.lit("f"), F.col("doc_id") % 40, F.lit(".pdf")).alias("file_name"), F.col("doc_id").alias("page_no"), "text"
+    )
+    metadata = read(spark, sf, "nation").selectExpr(
+        "concat('f', n_nationkey, '.pdf') AS file_name",
+        "n_name AS doc_id",
+        "n_regionkey % 2 = 0 AS supports_diagnosis",
+        "array(concat('r', n_regionkey), n_name) AS fault_types",
+        "CAST(300 + 100 * (n_nationkey % 3) AS STRING) AS recommended_chunk_size_tokens",
+        "'100' AS recommended_overlap_tokens",
+    )
+    shown = "doc_id file_name supports_diagnosis fault_types chunk_type page_start page_end source".split()
+    return manuals.manual_index(pages, metadata).select(
+        "id", F.md5("document").alias("document"), *(f"metadata.{c}" for c in shown)
+    )
+
+
 # --- intake
 
 
