@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,19 +127,84 @@ def kv_line(line: Column) -> Column:
     )
 
 
-def retrieval_log(spark: SparkSession, path: str) -> DataFrame:
-    """A retrieval log's ``k=v | k=v`` lines with the heading above them (lines of ``== name ==``)."""
-    from pyspark.sql import Window
-
-    rows = spark.read.option("wholetext", True).text(path).select(
-        F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")
-    )
-    title = F.when(F.col("line").rlike(r"^\s*=+.*\S.*=+\s*$"), F.regexp_replace("line", r"^[\s=]+|[\s=]+$", ""))
-    section = F.last(title, ignorenulls=True).over(
-        Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, n, line) of text files; block and n put a file's lines in order, however it was split."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"),
+        F.col("value").alias("line"),
     )
-    return rows.withColumn("section", section).where(F.col("line").contains("=") & title.isNull()).select(
-        "file", "n", "section", kv_line(F.col("line")).alias("kv")
+
+
+def last_summaries(spark: SparkSession, path: str, most: int, unit: str | None = None) -> DataFrame:
+    """The last ``most`` summaries of each unit (or of one) by their lines' order; lines that aren't objects are skipped."""
+    d = ordered_lines(spark, path).withColumn("w", F.from_json("line", SUMMARY_SCHEMA))
+    ok = F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull()
+    d = d.where(ok & F.col("w").isNotNull())
+    if unit is not None:
+        d = d.where(F.col("w.ahu_id") == unit)
+    latest = Window.partitionBy("w.ahu_id").orderBy(F.desc("file"), F.desc("block"), F.desc("n"))
+    return d.withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= most).select("w.*")
+
+
+# Marks of a retrieval log's lines and the corpora that its headings name.
+LOG_CORPORA = {"Manuals": "manuals", "Past Cases": "past_cases"}
+LOG_SNIPPET, LOG_END = "snippet:", "✅"
+LOG_MOST = 3
+
+
+def retrieval_log(spark: SparkSession, path: str, most: int = LOG_MOST) -> DataFrame:
+    """(file, query, fault_type, corpus, rank, doc_id, distance, metadata, text): documents that retrieval logs show.
+
+    A section ``Qn:`` ends at the next line that starts with Q; under a corpus' heading an entry ``#k id=`` has a
+    distance, ``key=value | ...`` lines that begin with doc_id or case_id, and a snippet up to an empty line.
+    Of a corpus the first ``most`` entries count, of a file the first section of a number.  Lines become rows; windows
+    over a section find what each belongs to.
+    """
+    d = ordered_lines(spark, path).withColumn("s", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
+    in_file = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("section", F.count_if(F.col("s").startswith("Q")).over(in_file)).where("section > 0")
+    order = Window.partitionBy("file", "section").orderBy("block", "n")
+    so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.col("s").startswith("#") & F.col("s").contains("id=")
+    stop = (F.col("s") == "") | entry | F.col("s").startswith(LOG_END)
+    mark = F.when(stop, 0).when(F.col("s") == LOG_SNIPPET, 1)
+    d = d.withColumn("entry", entry).withColumn("mark", mark).withColumn("stop", stop)
+    inside = F.coalesce(F.last("mark", ignorenulls=True).over(earlier), F.lit(0)) == 1
+    d = d.withColumn("inside", inside & ~F.col("stop"))
+    named = F.coalesce(*[F.when(F.col("s").startswith(k), F.lit(v)) for k, v in LOG_CORPORA.items()])
+    d = d.withColumn("named", F.when(~F.col("inside"), named))
+    d = d.withColumn("corpus", F.last("named", ignorenulls=True).over(so_far))
+    d = d.withColumn("item", F.count_if(F.col("entry") | F.col("named").isNotNull()).over(so_far))
+    first = F.first("s").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    d = d.withColumn("query", F.regexp_extract(first, r"^Q(\d+):", 1).try_cast("int"))
+    d = d.withColumn("fault_type", F.when(first.contains("fault_type="), F.trim(F.regexp_replace(first, r"^.*?fault_type=", ""))))
+    after = lambda mark: F.regexp_replace("s", rf"^.*?{mark}=", "")
+    far = F.regexp_extract(after("distance"), r"^\s*(\S+)", 1).try_cast("double")
+    told = ~F.col("inside") & F.col("s").contains("distance=")
+    facts = ~F.col("inside") & F.col("s").rlike("^(doc_id|case_id)=")
+    shown = F.col("inside") & (F.col("s") != "")
+    place = F.struct("block", "n")
+    of_number = Window.partitionBy("file", "query")
+    d = d.where("query IS NOT NULL").withColumn("whole", F.col("section") == F.min("section").over(of_number))
+    items = d.where("whole AND corpus IS NOT NULL").groupBy("file", "section", "query", "item").agg(
+        F.max("fault_type").alias("fault_type"),
+        F.min("corpus").alias("corpus"),
+        F.max(F.when(F.col("entry"), F.trim(after("id")))).alias("doc_id"),
+        F.max_by(F.when(told, F.struct(far.alias("v"))), F.when(told, place))["v"].alias("distance"),
+        F.array_sort(F.collect_list(F.when(facts, F.struct(place.alias("p"), F.map_entries(kv_line(F.col("s"))).alias("kv"))))).alias("facts"),
+        F.array_sort(F.collect_list(F.when(shown, F.struct(place.alias("p"), "s")))).alias("lines"),
+    ).where("doc_id <> ''")
+    kept = Window.partitionBy("file", "section", "corpus").orderBy("item")
+    items = items.withColumn("rank", F.row_number().over(kept)).where(F.col("rank") <= most)
+    pairs = F.flatten("facts.kv")
+    names = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+    value = lambda k: F.try_element_at(F.filter(pairs, lambda e: e["key"] == k), F.lit(-1))["value"]
+    return items.select(
+        *"file query fault_type corpus rank doc_id distance".split(),
+        F.map_from_arrays(names, F.transform(names, value)).alias("metadata"),
+        F.array_join("lines.s", " ").alias("text"),
     )
 
 
