@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import serving, streams, telemetry, text, tickets
+from . import roundtrip, serving, streams, telemetry, text, tickets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (telemetry, tickets, text, serving, streams):
+for part in (telemetry, tickets, text, serving, streams, roundtrip):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 

@@ -57,17 +57,22 @@ c AS (SELECT unit, w, count(*) FILTER (WHERE NOT dup AND NOT late) AS samples,
 s AS (SELECT unit, unnest(range(min(w), max(w), {base.SIZE})) AS w FROM c GROUP BY unit)"""
 
 
+def _late_arrivals(spark, sf: str) -> DataFrame:
+    """(unit, ts, seq, key): every seventeenth event comes 200 events late, every fiftieth comes again."""
+    e = _event_stream(spark, sf).select(F.col("ahu_id").alias("unit"), F.unix_timestamp("timestamp").alias("ts_s"), "event_id")
+    late = F.expr("(event_id + IF(event_id % 17 = 0, 200, 0)) * 4 + IF(event_id % 17 = 0, 1, 0)")
+    again = e.where("event_id % 50 = 0").withColumn("seq", F.expr("(event_id + 15) * 4 + 2"))
+    both = e.withColumn("seq", late).unionByName(again)
+    return both.select("unit", (F.col("ts_s") * 1_000_000).alias("ts"), "seq", F.col("ts_s").cast("string").alias("key"))
+
+
 @query(
     f"WITH {_ARRIVALS} SELECT unit, s.w AS window_s, coalesce(samples, 0) AS sample_count, coalesce(dups, 0) AS "
     f"duplicate_count, coalesce(lates, 0) AS late_count FROM s LEFT JOIN c USING (unit, w)"
 )
 def st_unit_windows(spark, sf):
     """Windows closed by each unit's own watermark, empty ones too: events that come late, and every fiftieth again."""
-    e = _event_stream(spark, sf).select(F.col("ahu_id").alias("unit"), F.unix_timestamp("timestamp").alias("ts_s"), "event_id")
-    late = F.expr("(event_id + IF(event_id % 17 = 0, 200, 0)) * 4 + IF(event_id % 17 = 0, 1, 0)")
-    again = e.where("event_id % 50 = 0").withColumn("seq", F.expr("(event_id + 15) * 4 + 2"))
-    both = e.withColumn("seq", late).unionByName(again)
-    d = both.select("unit", (F.col("ts_s") * 1_000_000).alias("ts"), "seq", F.col("ts_s").cast("string").alias("key"))
+    d = _late_arrivals(spark, sf)
     closed = state.unit_windows(d, (), base.SIZE, HORIZON)
     window = F.expr("`window` DIV 1000000").alias("window_s")
     out = closed.select("unit", window, "sample_count", "duplicate_count", "late_count")
