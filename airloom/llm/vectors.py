@@ -7,7 +7,7 @@ import logging
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,11 @@ BEAM, QUERIES = 32, 256
 BLOCK_ROWS = 2_048
 #: A query with more hits than this is compared with its whole shard, which finds no less and is faster.
 DENSE = 128
-#: Recall is audited on so many vectors against all; a label below the least is done again with shards that overlap
-#: more, and at last by comparing all its pairs.
-AUDIT_ROWS, LEAST_RECALL, OVERLAPS = 256, 0.97, (2, 4)
+#: Recall is audited on so many vectors of each label against all of it; a label below the least is done again with
+#: shards that overlap more, and at last by comparing all its pairs.
+AUDIT_ROWS, LEAST_RECALL, OVERLAPS = 64, 0.97, (2, 4)
+#: With more poor labels than these all labels are done again, so that no longer list is needed.
+MOST_POOR = 10_000
 log = logging.getLogger(__name__)
 
 
@@ -76,10 +78,11 @@ def centroids(x: np.ndarray, k: int, steps: int = 10) -> np.ndarray:
 
 
 def shards(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> DataFrame:
-    """(node, raw, shard, home): every node in the shards of its ``overlap`` nearest centroids, one of them its home.
+    """(node, raw, shard, home): every node in the shard of its nearest centroid, its home, and beside it in others.
 
     A label's vectors of one length are a shard; a shard over SHARD_ROWS is split by centroids fitted on a
-    sample of its own rows, and so on.  Centroids are dealt to the tasks that assign a shard's rows, of which
+    sample of its own rows, and so on.  At each split a node at home goes to its ``overlap`` nearest centroids,
+    a guest to its nearest, so a node has 1 + (overlap - 1) * levels shards at most.  Centroids are dealt to the tasks that assign a shard's rows, of which
     there are as many as the shard needs; nothing of this reaches the driver.
     """
 
@@ -95,19 +98,24 @@ def shards(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> DataF
         sim = unit_vectors(rows.raw.tolist(), kind) @ centres.T
         near = np.argsort(-sim, axis=1, kind="stable")[:, :overlap]
         m = near.shape[1]
-        first = np.arange(near.size) % m == 0
+        home = rows.home.to_numpy(bool)
+        rank = np.broadcast_to(np.arange(m), near.shape)
+        goes = home[:, None] | (rank == 0)
+        which = np.nonzero(goes)[0]
         return pd.DataFrame(
             {
-                "node": np.repeat(rows.node.to_numpy(), m),
-                "raw": np.repeat(rows.raw.to_numpy(object), m),
-                "parent": np.repeat(rows.shard.to_numpy(), m),
-                "place": near.ravel(),
-                "home": np.repeat(rows.home.to_numpy(bool), m) & first,
+                "node": rows.node.to_numpy()[which],
+                "raw": rows.raw.to_numpy(object)[which],
+                "parent": rows.shard.to_numpy()[which],
+                "place": near[goes],
+                "home": home[which] & (rank[goes] == 0),
             }
         )
 
     start = F.xxhash64("label", F.length("raw")).alias("shard")
     live, done = nodes.select("node", "raw", start, F.lit(True).alias("home")), []
+    # a guest that meets its own node in a shard is one row there
+    one = lambda d: d.groupBy("node", "shard").agg(F.first("raw").alias("raw"), F.max("home").alias("home"))
     for level in range(MOST_LEVELS):
         size = live.groupBy("shard").count().where(F.col("count") > SHARD_ROWS)
         wish = F.ceil(F.col("count") * (2 * overlap) / SHARD_ROWS)
@@ -129,7 +137,7 @@ def shards(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> DataF
         both = salted.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt"))
         schema = "node long, raw binary, parent long, place int, home boolean"
         split = both.applyInPandas(assign, schema).withColumn("shard", F.xxhash64("parent", "place", F.lit(level)))
-        live = scratch.keep(split.select("node", "raw", "shard", "home"), "shards")
+        live = scratch.keep(one(split).select("node", "raw", "shard", "home"), "shards")
     for part in done:
         live = live.unionByName(part)
     return live
@@ -246,7 +254,7 @@ def _exact(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
         "n", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")
     )
     dealt = nodes.withColumn("bytes", F.length("raw")).join(
-        F.broadcast(size.select("label", "bytes", "n")), ["label", "bytes"]
+        size.select("label", "bytes", "n"), ["label", "bytes"]
     )
     dealt = scratch.keep(
         dealt.select(
@@ -343,38 +351,41 @@ def _search(nodes: DataFrame, scratch: Scratch, kind: str, overlap: int) -> Data
 
 
 def _recall(nodes: DataFrame, found: DataFrame, kind: str) -> dict[str, float]:
-    """By label, the share of the links of AUDIT_ROWS nodes (smallest hashes) against all rows that was found."""
-    asked = nodes.orderBy(
-        F.xxhash64("node", F.lit(7)), "node"
-    ).limit(AUDIT_ROWS).select("node", "label", "raw").collect()
-    keys = np.array([r["node"] for r in asked], np.int64)
-    groups: dict[tuple, list[int]] = {}
-    for i, r in enumerate(asked):
-        groups.setdefault((r["label"], len(r["raw"])), []).append(i)
-
-    def count(batches):
-        vectors = {k: unit_vectors([asked[i]["raw"] for i in own], kind) for k, own in groups.items()}
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            rows: dict[tuple, list[bytes]] = {}
-            for label, raw in zip(batch.column("label").to_pylist(), batch.column("raw").to_pylist()):
-                if (label, len(raw)) in groups:
-                    rows.setdefault((label, len(raw)), []).append(raw)
-            for k, own in rows.items():
-                total[groups[k]] += (vectors[k] @ unit_vectors(own, kind).T >= LEAST_COSINE).sum(axis=1)
-        yield pa.record_batch({"node": pa.array(keys), "n": pa.array(total)})
-
-    exact = nodes.select("label", "raw").mapInArrow(count, "node long, n long").groupBy("node")
-    exact = exact.agg((F.sum("n") - 1).alias("n"))
-    own = found.join(F.broadcast(exact.select("node")), "node").groupBy("node").agg(F.sum("pairs").alias("pairs"))
-    got = {r["node"]: (r["n"], r["pairs"] or 0) for r in exact.join(own, "node", "left").collect()}
-    sums: dict[str, list[int]] = {}
-    for r in asked:
-        n, pairs = got[r["node"]]
-        total = sums.setdefault(r["label"], [0, 0])
-        total[0] += n
-        total[1] += min(n, pairs)
-    return {label: pairs / n if n else 1.0 for label, (n, pairs) in sums.items()}
+    """By label, the share found of the links that AUDIT_ROWS of its nodes (smallest hashes) have in all of it.
+
+    Only labels below LEAST_RECALL are told, MOST_POOR + 1 of them at most.  A label's rows are compared in
+    blocks, each with the nodes asked, so neither labels nor rows are gathered anywhere.
+    """
+    first = Window.partitionBy("label").orderBy(F.xxhash64("node", F.lit(7)), "node")
+    asked = nodes.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= AUDIT_ROWS)
+    asked = asked.select("label", F.length("raw").alias("bytes"), "node", "raw")
+    asked = Scratch(nodes.sparkSession).keep(asked, "asked")
+    blocks = nodes.groupBy("label", F.length("raw").alias("bytes")).agg(
+        F.ceil(F.count("*") / ASSIGNED_ROWS).cast("int").alias("n")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt")
+    dealt = asked.join(blocks, ["label", "bytes"]).select("label", "bytes", "node", "raw", every)
+    rows = nodes.select("label", F.length("raw").alias("bytes"), "node", "raw").join(blocks, ["label", "bytes"])
+    rows = rows.select("label", "bytes", "raw", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("salt"))
+
+    def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"node": [], "n": []}).astype("int64")
+        x, total = unit_vectors(q.raw.tolist(), kind), np.zeros(len(q), np.int64)
+        for a in range(0, len(r), BLOCK_ROWS):
+            total += (x @ unit_vectors(r.raw.iloc[a : a + BLOCK_ROWS].tolist(), kind).T >= LEAST_COSINE).sum(axis=1)
+        return pd.DataFrame({"node": q.node.to_numpy(np.int64), "n": total})
+
+    key = ["label", "bytes", "salt"]
+    exact = dealt.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(count, "node long, n long")
+    exact = exact.groupBy("node").agg((F.sum("n") - 1).alias("n"))
+    own = found.join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("pairs").alias("pairs"))
+    got = asked.select("label", "node").join(exact, "node").join(own, "node", "left")
+    shares = got.groupBy("label").agg(
+        F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("pairs", F.lit(0)))).alias("pairs")
+    )
+    poor = shares.where(F.col("pairs") < F.col("n") * LEAST_RECALL).limit(MOST_POOR + 1)
+    return {r["label"]: r["pairs"] / r["n"] for r in poor.collect()}
 
 
 def _found(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
@@ -384,15 +395,13 @@ def _found(nodes: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
         found = _search(left, scratch, kind, overlap)
         recall = _recall(left, found, kind)
         poor = sorted(label for label, r in recall.items() if r < LEAST_RECALL)
-        log.info("overlap %d: recall by label %s", overlap, recall)
+        log.info("overlap %d: recall by label below %s: %s", overlap, LEAST_RECALL, recall)
         if not poor:
             return _union([*done, found])
-        again = left.where(F.col("label").isin(poor))
-        if len(poor) < len(recall):
+        if len(poor) <= MOST_POOR:
+            again = left.where(F.col("label").isin(poor))
             done.append(found.join(again.select("node"), "node", "left_anti"))
-        else:  # every audited label is poor, so those that weren't audited are taken for poor as well
-            again = left
-        left = again
+            left = again
     log.info("all pairs of %s", "the labels left" if done else "every label")
     return _union([*done, _exact(left, scratch, kind)])
 
