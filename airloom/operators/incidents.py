@@ -78,15 +78,14 @@ def presence(windows: DataFrame) -> DataFrame:
 
 
 def streaks(present: DataFrame) -> DataFrame:
-    """``rl``: length so far of the run of equal ``s``."""
+    """``rl``: length so far of the run of equal ``s``, all by windows over one order of a unit's fault."""
     w = Window.partitionBy("ahu_id", "fault").orderBy("i")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     change = F.when(F.lag("s").over(w).eqNullSafe(F.col("s")), 0).otherwise(1)
-    d = present.withColumn("__c", change).withColumn(
-        "island", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return d.withColumn(
-        "rl", F.row_number().over(Window.partitionBy("ahu_id", "fault", "island").orderBy("i"))
-    ).drop("__c")
+    d = present.withColumns({"__c": change, "__n": F.row_number().over(w)})
+    begun = F.max(F.when(F.col("__c") == 1, F.col("__n"))).over(so_far)
+    d = d.withColumns({"island": F.sum("__c").over(so_far), "rl": F.col("__n") - begun + 1})
+    return d.drop("__c", "__n")
 
 
 def episodes(streaked: DataFrame, n_trigger: int = 2, k_clear: int = 3) -> DataFrame:

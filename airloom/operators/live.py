@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_window_evidence, iso_z, severity_rank
+from .ordering import running
 
 
 def latest(df: DataFrame, key: str, time: str, value: list[str]) -> DataFrame:
@@ -31,12 +32,17 @@ def retain(df: DataFrame, key: str, time: str, minutes: int) -> DataFrame:
     ).drop("__k", "__newest")
 
 
-def downsample(df: DataFrame, key: str, time: list[str], most: int) -> DataFrame:
-    """Every k-th row of each key and its last one, about ``most`` rows."""
-    w = Window.partitionBy(key)
-    rows = df.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(*time)))
+def downsample(df: DataFrame, key: str, time: list[str], most: int, block_sec: int = 30 * 86_400) -> DataFrame:
+    """Every k-th row of each key and its last one, about ``most`` rows.
+
+    Rows are numbered by blocks of time, so a key with a long history is spread over tasks.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    block = F.coalesce(F.floor(F.col(time[0]).cast("double") / block_sec), F.lit(-(1 << 62)))
+    rows = running(df, key, block, time, F.lit(1), F.sum).withColumnRenamed("running", "__i").join(counts, key)
     step = F.when(F.col("__n") <= most, 1).otherwise(F.ceil(F.col("__n") / most))
-    return rows.where((F.pmod(F.col("__i") - 1, step) == 0) | (F.col("__i") == F.col("__n"))).drop("__n", "__i")
+    kept = rows.where((F.pmod(F.col("__i"), step) == 0) | (F.col("__i") == F.col("__n") - 1))
+    return kept.select(*df.columns)
 
 
 def in_range(df: DataFrame, time: str, start: str, end: str) -> DataFrame:

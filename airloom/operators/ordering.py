@@ -12,16 +12,29 @@ def first_arrivals(df: DataFrame, key: list[str], arrival: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def running_watermark(df: DataFrame, unit: str, time: str, arrival: str, horizon_sec: int) -> DataFrame:
-    """Each unit's watermark after every arrival: the latest time so far less the horizon."""
-    w = Window.partitionBy(unit).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("watermark", F.max(time).over(w) - F.expr(f"INTERVAL {horizon_sec} SECONDS"))
-
+def running_watermark(
+    df: DataFrame, unit: str, time: str, arrival: str, horizon_sec: int, block_rows: int = 1_000_000
+) -> DataFrame:
+    """Each unit's watermark after every arrival (a number): the latest time so far less the horizon."""
+    block = F.coalesce(F.floor(F.col(arrival) / block_rows), F.lit(-(1 << 62)))
+    d = running(df, unit, block, [arrival], F.col(time), F.max, frame="here")
+    return d.select(*df.columns, (F.col("running") - F.expr(f"INTERVAL {horizon_sec} SECONDS")).alias("watermark"))
+
+
+def gaps(
+    df: DataFrame,
+    unit: str = "ahu_id",
+    time: str = "timestamp",
+    ties: tuple[str, ...] = (),
+    block_sec: int = 30 * 86_400,
+) -> DataFrame:
+    """``gap_s``: seconds since the unit's row before; null for its first.  Rows of one time follow ``ties``.
 
-def gaps(df: DataFrame, unit: str = "ahu_id", time: str = "timestamp", ties: tuple[str, ...] = ()) -> DataFrame:
-    """``gap_s``: seconds since the unit's row before; null for its first.  Rows of one time follow ``ties``."""
-    before = F.lag(time).over(Window.partitionBy(unit).orderBy(time, *ties))
-    return df.withColumn("gap_s", (F.unix_micros(time) - F.unix_micros(before)) / 1e6)
+    In the order of time the row before has the latest time so far, so a unit's rows are cut into blocks of time.
+    """
+    block = F.coalesce(F.floor(F.unix_timestamp(time) / block_sec), F.lit(-(1 << 62)))
+    d = running(df, unit, block, [time, *ties], F.col(time), F.max)
+    return d.select(*df.columns, ((F.unix_micros(time) - F.unix_micros("running")) / 1e6).alias("gap_s"))
 
 
 def replay_schedule(df: DataFrame, speed: float = 1.0, time: str = "timestamp") -> DataFrame:

@@ -95,8 +95,17 @@ def references(new: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
     New tickets that share digits all get more; references in ``taken`` (ticket_ref) stay with their tickets.
     """
-    widths = F.array(*[F.lit(n) for n in (*range(REFERENCE_DIGITS, 13), 16, 40)])
-    wide = new.select("ticket_id").distinct().select("ticket_id", F.explode(widths).alias("n"))
+    ids = new.select("ticket_id").distinct()
+    short = ids.withColumn("n", F.lit(REFERENCE_DIGITS)).withColumn("ticket_ref", ticket_ref(F.col("ticket_id"), F.col("n")))
+    met = F.count("*").over(Window.partitionBy("ticket_ref")) > 1
+    if taken is not None:
+        known = taken.select("ticket_ref").distinct().withColumn("__taken", F.lit(True))
+        short = short.join(known, "ticket_ref", "left")
+        met = met | F.coalesce("__taken", F.lit(False))
+    short = short.withColumn("met", met)
+    # those that meet share their digits, so longer ones are compared among themselves only
+    widths = F.array(*[F.lit(n) for n in (*range(REFERENCE_DIGITS + 1, 13), 16, 40)])
+    wide = short.where("met").select("ticket_id", F.explode(widths).alias("n"))
     wide = wide.withColumn("ticket_ref", ticket_ref(F.col("ticket_id"), F.col("n")))
     once = wide.groupBy("ticket_ref").agg(
         F.count("*").alias("c"), F.min("ticket_id").alias("ticket_id"), F.min("n").alias("n")
@@ -104,7 +113,8 @@ def references(new: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     free = once.where("c = 1")
     if taken is not None:
         free = free.join(taken.select("ticket_ref").distinct(), "ticket_ref", "left_anti")
-    return free.groupBy("ticket_id").agg(F.min_by("ticket_ref", "n").alias("ticket_ref"))
+    longer = free.groupBy("ticket_id").agg(F.min_by("ticket_ref", "n").alias("ticket_ref"))
+    return short.where("NOT met").select("ticket_id", "ticket_ref").unionByName(longer)
 
 
 def upsert(
