@@ -96,7 +96,7 @@ def references(new: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     New tickets that share digits all get more; references in ``taken`` (ticket_ref) stay with their tickets.
     """
     ids = new.select("ticket_id").distinct()
-    short = ids.withColumn("n", F.lit(REFERENCE_DIGITS)).withColumn("ticket_ref", ticket_ref(F.col("ticket_id"), F.col("n")))
+    short = ids.withColumn("ticket_ref", ticket_ref(F.col("ticket_id"), F.lit(REFERENCE_DIGITS)))
     met = F.count("*").over(Window.partitionBy("ticket_ref")) > 1
     if taken is not None:
         known = taken.select("ticket_ref").distinct().withColumn("__taken", F.lit(True))

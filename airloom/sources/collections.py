@@ -149,7 +149,7 @@ def window_store(path: str, arrival: str, maxlen: int = KEPT_WINDOWS) -> Callabl
 
 
 def ticket_store(path: str, now: str, buckets: int = BUCKETS, incomplete: str = "raise"):
-    """A writer of ticket patches (``ticket_id``, ``seq``, fields) into the collection at ``path``; see ``tickets.upsert``.
+    """A writer of ticket patches (``ticket_id``, ``seq``, fields) into a collection; see ``tickets.upsert``.
 
     References of new tickets are checked against those of the buckets that the batch touches.
     """

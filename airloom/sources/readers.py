@@ -138,7 +138,7 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_summaries(spark: SparkSession, path: str, most: int, unit: str | None = None) -> DataFrame:
-    """The last ``most`` summaries of each unit (or of one) by their lines' order; lines that aren't objects are skipped."""
+    """The last ``most`` summaries of each unit (or of one) by their lines' order; other lines are skipped."""
     d = ordered_lines(spark, path).withColumn("w", F.from_json("line", SUMMARY_SCHEMA))
     ok = F.trim("line").startswith("{") & F.try_parse_json("line").isNotNull()
     d = d.where(ok & F.col("w").isNotNull())
@@ -179,13 +179,15 @@ def retrieval_log(spark: SparkSession, path: str, most: int = LOG_MOST) -> DataF
     d = d.withColumn("item", F.count_if(F.col("entry") | F.col("named").isNotNull()).over(so_far))
     first = F.first("s").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     d = d.withColumn("query", F.regexp_extract(first, r"^Q(\d+):", 1).try_cast("int"))
-    d = d.withColumn("fault_type", F.when(first.contains("fault_type="), F.trim(F.regexp_replace(first, r"^.*?fault_type=", ""))))
+    fault = F.trim(F.regexp_replace(first, r"^.*?fault_type=", ""))
+    d = d.withColumn("fault_type", F.when(first.contains("fault_type="), fault))
     after = lambda mark: F.regexp_replace("s", rf"^.*?{mark}=", "")
     far = F.regexp_extract(after("distance"), r"^\s*(\S+)", 1).try_cast("double")
     told = ~F.col("inside") & F.col("s").contains("distance=")
     facts = ~F.col("inside") & F.col("s").rlike("^(doc_id|case_id)=")
     shown = F.col("inside") & (F.col("s") != "")
     place = F.struct("block", "n")
+    pairs = F.struct(place.alias("p"), F.map_entries(kv_line(F.col("s"))).alias("kv"))
     of_number = Window.partitionBy("file", "query")
     d = d.where("query IS NOT NULL").withColumn("whole", F.col("section") == F.min("section").over(of_number))
     items = d.where("whole AND corpus IS NOT NULL").groupBy("file", "section", "query", "item").agg(
@@ -193,7 +195,7 @@ def retrieval_log(spark: SparkSession, path: str, most: int = LOG_MOST) -> DataF
         F.min("corpus").alias("corpus"),
         F.max(F.when(F.col("entry"), F.trim(after("id")))).alias("doc_id"),
         F.max_by(F.when(told, F.struct(far.alias("v"))), F.when(told, place))["v"].alias("distance"),
-        F.array_sort(F.collect_list(F.when(facts, F.struct(place.alias("p"), F.map_entries(kv_line(F.col("s"))).alias("kv"))))).alias("facts"),
+        F.array_sort(F.collect_list(F.when(facts, pairs))).alias("facts"),
         F.array_sort(F.collect_list(F.when(shown, F.struct(place.alias("p"), "s")))).alias("lines"),
     ).where("doc_id <> ''")
     kept = Window.partitionBy("file", "section", "corpus").orderBy("item")

@@ -111,7 +111,8 @@ class ReplayReader(DataSourceStreamReader):
             at = batch.column(batch.schema.get_field_index(TIME))
             rows = batch.filter(pc.and_(pc.greater(at, partition.after), pc.less_equal(at, partition.until)))
             if len(rows):
-                yield pa.RecordBatch.from_arrays([rows.column(c).cast(kinds.field(c).type) for c in names], schema=kinds)
+                columns = [rows.column(c).cast(kinds.field(c).type) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
     def commit(self, end: dict) -> None:
         self.at = max(self.at or 0, end["at"])

@@ -339,9 +339,8 @@ def incident_changes(
         none("long").alias("n"),
     )
     if updates is not None:
-        told = updates.select(
-            "ahu_id", "at", "fault", "ticket_id", "lifecycle_status", "diagnosis_status", F.col("occurrence_count").alias("n")
-        )
+        own = "ahu_id at fault ticket_id lifecycle_status diagnosis_status".split()
+        told = updates.select(*own, F.col("occurrence_count").alias("n"))
         d = d.unionByName(told, allowMissingColumns=True)
     first = None
     if open_tickets is not None:

@@ -70,6 +70,9 @@ def account(events: DataFrame, size_sec: int, horizon_sec: int, bounded: bool =
 
 
 def ticket_changes(summaries: DataFrame, n_trigger: int = 2, k_clear: int = 3) -> DataFrame:
-    """(ahu_id, fault, window_id, change, occurrence_count): tickets opened, seen again and resolved; see ``incident_changes``."""
+    """(ahu_id, fault, window_id, change, occurrence_count): tickets opened, seen again and resolved.
+
+    See ``incident_changes``, which gives tickets' fields as well.
+    """
     found = incident_changes(summaries, n_trigger=n_trigger, k_clear=k_clear)
     return found.select("ahu_id", "fault", "window_id", "change", "occurrence_count")

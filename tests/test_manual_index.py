@@ -91,7 +91,7 @@ def test_indexed_chunks_equal_the_plain_way(spark, monkeypatch, headings):
 def test_an_index_has_all_fields_and_skips_files_without_metadata(spark):
     pages = spark.createDataFrame([("a.pdf", 1, "word " * 40), ("b.pdf", 1, "word " * 40)], "file_name string, page_no int, text string")
     meta = spark.createDataFrame(
-        [("D", "a.pdf", "ASHRAE", True, ["x", "y"], None)],
+        [("D", "a.pdf", "guild", True, ["x", "y"], None)],
         "doc_id string, file_name string, authority string, supports_diagnosis boolean, fault_types array<string>, canonical_topics array<string>",
     )
     got = manuals.manual_index(pages, meta).collect()
