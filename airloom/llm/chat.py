@@ -1,4 +1,4 @@
-"""Chat formatting: successive prefixes go through a template that is a black box, and their differences place each turn."""
+"""Chat formatting: prefixes go through a template that is a black box, and their differences place each turn."""
 
 from __future__ import annotations
 
@@ -25,14 +25,16 @@ SPANS = (
     "conv_id long, turn_no long, role string, piece string, start long, end long, text_start long, text_end long, "
     "rewritten long, far boolean"
 )
-PLACED = "conv_id long, pos long, audit boolean, role string, piece string, text_start long, text_end long, rewritten long"
+PLACED = (
+    "conv_id long, pos long, audit boolean, role string, piece string, text_start long, text_end long, rewritten long"
+)
 READ = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 )
 
 
 def escape(text: str) -> str:
-    """``text`` without a turn mark: number signs, backslashes and the slash of ``</turn>`` get a backslash before them."""
+    """``text`` without a turn mark: number signs, backslashes and the slash of ``</turn>`` get a backslash."""
     return text.replace("\\", "\\\\").replace("#", "\\#").replace("</turn>", "<\\/turn>")
 
 

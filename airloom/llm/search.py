@@ -245,7 +245,7 @@ class Shard:
         return self.unpacked[block]
 
     def search(self, weights: dict[bytes, int], best: tuple[np.ndarray, np.ndarray], top: int):
-        """The ``top`` (scores, doc_ids) among ``best`` and this shard's documents, and how many blocks were unpacked.
+        """The ``top`` (scores, doc_ids) of ``best`` and this shard's documents, and how many blocks were unpacked.
 
         All lists' block ends cut the documents into ranges.  Within a range each list's pointer, moved only
         over block ends, stands in one block, so the sum of these blocks' highest impacts bounds every score in
