@@ -43,6 +43,12 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded, keeping the sign of a negative that rounds to zero, as a double does."""
+    r = F.round(x, digits)
+    return F.when((r == 0) & (x < 0), -F.abs(r)).otherwise(r)
+
+
 def severity_rank(c: Column) -> Column:
     s = F.lower(F.trim(c))
     return F.when(s == "high", 3).when(s == "medium", 2).when(s == "low", 1).otherwise(0)

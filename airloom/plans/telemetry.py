@@ -640,7 +640,7 @@ hp AS (SELECT window_id, first(h ORDER BY c DESC, f) AS prim, string_agg(h, ', '
 def q43_history_doc(spark, sf):
     s = summary.summaries(_anom(spark, sf), CFG, "c0ffee")
     d = retrieval.history_documents(
-        s.withColumn("features", F.transform_values("features", lambda _, v: F.round(v + 1e-9, 6)))
+        s.withColumn("features", F.transform_values("features", lambda _, v: S.rounded(v + 1e-9, 6)))
     )
     m = F.col("metadata")
     keys = {
