@@ -51,7 +51,7 @@ class WindowMachine:
         if w < self.open:
             self.late += 1
             if seq is not None:
-                self._drop(seq)
+                self._drop(ts, seq)
             return
         while self.open < w:
             yield self._close()
@@ -64,7 +64,7 @@ class WindowMachine:
     def _take(self, ts: int, seq: int) -> None:
         """An event enters the open window."""
 
-    def _drop(self, seq: int) -> None:
+    def _drop(self, ts: int, seq: int) -> None:
         """A late event leaves."""
 
     def _close(self) -> tuple:
@@ -87,7 +87,7 @@ class UnitMachine(WindowMachine):
         self.signals = signals
         self.base: int | None = None
         self.missing = 0
-        self.values: dict[int, list[float]] = {}  # of events in the buffer, by arrival
+        self.values: dict[tuple[int, int], list[list[float]]] = {}  # of events in the buffer, by time and arrival
         self.taken: list[tuple[int, list[float]]] = []
         self.parts: dict[str, list] = {}
         self.touched: set[int] = set()  # windows with new keys
@@ -96,24 +96,31 @@ class UnitMachine(WindowMachine):
         """Events that were in the buffer before."""
         for ts, seq, values in rows:
             self.buffer.append((ts, seq))
-            self.values[seq] = list(values)
+            self.values.setdefault((ts, seq), []).append(list(values))
         heapq.heapify(self.buffer)
 
     def push(self, ts: int, seq: int, key: str, values=()) -> Iterator[tuple]:
         if self.base is None:
             self.base = ts - ts % self.size
         if key not in self.seen:
-            self.values[seq] = [float(v) for v in values]
+            self.values.setdefault((ts, seq), []).append([float(v) for v in values])
             self.touched.add(ts - ts % self.size)
         yield from super().push(ts, seq, key)
 
     def _take(self, ts: int, seq: int) -> None:
-        own = self.values.pop(seq)
+        own = self._values(ts, seq)
         self.missing += sum(v != v for v in own)
         self.taken.append((ts, own))
 
-    def _drop(self, seq: int) -> None:
-        self.values.pop(seq, None)
+    def _drop(self, ts: int, seq: int) -> None:
+        self._values(ts, seq)
+
+    def _values(self, ts: int, seq: int) -> list[float]:
+        """The values of the first that waits of a time and arrival."""
+        own = self.values[ts, seq].pop(0)
+        if not self.values[ts, seq]:
+            del self.values[ts, seq]
+        return own
 
     def fold(self) -> None:
         """Merge the parts of events taken since the last time."""

@@ -78,7 +78,7 @@ class UnitWindows(StatefulProcessor):
         for window in buckets.keys() & (m.touched | (buckets.keys() - self.stored)):
             self.seen.updateValue((window,), (buckets[window],))
         if m.buffer:
-            self.waiting.put([(ts, seq, m.values[seq]) for ts, seq in sorted(m.buffer)])
+            self.waiting.put([(ts, seq, own) for (ts, seq), same in sorted(m.values.items()) for own in same])
         else:
             self.waiting.clear()
         self.parts.clear()
@@ -87,7 +87,8 @@ class UnitWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         m = self.load()
-        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        new = pd.concat(list(rows))
+        new = new.sort_values(["seq"] if new["seq"].is_unique else ["seq", "key"], kind="stable")
         values = new[list(self.signals)].to_numpy(float) if self.signals else np.zeros((len(new), 0))
         out: list[tuple] = []
         for ts, seq, k, own in zip(new["ts"], new["seq"], new["key"], values):
@@ -139,10 +140,10 @@ def unit_windows(
 ) -> DataFrame:
     """Closed windows of each unit, the empty ones between others too, with counts and features.
 
-    ``events``: unit, ts (microseconds; null ends the unit's stream), seq (order of arrival), key, the signals,
-    and for ``idle_sec`` the timestamp ``arrived``, which is the clock of timers: it runs on replays as it did
-    at first, and only its newest value less ``skew_sec`` is taken for granted.  ``window`` and ``base`` (the unit's
-    first window) are in microseconds.
+    ``events``: unit, ts (microseconds; null ends the unit's stream), seq (order of arrival; equal ones follow key),
+    key, the signals, and for ``idle_sec`` the timestamp ``arrived``, which is the clock of timers: it runs on replays
+    as it did at first, and only its newest value less ``skew_sec`` is taken for granted.  ``window`` and ``base`` (the
+    unit's first window) are in microseconds.
     """
     use_rocksdb(events)
     second = 1_000_000
@@ -161,10 +162,12 @@ def exact_summaries(
     offsets: list[tuple[int, int]] | None = None,
     idle_sec: int | None = None,
     skew_sec: int = 60,
+    key: str = "timestamp_text",
 ) -> DataFrame:
     """Window summaries with exact late and duplicate counts, empty windows, and anomalies gated to ``offsets``.
 
-    ``events`` as ``normalize_events`` gives them, with ``arrival`` (a number) and, for ``idle_sec``, ``arrived``.
+    ``events`` as ``normalize_events`` gives them, with ``arrival`` (a number) and, for ``idle_sec``, ``arrived``;
+    a unit's events with the same ``key`` are duplicates.
     Features come from keyed state; rules, gating and the summary are the batch form's expressions.
     """
     w = cfg.windowing
@@ -174,7 +177,7 @@ def exact_summaries(
         F.col("ahu_id").alias("unit"),
         F.unix_micros("timestamp").alias("ts"),
         F.col("arrival").cast("long").alias("seq"),
-        F.col("timestamp_text").alias("key"),
+        F.col(key).cast("string").alias("key"),
         *cfg.signals,
         *(["arrived"] if idle_sec is not None else []),
     )
